@@ -164,3 +164,24 @@ def slice_of(c, width: int = SLICE) -> Column:
     """Order-preserving slice of a counter."""
     c = F.col(c) if isinstance(c, str) else c
     return F.floor(c / F.lit(width)).cast("long")
+
+
+def rank_value(df: DataFrame, on: list[str], value: str, slices: list, picks: dict, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact order statistics of each group: count, lowest, highest and the values at given ranks.
+
+    ``picks`` maps a result name to a function of the count that gives a rank from 0. Works on the histogram, which Spark
+    combines before the shuffle, so equal values cost nothing.
+    """
+    hist = settle(df.filter(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count(F.lit(1)).alias("__c")))
+    total = hist.groupBy(*on).agg(F.sum("__c").alias("count"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("__size"))
+    run = prefix_sum(hist, on, [value], "__c", slices, "__run", fine=[F.col(value)], hot_rows=hot_rows)
+    run = _lookup(settle(run), settle(total), on, "__size", hot_rows)
+    return run.groupBy(*on).agg(F.first("count").alias("count"), F.first("low").alias("low"), F.first("high").alias("high"),
+                                *[F.min(F.when(F.col("__run") > at(F.col("count")), F.col(value))).alias(n) for n, at in picks.items()])
+
+
+def exact_median(df: DataFrame, on: list[str], value: str, slices: list, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Count and exact median of each group."""
+    picks = {"__lo": lambda n: F.floor((n - 1) / 2), "__hi": lambda n: F.floor(n / 2)}
+    ranked = rank_value(df, on, value, slices, picks, hot_rows)
+    return ranked.select(*on, "count", ((F.col("__lo") + F.col("__hi")) / 2).alias("median"))
