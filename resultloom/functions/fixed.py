@@ -82,7 +82,7 @@ BOXES = {
     ("pair", "stack"): (852.0, 192.0),
     ("pair", "separate"): (852.0, 440.0),
     ("bc", "side"): (540.0, 395.0),
-    ("bc", "stack"): (852.0, 376.0),
+    ("bc", "stack"): (852.0, 398.0),
 }
 LAYOUTS = ("side", "stack", "separate")
 

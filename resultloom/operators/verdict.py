@@ -167,7 +167,7 @@ def override_texts(cases: DataFrame, edits: DataFrame) -> DataFrame:
     """Hand-edited wording wins. A null edit is no edit; an empty list of observations does not override, an empty closing line does."""
     e = edits.select("job_id", "n", *[F.col(c).alias(f"__{c}") for c in ("deformation_caption", "stress_caption", "observations", "conclusion")])
     df = cases.join(e, ["job_id", "n"], "left")
-    kept = F.filter(F.transform("__observations", F.trim), lambda t: t != "")
+    kept = F.filter(F.transform("__observations", lambda t: F.trim(t)), lambda t: t != "")
     plain = {c: F.coalesce(F.trim(f"__{c}"), F.col(c)) for c in ("deformation_caption", "stress_caption", "conclusion")}
     plain["observations"] = F.when(F.size(kept) > 0, kept).otherwise(F.col("observations"))
     return df.withColumns(plain).drop(*[c for c in e.columns if c.startswith("__")])
