@@ -198,12 +198,12 @@ def geometry_headings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
 
 
 def mesh_headings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Headings of the mesh views; the first one without a hint is the overall mesh."""
+    """Headings of the mesh views in picture order; a first one without a hint is the overall mesh."""
     df = pictures.filter(F.col("role") == "mesh").select("job_id", "id", X.view_hint("name").alias("__hint"))
-    df = skew.attach(df, ["job_id"], hot_rows, __first=F.min("id"))
+    df = skew.number_rows(df, ["job_id"], ["id"], [skew.slice_of("id")], "position", hot_rows=hot_rows)
     heading = (F.when(F.col("__hint") == "section", F.lit(f"Mesh section {fixed.WHERE}")).when(F.col("__hint") == "detail", F.lit(f"Mesh detail {fixed.WHERE}"))
-               .when(F.col("id") == F.col("__first"), F.lit("Overall mesh")).otherwise(F.lit("Mesh detail [describe - please confirm]")))
-    return df.select("job_id", "id", heading.alias("heading"))
+               .when(F.col("position") == 1, F.lit("Overall mesh")).otherwise(F.lit("Mesh detail [describe - please confirm]")))
+    return df.select("job_id", "id", heading.alias("heading"), "position")
 
 
 def demotions(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from . import core
 
 
 def _load():
-    from . import cases, checks, intake, legend, loads, pixels, verdict  # noqa: F401
+    from . import cases, checks, intake, legend, loads, pixels, report, verdict  # noqa: F401
 
 
 def queries():

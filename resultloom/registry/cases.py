@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import cases, intake, verdict
+from ..operators import cases, intake
+from ..plans import skew
 from ..sources import testviews as T
 from . import sqltext as Q
 from .core import query, view
@@ -25,8 +26,15 @@ def numbered(spark, folder):
     return cases.number_cases(projected(spark, folder))
 
 
+_drafts: dict = {}
+
+
 def mains(spark, folder):
-    return cases.pick_main(numbered(spark, folder))
+    """The draft of all jobs, written once per application: the later steps start from this table."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _drafts:
+        _drafts[key] = skew.settle(cases.pick_main(numbered(spark, folder)))
+    return _drafts[key]
 
 
 view("lettered", f"""
@@ -74,7 +82,8 @@ SELECT *, role IN {MAIN} AND case_no IS NOT NULL AS cand,
 
 @query("f4_pick_main", "SELECT job_id, id, case_no, role, auto_extra, main_id FROM mains")
 def _(spark, folder):
-    return mains(spark, folder).select("job_id", "id", "case_no", "role", "auto_extra", "main_id")
+    df = cases.pick_main(numbered(spark, folder))
+    return df.select("job_id", "id", "case_no", "role", "auto_extra", "main_id")
 
 
 view("extras", f"""
@@ -87,7 +96,7 @@ def _(spark, folder):
     return cases.case_extras(mains(spark, folder))
 
 
-def rollup_sql(source):
+def rollup_sql(source, px="CAST(NULL AS DOUBLE)"):
     def slot(col, role):
         return f"max({col}) FILTER (role = '{role}')"
     first = "CASE WHEN {bc} IS NOT NULL THEN {b} WHEN {df} IS NOT NULL THEN {d} ELSE {s} END"
@@ -97,7 +106,7 @@ def rollup_sql(source):
     return f"""
 SELECT job_id, case_no AS n, {slot('id', 'bc')} AS bc_id, {slot('id', 'deformation')} AS def_id, {slot('id', 'stress')} AS stress_id, 'Load Case ' || case_no AS name,
   '(Self Weight + Pressure)' AS subtitle, 'mm' AS def_unit, 'MPa' AS stress_unit, {slot('max_value', 'deformation')} AS def_max, {slot('max_value', 'stress')} AS stress_max,
-  {slot('red_px', 'stress')} AS red_px, CAST(NULL AS DOUBLE) AS legend_px, {letter} AS letter, {model} AS model
+  {slot('red_px', 'stress')} AS red_px, {px} AS legend_px, {letter} AS letter, {model} AS model
 FROM {source} WHERE role IN {CASE} AND case_no IS NOT NULL GROUP BY job_id, case_no"""
 
 
@@ -170,7 +179,8 @@ def _(spark, folder):
 
 view("mesh_views", f"""
 SELECT job_id, id, CASE {Q.hint('name')} WHEN 'section' THEN 'Mesh section {fixed.WHERE}' WHEN 'detail' THEN 'Mesh detail {fixed.WHERE}'
-  ELSE CASE WHEN id = min(id) OVER (PARTITION BY job_id) THEN 'Overall mesh' ELSE 'Mesh detail [describe - please confirm]' END END AS heading FROM deduped WHERE role = 'mesh'""")
+  ELSE CASE WHEN id = min(id) OVER (PARTITION BY job_id) THEN 'Overall mesh' ELSE 'Mesh detail [describe - please confirm]' END END AS heading,
+  row_number() OVER (PARTITION BY job_id ORDER BY id) AS position FROM deduped WHERE role = 'mesh'""")
 
 
 @query("f11_mesh_headings", "SELECT * FROM mesh_views")

@@ -110,10 +110,10 @@ def _(spark, folder):
 
 def fields(spark, folder):
     """Fields of the page in long form: one row per field of a case."""
-    items = ["struct('casename' AS need, CASE WHEN case_key % 31 = 0 THEN ' ' ELSE name END AS value)", "struct('num', CASE WHEN case_key % 8 = 0 THEN 'n/a' ELSE CAST(stress_max AS STRING) END)",
-             "struct('optnum', CASE WHEN case_key % 9 = 0 THEN '1,5x' ELSE CAST(stress_away AS STRING) END)", "struct('bracketOpt', CASE WHEN case_key % 5 = 0 THEN '[location - please confirm]' ELSE loc_stress END)",
-             "struct('bracket', loc_stress)", "struct('req', basis)", "struct('title', CASE WHEN case_key % 6 = 0 THEN 'Analysis Of' ELSE name END)",
-             "struct('role', CASE WHEN case_key % 10 = 0 THEN 'unknown' ELSE 'stress' END)", "struct('basis', CASE WHEN case_key % 11 = 0 THEN '1' ELSE '0' END)"]
+    items = ["struct('casename' AS need, CASE WHEN case_key % 31 = 0 THEN ' ' ELSE name END AS value)", "struct('num' AS need, CASE WHEN case_key % 8 = 0 THEN 'n/a' ELSE CAST(stress_max AS STRING) END AS value)",
+             "struct('optnum' AS need, CASE WHEN case_key % 9 = 0 THEN '1,5x' ELSE CAST(stress_away AS STRING) END AS value)", "struct('bracketOpt' AS need, CASE WHEN case_key % 5 = 0 THEN '[location - please confirm]' ELSE loc_stress END AS value)",
+             "struct('bracket' AS need, loc_stress AS value)", "struct('req' AS need, basis AS value)", "struct('title' AS need, CASE WHEN case_key % 6 = 0 THEN 'Analysis Of' ELSE name END AS value)",
+             "struct('role' AS need, CASE WHEN case_key % 10 = 0 THEN 'unknown' ELSE 'stress' END AS value)", "struct('basis' AS need, CASE WHEN case_key % 11 = 0 THEN '1' ELSE '0' END AS value)"]
     df = T.cases(spark, folder).selectExpr("job_id", f"explode(array({', '.join(items)})) AS f")
     return df.select("job_id", "f.need", "f.value")
 
