@@ -46,7 +46,7 @@ s AS (SELECT *, CASE load_type WHEN 'pressure' THEN {MPA} WHEN 'moment' THEN val
 m AS (SELECT *, value_si * 1e6 / 9.80665e0 AS mm FROM s)
 SELECT case_id, line_no, text, value, unit, load_type, value_si, load_type NOT IN ('gravity', 'pressure') AS needs_input,
   CASE load_type WHEN 'gravity' THEN {Q.quote(S['gravity'])} WHEN 'pressure' THEN {Q.say(S['pressure'], mm="CASE WHEN abs(mm - round_even(mm, 0)) < 0.002e0 * mm THEN printf('%.0f', mm) ELSE printf('%.2f', mm) END",
-    mpa="CASE WHEN value_si >= 1000 THEN printf('%.0f', CAST(printf('%.3g', value_si) AS DOUBLE)) ELSE printf('%.3g', value_si) END")}
+    mpa="CASE WHEN value_si >= 999.5 THEN printf('%.0f', CAST(printf('%.3g', value_si) AS DOUBLE)) ELSE printf('%.3g', value_si) END")}
   WHEN 'moment' THEN {Q.say(S['moment'], v=Q.grouped('value_si'), nm=Q.general('value_si / 1000'))} WHEN 'force' THEN {Q.say(S['force'], v=Q.grouped('value_si'))}
   WHEN 'fixed' THEN {Q.quote(S['fixed'])} ELSE {Q.say(S['other'], line='text')} END AS draft FROM m""")
 def _(spark, folder):

@@ -1 +1,80 @@
-"""to come"""
+"""Queries of the sources and sinks."""
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..sources import readers, sinks, testviews as T
+from . import sqltext as Q
+from .core import query, view
+
+HEADS = {0: "89504E470D0A1A0A", 1: "FFD8FFE0", 2: "424D3604", 3: "49492A0008000000"}
+NAMES = ("png", "JPG", "bmp", "tiff", "html", "png", "webp", "")
+
+
+@query("a1_scan_pictures", f"""
+WITH f AS (SELECT page_id % 10 AS job_id, page_id AS seq, 'page' || page_id || CASE page_id % 8 {' '.join(f"WHEN {i} THEN '.{n}'" for i, n in enumerate(NAMES) if n)} ELSE '' END AS name,
+  CASE page_id % 8 WHEN 0 THEN unhex('{HEADS[0]}') WHEN 1 THEN unhex('{HEADS[1]}') WHEN 2 THEN unhex('{HEADS[2]}') WHEN 3 THEN unhex('{HEADS[3]}') ELSE unhex('') END || encode(html) AS content FROM pages),
+g AS (SELECT *, regexp_matches(name, '(?i)\\.(png|jpg|jpeg|bmp|tif|tiff|webp)$') AND regexp_matches(hex(content), '^(89504E470D0A1A0A|FFD8FF|424D|49492A00|4D4D002A|52494646.{{8}}57454250)') AS ok FROM f)
+SELECT job_id, seq, name, ok AS accepted, CASE WHEN ok THEN row_number() OVER (PARTITION BY job_id, ok ORDER BY seq) - 1 END AS id, CASE WHEN ok THEN md5(content) END AS hash FROM g""")
+def _(spark, folder):
+    pages = T.table(spark, folder, "pages")
+    name = "concat('page', page_id, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '.{n}'" for i, n in enumerate(NAMES) if n) + " ELSE '' END) AS name"
+    head = "concat(CASE page_id % 8 " + " ".join(f"WHEN {i} THEN unhex('{h}')" for i, h in HEADS.items()) + " ELSE unhex('') END, CAST(html AS BINARY)) AS content"
+    good, skipped = readers.scan_pictures(pages.selectExpr("page_id % 10 AS job_id", "page_id AS seq", name, head))
+    return good.withColumn("accepted", F.lit(True)).unionByName(skipped.withColumn("accepted", F.lit(False)), allowMissingColumns=True)
+
+
+DEFAULTS = ", ".join(f"({Q.quote(k)}, {Q.quote(s)}, {Q.quote(v)})" for k, s, v in readers.default_settings())
+KEYS = ("fos", "mesh_limits", "material", "_help", "mm_format", "new_key")
+OVERRIDES = ("SELECT c_custkey AS set_id, CASE c_nationkey % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KEYS)) + " END AS key, "
+             "CASE c_nationkey % 6 WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 'skew_max_warn' ELSE 'extra' END WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'E' ELSE '' END ELSE '' END AS subkey, "
+             "CAST(c_custkey % 97 AS STRING) AS value FROM customer")
+
+
+@query("a2_overlay_config", f"""
+WITH d AS (SELECT * FROM (VALUES {DEFAULTS}) t(key, subkey, value)), o AS (SELECT * FROM ({OVERRIDES}) x WHERE key NOT LIKE '\\_%' ESCAPE '\\'),
+s AS (SELECT c_custkey AS set_id FROM customer)
+SELECT set_id, key, subkey, value FROM o UNION ALL
+SELECT s.set_id, d.key, d.subkey, d.value FROM s CROSS JOIN d LEFT JOIN o ON o.set_id = s.set_id AND o.key = d.key
+WHERE o.key IS NULL OR (o.subkey <> '' AND d.subkey <> '' AND o.subkey <> d.subkey)""")
+def _(spark, folder):
+    customer = T.table(spark, folder, "customer")
+    cases = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KEYS))
+    over = customer.selectExpr(
+        "c_custkey AS set_id", f"CASE c_nationkey % 6 {cases} END AS key",
+        "CASE c_nationkey % 6 WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 'skew_max_warn' ELSE 'extra' END WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'E' ELSE '' END ELSE '' END AS subkey",
+        "CAST(c_custkey % 97 AS STRING) AS value")
+    return readers.overlay_config(customer.select(F.col("c_custkey").alias("set_id")), over)
+
+
+@query("a3_session_records", """
+SELECT job_id, id, name, role, letter, model, max_value, z_dir, CAST(red_px AS BIGINT) AS red_px, width, height, user_set, '/api/img/' || job_id || '/' || id AS url FROM pictures""")
+def _(spark, folder):
+    back = readers.from_records(readers.to_records(T.pictures(spark, folder)))
+    names = ("job_id", "id", "name", "role", "letter", "model", "max_value", "z_dir", "red_px", "width", "height", "user_set", "url")
+    return readers.public_projection(back).select(*names)
+
+
+@query("a4_publish_once", """
+WITH e AS (SELECT *, 'FEA_Report_' || sid || '.pptx' AS name FROM state_events),
+p AS (SELECT name, arg_max(payload, (saved_at, seq)) AS content FROM e WHERE seq % 3 = 0 GROUP BY name),
+r AS (SELECT name, arg_max(payload, (saved_at, seq)) AS content, max(saved_at) AS made_at FROM e GROUP BY name)
+SELECT CASE WHEN p.name IS NULL THEN r.name ELSE regexp_replace(r.name, '\\.pptx$', '') || '_' || strftime(made_at, '%H%M%S') || '.pptx' END AS published_name, r.name, r.content
+FROM r LEFT JOIN p ON p.name = r.name WHERE p.name IS NULL OR p.content <> r.content""")
+def _(spark, folder):
+    events = T.state_events(spark, folder).withColumn("name", F.concat(F.lit("FEA_Report_"), F.col("sid").cast("string"), F.lit(".pptx")))
+
+    def last(df):
+        s = df.groupBy("name").agg(F.max(F.struct("saved_at", "seq", "payload")).alias("s"))
+        return s.select("name", F.col("s.payload").alias("content"), F.col("s.saved_at").alias("made_at"))
+
+    return sinks.publish_once(last(events), last(events.filter("seq % 3 = 0")).drop("made_at"))
+
+
+@query("a5_read_report_config", """
+SELECT c_custkey AS job_id, 'Mech Well' AS author, CASE WHEN c_custkey % 2 = 0 THEN 'sig3' END AS mm_format, c_acctbal AS allowable_mpa, c_name AS title, 'stack' AS results, CAST(c_custkey % 3 AS BIGINT) AS cases FROM customer""")
+def _(spark, folder):
+    text = ("concat('{\"author\": \"Mech Well\", ', CASE WHEN c_custkey % 2 = 0 THEN '\"mm_format\": \"sig3\", ' ELSE '' END, '\"allowable_mpa\": ', c_acctbal, ', \"cover\": {\"title\": \"', c_name, '\"}, "
+            "\"layouts\": {\"results\": \"stack\"}, \"cases\": [', CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{\"name\": \"a\"}' ELSE '{\"name\": \"a\"}, {\"name\": \"b\"}' END, ']}') AS config")
+    df = readers.parse_report_config(T.table(spark, folder, "customer").selectExpr("c_custkey AS job_id", text))
+    return df.select("job_id", "author", "mm_format", "allowable_mpa", F.col("cover.title").alias("title"), F.col("layouts.results").alias("results"), F.size("cases").cast("long").alias("cases"))

@@ -1 +1,83 @@
-"""to come"""
+"""Queries of the state tables and of their streams."""
+
+from pyspark.sql import functions as F
+
+from ..operators import state
+from ..sources import testviews as T
+from ..streaming import state_streams
+from .core import query, view
+
+NOW = "2024-01-31 00:00:00"
+SIX_HOURS = 6 * 3600 * 1000
+
+
+@query("l1_build_key", """
+SELECT event_id, substr(sha1('2.2|{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 1, 12) AS build_key FROM events""")
+def _(spark, folder):
+    df = T.table(spark, folder, "events").withColumn("make_pdf", F.col("event_id") % 2 == 0)
+    return state.build_key(df, ["user_id", "make_pdf", "event_type"]).select("event_id", "build_key")
+
+
+@query("l2_reuse_build", """
+SELECT sid, seq, build_key, CASE WHEN row_number() OVER (PARTITION BY sid, build_key ORDER BY saved_at, seq) = 1 THEN 'build' ELSE 'hit' END AS status FROM state_events""")
+def _(spark, folder):
+    return state.reuse_build(T.state_events(spark, folder)).select("sid", "seq", "build_key", "status")
+
+
+@query("l3_keep_last_builds", """
+SELECT sid, build_key, seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY last_used DESC, seq DESC) AS rank FROM (
+SELECT sid, build_key, max(saved_at) AS last_used, arg_max(seq, (saved_at, seq)) AS seq FROM state_events GROUP BY ALL) a) b WHERE rank <= 6""")
+def _(spark, folder):
+    return state.keep_last_builds(T.state_events(spark, folder)).select("sid", "build_key", "seq", "rank")
+
+
+@query("l4_expire_sessions", f"""
+SELECT sid, epoch_us(max(saved_at)) AS last_us FROM state_events GROUP BY sid HAVING epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(saved_at)) > 86400000000""")
+def _(spark, folder):
+    return state.expire_sessions(T.state_events(spark, folder), NOW, days=1).select("sid", F.unix_micros("last_saved").alias("last_us"))
+
+
+@query("l5_latest_state", """
+SELECT sid, seq, payload, row_number() OVER (ORDER BY saved_at DESC, seq DESC, sid DESC) = 1 AS newest FROM (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY saved_at DESC, seq DESC) AS rn FROM state_events) a WHERE rn = 1) b""")
+def _(spark, folder):
+    return state.latest_state(T.state_events(spark, folder)).select("sid", "seq", "payload", "newest")
+
+
+view("burst_rows", """
+SELECT *, sum(CASE WHEN us - before <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY saved_at, seq) AS burst FROM (
+SELECT *, epoch_us(saved_at) AS us, lag(epoch_us(saved_at)) OVER (PARTITION BY sid ORDER BY saved_at, seq) AS before FROM state_events) a""")
+
+
+@query("l6_debounce", """
+SELECT sid, CAST(burst AS BIGINT) AS burst, started_us, ended_us, changes, payload, build_key, build_key IS DISTINCT FROM lag(build_key) OVER (PARTITION BY sid ORDER BY burst) AS starts_build FROM (
+SELECT sid, burst, min(us) AS started_us, max(us) AS ended_us, count(*) AS changes, arg_max(payload, (us, seq)) AS payload, arg_max(build_key, (us, seq)) AS build_key FROM burst_rows GROUP BY sid, burst) a""")
+def _(spark, folder):
+    df = state.debounce(T.state_events(spark, folder), SIX_HOURS, slice_unit="day")
+    return df.select("sid", "burst", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "changes", "payload", "build_key", "starts_build")
+
+
+@query("l7_mru_history", """
+SELECT hist_key, entry, last_seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY hist_key ORDER BY last_seq DESC, entry) AS rank FROM (
+SELECT hist_key, trim(entry) AS entry, max(seq) AS last_seq FROM history WHERE trim(entry) <> '' AND NOT regexp_matches(entry, '\\[.*\\]') GROUP BY ALL) a) b WHERE rank <= 40""")
+def _(spark, folder):
+    return state.mru_history(T.history(spark, folder))
+
+
+@query("l2_reuse_build_stream", "SELECT DISTINCT sid, build_key FROM state_events")
+def _(spark, folder):
+    return state_streams.run_to_table(state_streams.first_builds(state_streams.state_stream(spark, folder))).select("sid", "build_key")
+
+
+@query("l5_latest_state_stream", """
+SELECT sid, seq, payload FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY saved_at DESC, seq DESC) AS rn FROM state_events) a WHERE rn = 1""")
+def _(spark, folder):
+    updates = state_streams.run_to_table(state_streams.latest_state(state_streams.state_stream(spark, folder)), "update")
+    return state.latest_state(updates).select("sid", "seq", "payload")
+
+
+@query("l6_debounce_stream")
+def _(spark, folder):
+    """Closed bursts only: a burst is put out once the watermark has passed its end."""
+    df = state_streams.bursts(state_streams.state_stream(spark, folder), "6 hours")
+    return state_streams.run_to_table(df)
