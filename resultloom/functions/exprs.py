@@ -49,9 +49,13 @@ def positive(c) -> Column:
 
 
 # --- text from numbers ----------------------------------------------------------------------------
+def _shape(c, pattern: str) -> Column:
+    return F.call_function("format_number", col(c), F.lit(pattern))
+
+
 def fixed_text(c, digits: int) -> Column:
     """Value with a fixed number of decimals, rounded half to even on the exact value."""
-    return F.regexp_replace(F.format_number(col(c), digits), ",", "")
+    return _shape(c, "0." + "0" * digits if digits else "0")
 
 
 def grouped_text(c, digits: int = 0) -> Column:
@@ -59,15 +63,25 @@ def grouped_text(c, digits: int = 0) -> Column:
 
 
 def _scientific(c, digits: int) -> Column:
-    return F.expr("1") if c is None else F.call_function("format_number", col(c), F.lit("0." + "0" * (digits - 1) + "E0"))
+    return _shape(c, "0." + "0" * (digits - 1) + "E0")
+
 
+def _plain_text(c, digits: int) -> Column:
+    """Positional text for 1e-4 <= value < 10^digits: the size of the value gives the number of decimals.
 
-def _strip_zeros(text: Column) -> Column:
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    One branch per power of ten, so that every number format is a constant; a format that changes from row to row is slow.
+    """
+    size, text = F.abs(col(c)), None
+    for power in range(-4, digits):
+        shape = _shape(c, "0." + "#" * (digits - 1 - power) if power < digits - 1 else "0")
+        text = shape if text is None else F.when(size >= float(f"1e{power}"), shape).otherwise(text)
+    return text
 
 
-def _exponent(c, digits: int) -> Column:
-    return F.element_at(F.split(_scientific(c, digits), "E"), 2).cast("int")
+def _is_plain(c, digits: int) -> Column:
+    """Whether the rounded value is shown without an exponent."""
+    size, half = F.abs(col(c)), 0.5 * 10.0 ** -(digits - 1)
+    return (size >= 1e-4 * (1 - half / 10)) & (size < 10.0 ** digits - 0.5)
 
 
 def round_sig(c, digits: int = 3) -> Column:
@@ -77,27 +91,25 @@ def round_sig(c, digits: int = 3) -> Column:
 
 def sig_text(c, digits: int = 3) -> Column:
     """Positional text with the given number of significant digits and no trailing zeros."""
-    e = _exponent(c, digits)
-    small = F.regexp_replace(F.call_function("format_number", col(c), F.greatest(F.lit(0), F.lit(digits - 1) - e)), ",", "")
-    big = fixed_text(round_sig(c, digits), 0)
-    return F.when(col(c) == 0, F.lit("0")).when(e > digits - 1, big).otherwise(_strip_zeros(small))
+    size = F.abs(col(c))
+    tiny = _shape(round_sig(c, digits), "0." + "#" * 330)
+    return (F.when(col(c) == 0, F.lit("0")).when(_is_plain(c, digits), _plain_text(c, digits))
+            .when(size >= 1, fixed_text(round_sig(c, digits), 0)).otherwise(tiny))
 
 
 def general_text(c, digits: int = 6) -> Column:
     """Shortest of positional and exponent notation with `digits` significant digits (C's %g)."""
-    sci = _scientific(c, digits)
-    e = _exponent(c, digits)
-    plain = F.regexp_replace(F.call_function("format_number", col(c), F.greatest(F.lit(0), F.lit(digits - 1) - e)), ",", "")
-    mantissa = _strip_zeros(F.element_at(F.split(sci, "E"), 1))
+    parts = F.split(_scientific(c, digits), "E")
+    e = F.element_at(parts, 2).cast("int")
     power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    return (F.when(col(c) == 0, F.lit("0")).when((e >= -4) & (e < digits), _strip_zeros(plain))
-            .otherwise(F.concat(mantissa, power)))
+    return (F.when(col(c) == 0, F.lit("0")).when(_is_plain(c, digits), _plain_text(c, digits))
+            .otherwise(F.concat(F.regexp_replace(F.element_at(parts, 1), r"\.?0+$", ""), power)))
 
 
 def mm_text(c, mode: str = "sig3") -> Column:
     """Deformation for a sentence: three significant digits, or whole / two decimals."""
     if mode == "sig3":
-        return general_text(round_sig(c, 3))
+        return F.when(_is_plain(c, 3), _plain_text(c, 3)).otherwise(general_text(round_sig(c, 3)))
     return F.when(col(c) >= 1, fixed_text(c, 0)).otherwise(fixed_text(c, 2))
 
 
@@ -146,7 +158,7 @@ def shorten(c, limit: int = 400) -> Column:
 
 def glue_units(c) -> Column:
     """No-break space between a number and its unit."""
-    return F.regexp_replace(col(c), rf"(?<=\d) (?={fixed.UNITS}(?![A-Za-z]))", " ")
+    return F.regexp_replace(col(c), rf"(?<=\d) (?={fixed.UNITS}(?![A-Za-z]))", "\u00a0")
 
 
 # --- file and model names --------------------------------------------------------------------------
@@ -173,6 +185,23 @@ def common_prefix(a, b) -> Column:
     return F.size(same).cast("long")
 
 
+def with_common_prefix(df, a: str, b: str, out: str, width: int = 64):
+    """Column with the number of leading characters two text columns share (null counts as empty), by halving steps.
+
+    Each step compares one block of characters behind what is known to be equal, so a text takes a few comparisons instead
+    of one per character. Texts that agree beyond the first block go the long way.
+    """
+    x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
+    df = df.withColumn(out, F.lit(0))
+    step = width // 2
+    while step:
+        n = F.col(out)
+        equal = (F.substring(x, n + 1, F.lit(step)) == F.substring(y, n + 1, F.lit(step))) & (F.char_length(x) >= n + step) & (F.char_length(y) >= n + step)
+        df = df.withColumn(out, F.when(equal, n + step).otherwise(n))
+        step //= 2
+    return df.withColumn(out, F.when(F.col(out) == width - 1, common_prefix(x, y)).otherwise(F.col(out)).cast("int"))
+
+
 def base_role(c="role") -> Column:
     return F.regexp_replace(col(c), "^x_", "")
 

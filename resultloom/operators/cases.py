@@ -18,7 +18,7 @@ def is_case_role(c="role"):
 def group_by_letter(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Letter group of every case picture; without a letter it follows the only letter of its job, if there is just one."""
     own = F.when(is_case_role(), F.nullif(F.col("letter"), F.lit("")))
-    df = skew.attach(pictures.withColumn("__own", own), ["job_id"], hot_rows, __lo=F.min("__own"), __hi=F.max("__own"))
+    df = skew.attach(pictures.withColumn("__own", own), ["job_id"], hot_rows, few_groups=True, __lo=F.min("__own"), __hi=F.max("__own"))
     group = (F.when(F.col("__own").isNotNull(), F.col("__own")).when(F.col("__lo").isNull(), F.lit(""))
              .when(F.col("__lo") == F.col("__hi"), F.col("__lo")))
     return df.withColumn("group_letter", F.when(is_case_role(), group)).drop("__own", "__lo", "__hi")
@@ -27,9 +27,9 @@ def group_by_letter(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataF
 def split_projects(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Letters with several setup pictures: every setup starts a sub-group, the others follow the most alike model.
 
-    The setup that shares the longest prefix with a model is found by joining prefixes, not pairs: each distinct model
-    and each setup emit their prefixes once, so the work grows with the text and not with pictures times setups. Among
-    setups with that prefix the first in order is taken. A sub-group is named by its setup (model, id).
+    No pairs are formed. In the order of the models, the setup that shares the longest prefix with a model is one of the
+    two closest to it; among all setups with that prefix the first in order is the closest one above the prefix. So two
+    sorted passes over the distinct models are enough. A sub-group is named by its setup (model, id).
     """
     on = ["job_id", "group_letter"]
     kind = F.when(F.col("role") == "bc", F.lit("bc")).otherwise(F.lit("other"))
@@ -37,22 +37,23 @@ def split_projects(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFr
     groups = skew.settle(df.filter(F.col("group_letter").isNotNull()).groupBy(*on, "__model", "__kind")
                          .agg(F.min("id").alias("__id"), F.count(F.lit(1)).alias("__size")))
     setups = groups.filter("__kind = 'bc'").withColumn("__s", F.struct(F.col("__model").alias("m"), F.col("__id").alias("i")))
-    several = setups.groupBy(*on).agg(F.sum("__size").alias("__c"), F.min("__s").alias("__first")).filter(F.col("__c") > 1).drop("__c")
-
-    def prefixes(text):
-        return F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda n: F.left(text, n)))
-
-    heads = setups.select(*on, "__s", prefixes(F.col("__model")).alias("__p")).groupBy(*on, "__p").agg(F.min("__s").alias("__s"))
-    # inner joins with no use of their partitioning afterwards: AQE may split a hot letter or prefix
-    models = groups.filter("__kind = 'other'").join(several, on)
-    matched = models.select(*on, "__model", prefixes(F.col("__model")).alias("__p")).join(heads, [*on, "__p"])
-    best = matched.groupBy(*on, "__model").agg(F.max(F.struct(F.char_length("__p").alias("l"), "__s")).alias("__b"))
-    others = models.join(best, [*on, "__model"], "left").withColumn("__sub", F.coalesce("__b.__s", "__first"))
+    several = skew.settle(setups.groupBy(*on).agg(F.sum("__size").alias("__c")).filter(F.col("__c") > 1).select(*on, F.lit(True).alias("__many")))
+    marks = setups.select(*on, F.col("__model").alias("__at"))
+
+    def closest(points):
+        return skew.nearest(points, marks, on, "__at", [F.left("__at", F.lit(2))], [F.left("__at", F.lit(16))], hot_rows)
+
+    near = closest(groups.filter("__kind = 'other'").withColumn("__at", F.col("__model"))).filter("below IS NOT NULL OR above IS NOT NULL")
+    near = X.with_common_prefix(X.with_common_prefix(near, "__model", "below", "__p"), "__model", "above", "__q")
+    near = skew.settle(near.withColumn("__at", F.left("__model", F.greatest("__p", "__q"))).drop("below", "above", "__p", "__q"))
+    found = closest(near).drop("below").withColumnRenamed("above", "m")
+    found = skew.lookup(found, setups.select(*on, F.col("__model").alias("m"), F.col("__id").alias("i")), [*on, "m"], hot_rows=hot_rows)
+    others = skew.lookup(found, several, on, hot_rows=hot_rows).filter("__many").withColumn("__sub", F.struct("m", "i"))
+    own = skew.lookup(setups, several, on, hot_rows=hot_rows).filter("__many").withColumn("__sub", F.col("__s"))
     keep = [*on, "__model", "__kind", "__size", "__sub"]
-    own = setups.join(several, on).withColumn("__sub", F.lit(None).cast(others.schema["__sub"].dataType))
     names = others.select(*keep).unionByName(own.select(*keep)).withColumn("__known", F.lit(True))
     df = skew.lookup(df, names, [*on, "__model", "__kind"], size="__size", hot_rows=hot_rows)
-    mine = F.col("__known") & (F.col("role") == "bc")
+    mine = F.col("__known") & (F.col("role") == "bc")   # several setups of one model: each names its own sub-group
     return (df.withColumn("sub_model", F.when(mine, F.col("__model")).otherwise(F.col("__sub.m")))
             .withColumn("sub_id", F.when(mine, F.col("id")).otherwise(F.col("__sub.i"))).drop("__model", "__kind", "__sub", "__known"))
 

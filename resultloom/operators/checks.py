@@ -21,6 +21,12 @@ def rule(seq: int, level, code: str, fires, text):
     return F.when(hit, F.struct(F.lit(seq).cast("long").alias("seq"), level.alias("level"), F.lit(code).alias("code"), text.alias("text")))
 
 
+def with_check_texts(df: DataFrame) -> DataFrame:
+    """Verdict and the number texts that the rules of a case share."""
+    df = verdict.with_texts(df if "def_fail" in df.columns else verdict.verdict(df))
+    return df.withColumns({"t_stress": X.general_text("stress_max"), "t_cap": X.general_text("cap")})
+
+
 def emit(df: DataFrame, rules: list, keys=("job_id", "n")) -> DataFrame:
     return df.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("c")).select(*keys, "c.seq", "c.level", "c.code", "c.text")
 
@@ -47,7 +53,7 @@ def _gate():
 
 
 def tier_rules():
-    s, allow, sy, t = _g("stress_max"), _g("allow"), _g("sy"), F.col("tier")
+    s, allow, sy, t = F.col("t_stress"), F.col("t_allow"), F.col("t_sy"), F.col("tier")
     basis = F.coalesce(*[F.when(F.col("basis") == k, F.lit(v)) for k, v in fixed.BASIS_TEXT.items()])
     per_allow, per_yield = F.col("stress_max") / F.col("allow"), F.col("stress_max") / F.col("sy")
     sus = t == "suspect"
@@ -68,9 +74,9 @@ def red_zone_rules():
 def legend_rules():
     over, cap, allow = _gate() & (F.col("tier") != "pass"), F.col("cap"), F.col("allow")
     off = F.abs(cap - allow) > F.greatest(F.lit(0.02) * allow, F.lit(0.5))
-    return [rule(7, "warn", "no_cap", over & cap.isNull(), X.fill(S["no_cap"], n="n", allow=_g("allow"))),
-            rule(7, "warn", "cap_off", over & off, X.fill(S["cap_off"], n="n", cap=_g("cap"), allow=_g("allow"))),
-            rule(7, "ok", "cap_ok", over & ~off, X.fill(S["cap_ok"], n="n", cap=_g("cap")))]
+    return [rule(7, "warn", "no_cap", over & cap.isNull(), X.fill(S["no_cap"], n="n", allow="t_allow")),
+            rule(7, "warn", "cap_off", over & off, X.fill(S["cap_off"], n="n", cap="t_cap", allow="t_allow")),
+            rule(7, "ok", "cap_ok", over & ~off, X.fill(S["cap_ok"], n="n", cap="t_cap"))]
 
 
 def deformation_rules():
@@ -87,8 +93,7 @@ def reaction_rules():
 
 def case_checks(cases: DataFrame) -> DataFrame:
     """All checks that need one case only; the case carries its limits, ``red_px``, ``cap`` and ``gravity_unit``."""
-    df = cases if "def_fail" in cases.columns else verdict.verdict(cases)
-    return emit(df, unit_rules() + gravity_rules() + tier_rules() + red_zone_rules() + legend_rules() + deformation_rules() + reaction_rules())
+    return emit(with_check_texts(cases), unit_rules() + gravity_rules() + tier_rules() + red_zone_rules() + legend_rules() + deformation_rules() + reaction_rules())
 
 
 def extras_exceed_main(cases: DataFrame, extras: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:

@@ -132,7 +132,7 @@ def ocr_budget(calls: DataFrame, picture_seconds: float = fixed.PICTURE_SECONDS,
     df = df.withColumn("used", F.col("__used").cast("double")).withColumn("admitted", left > 1)
     df = df.withColumn("cap_seconds", F.when(F.col("admitted"), F.least(F.lit(call_seconds), left)))
     failed = ~F.col("admitted") | (F.col("seconds") > F.col("cap_seconds"))
-    df = skew.attach(df.drop("__sec", "__used"), [key], hot_rows, picture_timed_out=F.bool_or(failed))
+    df = skew.attach(df.drop("__sec", "__used"), [key], hot_rows, few_groups=True, picture_timed_out=F.bool_or(failed))
     return df
 
 

@@ -142,7 +142,7 @@ def chunk_views(views: DataFrame, title, single=None, hot_rows: int = skew.HOT_R
 
     ``single`` is the title of a slide with one picture only, where it is not the usual one.
     """
-    df = skew.attach(views, ["job_id", "part"], hot_rows, __c=F.count(F.lit(1)))
+    df = skew.attach(views, ["job_id", "part"], hot_rows, few_groups=True, __c=F.count(F.lit(1)))
     at = F.col("position") - 1
     pairs = F.col("mode") != "separate"
     lonely = ~pairs | ((F.col("__c") % 2 == 1) & (at == F.col("__c") - 1))
@@ -203,7 +203,7 @@ def section_notes(jobs: DataFrame, cases: DataFrame, hot_rows: int = skew.HOT_RO
 
 def result_slides(cases: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Result slides of every case: none, one plot alone, two separate, or one that holds both."""
-    df = skew.attach(cases, ["job_id"], hot_rows, __c=F.count(F.lit(1)))
+    df = skew.attach(cases, ["job_id"], hot_rows, few_groups=True, __c=F.count(F.lit(1)))
     pre = F.when(F.col("__c") > 1, X.fill("Case {n}: ", n="n")).otherwise(F.lit(""))
     d, s = F.col("def_id").isNotNull(), F.col("stress_id").isNotNull()
 

@@ -69,21 +69,32 @@ def resolve_basis(cases: DataFrame) -> DataFrame:
     return df.withColumn("needs_basis", F.coalesce((F.col("tier") == "suspect") & (F.col("basis") == ""), F.lit(False)))
 
 
+def with_texts(df: DataFrame) -> DataFrame:
+    """The number texts that sentences share, each made once per case."""
+    if "t_mm" in df.columns:
+        return df
+    return df.withColumns({"t_mm": X.mm_text("def_max"), "t_mpa": X.mpa_text("stress_max"), "t_allow": X.general_text("allow"), "t_away": X.mpa_text("stress_away"),
+                           "t_lim": X.general_text("lim"), "t_sy": X.general_text("sy")})
+
+
+TEXTS = ("t_mm", "t_mpa", "t_allow", "t_away", "t_lim", "t_sy")
+
+
 def verdict(cases: DataFrame) -> DataFrame:
     """Adequate or not, table cells, captions and closing line of every case, from tier, basis, away stress and limit."""
-    df = resolve_basis(cases)
+    df = with_texts(resolve_basis(cases))
     d, s, allow, away = F.col("def_max"), F.col("stress_max"), F.col("allow"), F.col("stress_away")
     passed, over = F.col("tier") == "pass", F.col("tier").isin(*OVER)
     sing, refine = over & (F.col("basis") == "singularity"), over & (F.col("basis") == "refine")
     df = df.withColumn("def_fail", F.coalesce(d > F.col("lim"), F.lit(False)))
     fail = F.col("def_fail")
-    mm, mpa, limit = X.mm_text("def_max"), X.mpa_text("stress_max"), X.general_text("allow")
+    mm, mpa, limit = F.col("t_mm"), F.col("t_mpa"), F.col("t_allow")
     neutral = s.isNotNull() & allow.isNull()
     none, empty = F.lit(None), F.lit("")
     cell_def = F.when(d.isNull(), empty).when(fail, F.lit(fixed.EXCEEDS)).otherwise(F.concat(mm, F.lit(" mm")))
     value = F.concat(mpa, F.lit(" MPa"))
     cell = (F.when(s.isNull(), empty).when(neutral | passed, value)
-            .when(sing & away.isNull(), F.lit(fixed.VALUE)).when(sing & (away <= allow), F.concat(X.mpa_text("stress_away"), F.lit(" MPa (away from local peak)")))
+            .when(sing & away.isNull(), F.lit(fixed.VALUE)).when(sing & (away <= allow), F.concat(F.col("t_away"), F.lit(" MPa (away from local peak)")))
             .when(refine, F.lit("Under review")).otherwise(F.lit(fixed.EXCEEDS)))
     conclusion = (F.when(s.isNull() | neutral, empty).when(passed, F.when(fail, F.lit(fixed.ACTIONS)).otherwise(empty))
                   .when(sing & (away.isNull() | (away <= allow)), empty).when(refine, F.lit(fixed.REFINE_FIRST)).otherwise(F.lit(fixed.ACTIONS)))
@@ -105,7 +116,7 @@ def observation_list(df: DataFrame):
     d, s, allow, away, lim = (F.col(c) for c in ("def_max", "stress_max", "allow", "stress_away", "lim"))
     passed, over = F.col("tier") == "pass", F.col("tier").isin(*OVER)
     sing, refine = over & (F.col("basis") == "singularity"), over & (F.col("basis") == "refine")
-    mm, mpa, limit = X.mm_text("def_max"), X.mpa_text("stress_max"), X.general_text("allow")
+    mm, mpa, limit = F.col("t_mm"), F.col("t_mpa"), F.col("t_allow")
     has = s.isNotNull() & allow.isNotNull()
     where_def, where = X.clean(opt(df, "loc_def", "", "string")), X.clean(opt(df, "loc_stress", "", "string"))
     peak = F.coalesce(F.nullif(X.clean(opt(df, "sing_loc", "", "string")), F.lit("")), F.lit(fixed.WHERE))
@@ -115,8 +126,8 @@ def observation_list(df: DataFrame):
     def line(code, text):
         return F.when(text.isNotNull(), F.struct(F.lit(code).alias("code"), text.alias("text")))
 
-    first = F.when(lim.isNull(), X.fill(say["def"], obj=obj, d=mm)).when(d > lim, X.fill(say["def_exceeds"], obj=obj, d=mm, lim=X.general_text("lim"))) \
-        .otherwise(X.fill(say["def_within"], obj=obj, d=mm, lim=X.general_text("lim")))
+    first = F.when(lim.isNull(), X.fill(say["def"], obj=obj, d=mm)).when(d > lim, X.fill(say["def_exceeds"], obj=obj, d=mm, lim=F.col("t_lim"))) \
+        .otherwise(X.fill(say["def_within"], obj=obj, d=mm, lim=F.col("t_lim")))
     main = (F.when(s.isNull(), F.lit(None)).when(allow.isNull(), X.fill(say["neutral"], obj=obj, s=mpa))
             .when(passed & F.col("show_util"), X.fill(say["within_util"], obj=obj, s=mpa, allow=limit, util=util))
             .when(passed, X.fill(say["within"], obj=obj, s=mpa, allow=limit))
@@ -124,9 +135,9 @@ def observation_list(df: DataFrame):
             .when(refine, X.fill(say["refine"], s=mpa, times=X.fixed_text(s / allow, 1), allow=limit, loc=peak))
             .otherwise(X.fill(say["over"], obj=obj, allow=limit)))
     plain_over = over & ~F.col("basis").isin("singularity", "refine")
-    middle = (F.when(sing & away.isNull(), F.lit(say["away_none"])).when(sing & (away <= allow), X.fill(say["away_ok"], away=X.mpa_text("stress_away"), allow=limit))
-              .when(sing, X.fill(say["away_bad"], away=X.mpa_text("stress_away"), allow=limit))
-              .when(plain_over & F.col("tier").isin("beyond_yield", "suspect"), X.fill(say["above_yield"], s=mpa, sy=X.general_text("sy"))))
+    middle = (F.when(sing & away.isNull(), F.lit(say["away_none"])).when(sing & (away <= allow), X.fill(say["away_ok"], away=F.col("t_away"), allow=limit))
+              .when(sing, X.fill(say["away_bad"], away=F.col("t_away"), allow=limit))
+              .when(plain_over & F.col("tier").isin("beyond_yield", "suspect"), X.fill(say["above_yield"], s=mpa, sy="t_sy")))
     close = (F.when(s.isNull(), F.lit(None)).when(allow.isNull(), F.lit(say["neutral_close"]))
              .when(passed & F.col("def_fail"), X.fill(say["close_def"], obj=obj)).when(passed, X.fill(say["close_ok"], obj=obj))
              .when(sing & away.isNull(), F.lit(say["away_none_close"])).when(sing & (away <= allow), X.fill(say["away_ok_close"], obj=obj))
@@ -150,7 +161,7 @@ def observations(cases: DataFrame) -> DataFrame:
 
 def summary_rows(cases: DataFrame) -> DataFrame:
     """Row of the summary table for every case; the deformation limit is null where the job has none."""
-    df = cases if "cell_stress" in cases.columns else verdict(cases)
+    df = with_texts(cases if "cell_stress" in cases.columns else verdict(cases))
     short = F.trim(F.coalesce(F.nullif(opt(df, "short_name", "", "string"), F.lit("")), F.col("name"), F.lit("")))
     title = F.coalesce(F.nullif(short, F.lit("")), X.fill("Load Case {n}", n="n"))
 
@@ -159,8 +170,8 @@ def summary_rows(cases: DataFrame) -> DataFrame:
 
     return df.select("job_id", "n", F.concat(F.lit("Case – "), title).alias("load_case"), cell("cell_def").alias("max_deformation"),
                      cell("cell_stress").alias("max_stress"),
-                     F.coalesce(F.concat(X.general_text("allow"), F.lit(" MPa")), F.lit(fixed.VALUE)).alias("allowable_stress"),
-                     F.concat(X.general_text("lim"), F.lit(" mm")).alias("allowable_deformation"))
+                     F.coalesce(F.concat(F.col("t_allow"), F.lit(" MPa")), F.lit(fixed.VALUE)).alias("allowable_stress"),
+                     F.concat(F.col("t_lim"), F.lit(" mm")).alias("allowable_deformation"))
 
 
 def override_texts(cases: DataFrame, edits: DataFrame) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cases, intake, verdict
+from . import skew
 
 
 def draft(pictures: DataFrame) -> DataFrame:
     """Pictures with their case number and role, each case having one main picture per slot."""
-    df = cases.group_by_letter(intake.dedup_first(pictures))
+    df = cases.group_by_letter(intake.dedup_first(pictures).drop("hash"))
     return cases.pick_main(cases.number_cases(cases.split_projects(df)))
 
 
 def job_summary(pictures: DataFrame, allow: float = 192.0, sy: float = 250.0, fos: float = 1.3) -> DataFrame:
     """Per job: the load cases, the main picture of each slot, and the row of the summary table."""
-    df = cases.case_rollup(draft(pictures))
+    needed = pictures.select("job_id", "id", "hash", "role", "letter", "model", "max_value", "red_px", "user_set")
+    df = skew.settle(cases.case_rollup(draft(needed)))
     df = verdict.fixed_context(df, allow, sy, fos).withColumns({"basis": F.lit(""), "stress_away": F.lit(None).cast("double")})
     df = verdict.verdict(df)
     rows = verdict.summary_rows(df).select("job_id", "n", "load_case", "max_deformation", "max_stress", "allowable_stress")

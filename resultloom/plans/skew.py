@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,7 +31,7 @@ SLICE = 65_536         # rows of one slice when the order column is a dense coun
 _ROW_ID = ("id", "line_no", "n", "seq", "word_id", "call_no", "case_key", "x", "y", "pos", "event_id")
 
 
-_SHUFFLES = re.compile(r"^[\s:+\-]*'?(Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate|Union)\b", re.M)
+_SHUFFLES = re.compile(r"^[\s:+\-]*'?(Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate)\b", re.M)
 _own_folder: list = []
 
 
@@ -88,11 +87,15 @@ def _lookup(df, dim, on, size, hot_rows):
     return out.select(*[F.col(c) for c in df.columns if c not in values], *[found[v].alias(v) for v in values])
 
 
-def attach(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, **aggs: Column) -> DataFrame:
-    """Every row with the aggregates of its group: what a window without an order gives, minus the hot task."""
+def attach(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, few_groups: bool = False, **aggs: Column) -> DataFrame:
+    """Every row with the aggregates of its group: what a window without an order gives, minus the hot task.
+
+    ``few_groups`` writes the aggregates first: Spark then knows their real size and broadcasts them only if they are below
+    its own threshold, which saves the shuffle of all rows.
+    """
     df = settle(df)
     groups = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(n) for n, c in aggs.items()])
-    return _lookup(df, groups, on, "__rows", hot_rows)
+    return _lookup(df, settle(groups) if few_groups else groups, on, "__rows", hot_rows)
 
 
 def _sliced(df, on, slices, fine, hot_rows):
@@ -104,17 +107,15 @@ def _sliced(df, on, slices, fine, hot_rows):
     big = df.groupBy(*on, *names).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
     df = df.join(F.broadcast(big.select(*on, *names, F.lit(True).alias("__big"))), [*on, *names], "left")
     extra = [f"__f{i}" for i in range(len(fine))]
-    df = df.withColumns({n: F.when(F.col("__big"), c) for n, c in zip(extra, fine)}).drop("__big")
+    df = df.select("*", *[c.alias(n) for n, c in zip(extra, fine)])
+    rest = {n: F.lit("").cast("string") if df.schema[n].dataType.simpleString() == "string" else F.lit(0).cast(df.schema[n].dataType) for n in extra}
+    df = df.withColumns({n: F.when(F.col("__big"), F.col(n)).otherwise(rest[n]) for n in extra}).drop("__big")
     return df, names + extra
 
 
 def _with_slice_values(df, per_slice, cols):
-    exact, maybe_null = [c for c in cols if not c.startswith("__f")], [c for c in cols if c.startswith("__f")]
-    if not maybe_null:
-        return df.join(per_slice, exact, "left")
-    small = per_slice.withColumnsRenamed({c: f"{c}_r" for c in cols})
-    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"{c}_r") for c in exact] + [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in maybe_null])
-    return df.join(small, same, "left").drop(*[f"{c}_r" for c in cols])
+    """Joined on the very columns the windows are partitioned by, so the rows are not shuffled again."""
+    return df.join(per_slice, cols, "left")
 
 
 def prefix_sum(df: DataFrame, on: list[str], order: list, value, slices: list, out: str, fine: list | None = None,
@@ -155,6 +156,26 @@ def previous(df: DataFrame, on: list[str], order: list, value: str, slices: list
     return df.select(*[c for c in source if c != out], F.coalesce("__lag", "__carry").alias(out))
 
 
+def nearest(points: DataFrame, marks: DataFrame, on: list[str], at: str, slices: list, fine: list | None = None,
+            hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Points with the closest mark of their group on either side: largest ``below`` <= at <= smallest ``above``.
+
+    One sorted pass over points and marks together, slice by slice, instead of pairs.
+    """
+    both = points.withColumn("__mark", F.lit(False)).unionByName(marks.select(*on, at, F.lit(True).alias("__mark")), allowMissingColumns=True)
+    both, names = _sliced(settle(both), on, slices, fine, hot_rows)
+    cols, mark = [*on, *names], F.when(F.col("__mark"), F.col(at))
+    span = Window.partitionBy(*on).orderBy(*names)
+    ends = both.groupBy(*cols).agg(F.max(mark).alias("__hi"), F.min(mark).alias("__lo"))
+    ends = ends.select(*cols, F.max("__hi").over(span.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"),
+                       F.min("__lo").over(span.rowsBetween(1, Window.unboundedFollowing)).alias("__next"))
+    up = Window.partitionBy(*cols).orderBy(at, F.desc("__mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*cols).orderBy(F.desc(at), F.desc("__mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__b", F.last(mark, True).over(up)).withColumn("__a", F.last(mark, True).over(down)).filter(~F.col("__mark"))
+    both = _with_slice_values(both, ends, cols)
+    return both.select(*points.columns, F.coalesce("__b", "__prev").alias("below"), F.coalesce("__a", "__next").alias("above"))
+
+
 def top_k(df: DataFrame, on: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
     """First k rows of each group with their rank."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*on).orderBy(*order))).filter(F.col(out) <= k)

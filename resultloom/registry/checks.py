@@ -52,7 +52,7 @@ H8 = [row(10, "warn", "reaction_bad", f"stress_max IS NOT NULL AND allow IS NOT
 for key, name, rows, rules in (("h1", "unit_check", H1, checks.unit_rules), ("h2", "gravity_check", H2, checks.gravity_rules), ("h3", "tier_check", H3, checks.tier_rules),
                                ("h4", "legend_vs_allowable", H4, checks.legend_rules), ("h5", "red_zone_check", H5, checks.red_zone_rules),
                                ("h6", "deformation_limit_check", H6, checks.deformation_rules), ("h8", "reaction_balance", H8, checks.reaction_rules)):
-    query(f"{key}_{name}", "\nUNION ALL ".join(rows))(lambda spark, folder, rules=rules: checks.emit(checked(spark, folder), rules()))
+    query(f"{key}_{name}", "\nUNION ALL ".join(rows))(lambda spark, folder, rules=rules: checks.emit(checks.with_check_texts(checked(spark, folder)), rules()))
 view("all_checks", "\nUNION ALL ".join(H1 + H2 + H3 + H5 + H4 + H6 + H8))
 
 

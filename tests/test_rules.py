@@ -34,7 +34,7 @@ def test_list_letter(spark, n, label):
 
 
 def test_texts(spark):
-    assert one(spark, "load 5 mm and 3 mmWC, 7 N", "string", X.glue_units) == "load 5 mm and 3 mmWC, 7 N"
+    assert one(spark, "load 5 mm and 3 mmWC, 7 N", "string", X.glue_units) == "load 5\u00a0mm and 3\u00a0mmWC, 7\u00a0N"
     assert one(spark, "duct GG", "string", X.object_label) == "Duct GG"
     assert one(spark, "GG", "string", X.object_label) == "GG"
     assert one(spark, "a\x07b\tc", "string", X.xml_safe) == "ab\tc"
