@@ -88,7 +88,7 @@ LAYOUTS = ("side", "stack", "separate")
 
 # --- settings with their defaults ---------------------------------------------------------------
 SETTINGS = {
-    "report_no_pattern": "MWI/FEA/ACK-{job}/01",
+    "report_no_pattern": "FEA/ACK-{job}/01",
     "fos": 1.3,
     "mm_format": "sig3",
     "singularity_factor": 2.0,

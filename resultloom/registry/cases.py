@@ -152,6 +152,14 @@ def _(spark, folder):
     return cases.merge_case_edits(old, new)
 
 
+@query("f8_merge_view_edits", f"""
+SELECT g.job_id, g.id, CASE WHEN g.id % 3 = 0 THEN 'Typed ' || g.id ELSE g.heading END AS heading, g.position, g.k, CASE WHEN g.id % 3 = 0 THEN 'caption' ELSE '' END AS caption FROM geo_views g""")
+def _(spark, folder):
+    kept = intake.dedup_first(T.pictures(spark, folder))
+    typed = T.pictures(spark, folder).filter("id % 3 = 0").select("job_id", "id", F.concat(F.lit("Typed "), F.col("id").cast("string")).alias("heading"), F.lit("caption").alias("caption"))
+    return cases.merge_view_edits(typed, cases.geometry_headings(kept))
+
+
 @query("f9_swap_and_drop", f"""
 WITH asked AS (SELECT m.job_id, m.id, m.case_no, substr(m.role, 3) AS base FROM mains m JOIN assignments a ON a.job_id = m.job_id AND a.id = m.id WHERE m.role IN ('x_bc', 'x_deformation', 'x_stress') AND m.case_no IS NOT NULL AND a.role = 'stress'),
 mn AS (SELECT job_id, case_no, role AS base, min(id) AS main_id FROM mains WHERE role IN {MAIN} AND case_no IS NOT NULL GROUP BY ALL)
@@ -216,7 +224,7 @@ def _(spark, folder):
 
 
 @query("f13_guess_cover", f"""
-SELECT job_id, model, job, client, object, short, 'Static Structural Analysis Of ' || object AS title, CASE WHEN job = '' THEN '' ELSE 'MWI/FEA/ACK-' || job || '/01' END AS report_no FROM (
+SELECT job_id, model, job, client, object, short, 'Static Structural Analysis Of ' || object AS title, CASE WHEN job = '' THEN '' ELSE 'FEA/ACK-' || job || '/01' END AS report_no FROM (
 SELECT job_id, model, CASE WHEN ok THEN t[1] ELSE '' END AS job, CASE WHEN ok THEN t[2] ELSE '' END AS client, CASE WHEN ok THEN array_to_string(t[3:], ' ') ELSE '' END AS object, CASE WHEN ok THEN t[-1] ELSE '' END AS short FROM (
 SELECT *, len(t) >= 3 AND regexp_full_match(t[1], '[0-9]+') AS ok FROM (
 SELECT job_id, model, list_filter(regexp_split_to_array(model, '[_\\s]+'), lambda x: x <> '' AND x NOT LIKE '%+%' AND lower(x) NOT IN {Q.in_list(fixed.LOAD_WORDS)}) AS t FROM (

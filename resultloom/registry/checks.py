@@ -25,7 +25,7 @@ def checked(spark, folder):
 
 
 def row(seq, level, code, cond, text):
-    return f"SELECT job_id, n, {seq} AS seq, '{level}' AS level, '{code}' AS code, {text} AS text FROM checked WHERE {cond}"
+    return f"SELECT job_id, n, {seq}::BIGINT AS seq, '{level}' AS level, '{code}' AS code, {text} AS text FROM checked WHERE {cond}"
 
 
 G = Q.general
@@ -57,7 +57,7 @@ view("all_checks", "\nUNION ALL ".join(H1 + H2 + H3 + H5 + H4 + H6 + H8))
 
 
 @query("h7_extras_exceed_main", f"""
-SELECT job_id, n, id, 9 AS seq, 'warn' AS level, 'extra' AS code, {Q.say(S['extra'], n='n', kind='kind', heading='heading', m=G('max_value'), main=G('main'))} AS text FROM (
+SELECT job_id, n, id, 9::BIGINT AS seq, 'warn' AS level, 'extra' AS code, {Q.say(S['extra'], n='n', kind='kind', heading='heading', m=G('max_value'), main=G('main'))} AS text FROM (
 SELECT e.*, CASE kind WHEN 'stress' THEN stress_max ELSE def_max END AS main, stress_max, allow FROM extras e JOIN judged j USING (job_id, n) WHERE kind IN ('stress', 'deformation')) a
 WHERE stress_max IS NOT NULL AND allow IS NOT NULL AND max_value > main * 1.001e0""")
 def _(spark, folder):
@@ -66,7 +66,7 @@ def _(spark, folder):
 
 @query("h9_material_check", f"""
 WITH m AS (SELECT job_id, fos, TRY_CAST(CASE WHEN e_text <> 'n/a' THEN e_text END AS DOUBLE) AS e, TRY_CAST(nullif(trim(replace(nu_text, ',', '.')), '') AS DOUBLE) AS nu, CASE WHEN rho_text NOT LIKE '%d' THEN TRY_CAST(rho_text AS DOUBLE) END AS rho FROM materials)
-SELECT job_id, 1 AS seq, 'warn' AS level, 'fos' AS code, {Q.say(S['fos'], v=G('fos'))} AS text FROM m WHERE fos < 1
+SELECT job_id, 1::BIGINT AS seq, 'warn' AS level, 'fos' AS code, {Q.say(S['fos'], v=G('fos'))} AS text FROM m WHERE fos < 1
 UNION ALL SELECT job_id, 2, 'warn', 'rho_kg_m3', {Q.say(S['rho_kg_m3'], v=G('rho'))} FROM m WHERE rho >= 100
 UNION ALL SELECT job_id, 2, 'warn', 'rho_kg_mm3', {Q.say(S['rho_kg_mm3'], v=G('rho'))} FROM m WHERE rho >= 1e-7 AND rho <= 1e-4
 UNION ALL SELECT job_id, 2, 'warn', 'rho_range', {Q.say(S['rho_range'], v=G('rho'))} FROM m WHERE rho < 100 AND NOT (rho >= 1e-7 AND rho <= 1e-4) AND NOT (rho >= 5e-10 AND rho <= 5e-8)
@@ -78,7 +78,7 @@ def _(spark, folder):
 
 
 @query("h10_mesh_check", f"""
-SELECT job_id, 1 AS seq, 'warn' AS level, 'skew_bad' AS code, {Q.say(S['skew_bad'], v=G('skew_max'), lim="'0.9'")} AS text FROM mesh_stats WHERE skew_max >= 0.9e0
+SELECT job_id, 1::BIGINT AS seq, 'warn' AS level, 'skew_bad' AS code, {Q.say(S['skew_bad'], v=G('skew_max'), lim="'0.9'")} AS text FROM mesh_stats WHERE skew_max >= 0.9e0
 UNION ALL SELECT job_id, 1, 'info', 'skew_poor', {Q.say(S['skew_poor'], v=G('skew_max'), lo="'0.75'", lim="'0.9'")} FROM mesh_stats WHERE skew_max >= 0.75e0 AND skew_max < 0.9e0
 UNION ALL SELECT job_id, 2, 'info', 'skew_avg', {Q.say(S['skew_avg'], v=G('skew_avg'), lim="'0.5'")} FROM mesh_stats WHERE skew_avg > 0.5e0
 UNION ALL SELECT job_id, 3, 'warn', 'oq', {Q.say(S['oq'], v=G('oq_min'), lim="'0.1'")} FROM mesh_stats WHERE oq_min < 0.1e0""")
@@ -93,7 +93,7 @@ def _(spark, folder):
 
 
 @query("h12_missing_inputs", f"""
-SELECT job_id, 0 AS seq, 'info' AS level, 'no_yield' AS code, {Q.quote(S['no_yield'])} AS text FROM job_ctx WHERE allow IS NULL
+SELECT job_id, 0::BIGINT AS seq, 'info' AS level, 'no_yield' AS code, {Q.quote(S['no_yield'])} AS text FROM job_ctx WHERE allow IS NULL
 UNION ALL SELECT job_id, 99, 'info', 'no_evidence', {Q.quote(S['no_evidence'])} FROM cases WHERE job_id NOT IN (SELECT job_id FROM mesh_stats) GROUP BY job_id HAVING NOT bool_or(loc_stress <> '')""")
 def _(spark, folder):
     ctx = verdict.job_context(job_inputs(spark, folder))

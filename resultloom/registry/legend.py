@@ -42,7 +42,7 @@ view("reconciled", f"""
 SELECT image_id, mx AS "max", coalesce(na, nb) AS "min", CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN differ THEN 'low' ELSE 'high' END WHEN a IS NULL AND b IS NULL THEN 'low' ELSE 'medium' END AS confidence,
   CASE WHEN differ THEN {Q.say('two readings of the Max value disagree ({a} and {b}) - check it against the legend picture', a="printf('%g', a)", b="printf('%g', b)")}
     WHEN (a IS NULL) <> (b IS NULL) THEN 'the Max value could only be read once - please check it' END AS note,
-  CASE WHEN ca >= cb THEN 0 ELSE 1 END AS kept_pass, greatest(ca, cb) AS n_values, CASE WHEN ca >= cb THEN sa ELSE sb END AS second
+  CASE WHEN ca >= cb THEN 0::BIGINT ELSE 1 END AS kept_pass, greatest(ca, cb) AS n_values, CASE WHEN ca >= cb THEN sa ELSE sb END AS second
 FROM (SELECT *, CASE WHEN differ THEN CASE WHEN sec IS NULL OR a > sec THEN a WHEN b > sec THEN b ELSE a END ELSE coalesce(a, b) END AS mx FROM (
 SELECT *, coalesce(abs(a - b) > 1e-6 * greatest(abs(a), abs(b), 1e-12), false) AS differ, coalesce(sa, sb) AS sec FROM (
 SELECT image_id, max("max") FILTER (pass = 0) AS a, max("max") FILTER (pass = 1) AS b, max("min") FILTER (pass = 0) AS na, max("min") FILTER (pass = 1) AS nb,

@@ -153,7 +153,7 @@ def job_parts(spark, folder):
 @query("k7_section_plan", """
 WITH p AS (SELECT *, has_geometry OR policy = 'frame' AS g, has_mesh OR policy = 'frame' OR mesh_line IS NOT NULL AS m, CASE short WHEN 'duct' THEN 'Duct' ELSE short END AS label FROM job_parts),
 q AS (SELECT *, 2 + g::INT AS nm, 2 + g::INT + m::INT AS na FROM p)
-SELECT job_id, 1 AS position, 'cover' AS section, CAST(NULL AS BIGINT) AS number, CAST(NULL AS VARCHAR) AS title FROM q UNION ALL SELECT job_id, 2, 'material', NULL, NULL FROM q
+SELECT job_id, 1::BIGINT AS position, 'cover' AS section, CAST(NULL AS BIGINT) AS number, CAST(NULL AS VARCHAR) AS title FROM q UNION ALL SELECT job_id, 2, 'material', NULL, NULL FROM q
 UNION ALL SELECT job_id, 3, 'geometry', 2, '2. ' || label || ' Geometry' FROM q WHERE g UNION ALL SELECT job_id, 4, 'mesh', nm, nm || '. ' || label || ' Mesh' FROM q WHERE m
 UNION ALL SELECT job_id, 5, 'assumptions', na, na || '. Assumptions & Scope' FROM q WHERE assumptions > 0 UNION ALL SELECT job_id, 6, 'cases', NULL, NULL FROM q WHERE cases > 0
 UNION ALL SELECT job_id, 7, 'summary', NULL, 'Final Summary' FROM q WHERE cases > 0""")
@@ -187,7 +187,7 @@ def _(spark, folder):
 
 @query("k8_result_slides", """
 WITH c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY job_id) > 1 THEN 'Case ' || n || ': ' ELSE '' END AS pre, n % 3 = 0 AS sep FROM sized_cases)
-SELECT job_id, n, 0 AS slide, 'both' AS kind, pre || 'Results' AS title FROM c WHERE def_id IS NOT NULL AND stress_id IS NOT NULL AND NOT sep
+SELECT job_id, n, 0::BIGINT AS slide, 'both' AS kind, pre || 'Results' AS title FROM c WHERE def_id IS NOT NULL AND stress_id IS NOT NULL AND NOT sep
 UNION ALL SELECT job_id, n, 0, 'deformation', pre || 'Total Deformation' FROM c WHERE def_id IS NOT NULL AND (sep OR stress_id IS NULL)
 UNION ALL SELECT job_id, n, CASE WHEN def_id IS NULL THEN 0 ELSE 1 END, 'stress', pre || 'Von-Mises Stress' FROM c WHERE stress_id IS NOT NULL AND (sep OR def_id IS NULL)""")
 def _(spark, folder):
@@ -216,7 +216,7 @@ LIB = "[" + ", ".join(Q.quote(a) for a in fixed.ASSUMPTIONS) + "]"
 
 
 @query("k11_assumption_lines", f"""
-SELECT DISTINCT o_custkey AS job_id, 0 AS part, o_orderkey % 12 AS pos, {LIB}[CAST(o_orderkey % 12 + 1 AS INT)] AS text FROM orders WHERE o_orderkey % 12 < 10
+SELECT DISTINCT o_custkey AS job_id, 0::BIGINT AS part, o_orderkey % 12 AS pos, {LIB}[CAST(o_orderkey % 12 + 1 AS INT)] AS text FROM orders WHERE o_orderkey % 12 < 10
 UNION ALL SELECT doc_id, 1, pos, text FROM (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, trim(unnest(t)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents) a) b WHERE text <> ''""")
 def _(spark, folder):
     ticks = T.table(spark, folder, "orders").selectExpr("o_custkey AS job_id", "o_orderkey % 12 AS line")

@@ -49,7 +49,7 @@ def _(spark, folder):
 
 
 @query("j6_model_prefix", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trim(regexp_replace(lower(a), '[_\\s]+', ' ', 'g')) AS model, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: left(a, k) = left(b, k))) AS shared
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, trim(regexp_replace(lower(a), '[_\\s]+', ' ', 'g')) AS model, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: left(a, k) = left(b, k))) AS shared
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey || '__Model ' || l_suppkey AS a, l_orderkey || '__Model ' || l_suppkey AS b FROM lineitem) x""")
 def _(spark, folder):
     df = T.table(spark, folder, "lineitem").selectExpr("l_orderkey", "CAST(l_linenumber AS BIGINT) AS l_linenumber", "l_partkey", "l_suppkey",

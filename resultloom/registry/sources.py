@@ -72,9 +72,9 @@ def _(spark, folder):
 
 
 @query("a5_read_report_config", """
-SELECT c_custkey AS job_id, 'Mech Well' AS author, CASE WHEN c_custkey % 2 = 0 THEN 'sig3' END AS mm_format, c_acctbal AS allowable_mpa, c_name AS title, 'stack' AS results, CAST(c_custkey % 3 AS BIGINT) AS cases FROM customer""")
+SELECT c_custkey AS job_id, 'QA desk' AS author, CASE WHEN c_custkey % 2 = 0 THEN 'sig3' END AS mm_format, c_acctbal AS allowable_mpa, c_name AS title, 'stack' AS results, CAST(c_custkey % 3 AS BIGINT) AS cases FROM customer""")
 def _(spark, folder):
-    text = ("concat('{\"author\": \"Mech Well\", ', CASE WHEN c_custkey % 2 = 0 THEN '\"mm_format\": \"sig3\", ' ELSE '' END, '\"allowable_mpa\": ', c_acctbal, ', \"cover\": {\"title\": \"', c_name, '\"}, "
+    text = ("concat('{\"author\": \"QA desk\", ', CASE WHEN c_custkey % 2 = 0 THEN '\"mm_format\": \"sig3\", ' ELSE '' END, '\"allowable_mpa\": ', c_acctbal, ', \"cover\": {\"title\": \"', c_name, '\"}, "
             "\"layouts\": {\"results\": \"stack\"}, \"cases\": [', CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{\"name\": \"a\"}' ELSE '{\"name\": \"a\"}, {\"name\": \"b\"}' END, ']}') AS config")
     df = readers.parse_report_config(T.table(spark, folder, "customer").selectExpr("c_custkey AS job_id", text))
     return df.select("job_id", "author", "mm_format", "allowable_mpa", F.col("cover.title").alias("title"), F.col("layouts.results").alias("results"), F.size("cases").cast("long").alias("cases"))
