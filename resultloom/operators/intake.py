@@ -106,11 +106,11 @@ def route_read_or_manual(read: DataFrame, pictures: DataFrame, key: str = "image
 
     ``read`` has one row per attempted picture: role, confidence, letter, failure (null when all went well).
     """
-    good = read.filter(F.col("failure").isNull()) if ocr else read.limit(0)
+    good = read.filter(F.col("failure").isNull()) if ocr else read.filter(F.lit(False))
     known = good.select(key, "role", "confidence", "letter").join(pictures.select(key, "name"), key)
     known = known.select(key, "name", "role", "confidence", "letter", F.lit(False).alias("manual"), F.lit(None).cast("string").alias("note"))
     rest = pictures.select(key, "name").join(good.select(key), key, "left_anti")
-    why = read.select(key, "failure").filter(F.col("failure").isNotNull()) if ocr else read.select(key, F.lit("ocr").alias("failure")).limit(0)
+    why = read.select(key, "failure").filter(F.col("failure").isNotNull()) if ocr else read.select(key, F.lit("ocr").alias("failure")).filter(F.lit(False))
     rest = rest.join(why, key, "left").withColumn("failure", F.coalesce("failure", F.lit("ocr")))
     rest = classify_by_name(rest)
     note = (F.when((F.col("role") == "unknown") & (F.col("failure") == "ocr"),

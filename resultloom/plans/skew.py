@@ -36,10 +36,12 @@ _own_folder: list = []
 
 
 def scratch_folder(spark) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the session names none."""
+    """The cluster's checkpoint folder; a folder of our own only on one machine and where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="resultloom-"))
     return _own_folder[0]
