@@ -26,15 +26,20 @@ def numbered(spark, folder):
     return cases.number_cases(projected(spark, folder))
 
 
-_drafts: dict = {}
+_tables: dict = {}
+
+
+def once(spark, folder, name, build):
+    """A table that several queries start from, written once per application."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _tables:
+        _tables[key] = skew.settle(build())
+    return _tables[key]
 
 
 def mains(spark, folder):
-    """The draft of all jobs, written once per application: the later steps start from this table."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _drafts:
-        _drafts[key] = skew.settle(cases.pick_main(numbered(spark, folder)))
-    return _drafts[key]
+    """The draft of all jobs."""
+    return once(spark, folder, "draft", lambda: cases.pick_main(numbered(spark, folder)))
 
 
 view("lettered", f"""

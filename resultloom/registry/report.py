@@ -7,7 +7,7 @@ from ..operators import cases, intake, report, verdict
 from ..plans import skew
 from ..sources import sinks, testviews as T
 from . import sqltext as Q
-from .cases import mains, rollup_sql
+from .cases import mains, once, rollup_sql
 from .core import query, view
 from .verdict import case_table
 
@@ -17,7 +17,7 @@ MAIN = Q.in_list(fixed.MAIN_ROLES)
 def sized_cases(spark, folder):
     """Cases of the draft, with the legend height of their main pictures."""
     px = F.when(F.col("id") % 2 == 0, 6.0 + F.col("id") % 7)
-    return skew.settle(cases.case_rollup(mains(spark, folder).withColumn("legend_px", px)))
+    return once(spark, folder, "sized_cases", lambda: cases.case_rollup(mains(spark, folder).withColumn("legend_px", px)))
 
 
 view("sized_mains", "SELECT *, CASE WHEN id % 2 = 0 THEN 6.0e0 + id % 7 END AS px FROM mains")
@@ -60,6 +60,10 @@ def options(spark, folder):
     return report.legibility(shown)
 
 
+def layout_options(spark, folder):
+    return once(spark, folder, "options", lambda: options(spark, folder))
+
+
 @query("k1_legibility", "SELECT * FROM options")
 def _(spark, folder):
     return options(spark, folder)
@@ -81,7 +85,7 @@ def layout_plan(spark, folder):
         "c_custkey AS job_id", "CASE c_custkey % 4 WHEN 0 THEN 'results' WHEN 1 THEN 'geometry' WHEN 2 THEN 'bc' ELSE 'extras' END AS family",
         "CASE c_custkey % 5 WHEN 0 THEN 'stack' WHEN 1 THEN 'separate' WHEN 2 THEN 'side' ELSE 'auto' END AS choice")
     legend_jobs = cases.case_extras(mains(spark, folder)).filter("kind IN ('deformation', 'stress', 'other')").select("job_id").distinct()
-    return report.choose_mode(options(spark, folder), wishes, legend_jobs)
+    return report.choose_mode(layout_options(spark, folder), wishes, legend_jobs)
 
 
 @query("k2_choose_mode", "SELECT * FROM layout_plan")
