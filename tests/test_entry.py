@@ -8,13 +8,15 @@ import pytest
 
 import __spark_entry__ as entry_point
 import check
+from resultloom import registry
 
 ROWS_ONLY = {"c4_repair_monotonic", "l6_debounce_stream"}
-QUERIES = entry_point.queries()
+QUERIES = registry.queries()
 
 
 def test_registry():
-    assert set(QUERIES) - set(entry_point.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(registry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry_point.queries())
 
 
 def test_entry(spark):
@@ -32,5 +34,5 @@ def con(folder):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, folder, con, name):
-    out = check.compare(spark, name, QUERIES[name], entry_point.oracle_sql().get(name), folder, con)
+    out = check.compare(spark, name, QUERIES[name], registry.oracle_sql().get(name), folder, con)
     assert out.startswith(("ok  ", "rows only")), out
