@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, decontaminate, quality_rules, secrets, simhash
+from . import bpe, cotraining, decontaminate, packing, quality_rules, repeats, secrets, simhash, url_lists, warc
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,3 +62,73 @@ def linked_secrets(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.STRONG))
     counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.STRONG]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query("op7_bfd_packing")
+def bfd_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
+LIST_SQL = """
+WITH visits AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) AS fetched,
+  regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\\.+$', '') AS host, md5(coalesce(url, '')) AS h FROM pages),
+entries AS (SELECT DISTINCT CASE WHEN substr(h, 4, 1) < '4' AND host LIKE '%.%.%' THEN regexp_replace(host, '^[^.]*\\.', '') ELSE host END AS domain,
+  CAST(DATE '2024-01-01' + (ascii(substr(h, 2, 1)) * 16 + ascii(substr(h, 3, 1))) % 365 AS DATE) AS day,
+  CASE WHEN substr(h, 1, 1) < '6' THEN 2 WHEN substr(h, 1, 1) < 'b' THEN 1 ELSE 0 END AS strict FROM visits WHERE host <> ''),
+daily AS (SELECT domain, day, max(strict) AS strict FROM entries GROUP BY ALL),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY domain ORDER BY day) AS until FROM daily),
+parents AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[i:], '.') AS domain, i FROM visits, unnest(generate_series(1, len(string_split(host, '.')))) g(i) WHERE host <> ''),
+found AS (SELECT v.page_id, s.*, row_number() OVER (PARTITION BY v.page_id ORDER BY p.i) AS nth FROM visits v JOIN parents p USING (host) JOIN spans s ON s.domain = p.domain
+  AND s.day <= v.fetched AND (s.until IS NULL OR v.fetched < s.until) WHERE s.strict > 0)
+SELECT v.page_id, v.host, CAST(v.fetched AS VARCHAR) AS fetched, f.domain AS listed_domain, CASE f.strict WHEN 2 THEN 'block' WHEN 1 THEN 'allow' END AS action,
+  CAST(f.day AS VARCHAR) AS valid_from, CAST(f.until AS VARCHAR) AS valid_to, coalesce(f.strict = 2, false) AS blocked
+FROM visits v LEFT JOIN (SELECT * FROM found WHERE nth = 1) f USING (page_id)"""
+
+
+@query("op9_temporal_url_lists", LIST_SQL)
+def temporal_url_lists(spark, sf_dir):
+    """Each page is a capture, and its URL's digest also gives a dated list entry for its host or that host's parent domain."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.withColumn("fetched", F.date_add(start, (F.col("page_id") % 365).cast("int")))
+    h, host = F.md5(F.coalesce("url", F.lit("")).cast("binary")), url_lists.host_of(F.col("url"))
+    digit = lambda i: F.substring(h, i, 1)
+    parent = F.when((digit(4) < "4") & host.like("%.%.%"), F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host)
+    entries = pages.select(parent.alias("domain"), F.date_add(start, (F.ascii(digit(2)) * 16 + F.ascii(digit(3))) % 365).alias("day"),
+                           F.when(digit(1) < "6", "block").when(digit(1) < "b", "allow").otherwise("remove").alias("action"))
+    out = url_lists.judge(captures, entries)
+    return out.select("page_id", "host", "listed_domain", "action", *[F.col(c).cast("string").alias(c) for c in ("fetched", "valid_from", "valid_to")], "blocked")
+
+
+@query("op10_splittable_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+d AS (SELECT page_id, n, sha1(body) AS digest, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY sha1(body)) END AS last FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM d""")
+def splittable_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_cotraining_quality")
+def cotraining_quality(spark, sf_dir):
+    return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 200)) AS h, substr(x, 2 * i + 1, 200) AS s FROM d, unnest(range(0, n - 99)) g(i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h, s ORDER BY doc_id, i) AS nth FROM w),
+e AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE nth > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp FROM e),
+spans AS (SELECT doc_id, grp, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY ALL),
+k AS (SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(x, 2 * coalesce(prev, 0) + 1, 2 * (a - coalesce(prev, 0))), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM spans) s JOIN d USING (doc_id) GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+@query("op4_radix_suffix_dedup", REPEATS_SQL)
+def radix_suffix_dedup(spark, sf_dir):
+    found = repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["finish"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -93,7 +93,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, t
     """Links ``u, v`` that connect all different fingerprints (column ``fp``) at ``radius`` or fewer differing bits."""
     width = 64 // segments
     base = width + 2 * radius + 2     # a count beyond its range then never looks like another one
-    cell = sum((((F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))) + radius) * F.lit(base ** i))
+    cell = sum((((F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))) + radius).cast("long") * F.lit(base ** i).cast("long"))
                 for i in range(segments)), F.lit(0)).cast("long")
     fps = distinct.select("fp", cell.alias("cell"))
     # at most (width + 1) ** segments rows, whatever the data; only cells of more than one tile are listed
