@@ -25,11 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks
+from .common import extended
 from .text import Spans
 
 LEAF = 6                 # bytes that are merged directly
-KNOWN_PIECES = 700_000   # encodings of pieces that a worker remembers
+KNOWN_PIECES, KNOWN_PARTS = 300_000, 100_000   # encodings of pieces, and of leaves, windows and borders, that a worker remembers
 
 # fixed values: what the pattern of the rank files takes as one piece behind an apostrophe
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -105,7 +105,7 @@ class Coder:
     def remembered(self, data: bytes) -> list[int]:
         ids = self.short.get(data)
         if ids is None:
-            if len(self.short) >= KNOWN_PIECES:
+            if len(self.short) >= KNOWN_PARTS:
                 self.short.clear()
             ids = self.short[data] = self.merged(data)
         return ids
@@ -114,7 +114,7 @@ class Coder:
         """Whether the two tokens may stand side by side."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= KNOWN_PIECES:
+            if len(self.pairs) >= KNOWN_PARTS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merged(self.table[a] + self.table[b]) == [a, b]
         return found
@@ -206,23 +206,22 @@ class Coder:
 
 
 
+IDS = ("array<int>", pa.list_(pa.int32()))
+
+
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+
+
 def encode(df: DataFrame, ranks_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the token ids of each whole text. The ranks travel by broadcast: their size is that of one vocabulary file."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
-    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def start():
         coder = Coder(shared.value)
-        for batch in batches:
-            values, sizes = [], [np.zeros(1, np.int64)]
-            for part in blocks(batch):
-                ids, bounds = coder.encode(part)
-                values.append(ids)
-                sizes.append(np.diff(bounds))
-            offsets = np.cumsum(np.concatenate(sizes))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
+        return lambda texts: (_lists(*coder.encode(texts)),)
 
-    udf = F.arrow_udf(ids_of, "array<int>")
-    return df.withColumn(out, udf(F.col(text)))
+    return extended(df, text, start, [(out, *IDS)])
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -232,7 +231,22 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = Coder(shared.value)
         for batch in batches:
-            yield pa.array((coder.decode(row or []) for row in batch.to_pylist()), pa.binary())
+            # row by row: all ids of a batch as Python numbers would take ten times its memory
+            yield pa.array((coder.decode(row.values.to_numpy().tolist() if row.is_valid else []) for row in batch), pa.binary())
+
+    return df.withColumn(out, F.arrow_udf(bytes_of, "binary")(F.col(ids)))
+
+
+def round_trip(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds the ids and the bytes decoded from them, in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def start():
+        coder = Coder(shared.value)
+
+        def both(texts):
+            codes, bounds = coder.encode(texts)
+            return _lists(codes, bounds), [coder.decode(codes[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+        return both
 
-    udf = F.arrow_udf(bytes_of, "binary")
-    return df.withColumn(out, udf(F.col(ids)))
+    return extended(df, text, start, [(ids, *IDS), (decoded, "binary", pa.binary())])

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from resultloom.plans.skew import scratch_folder
 
-BLOCK_BYTES = 1 << 21   # text that numpy handles at a time; its arrays take some 50 times as much
+FEW = 1_000_000           # rows of one or two numbers that may be broadcast: 16 MB
+BLOCK_BYTES = 1 << 20   # text that numpy handles at a time; its arrays take some 50 times as much
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_or_not(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it has at most ``FEW`` rows; beyond that the join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """UTF-8 bytes of all texts in order, in lists of at most ``limit`` bytes or one text; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -42,3 +48,27 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
         size += n
     if part:
         yield part
+
+
+def extended(df: DataFrame, text: str, fn, added: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """Adds columns (name, Spark type, Arrow type) that ``fn()`` makes, block by block, from lists of UTF-8 texts; columns of the same names are replaced.
+
+    ``fn`` is called once per task and returns the function of a block. Results leave a task block by block, so its memory is that of a block,
+    however many rows Spark puts into a batch.
+    """
+    names = [a[0] for a in added]
+    kept = [c for c in df.columns if c not in names]
+    source = df.select(*kept, *([] if text in kept else [F.col(text).alias("__text")]))
+    at_text = kept.index(text) if text in kept else len(kept)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = fn()
+        for batch in batches:
+            at = 0
+            for part in blocks(batch.column(at_text)):
+                rows = batch.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:len(kept)], *(pa.array(v, k) if not isinstance(v, pa.Array) else v for v, (_, _, k) in zip(make(part), added))], [*kept, *names])
+
+    schema = T.StructType([*(f for f in source.schema.fields if f.name in kept), *(T.StructField(n, T._parse_datatype_string(k)) for n, k, _ in added)])
+    return source.mapInArrow(of, schema)

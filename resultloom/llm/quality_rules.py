@@ -21,10 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import extended, stored
 
 ALPHA, DELTA = 0.02, 0.05
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -64,14 +63,11 @@ def with_counts(docs: DataFrame, text: str = "text", out: str = "counts") -> Dat
     """Adds one struct of counts."""
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            values = pc.fill_null(batch.cast(pa.large_binary()), b"")
-            table = np.array([counts_of(v.as_py()) for v in values], np.int64).reshape(-1, len(COUNTS))
-            yield pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(COUNTS))], fields=list(kind))
+    def of(texts: list[bytes]):
+        rows = np.array([counts_of(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return (pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], fields=list(kind)),)
 
-    udf = F.arrow_udf(of, "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">")
-    return docs.withColumn(out, udf(F.col(text)))
+    return extended(docs, text, lambda: of, [(out, "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">", kind)])
 
 
 def base_failed(counts: str = "counts"):

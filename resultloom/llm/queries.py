@@ -24,8 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.round_trip(docs, public_tokenizers.path(RANKS))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -27,13 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import few_or_not, stored
 from .text import Spans
 
 DEPTH, ANCHOR = 100, 24
 PIECE, BLOCK = 1 << 20, 1 << 23
 SAMPLE, HOT_RUNS, HOT_KEYS = 16, 64, 20_000
-FEW = 1_000_000            # rows of eight bytes that may be broadcast
 NULL_ID = -(1 << 63)
 ANCHORED, REMOVED, HOT = range(3)
 
@@ -259,8 +258,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", depth: int
     # texts that equal an earlier one: all of theirs stands before, and nothing needs them as a first occurrence
     leads = meta.groupBy("sha").agg(F.min(F.struct("did", "tie")).alias("lead")).select("sha", "lead.*")
     copies = stored(meta.join(leads, ["sha", "did", "tie"], "left_anti").select("did", "tie").distinct(), "copies")
-    small = copies.count() <= FEW
-    long = rows.filter(F.octet_length("data") >= depth).join(F.broadcast(copies) if small else copies, ["did", "tie"], "left_anti")
+    long = rows.filter(F.octet_length("data") >= depth).join(few_or_not(copies), ["did", "tie"], "left_anti")
 
     tried = _scan(long.filter(F.pmod(F.xxhash64("did", "tie"), F.lit(sample)) == 0), [], depth, anchor).filter(F.col("pos").bitwiseAND(F.lit(3)) == ANCHORED)
     tried = tried.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_runs).orderBy(F.desc("n"), "key").limit(HOT_KEYS)

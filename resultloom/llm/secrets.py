@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from operator import itemgetter
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import extended
+
 REACH = 200
 
 # fixed values: the strong patterns, each with what must be long enough (group, length)
@@ -84,31 +84,29 @@ def spans_of(text: str, reach: int = REACH) -> list[Span]:
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans", reach: int = REACH) -> DataFrame:
     """Adds an array of ``start, finish, kind`` in code points, finish exclusive, by start and then kind."""
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("finish", pa.int64()), ("kind", pa.string())]))
-        for batch in batches:
-            rows = [[{"start": a, "finish": b, "kind": KINDS[k]} for a, b, k in sorted(spans_of(v.as_py() or "", reach), key=itemgetter(0, 2, 1))] for v in batch]
-            yield pa.array(rows, kind)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("finish", pa.int64()), ("kind", pa.string())]))
+
+    def of(texts: list[bytes]):
+        return ([[{"start": a, "finish": b, "kind": KINDS[k]} for a, b, k in sorted(spans_of(t.decode(), reach), key=itemgetter(0, 2, 1))] for t in texts],)
 
-    udf = F.arrow_udf(of, "array<struct<start:long,finish:long,kind:string>>")
-    return df.withColumn(out, udf(F.col(text)))
+    return extended(df, text, lambda: of, [(out, "array<struct<start:long,finish:long,kind:string>>", kind)])
 
 
 def redact(df: DataFrame, text: str = "text", reach: int = REACH, mark: str = "[secret]") -> DataFrame:
     """The same rows with each stretch of secrets in the text replaced by a mark; texts without any, and nulls, stay as they are."""
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
-            for v in batch:
-                t, parts, at = v.as_py(), [], 0
-                for a, b, _ in spans_of(t or "", reach):
-                    if a > at or not parts:
-                        parts += [t[at:a], mark]
-                    at = max(at, b)
-                out.append("".join(parts) + t[at:] if parts else t)
-            yield pa.array(out, pa.string())
-
-    return df.withColumn(text, F.arrow_udf(of, "string")(F.col(text)))
+    def of(texts: list[bytes]):
+        out = []
+        for t in map(bytes.decode, texts):
+            parts, at = [], 0
+            for a, b, _ in spans_of(t, reach):
+                if a > at or not parts:
+                    parts += [t[at:a], mark]
+                at = max(at, b)
+            out.append("".join(parts) + t[at:] if parts else t)
+        return (out,)
+
+    out = extended(df, text, lambda: of, [("__redacted", "string", pa.string())])
+    return out.select(*[F.when(F.col(text).isNotNull(), F.col("__redacted")).alias(text) if c == text else F.col(c) for c in df.columns])
 
 
 def listed(spans):

@@ -18,11 +18,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import extended, stored
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -44,12 +43,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, out: str, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Adds the fingerprint of each text as a signed 64-bit integer."""
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            values = pc.fill_null(batch.cast(pa.large_binary()), b"")
-            yield pa.array(np.fromiter((fingerprint(v.as_py(), shingle) for v in values), np.uint64, len(values)).view(np.int64))
+    def of(texts: list[bytes]):
+        return (np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64),)
 
-    return docs.withColumn(out, F.arrow_udf(of, "long")(F.col(text)))
+    return extended(docs, text, lambda: of, [(out, "long", pa.int64())])
 
 
 def _forest(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
