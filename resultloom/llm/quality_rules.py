@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import extended, stored
+from .common import extended, few_or_not, stored
 
 ALPHA, DELTA = 0.02, 0.05
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -125,7 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
           alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Adds ``counts``, ``base_failed`` and ``kept`` to the documents. Labels have the same id and a quality of 0 or 1."""
     hold = labels.filter(F.col(quality).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), (F.col(quality) > 0).alias("good"))
-    known = with_counts(docs.select(F.col(id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")).join(hold, "doc_id"))
+    known = with_counts(docs.select(F.col(id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")).join(few_or_not(stored(hold, "labels")), "doc_id"))
     # a document that fails the base rules is rejected anyway and says nothing about the cutoffs
     chosen = cutoffs(stored(known.select("stratum", "good", "counts"), "labelled").filter(~base_failed()), "stratum", "good", alpha, delta)
     per_stratum = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
