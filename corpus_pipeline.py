@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from resultloom.llm import decontaminate, quality_rules, queries, secrets, simhash  # noqa: E402
-from resultloom.llm.common import stored, table  # noqa: E402
+from resultloom.llm.common import few_or_not, stored, table  # noqa: E402
 
 #: calibrated cutoffs, fingerprints and token ids are no SQL; tests/llm compares the stages with plain versions
 ORACLE_SQL = None
@@ -31,8 +31,8 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of equal id count as one document. Rows without an id stay only if no document of their group has one, and then as one row.
     """
     groups = stored(simhash.near_duplicates(docs), "groups")
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    first = few_or_not(stored(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts"))
+    out = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
         out = out.dropDuplicates(["doc_id"])
     if groups.filter("component_id IS NULL").take(1):
@@ -47,7 +47,8 @@ def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any verified overlap with a benchmark item. Rows without an id can't be named by an overlap: they are checked by their text's hash."""
     key = F.xxhash64("text", F.col("doc_id").cast("string"))
     bad = decontaminate.overlaps(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.withColumn("__key", key).join(bad.withColumnRenamed("doc_id", "__key"), "__key", "left_anti").select(*docs.columns)
+    bad = few_or_not(stored(bad.withColumnRenamed("doc_id", "__key"), "overlapping"))
+    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
