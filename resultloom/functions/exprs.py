@@ -118,8 +118,12 @@ def mpa_text(c) -> Column:
 
 
 # --- cleaning ----------------------------------------------------------------------------------------
+#: blanks of all scripts, the no-break space and the separators among the control characters as well
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
 def collapse_ws(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(col(c), _BLANK + "+", " "))
 
 
 def clean(c) -> Column:
@@ -153,7 +157,7 @@ def xml_safe_all(df, except_for=("path", "image", "output")):
 def shorten(c, limit: int = 400) -> Column:
     text = col(c)
     return F.when(F.char_length(text) <= limit, text).otherwise(
-        F.concat(F.regexp_replace(F.left(text, F.lit(limit)), r"\s+$", ""), F.lit("...")))
+        F.concat(F.regexp_replace(F.left(text, F.lit(limit)), _BLANK + "+$", ""), F.lit("...")))
 
 
 def glue_units(c) -> Column:
@@ -163,8 +167,8 @@ def glue_units(c) -> Column:
 
 # --- file and model names --------------------------------------------------------------------------
 def stem(c) -> Column:
-    """File name without its last suffix."""
-    return F.regexp_replace(col(c), r"^(.+)\.[^.]*$", "$1")
+    """File name without folders and without its last suffix."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"^.*[/\\](?=[^/\\])|[/\\]+$", ""), r"^(.+)\.[^.]*$", "$1")
 
 
 def view_hint(c) -> Column:
@@ -235,12 +239,10 @@ def ago(now, then) -> Column:
 
 
 def list_letter(c) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA, 703 -> AAA; good up to 18 278."""
-    n = col(c).cast("long")
-    ones, tens, hundreds = n - 1, F.floor((n - 27) / 26), F.floor((n - 703) / 676)
-
-    def letter(x):
-        return F.char((F.lit(65) + F.pmod(x, F.lit(26))).cast("int"))
-
-    return F.concat(F.when(n > 702, letter(hundreds)).otherwise(F.lit("")), F.when(n > 26, letter(tens)).otherwise(F.lit("")),
-                    letter(ones))
+    """1 -> A, 26 -> Z, 27 -> AA, 703 -> AAA, as far as a long goes; nothing for numbers below 1."""
+    n, out = col(c).cast("long"), []
+    for place in range(13, -1, -1):
+        first = (26 ** (place + 1) - 1) // 25          # smallest number with a letter at this place
+        digit = F.pmod(F.call_function("div", n - F.lit(first), F.lit(26 ** place)), F.lit(26))
+        out.append(F.when(n >= first, F.char((65 + digit).cast("int"))).otherwise(F.lit("")))
+    return F.concat(*out)

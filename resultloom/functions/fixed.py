@@ -52,7 +52,6 @@ SETUP_JUNK = (
 PRESSURE_TO_MPA = {"mpa": 1.0, "pa": 1e-6, "kpa": 1e-3, "bar": 0.1, "psi": 0.00689476, "mmwc": 9.80665e-6}
 WATER = 9.80665
 REPAIR_FACTORS = (0.1, 0.01, 10.0, 100.0, 0.001, 1000.0)
-REPAIR_ROUNDS = 60
 
 # --- limits ------------------------------------------------------------------------------------
 MESH_EDGE = 0.075

@@ -15,7 +15,7 @@ def is_case_role(c="role"):
     return F.col(c).isin(*fixed.CASE_ROLES)
 
 
-def group_by_letter(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def group_by_letter(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Letter group of every case picture; without a letter it follows the only letter of its job, if there is just one."""
     own = F.when(is_case_role(), F.nullif(F.col("letter"), F.lit("")))
     df = skew.attach(pictures.withColumn("__own", own), ["job_id"], hot_rows, few_groups=True, __lo=F.min("__own"), __hi=F.max("__own"))
@@ -24,7 +24,7 @@ def group_by_letter(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataF
     return df.withColumn("group_letter", F.when(is_case_role(), group)).drop("__own", "__lo", "__hi")
 
 
-def split_projects(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def split_projects(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Letters with several setup pictures: every setup starts a sub-group, the others follow the most alike model.
 
     No pairs are formed. In the order of the models, the setup that shares the longest prefix with a model is one of the
@@ -58,7 +58,7 @@ def split_projects(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFr
             .withColumn("sub_id", F.when(mine, F.col("id")).otherwise(F.col("__sub.i"))).drop("__model", "__kind", "__sub", "__known"))
 
 
-def number_cases(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def number_cases(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Case numbers 1..n of a job in the order of letter, then setup. Numbers the distinct groups, not the pictures."""
     on = ["job_id", "group_letter", "__m", "__i"]
     df = skew.settle(pictures).withColumns({"__m": F.coalesce("sub_model", F.lit("")), "__i": F.coalesce("sub_id", F.lit(-1))})
@@ -68,7 +68,7 @@ def number_cases(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFram
     return skew.lookup(df.drop("case_no"), groups, on, size="__size", hot_rows=hot_rows).drop("__m", "__i")
 
 
-def pick_main(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def pick_main(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """One main picture per job, case and kind: chosen by the user first, then the highest maximum, then the lowest id.
 
     The others become additional views (``auto_extra``) and carry the id of the winner (``main_id``).
@@ -162,7 +162,7 @@ def merge_view_edits(old: DataFrame, new: DataFrame) -> DataFrame:
             .withColumn("heading", F.when(F.col("__hit"), F.col("__h")).otherwise(F.col("heading"))).drop("__h", "__c", "__hit"))
 
 
-def swap_main(pictures: DataFrame, requests: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def swap_main(pictures: DataFrame, requests: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Swap an additional view with the main picture of its case: two correction rows per request (one without a main)."""
     pictures = skew.settle(pictures)
     mains = pictures.filter(F.col("role").isin(*fixed.MAIN_ROLES) & F.col("case_no").isNotNull())
@@ -179,7 +179,7 @@ def drop_picture(requests: DataFrame) -> DataFrame:
     return requests.select("job_id", "id", F.lit("unused").alias("role"), F.lit(None).cast("long").alias("case_no"))
 
 
-def geometry_headings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def geometry_headings(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Headings of the geometry views and their order: top view, bottom view, others.
 
     Of several equal headings the last one keeps it; blank ones and the earlier ones become 'View k'.
@@ -198,7 +198,7 @@ def geometry_headings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
     return df.drop("__c")
 
 
-def mesh_headings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def mesh_headings(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Headings of the mesh views in picture order; a first one without a hint is the overall mesh."""
     df = pictures.filter(F.col("role") == "mesh").select("job_id", "id", X.view_hint("name").alias("__hint"))
     df = skew.number_rows(df, ["job_id"], ["id"], [skew.slice_of("id")], "position", hot_rows=hot_rows)
@@ -207,7 +207,7 @@ def mesh_headings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFra
     return df.select("job_id", "id", heading.alias("heading"), "position")
 
 
-def demotions(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def demotions(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Pictures that lost the main slot (after ``pick_main``), with the name and maximum of the winner."""
     pictures = skew.settle(pictures)
     lost = pictures.filter("auto_extra").select("job_id", "case_no", "id", "name", "main_id", X.base_role().alias("base"))
@@ -221,7 +221,7 @@ def _say(df, level, code, case, rank, text):
                      rank.cast("long").alias("id"), text.alias("text"))
 
 
-def draft_warnings(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def draft_warnings(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """All warnings of a draft, from the pictures after ``pick_main``."""
     S, none = fixed.CHECK_SAY, F.lit(None)
     pictures = skew.settle(pictures)
@@ -266,7 +266,7 @@ def guess_cover(pictures: DataFrame, pattern: str = fixed.SETTINGS["report_no_pa
     parts = F.filter(F.split("model", r"[_\s]+"), lambda t: (t != "") & ~t.contains("+") & ~F.lower(t).isin(*fixed.LOAD_WORDS))
     df = df.withColumn("t", parts)
     good = (F.size("t") >= 3) & F.get("t", F.lit(0)).rlike(r"^\d+$")
-    obj = F.when(good, F.array_join(F.slice("t", 3, 1000), " ")).otherwise(F.lit(""))
+    obj = F.when(good, F.array_join(F.slice("t", 3, F.size("t")), " ")).otherwise(F.lit(""))
     df = df.select("job_id", "model", F.when(good, F.get("t", F.lit(0))).otherwise(F.lit("")).alias("job"),
                    F.when(good, F.get("t", F.lit(1))).otherwise(F.lit("")).alias("client"), obj.alias("object"),
                    F.when(good, F.element_at("t", -1)).otherwise(F.lit("")).alias("short"))

@@ -96,7 +96,7 @@ def case_checks(cases: DataFrame) -> DataFrame:
     return emit(with_check_texts(cases), unit_rules() + gravity_rules() + tier_rules() + red_zone_rules() + legend_rules() + deformation_rules() + reaction_rules())
 
 
-def extras_exceed_main(cases: DataFrame, extras: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def extras_exceed_main(cases: DataFrame, extras: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Additional views whose maximum is above the one of the main picture by more than 0.1 %."""
     base = cases.filter(_gate()).select("job_id", "n", "stress_max", "def_max")
     df = skew.lookup(extras.filter(F.col("kind").isin("stress", "deformation")), base, ["job_id", "n"], hot_rows=hot_rows)
@@ -136,15 +136,18 @@ def duplicate_case_names(cases: DataFrame) -> DataFrame:
     return same.select("job_id").distinct().select("job_id", F.lit("warn").alias("level"), F.lit("same_name").alias("code"), F.lit(S["same_name"]).alias("text"))
 
 
-def missing_inputs(ctx: DataFrame, cases: DataFrame, mesh_lines: DataFrame) -> DataFrame:
-    """Hints for jobs without a yield stress, and for jobs with cases but no evidence at all."""
-    has = cases.groupBy("job_id").agg(F.bool_or(F.coalesce(F.col("loc_stress") != "", F.lit(False))).alias("located"))
-    df = ctx.select("job_id", "allow").join(has, "job_id", "left").join(mesh_lines.select("job_id", "mesh_line"), "job_id", "left")
-    bare = F.col("located").isNotNull() & ~F.col("located") & F.col("mesh_line").isNull()
+def missing_inputs(ctx: DataFrame, cases: DataFrame, mesh_lines: DataFrame, assumptions: DataFrame) -> DataFrame:
+    """Hints for jobs without a yield stress, and for jobs with cases but no evidence at all: no mesh statistics, no assumption
+    (``job_id, text``), and no case with a typed place of its stress or deformation."""
+    typed = [F.coalesce(F.trim(c) != "", F.lit(False)) for c in ("loc_stress", "loc_def")]
+    has = cases.groupBy("job_id").agg(F.bool_or(typed[0] | typed[1]).alias("located"))
+    assumed = assumptions.filter(F.trim("text") != "").select("job_id", F.lit(True).alias("assumed")).distinct()
+    df = ctx.select("job_id", "allow").join(has, "job_id", "left").join(mesh_lines.select("job_id", "mesh_line"), "job_id", "left").join(assumed, "job_id", "left")
+    bare = F.col("located").isNotNull() & ~F.col("located") & F.col("mesh_line").isNull() & F.col("assumed").isNull()
     return emit(df, [rule(0, "info", "no_yield", F.col("allow").isNull(), F.lit(S["no_yield"])), rule(99, "info", "no_evidence", bare, F.lit(S["no_evidence"]))], ("job_id",))
 
 
-def rank_checks(checks: DataFrame, jobs: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def rank_checks(checks: DataFrame, jobs: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Checks of a job by severity, in their own order (n, seq) within a level; a calm job gets one line."""
     checks = skew.settle(checks)
     level = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in fixed.LEVELS.items()])
@@ -155,7 +158,7 @@ def rank_checks(checks: DataFrame, jobs: DataFrame, hot_rows: int = skew.HOT_ROW
     return df.select("job_id", "n", "level", "code", "text", "rank").unionByName(calm, allowMissingColumns=True)
 
 
-def completeness_audit(fields: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def completeness_audit(fields: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Open items of a job by kind of need, from a long table (job_id, need, value)."""
     v = F.trim(F.coalesce("value", F.lit("")))
     df = fields.withColumns({"__v": v, "__k": F.lower(v)})

@@ -13,7 +13,7 @@ def opt(df: DataFrame, name: str, default, kind: str):
     return F.col(name) if name in df.columns else F.lit(default).cast(kind)
 
 
-def dedup_first(pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def dedup_first(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Same content within a job: the lowest id stays, the others become 'unused' and point to it."""
     kept = pictures.drop("dup_of")
     df = skew.attach(kept, ["job_id", "hash"], hot_rows, __first=F.min("id"))
@@ -124,7 +124,7 @@ def route_read_or_manual(read: DataFrame, pictures: DataFrame, key: str = "image
 
 
 def ocr_budget(calls: DataFrame, picture_seconds: float = fixed.PICTURE_SECONDS, call_seconds: float = fixed.CALL_SECONDS,
-               key: str = "image_id", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+               key: str = "image_id", hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Time each call may take. A call is refused when a second or less is left; sums are exact decimals."""
     df = calls.withColumn("__sec", F.col("seconds").cast("decimal(18,6)"))
     df = skew.prefix_sum(df, [key], ["call_no"], "__sec", [skew.slice_of("call_no")], "__used", before=True, hot_rows=hot_rows)

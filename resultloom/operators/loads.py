@@ -18,7 +18,7 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", text).filter(F.col("text").rlike(_SETUP) & ~F.col("text").rlike(fixed.SETUP_NOT))
 
 
-def best_region(lines: DataFrame, key: str = "image_id", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def best_region(lines: DataFrame, key: str = "image_id", hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Lines of the region with the most lines, the earliest region on a tie."""
     lines = skew.settle(lines)
     counts = lines.groupBy(key, "ordinal").agg(F.count(F.lit(1)).alias("c"))

@@ -39,7 +39,7 @@ def edge_density(pixels: DataFrame) -> DataFrame:
     return df.groupBy("image_id").agg(F.avg(edge.cast("int")).alias("edge_density"))
 
 
-def with_frame(pixels: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def with_frame(pixels: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Every pixel with the size of its picture and the colour of its corner."""
     corner = F.max(F.when((F.col("x") == 0) & (F.col("y") == 0), F.struct("r", "g", "b")))
     return skew.attach(pixels, ["image_id"], hot_rows, few_groups=True, w=F.max("x") + 1, h=F.max("y") + 1, corner=corner)

@@ -24,7 +24,7 @@ def _points(scale):
     return X.fixed_text(scale * F.col("k") * F.col("px") / 0.72, 1).cast("double")
 
 
-def shown_pictures(cases: DataFrame, views: DataFrame, extras: DataFrame, pictures: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def shown_pictures(cases: DataFrame, views: DataFrame, extras: DataFrame, pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Every picture a report shows: family, group of pictures laid out together, position, size, legend height in pixels.
 
     A result pair counts when both plots exist. The legend height is the one of the case, else the median of the job.
@@ -47,7 +47,7 @@ def shown_pictures(cases: DataFrame, views: DataFrame, extras: DataFrame, pictur
     return _sizes(df.withColumn("px", F.coalesce("case_px", "job_px", F.lit(fixed.DEFAULT_LEGEND_PX))))
 
 
-def legibility(shown: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def legibility(shown: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Smallest legend text (points) and number of slides of every family and layout of a job.
 
     Views count only in groups of two or more; the odd last picture of a group stands alone. The few layouts are put on
@@ -101,7 +101,7 @@ def choose_mode(options: DataFrame, choices: DataFrame | None = None, legend_job
     return df.withColumns({"pt": pt, "auto_pt": auto_pt}).select("job_id", "family", "auto", "choice", "effective", "pt", "auto_pt", "best_pt", F.col("pt_side").alias("side_pt"), "thr")
 
 
-def effective_layout(cases: DataFrame, plan: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def effective_layout(cases: DataFrame, plan: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Layout of every case: its own override, then the layout of the job, then side by side."""
     job = plan.groupBy("job_id").agg(*[F.max(F.when(F.col("family") == f, F.col("effective"))).alias(f"__{f}") for f in ("results", "bc")])
     df = skew.lookup(cases, job, ["job_id"], hot_rows=hot_rows)
@@ -130,14 +130,14 @@ def layout_checks(plan: DataFrame) -> DataFrame:
     return plan.select("job_id", "family", F.explode(rows).alias("c")).select("job_id", "family", "c.*")
 
 
-def paginate(rows: DataFrame, per_slide: int = fixed.SUMMARY_ROWS, title: str = "Final Summary", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def paginate(rows: DataFrame, per_slide: int = fixed.SUMMARY_ROWS, title: str = "Final Summary", hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Summary rows (ordered by n) on slides of fixed length; later slides are continuations."""
     df = skew.number_rows(rows, ["job_id"], ["n"], [skew.slice_of("n")], "__k", hot_rows=hot_rows)
     df = df.withColumn("slide", F.floor((F.col("__k") - 1) / per_slide).cast("long") + 1).withColumn("row", F.pmod(F.col("__k") - 1, F.lit(per_slide)) + 1)
     return df.withColumn("title", F.when(F.col("slide") > 1, F.lit(f"{title} (cont.)")).otherwise(F.lit(title))).drop("__k")
 
 
-def chunk_views(views: DataFrame, title, single=None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def chunk_views(views: DataFrame, title, single=None, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Views (job_id, part, position, heading, mode) on slides: pairs, or one by one if the layout is separate.
 
     ``single`` is the title of a slide with one picture only, where it is not the usual one.
@@ -180,7 +180,7 @@ def _notes(df, keys, rules):
     return df.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
 
 
-def section_notes(jobs: DataFrame, cases: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def section_notes(jobs: DataFrame, cases: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """What was left out or framed, for the job and for every case (bc_id, def_id, stress_id, list_items, observations)."""
     N, frame = fixed.NOTE_SAY, F.col("policy") == "frame"
     stats = F.col("mesh_line").isNotNull()
@@ -201,7 +201,7 @@ def section_notes(jobs: DataFrame, cases: DataFrame, hot_rows: int = skew.HOT_RO
     return case.unionByName(job, allowMissingColumns=True)
 
 
-def result_slides(cases: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def result_slides(cases: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Result slides of every case: none, one plot alone, two separate, or one that holds both."""
     df = skew.attach(cases, ["job_id"], hot_rows, few_groups=True, __c=F.count(F.lit(1)))
     pre = F.when(F.col("__c") > 1, X.fill("Case {n}: ", n="n")).otherwise(F.lit(""))

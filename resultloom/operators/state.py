@@ -14,7 +14,7 @@ def build_key(states: DataFrame, fields: list[str], version: str = fixed.VERSION
     return states.withColumn("build_key", F.left(F.sha1(F.concat(F.lit(version + "|"), body)), F.lit(12)))
 
 
-def reuse_build(events: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def reuse_build(events: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """First time a session shows a key is a build, later times are hits. Keys removed by ``keep_last_builds`` count as known."""
     df = skew.attach(events, ["sid", "build_key"], hot_rows, __first=F.min(F.struct("saved_at", "seq")))
     fresh = (F.col("saved_at") == F.col("__first.saved_at")) & (F.col("seq") == F.col("__first.seq"))
@@ -42,7 +42,7 @@ def latest_state(events: DataFrame) -> DataFrame:
     return latest.join(F.broadcast(newest), "sid", "left").withColumn("newest", F.coalesce("newest", F.lit(False)))
 
 
-def debounce(events: DataFrame, gap_ms: int = 1400, slice_unit: str = "hour", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def debounce(events: DataFrame, gap_ms: int = 1400, slice_unit: str = "hour", hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """One row per burst of a session: a pause longer than the gap ends it, its last state counts.
 
     ``starts_build`` is false when that state equals the one the burst before ended with. Works in time slices, so one busy

@@ -40,7 +40,7 @@ def job_context(inputs: DataFrame, settings: dict = fixed.SETTINGS) -> DataFrame
         X.to_float("def_limit").alias("lim"), F.lit(float(settings["singularity_factor"])).alias("k"))
 
 
-def with_context(cases: DataFrame, ctx: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def with_context(cases: DataFrame, ctx: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     return skew.lookup(cases, ctx, ["job_id"], hot_rows=hot_rows)
 
 

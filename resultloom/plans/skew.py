@@ -4,7 +4,8 @@ A window over a whole group puts that group into one task. The steps below give
 partial aggregation, joins whose hot keys are broadcast, and windows over bounded slices of a group:
 
 * ``attach``      aggregate per group, put back on every row of the group
-* ``lookup``      many-to-one join; hot keys travel by broadcast, the other keys by shuffle
+* ``lookup``      many-to-one join in three branches: rows of hot keys meet them by broadcast and are not moved, rows without
+                  a key pass through, the rest is an ordinary shuffled join
 * ``prefix_sum``  running sum, ``number_rows`` running number: local per slice, plus an offset per slice
 * ``previous``    value of the row before, across slices
 * ``top_k``       first k rows of each group; Spark cuts every map task to k rows before its shuffle
@@ -21,16 +22,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 1_000_000   # rows of one group that a single task may still hold
-SALTS = 1024           # pieces that the rows of a hot group are spread over
+HOT_KEYS = 1000        # keys that may be hot at once: a key is hot if it has more than this share of all rows
+HOT_ROWS = None        # rows above which a key is hot; None: rows / HOT_KEYS, so hot keys are few at any size and may be broadcast
 SLICE = 65_536         # rows of one slice when the order column is a dense counter
 
-_ROW_ID = ("id", "line_no", "n", "seq", "word_id", "call_no", "case_key", "x", "y", "pos", "event_id")
-
-
 _SHUFFLES = re.compile(r"^[\s:+\-]*'?(Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate)\b", re.M)
 _own_folder: list = []
 
@@ -56,40 +55,39 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _salt(df: DataFrame, hot: Column) -> Column:
-    ids = [c for c in _ROW_ID if c in df.columns] or df.columns
-    return F.when(hot, 1 + F.pmod(F.xxhash64(*ids), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+def _limit(df: DataFrame, hot_rows: int | None) -> int:
+    return max(1, df.count() // HOT_KEYS) if hot_rows is None else hot_rows
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: list[str], size: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join to a table with one row per key (keys not null).
+def lookup(df: DataFrame, dim: DataFrame, on: list[str], size: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Left join to a table with one row per key; rows with a null in their key match nothing.
 
     ``size`` names a column of ``dim`` with the number of rows of ``df`` per key, if it is known. Keys above ``hot_rows``
-    are broadcast: at most rows(df) / hot_rows of them exist, whatever the data. Their rows take no part in the
-    shuffled join: they carry a salt that matches nothing, so they spread over all tasks.
+    are broadcast: at most rows(df) / hot_rows of them exist, whatever the data.
     """
-    dim = settle(dim)
-    if size is None:
-        df = settle(df)
-    return _lookup(df, dim, on, size, hot_rows)
+    return _lookup(settle(df), settle(dim), on, size, hot_rows)
 
 
 def _lookup(df, dim, on, size, hot_rows):
     values = [c for c in dim.columns if c not in on and c != size]
-    packed = F.struct(*values)
+    limit = _limit(df, hot_rows)
+    packed = dim.select(*on, F.struct(*values).alias("__found"), *([F.col(size).alias("__size")] if size else []))
     if size is None:
-        sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select(*on)
-        hot, cold = dim.join(F.broadcast(sizes), on), dim
+        often = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*on)
+        hot, cold = F.broadcast(often).join(packed, on, "left"), packed     # also hot keys that the table lacks
     else:
-        hot, cold = dim.filter(F.col(size) > hot_rows), dim.filter(F.col(size) <= hot_rows)
-    out = df.join(F.broadcast(hot.select(*on, packed.alias("__hot"))), on, "left")
-    out = out.withColumn("__salt", _salt(df, F.col("__hot").isNotNull()))
-    out = out.join(cold.select(*on, packed.alias("__cold"), F.lit(0).alias("__salt")), [*on, "__salt"], "left")
-    found = F.coalesce("__hot", "__cold")
-    return out.select(*[F.col(c) for c in df.columns if c not in values], *[found[v].alias(v) for v in values])
-
-
-def attach(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, few_groups: bool = False, **aggs: Column) -> DataFrame:
+        hot, cold = packed.filter(F.col("__size") > limit).drop("__size"), packed.filter(F.col("__size") <= limit).drop("__size")
+        often = hot.select(*on)
+    base = df.select(*[c for c in df.columns if c not in values])
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    keyed = base.filter(complete)
+    parts = [keyed.join(F.broadcast(hot), on), keyed.join(F.broadcast(often), on, "left_anti").join(cold, on, "left"),
+             base.filter(~complete).withColumn("__found", F.lit(None).cast(packed.schema["__found"].dataType))]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(*base.columns, *[F.col("__found")[v].alias(v) for v in values])
+
+
+def attach(df: DataFrame, on: list[str], hot_rows: int | None = HOT_ROWS, few_groups: bool = False, **aggs: Column) -> DataFrame:
     """Every row with the aggregates of its group: what a window without an order gives, minus the hot task.
 
     ``few_groups`` writes the aggregates first: Spark then knows their real size and broadcasts them only if they are below
@@ -106,7 +104,7 @@ def _sliced(df, on, slices, fine, hot_rows):
     df = df.withColumns(dict(zip(names, slices)))
     if not fine:
         return df, names
-    big = df.groupBy(*on, *names).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    big = df.groupBy(*on, *names).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > _limit(df, hot_rows))
     df = df.join(F.broadcast(big.select(*on, *names, F.lit(True).alias("__big"))), [*on, *names], "left")
     extra = [f"__f{i}" for i in range(len(fine))]
     df = df.select("*", *[c.alias(n) for n, c in zip(extra, fine)])
@@ -121,7 +119,7 @@ def _with_slice_values(df, per_slice, cols):
 
 
 def prefix_sum(df: DataFrame, on: list[str], order: list, value, slices: list, out: str, fine: list | None = None,
-               before: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+               before: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Running sum of ``value`` in each group, with the row itself or (``before``) without it."""
     value = F.col(value) if isinstance(value, str) else value
     df = settle(df)
@@ -139,13 +137,13 @@ def prefix_sum(df: DataFrame, on: list[str], order: list, value, slices: list, o
 
 
 def number_rows(df: DataFrame, on: list[str], order: list, slices: list, out: str, fine: list | None = None,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Dense running number from 1 in each group."""
     return prefix_sum(df, on, order, F.lit(1).cast("long"), slices, out, fine, hot_rows=hot_rows)
 
 
 def previous(df: DataFrame, on: list[str], order: list, value: str, slices: list, out: str, fine: list | None = None,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+             hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``value`` of the row before in each group, null on the first row. ``value`` must not be null."""
     df = settle(df)
     source = df.columns
@@ -159,7 +157,7 @@ def previous(df: DataFrame, on: list[str], order: list, value: str, slices: list
 
 
 def nearest(points: DataFrame, marks: DataFrame, on: list[str], at: str, slices: list, fine: list | None = None,
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+            hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Points with the closest mark of their group on either side: largest ``below`` <= at <= smallest ``above``.
 
     One sorted pass over points and marks together, slice by slice, instead of pairs.
@@ -189,7 +187,7 @@ def slice_of(c, width: int = SLICE) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def rank_value(df: DataFrame, on: list[str], value: str, slices: list, picks: dict, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_value(df: DataFrame, on: list[str], value: str, slices: list, picks: dict, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Exact order statistics of each group: count, lowest, highest and the values at given ranks.
 
     ``picks`` maps a result name to a function of the count that gives a rank from 0. Works on the histogram, which Spark
@@ -203,7 +201,7 @@ def rank_value(df: DataFrame, on: list[str], value: str, slices: list, picks: di
                                 *[F.min(F.when(F.col("__run") > at(F.col("count")), F.col(value))).alias(n) for n, at in picks.items()])
 
 
-def exact_median(df: DataFrame, on: list[str], value: str, slices: list, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_median(df: DataFrame, on: list[str], value: str, slices: list, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Count and exact median of each group."""
     picks = {"__lo": lambda n: F.floor((n - 1) / 2), "__hi": lambda n: F.floor(n / 2)}
     ranked = rank_value(df, on, value, slices, picks, hot_rows)

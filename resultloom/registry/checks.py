@@ -94,10 +94,13 @@ def _(spark, folder):
 
 @query("h12_missing_inputs", f"""
 SELECT job_id, 0::BIGINT AS seq, 'info' AS level, 'no_yield' AS code, {Q.quote(S['no_yield'])} AS text FROM job_ctx WHERE allow IS NULL
-UNION ALL SELECT job_id, 99, 'info', 'no_evidence', {Q.quote(S['no_evidence'])} FROM cases WHERE job_id NOT IN (SELECT job_id FROM mesh_stats) GROUP BY job_id HAVING NOT bool_or(loc_stress <> '')""")
+UNION ALL SELECT job_id, 99, 'info', 'no_evidence', {Q.quote(S['no_evidence'])} FROM cases WHERE job_id NOT IN (SELECT job_id FROM mesh_stats)
+  AND job_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment < 'C') GROUP BY job_id HAVING NOT bool_or(loc_stress <> '' OR case_key % 11 = 0)""")
 def _(spark, folder):
     ctx = verdict.job_context(job_inputs(spark, folder))
-    return checks.missing_inputs(ctx, T.cases(spark, folder), verdict.mesh_line(T.mesh_stats(spark, folder)))
+    assumed = T.table(spark, folder, "customer").selectExpr("c_custkey AS job_id", "CASE WHEN c_mktsegment < 'C' THEN c_mktsegment ELSE ' ' END AS text")
+    typed = T.cases(spark, folder).withColumn("loc_def", F.expr("CASE WHEN case_key % 11 = 0 THEN 'the right bearing' ELSE ' ' END"))
+    return checks.missing_inputs(ctx, typed, verdict.mesh_line(T.mesh_stats(spark, folder)), assumed)
 
 
 @query("h13_rank_checks", f"""

@@ -59,7 +59,7 @@ SELECT s_suppkey AS job_id, (s_suppkey % 100) / 100.0e0 AS skew_max, (s_suppkey
 SELECT user_id AS image_id, event_id AS word_id, CASE event_type WHEN 'signup' THEN CAST(value AS STRING) WHEN 'error' THEN 'Max' WHEN 'click' THEN CAST(value AS STRING) WHEN 'view' THEN 'Support' ELSE 'xx' END AS t,
   value AS x0, value + 30 AS x1, (event_id % 400) * 1.0e0 AS y0, (event_id % 400) + 8 + (event_id % 7) * 0.5e0 AS y1, event_id % 100 AS conf, event_id % 12 AS line FROM events""",
     "ocr_calls": """
-SELECT user_id AS image_id, event_id AS call_no, value / 20 AS seconds FROM events WHERE event_id % 6 = 0""",
+SELECT user_id AS image_id, event_id AS call_no, value / 20 AS seconds FROM events""",
     "assignments": """
 SELECT o_orderkey % 1000 AS job_id, o_custkey % 90 AS id, min(CASE o_orderstatus WHEN 'P' THEN 'stress' WHEN 'F' THEN 'x_other' ELSE 'unused' END) AS role, min(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 4 + 1 END) AS case_no
 FROM orders GROUP BY o_orderkey % 1000, o_custkey % 90""",
@@ -69,7 +69,7 @@ SELECT user_id AS sid, event_id AS seq, ts AS saved_at, concat(event_type, '|',
 SELECT role AS hist_key, conv_id * 100 + turn AS seq, CASE WHEN turn = 1 THEN '[value - please confirm]' ELSE concat('  Client ', CAST(conv_id % 60 AS STRING), ' ') END AS entry FROM conversations""",
     "legend_arrays": """
 SELECT vec_id AS image_id, pos, CASE WHEN vec_id % 4 = 0 AND pos = 3 THEN v * 100 ELSE v END AS v FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, p) - 1 AS pos, floor((CAST(e AS DOUBLE) + 1) * 1000) / 10 AS v
-FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS e FROM embeddings) a WHERE p < 5 + vec_id % 4) b""",
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS e FROM embeddings) a) b""",
     "pixels": """
 SELECT vec_id AS image_id, p // 8 AS y, p % 8 AS x, floor(abs(CAST(e AS DOUBLE)) * 100000) % 256 AS r, floor(abs(CAST(e AS DOUBLE)) * 733331) % 256 AS g, floor(abs(CAST(e AS DOUBLE)) * 5299709) % 256 AS b
 FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS e FROM embeddings) a""",
@@ -106,4 +106,6 @@ def full_sql(body: str) -> str:
     if not views:
         return body
     front = "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views)
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + front[5:] + ",\n" + body[15:]
     return front + ",\n" + body[5:] if body.startswith("WITH ") else front + "\n" + body

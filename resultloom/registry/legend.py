@@ -75,7 +75,19 @@ def _(spark, folder):
     return legend.first_region_with_max(reads, "picture_id")
 
 
-@query("c4_repair_monotonic")
+@query("c4_repair_monotonic", """
+WITH RECURSIVE steps(image_id, pos, kept, notes) AS (
+SELECT DISTINCT image_id, CAST(-1 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS VARCHAR[]) FROM legend_arrays
+UNION ALL
+SELECT image_id, pos, CASE WHEN fits THEN list_append(kept, x) WHEN mine IS NOT NULL THEN list_append(kept, mine) WHEN other IS NOT NULL THEN list_concat(kept[:-2], [other, x]) ELSE kept END,
+  CASE WHEN fits THEN notes WHEN mine IS NOT NULL THEN list_append(notes, printf('legend value %g repaired to %g', x, mine))
+    WHEN other IS NOT NULL THEN list_append(notes, printf('legend value %g repaired to %g', kept[-1], other)) ELSE list_append(notes, printf('legend value %g ignored', x)) END
+FROM (SELECT s.image_id, v.pos, s.kept, s.notes, v.v AS x, len(kept) = 0 OR v.v < kept[-1] AS fits,
+  list_filter(list_transform([0.1, 0.01, 10.0, 100.0, 0.001, 1000.0], lambda f: CAST(printf('%g', v.v * CAST(f AS DOUBLE)) AS DOUBLE)), lambda c: c > 0 AND c < kept[-1] AND (v.following IS NULL OR c > v.following))[1] AS mine,
+  CASE WHEN len(kept) > 1 THEN list_filter(list_transform([0.1, 0.01, 10.0, 100.0, 0.001, 1000.0], lambda f: CAST(printf('%g', kept[-1] * CAST(f AS DOUBLE)) AS DOUBLE)), lambda c: c > 0 AND c < kept[-2] AND c > v.v)[1] END AS other
+  FROM steps s JOIN (SELECT *, lead(v) OVER (PARTITION BY image_id ORDER BY pos) AS following FROM legend_arrays) v ON v.image_id = s.image_id AND v.pos = s.pos + 1) t),
+ends AS (SELECT image_id, arg_max(kept, pos) AS kept, arg_max(notes, pos) AS notes FROM steps GROUP BY image_id)
+SELECT image_id, CAST(i - 1 AS INTEGER) AS pos, kept[i] AS v, array_to_string(notes, '; ') AS repairs FROM ends, unnest(generate_series(1, len(kept))) g(i)""")
 def _(spark, folder):
     df = legend.repair_monotonic(T.legend_arrays(spark, folder))
     return df.select("image_id", F.posexplode("vals").alias("pos", "v"), F.array_join("repairs", "; ").alias("repairs"))

@@ -96,8 +96,12 @@ def _(spark, folder):
     return events.select("event_id", X.ago(F.lit("2024-01-31 00:00:00").cast("timestamp"), "ts").alias("age"))
 
 
-@query("j12_list_letter", """
-SELECT o_orderkey, CASE WHEN k <= 26 THEN chr(CAST(64 + k AS INT)) WHEN k <= 702 THEN chr(CAST(65 + (k - 27) // 26 AS INT)) || chr(CAST(65 + (k - 1) % 26 AS INT))
-  ELSE chr(CAST(65 + (k - 703) // 676 AS INT)) || chr(CAST(65 + ((k - 27) // 26) % 26 AS INT)) || chr(CAST(65 + (k - 1) % 26 AS INT)) END AS letter FROM (SELECT o_orderkey, o_orderkey % 1500 + 1 AS k FROM orders) a""")
+def _letters(k: str) -> str:
+    """The name of a list item, place by place from the highest."""
+    firsts = [(26 ** (place + 1) - 1) // 25 for place in range(13, -1, -1)]
+    return " || ".join(f"CASE WHEN {k} >= {a} THEN chr(CAST(65 + (({k} - {a}) // {26 ** (13 - i)}) % 26 AS INT)) ELSE '' END" for i, a in enumerate(firsts))
+
+
+@query("j12_list_letter", f"SELECT o_orderkey, {_letters('k')} AS letter FROM (SELECT o_orderkey, (o_orderkey - 3) * o_orderkey * o_custkey AS k FROM orders) a")
 def _(spark, folder):
-    return T.table(spark, folder, "orders").select("o_orderkey", X.list_letter(F.col("o_orderkey") % 1500 + 1).alias("letter"))
+    return T.table(spark, folder, "orders").select("o_orderkey", X.list_letter((F.col("o_orderkey") - 3) * F.col("o_orderkey") * F.col("o_custkey")).alias("letter"))

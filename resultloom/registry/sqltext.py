@@ -36,7 +36,8 @@ def grouped(x: str) -> str:
 
 
 def stem(x: str) -> str:
-    return f"regexp_replace({x}, '^(.+)\\.[^.]*$', '\\1')"
+    name = f"regexp_replace(regexp_replace({x}, '[/\\\\]+$', ''), '^.*[/\\\\]', '')"
+    return f"regexp_replace({name}, '^(.+)\\.[^.]*$', '\\1')"
 
 
 def hint(x: str) -> str:

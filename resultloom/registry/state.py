@@ -12,10 +12,11 @@ SIX_HOURS = 6 * 3600 * 1000
 
 
 @query("l1_build_key", """
-SELECT event_id, substr(sha1('2.2|{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 1, 12) AS build_key FROM events""")
+SELECT event_id, substr(sha1('2.2|{"event_type":"' || event_type || '","props":"' || replace(props, '"', '\\"') || '","user_id":' || user_id || ',"value":"' || CAST(value AS VARCHAR) || '"}'), 1, 12) AS build_key FROM events""")
 def _(spark, folder):
     df = T.table(spark, folder, "events").withColumn("make_pdf", F.col("event_id") % 2 == 0)
-    return state.build_key(df, ["user_id", "make_pdf", "event_type"]).select("event_id", "build_key")
+    df = df.withColumn("value", F.col("value").cast("string"))
+    return state.build_key(df, ["user_id", "make_pdf", "event_type", "props", "value"]).select("event_id", "build_key")
 
 
 @query("l2_reuse_build", """

@@ -24,7 +24,7 @@ def _is_picture(name="name", content="content"):
     return suffix.isin(*fixed.PICTURE_SUFFIXES) & known
 
 
-def scan_pictures(files: DataFrame, hot_rows: int = skew.HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def scan_pictures(files: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Files (job_id, seq, name, content) -> (pictures with dense ids from 0 per job, skipped files).
 
     A picture has a picture suffix and begins like one. ``seq`` is the order of arrival within the job.

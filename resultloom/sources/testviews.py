@@ -126,8 +126,7 @@ def words(spark, folder):
 
 
 def ocr_calls(spark, folder):
-    return (table(spark, folder, "events").filter("event_id % 6 = 0")
-            .selectExpr("user_id AS image_id", "event_id AS call_no", "value / 20 AS seconds"))
+    return table(spark, folder, "events").selectExpr("user_id AS image_id", "event_id AS call_no", "value / 20 AS seconds")
 
 
 def assignments(spark, folder):
@@ -153,7 +152,7 @@ def history(spark, folder):
 def legend_arrays(spark, folder):
     """One legend per row; it is cut out of the row's own array, so nothing is shuffled."""
     vec = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    first = F.expr("transform(slice(embedding, 1, CAST(5 + vec_id % 4 AS INT)), (e, p) -> struct(-CAST(e AS DOUBLE) AS k, p AS p, CAST(e AS DOUBLE) AS e))")
+    first = F.expr("transform(embedding, (e, p) -> struct(-CAST(e AS DOUBLE) AS k, p AS p, CAST(e AS DOUBLE) AS e))")
     vals = F.expr("transform(array_sort(a), (s, i) -> floor((s.e + 1) * 1000) / 10 * CASE WHEN vec_id % 4 = 0 AND i = 3 THEN 100 ELSE 1 END)")
     return vec.withColumn("a", first).select(F.col("vec_id").alias("image_id"), vals.alias("vals"))
 

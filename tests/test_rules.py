@@ -170,3 +170,16 @@ def test_views_on_slides(spark):
     df = spark.createDataFrame(data, "job_id bigint, part string, id bigint, position bigint, heading string, mode string")
     got = {(r["job_id"], r["id"]): (r["slide"], r["place"], r["slide_title"]) for r in report.chunk_views(df, F.lit("T")).collect()}
     assert got == {(1, 1): (1, 0, "T"), (1, 2): (1, 1, "T"), (1, 3): (2, 0, "T – h3"), (2, 1): (1, 0, "T – h1"), (2, 2): (2, 0, "T – h2"), (3, 1): (1, 0, "T")}
+
+
+def test_repair_has_no_limit(spark):
+    """Two hundred faults are all put right."""
+    vals = [1000.0 - i * (1 if i % 2 else 0.01) for i in range(400)]
+    r = legend.repair_monotonic(spark.createDataFrame([(1, vals)], "image_id bigint, vals array<double>")).first()
+    assert all(a > b for a, b in zip(r["vals"], r["vals"][1:])) and len(r["repairs"]) > 150
+
+
+def test_names_blanks_and_letters(spark):
+    df = spark.createDataFrame([("https://model.host/page/3.png", "a\u00a0\u2003b\x1c c.", 18279), ("C:\\job\\x.y.jpg", "\u3000", 0), ("plain", None, 475255)], "name string, t string, n long")
+    got = [tuple(r) for r in df.select(X.stem("name"), X.clean("t"), X.list_letter("n")).collect()]
+    assert got == [("3", "a b c", "AAAA"), ("x.y", "", ""), ("plain", "", "AAAAA")]

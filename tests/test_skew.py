@@ -96,3 +96,12 @@ def test_top_k_is_cut_before_the_shuffle(table):
     df, _ = table
     plan = skew.top_k(df, ["k"], ["id"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_rows_of_hot_keys_and_null_keys_stay_spread(spark):
+    """Two keys with all the rows, and rows without a key: no task gets many more than its share."""
+    df = skew.settle(spark.range(24_000).repartition(16).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS k", "id % 7 AS v"))
+    dim = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, w long")
+    for out in (skew.attach(df, ["k"], total=F.sum("v")), skew.lookup(df, dim, ["k"])):
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 24_000 and max(sizes) <= 2_500, sizes
