@@ -4,7 +4,7 @@ One classifier sees the content of a text (its words and their shapes), the othe
 Bayes over hashed features, so a model is a table of fixed size and training is a sum of counts. They start from a bounded
 sample of labelled documents (``max_labelled``, those of smallest hash; a quarter is held out). In each round every other document of the corpus is scored
 by both views; where one view is confident, its label is a training example of the other view. A view is confident beyond the score
-at which its labels reach ``precision`` on the held-out documents. In the end each view's score is calibrated on the held-out
+at which its labels surely reach ``precision`` on the held-out documents. In the end each view's score is calibrated on the held-out
 documents (logistic), and the calibrated log-odds are added, the prior counted once, to score all documents.
 
 Every round is one scan: tasks put out sums of counts, at most one row per feature. Only tables of fixed size (models, held-out scores of the bounded
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import blocks, stored
 from .text import BLANKS, LOWER, Spans, lookup_table, mixed, runs
 
-MAX_LABELLED, ROUNDS, PRECISION, HELD_OUT = 20_000, 2, 0.98, 4
+MAX_LABELLED, ROUNDS, PRECISION, HELD_OUT = 20_000, 2, 0.95, 4
+Z = 1.645      # one-sided 95 % for the precision
 CONTENT, META = 1 << 16, 1 << 12      # features of each view
 SMOOTH = 1.0
 _CAPITAL = lookup_table(bytes(range(65, 91)))
@@ -173,13 +174,17 @@ def _scored(docs: DataFrame, model: Model, first: str) -> DataFrame:
 
 
 def sure_beyond(scores: np.ndarray, good: np.ndarray, precision: float) -> tuple[float, float]:
-    """The widest score ranges at the ends in which at least ``precision`` of the documents are bad, or good; ties in a score go together."""
+    """The widest score ranges at the ends in which at least ``precision`` of the documents are bad, or good, by the lower bound of a Wilson interval,
+    so a few documents are never enough; ties in a score go together."""
     out = []
     for s, hit in ((scores, ~good), (-scores, good)):
         order = np.argsort(s, kind="stable")
         s, right = s[order], np.cumsum(hit[order])
         last = np.append(s[1:] != s[:-1], True)
-        ok = np.flatnonzero(last & (right >= precision * np.arange(1, len(s) + 1)))
+        n = np.arange(1, len(s) + 1)
+        p = right / n
+        low = (p + Z * Z / (2 * n) - Z * np.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+        ok = np.flatnonzero(last & (low >= precision))
         out.append(s[ok[-1]] if len(ok) else -np.inf)
     return float(out[0]), float(-out[1])
 
