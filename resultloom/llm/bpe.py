@@ -140,7 +140,10 @@ class Coder:
         if len(data) <= LEAF:
             return self.remembered(data)
         half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        left, right = data[:half], data[half:]
+        left = self.short.get(left) or self.tree(left)
+        right = self.short.get(right) or self.tree(right)
+        return left + right if self.pairs.get((left[-1], right[0])) else self.join(left, right)
 
     def piece(self, data: bytes) -> list[int]:
         """A piece that is a token as a whole is that token."""
