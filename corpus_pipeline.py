@@ -37,8 +37,8 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         out = out.dropDuplicates(["doc_id"])
     if groups.filter("component_id IS NULL").take(1):
         nameless = docs.filter("doc_id IS NULL")
-        lone = groups.filter("component_id IS NULL").select("fp", "group_fp").distinct()
-        nameless = simhash.with_fingerprint(nameless, "__fp").join(lone, F.col("__fp") == F.col("fp")).dropDuplicates(["group_fp"])
+        lone = groups.filter("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("group_fp").alias("__group")).distinct()
+        nameless = simhash.with_fingerprint(nameless, "__fp").join(lone, "__fp").dropDuplicates(["__group"])
         out = out.unionByName(nameless.select(*docs.columns))
     return out
 
