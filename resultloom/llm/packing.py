@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +30,20 @@ LENGTH, GROUP_IDS, PAD = 2048, 1 << 22, 50256
 ROW = "grp string, row int, length int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
 
 
+class PieceCoder(Coder):
+    """The same ids, with the merges inside a rare piece left to the tiktoken library: what is packed matters here, not how it is merged.
+
+    The library's pattern takes a piece as a whole, so that texts are split in one place only, and long runs of blanks need no backtracking.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.library = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def tree(self, data: bytes) -> list[int]:
+        return self.library.encode_ordinary(data.decode())
+
+
 class Rooms:
     """Open rows by their room: which is the least room of at least n, in a segment tree over 0..length."""
 
@@ -112,7 +127,7 @@ def packed(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, done, parts, held = Coder(shared.value), TaskContext.get().partitionId(), 0, [], 0
+        coder, task, done, parts, held = PieceCoder(shared.value), TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
             for block in blocks(batch.column(1)):
