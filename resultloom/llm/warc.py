@@ -31,6 +31,7 @@ from .common import shared_path, stored
 
 LEAST_BYTES = 1000
 FILE_BYTES, RANGE_BYTES = 256 << 20, 16 << 20
+MOST_TASKS = 50_000     # beyond that many ranges a task reads several, one after the other
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
@@ -165,7 +166,9 @@ def parsed(content: bytes) -> dict:
 def read(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of the files (``path, size``), read in byte ranges."""
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # a stated number of partitions: the ranges' own few bytes would be put together into one task
+    n = files.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), MOST_TASKS))
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [x.split()[0] for x in RECORD.split(", ")]
