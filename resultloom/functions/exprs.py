@@ -1,6 +1,6 @@
 """Column expressions shared by the operators: number text, casting, cleaning, labels.
 
-All are built from Spark's own functions, so they stay inside generated code.
+All are built from Spark's own functions.
 """
 
 from __future__ import annotations
@@ -62,54 +62,57 @@ def grouped_text(c, digits: int = 0) -> Column:
     return F.format_number(col(c), digits)
 
 
-def _scientific(c, digits: int) -> Column:
-    return _shape(c, "0." + "0" * (digits - 1) + "E0")
+def _even(c, digits: int) -> Column:
+    """Whole numbers without the digits that are not shown, a tie going to the even digit: the number format would round such ties up."""
+    v, a = col(c), F.abs(col(c))
+    step = F.pow(F.lit(10.0), F.char_length(a.try_cast("long").cast("string")) - digits)
+    rest = a % step
+    up = (2 * rest > step) | ((2 * rest == step) & (((a - rest) / step) % 2 == 1))
+    whole = (a % 1 == 0) & (a >= 10.0 ** digits) & (a < 2.0 ** 53)
+    return F.when(whole, F.signum(v) * (a - rest + F.when(up, step).otherwise(0.0))).otherwise(v)
 
 
-def _plain_text(c, digits: int) -> Column:
-    """Positional text for 1e-4 <= value < 10^digits: the size of the value gives the number of decimals.
+def _scientific(c, digits: int) -> Column:
+    return _shape(_even(c, digits), "0." + "0" * (digits - 1) + "E0")
 
-    One branch per power of ten, so that every number format is a constant; a format that changes from row to row is slow.
-    """
-    size, text = F.abs(col(c)), None
-    for power in range(-4, digits):
-        shape = _shape(c, "0." + "#" * (digits - 1 - power) if power < digits - 1 else "0")
-        text = shape if text is None else F.when(size >= float(f"1e{power}"), shape).otherwise(text)
-    return text
 
+def round_sig(c, digits: int = 3) -> Column:
+    """Value rounded to a number of significant digits; null if it is not finite."""
+    return _scientific(c, digits).try_cast("double")
 
-def _is_plain(c, digits: int) -> Column:
-    """Whether the rounded value is shown without an exponent."""
-    size, half = F.abs(col(c)), 0.5 * 10.0 ** -(digits - 1)
-    return (size >= 1e-4 * (1 - half / 10)) & (size < 10.0 ** digits - 0.5)
 
+def _once(value: Column, text) -> Column:
+    """``text`` of a value that is computed once per row, however often the text mentions it: a fold over an array of one, which
+    Spark evaluates outside generated code, so that the methods of long sentences stay small enough to be compiled."""
+    return F.aggregate(F.array(value), F.lit(None).cast("string"), lambda _, v: text(v))
 
-def round_sig(c, digits: int = 3) -> Column:
-    """Value rounded to a number of significant digits."""
-    return _scientific(c, digits).cast("double")
+
+def _positional(v) -> Column:
+    """Text of a rounded value without an exponent: between 1e-3 and 1e7 its plain cast has none, the rare rest goes through a number format."""
+    cast = F.regexp_replace(v.cast("string"), r"\.0$", "")
+    return F.when(F.abs(v).between(1e-3, 9_999_999), cast).otherwise(_shape(v, "0." + "#" * 330))
 
 
 def sig_text(c, digits: int = 3) -> Column:
     """Positional text with the given number of significant digits and no trailing zeros."""
-    size = F.abs(col(c))
-    tiny = _shape(round_sig(c, digits), "0." + "#" * 330)
-    return (F.when(col(c) == 0, F.lit("0")).when(_is_plain(c, digits), _plain_text(c, digits))
-            .when(size >= 1, fixed_text(round_sig(c, digits), 0)).otherwise(tiny))
+    return _once(round_sig(c, digits), lambda v: F.when(v == 0, F.lit("0")).otherwise(_positional(v)))
 
 
 def general_text(c, digits: int = 6) -> Column:
     """Shortest of positional and exponent notation with `digits` significant digits (C's %g)."""
-    parts = F.split(_scientific(c, digits), "E")
-    e = F.element_at(parts, 2).cast("int")
-    power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    return (F.when(col(c) == 0, F.lit("0")).when(_is_plain(c, digits), _plain_text(c, digits))
-            .otherwise(F.concat(F.regexp_replace(F.element_at(parts, 1), r"\.?0+$", ""), power)))
+    def text(shown):
+        v, parts = shown.try_cast("double"), F.split(shown, "E")
+        e = F.try_element_at(parts, F.lit(2)).try_cast("int")
+        power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"))
+        return (F.when(v == 0, F.lit("0")).when((F.abs(v) >= 1e-4) & (F.abs(v) < 10.0 ** digits), _positional(v))
+                .otherwise(F.concat(F.regexp_replace(F.element_at(parts, 1), r"\.?0+$", ""), power)))
+    return _once(_scientific(c, digits), text)
 
 
 def mm_text(c, mode: str = "sig3") -> Column:
     """Deformation for a sentence: three significant digits, or whole / two decimals."""
     if mode == "sig3":
-        return F.when(_is_plain(c, 3), _plain_text(c, 3)).otherwise(general_text(round_sig(c, 3)))
+        return _once(round_sig(c, 3), general_text)
     return F.when(col(c) >= 1, fixed_text(c, 0)).otherwise(fixed_text(c, 2))
 
 

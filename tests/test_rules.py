@@ -15,7 +15,7 @@ def one(spark, value, kind, make):
     return spark.createDataFrame([(value,)], f"v {kind}").select(make("v").alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize("value", [2.42, 0.085, 12345.0, 0.000123456, 1e-5, 7.8e-9, 1e6, 999999.5, 122.5, 0.0, -3.5, 123.45678, 2.675, 100.0])
+@pytest.mark.parametrize("value", [2.42, 0.085, 12345.0, 0.000123456, 1e-5, 7.8e-9, 1e6, 999999.5, 122.5, 0.0, -3.5, 123.45678, 2.675, 100.0, 4235905.0, -6182265.0, 1225.0, 12350.0, 1e7, 1.5e22, 2.5e-120])
 def test_number_text_is_like_python(spark, value):
     assert one(spark, value, "double", X.general_text) == f"{value:g}"
     assert one(spark, value, "double", lambda c: X.fixed_text(c, 2)) == f"{value:.2f}"
@@ -23,6 +23,11 @@ def test_number_text_is_like_python(spark, value):
     assert one(spark, value, "double", X.mm_text) == f"{float(f'{value:.3g}'):g}"
 
 
+@pytest.mark.parametrize("value,text", [(12250.0, "12200"), (12350.0, "12400"), (0.00045678, "0.000457"), (2.5e-7, "0.00000025"), (1.2345e9, "1230000000"), (-999.6, "-1000"), (0.0, "0"), (None, None), (float("inf"), None)])
+def test_significant_digits(spark, value, text):
+    assert one(spark, value, "double", X.sig_text) == text
+
+
 @pytest.mark.parametrize("text,value", [("24,7", 24.7), (" 1.e+006 ", 1e6), ("1.5d", None), ("n/a", None), ("nan", None), ("inf", None), ("1_000", 1000.0), ("", None), ("1e999", None), (".5", 0.5)])
 def test_to_float(spark, text, value):
     assert one(spark, text, "string", X.to_float) == value
