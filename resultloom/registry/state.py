@@ -77,8 +77,10 @@ def _(spark, folder):
     return state.latest_state(updates).select("sid", "seq", "payload")
 
 
-@query("l6_debounce_stream")
+@query("l6_debounce_stream", """
+SELECT sid, min(us) AS started_us, max(us) AS ended_us, count(*) AS changes, arg_max(payload, (us, seq)) AS payload, arg_max(build_key, (us, seq)) AS build_key FROM burst_rows GROUP BY sid, burst
+HAVING max(us) + 21600000000 <= (SELECT max(us) FROM burst_rows) - 60000000""")
 def _(spark, folder):
-    """Closed bursts only: a burst is put out once the watermark has passed its end."""
-    df = state_streams.bursts(state_streams.state_stream(spark, folder), "6 hours")
-    return state_streams.run_to_table(df)
+    """Closed bursts only: a burst is put out once the watermark, a minute behind the newest row, has passed its end."""
+    df = state_streams.run_to_table(state_streams.bursts(state_streams.state_stream(spark, folder), "6 hours"))
+    return df.select("sid", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "changes", "payload", "build_key")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.skew import settle
+
 BUCKETS = 256
 
 
@@ -20,15 +22,29 @@ def publish_once(reports: DataFrame, published: DataFrame) -> DataFrame:
     return df.select(F.when(F.col("__sha").isNull(), F.col("name")).otherwise(stamped).alias("published_name"), "name", "content")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_report_model(path: str, buckets: int = BUCKETS, **tables: DataFrame) -> None:
     """The tables of the report model, each in its folder, split by a hash of the job.
 
     A fixed number of buckets stands for one folder per job: readers still skip most files for one job, and a million jobs
-    do not make a million folders.
+    do not make a million folders. A job that is written again replaces its rows: the buckets it touches are written anew, with
+    the rows of their other jobs, and swapped in when all tasks are done. Rows are dealt to tasks by bucket, and Spark
+    splits buckets that are too large for one task.
     """
     for name, df in tables.items():
+        spark, target = df.sparkSession, f"{path}/{name}"
         out = df.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-        out.write.mode("append").partitionBy("job_bucket").parquet(f"{path}/{name}")
+        if _exists(spark, target):
+            out = settle(out)
+            old, jobs = spark.read.parquet(target), out.select(F.col("job_id").alias("__job")).distinct()
+            touched = F.broadcast(out.select("job_bucket").distinct())      # at most ``buckets`` rows
+            others = old.join(touched, "job_bucket", "left_semi").join(jobs, F.col("job_id").eqNullSafe(F.col("__job")), "left_anti")
+            out = out.unionByName(others, allowMissingColumns=True)
+        out.hint("rebalance", "job_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_bucket").parquet(target)
 
 
 def read_report_model(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_point
 import check
 from resultloom import registry
 
-ROWS_ONLY = {"l6_debounce_stream"}
+ROWS_ONLY: set = set()
 QUERIES = registry.queries()
 
 

@@ -164,6 +164,23 @@ def test_files_and_sinks(spark, tmp_path):
     assert readers.read_report_config(spark, str(tmp_path / "cfg.json")).first()["author"] == "me"
 
 
+def test_report_model_written_again_replaces_its_jobs(spark, tmp_path):
+    path, kind = str(tmp_path / "model"), "job_id long, n long"
+    rows = [(j, n) for j in range(20) for n in range(3)] + [(None, 7)]
+    for _ in range(2):
+        sinks.write_report_model(path, buckets=4, rows=spark.createDataFrame(rows, kind))
+    sinks.write_report_model(path, buckets=4, rows=spark.createDataFrame([(3, 9), (None, 8)], kind).groupBy("job_id").agg(F.max("n").alias("n")))
+    got = [tuple(r) for r in sinks.read_report_model(spark, path, "rows").select("job_id", "n").collect()]
+    want = [(j, n) for j, n in rows if j not in (3, None)] + [(3, 9), (None, 8)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # its own rows, read and changed
+    again = sinks.read_report_model(spark, path, "rows").withColumn("n", F.col("n") + 1)
+    sinks.write_report_model(path, buckets=4, rows=again)
+    got = [tuple(r) for r in sinks.read_report_model(spark, path, "rows").select("job_id", "n").collect()]
+    assert sorted(got, key=str) == sorted(((j, n + 1) for j, n in want), key=str)
+    assert len(list((tmp_path / "model" / "rows").glob("*/*.parquet"))) <= 8
+
+
 def test_publish_once(spark):
     new = spark.createDataFrame([("a.pptx", "1", "2024-01-02 03:04:05"), ("b.pptx", "2", "2024-01-02 03:04:05"), ("c.pptx", "3", "2024-01-02 03:04:05")], "name string, content string, made_at string").withColumn("made_at", F.col("made_at").cast("timestamp"))
     old = spark.createDataFrame([("a.pptx", "1"), ("b.pptx", "x")], "name string, content string")
