@@ -3,8 +3,9 @@
 Texts become words (runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased). A spaced seed is a fixed mask over a
 window of words: the words at its marked places are hashed, the others are ignored, so a changed word spoils only those windows that
 have it at a marked place. Windows of documents whose hash is also one of a benchmark item are hits. Around each hit the words of document and
-item are compared place by place along the hit's diagonal; the stretch of highest score (+1 for an equal word, -``penalty`` for a
-changed one) is an overlap if it has ``min_words`` words or all words of a shorter item. A penalty of 4 asks for 80 % equal words.
+item are compared place by place along the hit's diagonal; the longest stretch whose score (+1 for an equal word, -``penalty`` for a
+changed one) is not below zero is an overlap if it has ``min_words`` words or all words of a shorter item. A penalty of 4 asks for 80 % equal
+words. A stretch begins and ends with an equal word unless it is the whole item (or all of it that the document has room for).
 
 Documents are read once, without a shuffle. Benchmark hashes travel by broadcast in slices of at most ``slice_words`` words; long
 items are cut into overlapping segments first, so the bound holds for any benchmark. More slices mean more scans, never a larger broadcast.
@@ -86,11 +87,21 @@ class Slice:
 
 
 def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int]:
-    """Start and end of the stretch of highest score, the longest and then first of equals."""
+    """Start and end of the longest stretch whose score is not below zero, of equals that of highest score and then the first.
+
+    It is the whole, or begins and ends with an equal word, so changed words around a passage never make it longer.
+    """
     run = np.concatenate(([0], np.cumsum(np.where(same, 1, -penalty))))
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    return int(np.flatnonzero(run[:end + 1] == low[end])[0]), end
+    if run[-1] >= 0:
+        return 0, len(same)
+    ends = np.flatnonzero(same) + 1
+    if not len(ends):
+        return 0, 0
+    # the lowest sum before any allowed start up to each place falls, so the first start that an end can have is found by bisection
+    low = np.minimum.accumulate(np.where(same, run[:-1], len(same) + 1))
+    starts = np.searchsorted(-low, -run[ends])
+    best = np.lexsort((starts, run[starts] - run[ends], starts - ends))[0]
+    return int(starts[best]), int(ends[best])
 
 
 def benchmark_words(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:

@@ -84,3 +84,36 @@ def test_odd_rows_and_long_items(spark):
     assert {r["doc_id"] for r in d.overlaps(docs, bench).collect()} >= {18, 21, 24, None}
     r = d.overlaps(more, bench).collect()
     assert [(x["doc_id"], x["item_id"], x["item_words"], x["overlap_words"] >= 300) for x in r] == [(77, 1, 5000, True)]
+
+
+def plain_stretch(same, penalty):
+    """The longest of all stretches, tried one by one."""
+    ok = [(y - x, sum(same[x:y]), -x) for x in range(len(same)) for y in range(x + 1, len(same) + 1)
+          if sum(same[x:y]) >= penalty * (y - x - sum(same[x:y])) and ((x, y) == (0, len(same)) or same[x] and same[y - 1])]
+    n, _, x = max(ok, default=(0, 0, 0))
+    return -x, n - x
+
+
+def test_stretch_is_the_longest_of_enough_equal_words():
+    rng = random.Random(3)
+    for _ in range(1500):
+        same = [rng.random() < rng.choice((0.5, 0.8, 0.9)) for _ in range(rng.randint(1, 40))]
+        assert d.best_stretch(np.array(same), 4) == plain_stretch(same, 4)
+
+
+def test_passages_of_80_percent_are_found(spark):
+    word = iter([f"w{i}" for i in range(10_000)])
+    cases = [(50, range(4, 50, 5)), (15, (3,)), (16, (3,)), (20, (3, 16)), (27, (12, 13, 14)), (13, (0,)), (13, (12,))]
+    items, docs = [], []
+    for k, (n, changed) in enumerate(cases):
+        w = [next(word) for _ in range(n)]
+        items.append((k, " ".join(w)))
+        docs.append((k, " ".join(["x", "y", *("other" if i in changed else x for i, x in enumerate(w)), "z"])))
+    w = [next(word) for _ in range(40)]
+    items.append((50, " ".join(w)))
+    docs.append((50, " ".join(["x"] * 5 + w[10:22] + ["x"] * 5)))      # 12 equal words: changed ones around them don't count
+    got = found(d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    hit = {k for k, (n, changed) in enumerate(cases)
+           if any(all(p + i not in changed for i, m in enumerate(mask) if m == "1") for mask in MASKS for p in range(n - 11))}
+    assert hit >= {0, 1, 2, 3, 4} and set(got) == {(k, k) for k in hit}
+    assert all(got[k, k][:3] == (cases[k][0], cases[k][0], cases[k][0] - len(cases[k][1])) for k in hit)
