@@ -28,17 +28,20 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id.
 
+    Near duplicates share 0.8 or more of their five-word shingles (Jaccard), checked by the shingles themselves. The query of the operator
+    links by its own contract, three bits of a fingerprint of three-word shingles, which hardly any near copy is within.
+
     Rows of equal id count as one document. Rows without an id stay only if no document of their group has one, and then as one row.
     """
-    groups = stored(simhash.near_duplicates(docs), "groups")
+    groups = stored(simhash.similar_groups(docs), "groups")
     first = few_or_not(stored(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts"))
     out = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
         out = out.dropDuplicates(["doc_id"])
     if groups.filter("component_id IS NULL").take(1):
         nameless = docs.filter("doc_id IS NULL")
-        lone = groups.filter("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("group_fp").alias("__group")).distinct()
-        nameless = simhash.with_fingerprint(nameless, "__fp").join(lone, "__fp").dropDuplicates(["__group"])
+        lone = groups.filter("component_id IS NULL").select(F.col("node").alias("__node"), F.col("group_node").alias("__group")).distinct()
+        nameless = simhash.with_node(nameless, "__node").join(lone, "__node").dropDuplicates(["__group"])
         out = out.unionByName(nameless.select(*docs.columns))
     return out
 

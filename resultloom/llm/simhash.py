@@ -7,6 +7,9 @@ pair of tiles by exclusive-or and bit counts in numpy. A comparison puts out a s
 number of fingerprints; equal fingerprints are one. The share of tile pairs that is skipped grows with ``segments``: about
 50 % with 1, 95 % with 4, 99.8 % with 8 for evenly spread bits.
 
+``similar_groups`` asks for more: a link holds only if the two sets of shingles are as similar as asked. There the fingerprints, two of
+them, only choose what is compared; see it for what they may miss.
+
 Defined results: null, empty and blank texts have fingerprint 0, linked like any other. A component's id is the smallest document
 id in it, null if there is none. Repeated rows each get a row. Other columns are ignored. An empty table gives an empty result.
 """
@@ -15,17 +18,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import extended, stored
+from .common import extended, few_or_not, stored
 from .components import components
+from .text import mixed
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS, TILE = 4, 4096
+SIMILARITY, WIDE_SHINGLE, WIDE_RADII, WIDE_TILE = 0.8, 5, (18, 32), 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -136,6 +142,170 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "group_fp")
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The different hashes of the shingles, sorted; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    parts = zip(*(words[i:] for i in range(shingle))) if len(words) > shingle else [words] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts), np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def with_sets(docs: DataFrame, text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """Adds the set of shingle hashes (``hashes``), its size ``n``, its two fingerprints and the hash ``node`` that names it."""
+    def of(texts: list[bytes]):
+        sets = [shingle_set(t, shingle) for t in texts]
+        longs = lambda values: np.fromiter(values, np.uint64, len(sets)).view(np.int64)
+        return (longs(xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), longs(map(_majority, sets)), longs(_majority(mixed(x)) for x in sets),
+                np.fromiter(map(len, sets), np.int64, len(sets)), [x.tobytes() for x in sets])
+
+    return extended(docs, text, lambda: of, [*((c, "long", pa.int64()) for c in ("node", "fp", "fp2", "n")), ("hashes", "binary", pa.binary())])
+
+
+def with_node(docs: DataFrame, out: str, text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """Adds the name of the set of shingles alone."""
+    def of(texts: list[bytes]):
+        return (np.fromiter((xxhash.xxh3_64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts), np.uint64, len(texts)).view(np.int64),)
+
+    return extended(docs, text, lambda: of, [(out, "long", pa.int64())])
+
+
+def _chains(u: np.ndarray, v: np.ndarray, orders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What the given links connect, connected by a chain in each of the orders: no member has more than two links in a chain."""
+    n = len(orders[0])
+    node, top = _forest(u, v, n)
+    label = np.arange(n)
+    label[node] = top
+    us, vs = [], []
+    for order in orders:
+        chain = np.lexsort((order, label))
+        chain = chain[np.isin(label[chain], top)]
+        joined = label[chain[1:]] == label[chain[:-1]]
+        us.append(chain[:-1][joined])
+        vs.append(chain[1:][joined])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def candidates(a: np.ndarray, b: np.ndarray, same: bool, radii: tuple[int, int], similarity: float, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of two tiles (rows node, fp, fp2, n, label) whose sizes allow the similarity, whose labels differ and whose fingerprints differ in at most
+    ``radii[0]`` bits, both fingerprints together in at most ``radii[1]``. If that is many pairs and not the ``whole`` is asked for, chains of what they connect.
+
+    The third result tells whether these are chains.
+    """
+    a, b = (x[:, np.argsort(x[3], kind="stable")] for x in (a, b))
+    both = a if same else np.concatenate((a, b), axis=1)
+    unsigned = lambda x: np.ascontiguousarray(x).view(np.uint64)
+    fa, ga, fb, gb = unsigned(a[1]), unsigned(a[2]), unsigned(b[1]), unsigned(b[2])
+    n, shift, found, chained = both.shape[1], 0 if same else a.shape[1], 0, False
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    orders = [both[1], both[2], both[0]]
+    for at in range(0, a.shape[1], 64):
+        some = slice(at, at + 64)
+        low = at if same else int(np.searchsorted(b[3], similarity * a[3, at] - 1e-6))
+        high = int(np.searchsorted(b[3], a[3, some][-1] / similarity + 1e-6, "right"))
+        for begin in range(low, high, 8192):
+            part = slice(begin, min(begin + 8192, high))
+            i, j = np.nonzero(np.bitwise_count(fa[some, None] ^ fb[None, part]) <= radii[0])
+            i, j = i + at, j + begin
+            small, large = np.minimum(a[3, i], b[3, j]), np.maximum(a[3, i], b[3, j])
+            near = np.bitwise_count(fa[i] ^ fb[j]).astype(np.int64) + np.bitwise_count(ga[i] ^ gb[j]) <= radii[1]
+            keep = near & (small >= similarity * large - 1e-6) & (a[4, i] != b[4, j]) & ((i < j) if same else True)
+            us.append(i[keep])
+            vs.append(j[keep] + shift)
+            found += int(keep.sum())
+            if found > 8 * n + 1000 and not whole:
+                u, v = _forest(np.concatenate(us), np.concatenate(vs), n)
+                us, vs, found, chained = [u], [v], len(u), True
+    u, v = np.concatenate(us), np.concatenate(vs)
+    if chained:
+        u, v = _chains(u, v, orders)
+    return both[0, u], both[0, v], chained
+
+
+_PAIR = ["own", "own_slot", "cell", "slot"]
+
+
+def _compared(tiles: DataFrame, pairs: DataFrame, radii, similarity, whole) -> DataFrame:
+    a = tiles.select(F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.col("members").alias("a"))
+    rows = pairs.join(a, ["own", "own_slot"]).join(tiles.withColumnRenamed("members", "b"), ["cell", "slot"]).select(*_PAIR, "a", "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            for k, key in enumerate(keys):
+                a, b = (np.stack([f.to_numpy(zero_copy_only=False) for f in batch.column(c)[k].values.flatten()]) for c in (4, 5))
+                u, v, chained = candidates(a, b, key[:2] == key[2:], radii, similarity, whole)
+                for at in range(0, len(u), 1 << 16):
+                    x, y = u[at:at + (1 << 16)], v[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *(pa.array(np.full(len(x), p, np.int64)) for p in key), pa.array(np.full(len(x), chained))],
+                                                     ["u", "v", *_PAIR, "chained"])
+
+    return rows.mapInArrow(compare, "u long, v long, own long, own_slot long, cell long, slot long, chained boolean")
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose sets of shingles are similar enough."""
+    links = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    nodes = few_or_not(stored(links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct(), "nodes"))
+    held = stored(sets.select("node", "hashes").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = links.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                shared = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+                ok.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY,
+                   radii: tuple[int, int] = WIDE_RADII, tile: int = WIDE_TILE) -> DataFrame:
+    """``doc_id, node, component_id, group_node`` per row: groups connected by texts whose sets of shingles have at least this Jaccard similarity.
+
+    Tiles hold sets of like size: sizes that differ by more than ``similarity`` are never compared. Pairs whose two fingerprints are within
+    ``radii`` are checked by their sets, all of them: where a tile pair has too many (a large group of near copies), first chains of
+    what they connect are checked, then all pairs that this has not connected. Only pairs beyond ``radii`` are missed: at a similarity of exactly 0.8 the bits of a
+    fingerprint differ independently with a probability of about 0.15, so about 3 of 1000 such pairs, fewer of more similar ones.
+    """
+    sets = stored(with_sets(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).select("doc_id", "node", "fp", "fp2", "n", "hashes"), "sets")
+    distinct = sets.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")])
+    # a little wider than the similarity asks, so that rounded logarithms never put allowed sizes two cells apart
+    distinct = distinct.withColumn("cell", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(1e-6 - log(similarity))).cast("long"))
+    distinct = stored(distinct, "distinct")
+    wide = distinct.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    distinct = stored(distinct.join(F.broadcast(wide), "cell").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("tiles"))).drop("tiles"), "distinct")
+
+    def tiled(nodes: DataFrame) -> DataFrame:
+        return stored(nodes.groupBy("cell", "slot").agg(F.collect_list(F.struct("node", "fp", "fp2", "n", "label")).alias("members")), "tiles")
+
+    tiles = tiled(distinct.withColumn("label", F.col("node")))
+    ids = tiles.select(F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    pairs = ids.join(tiles.select("cell", "slot"), "cell").filter((F.col("own") < F.col("cell")) | (F.col("own_slot") <= F.col("slot")))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = stored(pairs.select(*_PAIR), "pairs")
+    links = stored(_compared(tiles, pairs.repartition(spread, *_PAIR), radii, similarity, False), "links")
+    good = stored(_verified(links, sets, similarity), "good")
+    groups = components(good)
+    crowded = stored(links.filter("chained").select(*_PAIR).distinct(), "pairs")
+    if crowded.take(1):
+        labelled = distinct.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        rest = _compared(tiled(labelled), crowded.repartition(spread, *_PAIR), radii, similarity, True)
+        groups = components(good.unionByName(_verified(rest, sets, similarity)))
+    named = distinct.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_node"))
+    named = stored(named, "groups")
+    least = named.groupBy("group_node").agg(F.min("first").alias("component_id"))
+    return sets.select("doc_id", "node").join(named.join(least, "group_node").select("node", "group_node", "component_id"), "node").select("doc_id", "node", "component_id", "group_node")
+
+
 def hex_of(fp):
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

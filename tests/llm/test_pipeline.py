@@ -8,7 +8,7 @@ from test_bpe import PLAIN
 from test_quality_rules import plain_counts
 from test_simhash import plain_groups, plain_print
 
-from resultloom.llm import decontaminate, secrets
+from resultloom.llm import decontaminate, secrets, simhash
 from resultloom.llm.common import stored, table
 
 
@@ -45,3 +45,12 @@ def test_stages_on_odd_rows(spark, folder):
                 ids = [r["doc_id"] for r in out.collect() if r["doc_id"] is not None]
                 assert len(ids) == len(set(ids))
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_near_copies_go(spark, folder):
+    """A copy with two of 120 words changed is beyond op5's three bits, but no document of its own."""
+    words = [f"w{i * 7 % 1000}" for i in range(120)]
+    copy = [*words[:30], "x", *words[31:80], "y", *words[81:]]
+    docs = spark.createDataFrame([(5, " ".join(words)), (7, " ".join(copy)), (9, " ".join(words[60:] + ["other"] * 40)), (None, " ".join(copy)), (None, "no copy of anything")], "doc_id long, text string")
+    assert (simhash.fingerprint(" ".join(words).encode()) ^ simhash.fingerprint(" ".join(copy).encode())).bit_count() > simhash.RADIUS
+    assert sorted((str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect())) == ["5", "9", "None"]

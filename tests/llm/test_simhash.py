@@ -101,3 +101,61 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted(((d, f, group[f]) for d, f in rows), key=str)
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
+
+
+def near_copies(rng, crowd):
+    """Texts of 60 to 250 words with copies that differ in some words, and one crowd of copies of a single text."""
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 250))]
+        for _ in range(4):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randint(0, 1 + len(w) // 40)):
+                w[at] = rng.choice(words)
+            texts.append(" ".join(w))
+    base = [rng.choice(words) for _ in range(200)]
+    texts += [" ".join([*base[:at], "Other", *base[at + 1:]]) for at in range(crowd // 2)] + [" ".join([*base, *("tail",) * (k % 7), str(k)]) for k in range(crowd // 2)]
+    return texts
+
+
+def similar(texts, least=0.8):
+    """The smallest number that each text reaches over pairs of this similarity, tried one by one."""
+    sets = [frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    root, pairs = list(range(len(texts))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= least * (len(a) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+                pairs += a != sets[j]
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def test_similar_groups_are_those_of_all_pairs(spark):
+    texts = near_copies(random.Random(9), 300)
+    want, pairs = similar(texts)
+    assert pairs > 8 * len(texts) + 1000 and len(set(want)) > 50       # the crowd is first joined by chains
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (40, 1 << 14):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, tile=tile).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
+def test_no_chain_takes_what_is_less_similar():
+    """Of a crowd within the radii, all pairs are compared that the chains have not connected."""
+    rng = np.random.default_rng(3)
+    fp = np.arange(200, dtype=np.int64) % 8
+    tile = np.stack((np.arange(200), fp, fp, np.full(200, 100), np.arange(200) // 100))
+    u, v, chained = simhash.candidates(tile, tile, True, (18, 32), 0.8, True)
+    assert not chained and len(u) == 100 * 100 and ((u < 100) != (v < 100)).all()
+    tile[4] = rng.permutation(200)
+    u, v, chained = simhash.candidates(tile, tile, True, (18, 32), 0.8, False)
+    assert chained and len(u) == 3 * 199
