@@ -1,12 +1,12 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Every rule is a number per document that is large for bad ones. Labelled documents are held out to choose, for each rule and
-stratum, a cutoff from a fixed grid. A cutoff is allowed only if an exact binomial test shows that it rejects less than the rule's
-share of good documents: with ``n`` good documents of which ``k`` are rejected, the probability of ``k`` or fewer at a rate of
-``share`` must be at most ``delta`` divided by the number of tests (all rules, cutoffs and strata: Bonferroni). The rules of
-a stratum share its limit ``alpha`` equally, so with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good
-documents to the rules together. Of the allowed cutoffs the one that rejects most bad documents beyond the good ones is
-taken; a rule with no allowed or no useful cutoff rejects nothing in that stratum. Strata without labels thus keep everything.
+Every rule is a number per document that is large for bad ones. For each stratum one nested order of cutoffs is fixed first, from the bad
+labelled documents and a share of the good ones (``DESIGN``): it begins with no cutoff, and each step lowers one rule's cutoff on a fixed grid to the next one that
+rejects more bad documents, that of the fewest good ones for each bad one first. The other good documents test the steps in this order: a step is allowed
+if the steps before are, and if an exact binomial test shows that all rules together reject less than ``alpha`` of the good documents. With ``n`` good documents of which ``k`` are rejected, the
+probability of ``k`` or fewer at a rate of ``alpha`` must be at most ``delta`` divided by the number of strata. The first step that loses too many good
+documents is the only one whose test counts (fixed sequence), so with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good
+documents to the rules together. The last allowed step holds; a rule that adds nothing rejects nothing. Strata without labels thus keep everything.
 
 Defined results: null texts count as empty; a null stratum is a stratum of its own; labels without a quality are ignored, repeated labels
 count once each; documents that are repeated rows get the same verdict. Columns of the input are kept, and one with
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import extended, few_or_not, stored
 
 ALPHA, DELTA = 0.02, 0.05
+DESIGN = 5   # one good labelled document of so many helps to choose the order of cutoffs, and tests nothing
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
 
 # fixed values: the character classes of the counts
@@ -97,28 +98,63 @@ def tail(n: int, k: int, rate: float) -> float:
     return min(1.0, math.exp(high) * total)
 
 
-def cutoffs(labelled: DataFrame, stratum: str, good: str, alpha: float = ALPHA, delta: float = DELTA, counts: str = "counts") -> DataFrame:
-    """``stratum, rule, cutoff``: the guaranteed cutoffs, from labelled documents (``good`` boolean) with their counts."""
-    marks = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _signal(r, counts).alias("x")) for r in RULES])).alias("m")
-    hist = (labelled.select(F.col(stratum).alias("stratum"), F.col(good).alias("good"), marks)
-            .select("stratum", "good", "m.rule", F.aggregate(F.array(*map(F.lit, GRID)), F.lit(0), lambda n, c: n + (F.col("m.x") > c).cast("int")).alias("above"))
-            .groupBy("stratum", "rule", "above").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")))
-    # ``above`` cutoffs of the grid lie below the value: a handful of rows per stratum and rule from here on
-    table = (hist.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))))
-             .groupBy("stratum", "rule", "at").agg(F.sum("good").alias("n_good"), F.sum(F.when(F.col("above") > F.col("at"), F.col("good")).otherwise(0)).alias("lost"),
-                                                   F.sum(F.when(F.col("above") > F.col("at"), F.col("bad")).otherwise(0)).alias("caught")))
-    table = stored(table, "cutoffs")
-    tests = max(1, table.count())
-    share = alpha / len(RULES)
+def nested_order(levels: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[tuple[int, int]]:
+    """(rule, cutoff of the grid) step by step; ``levels`` are numbers of cutoffs below each value, with the good and bad documents that have them."""
+    at, alive, steps = [len(GRID)] * levels.shape[1], np.ones(len(levels), bool), []
+    while True:
+        best = None
+        for r in range(levels.shape[1]):
+            # what a cutoff would reject beyond the steps before
+            gain, lost = (np.cumsum(np.bincount(levels[alive, r], x[alive], len(GRID) + 1)[::-1])[::-1][1:] for x in (bad, good))
+            lower = np.flatnonzero(gain[:at[r]] > lost[:at[r]])
+            if len(lower):
+                c = int(lower[-1])
+                best = min(best or (math.inf,), (lost[c] / gain[c], -c, r))
+        if best is None:
+            return steps
+        c, r = -best[1], best[2]     # of equals the loosest
+        at[r] = c
+        alive &= levels[:, r] <= c
+        steps.append((r, c))
+
+
+def cutoffs(labelled: DataFrame, stratum: str, good: str, alpha: float = ALPHA, delta: float = DELTA, counts: str = "counts", key: str | None = None) -> DataFrame:
+    """``stratum, rule, cutoff``: the guaranteed cutoffs, from labelled documents (``good`` boolean) with their counts. Rows of one ``key`` are one document's."""
+    def level_of(x):
+        return F.aggregate(F.array(*map(F.lit, GRID)), F.lit(0), lambda n, c: n + (x > c).cast("int"))
+
+    level = F.array(*[level_of(_signal(r, counts)) for r in RULES])
+    chosen = F.pmod(F.xxhash64(F.lit("design"), F.col(key) if key else F.monotonically_increasing_id()), F.lit(DESIGN)) == 0
+    rows = labelled.select(F.col(stratum).alias("stratum"), F.col(good).alias("good"), chosen.alias("chosen"), level.alias("levels"))
+    hist = stored(rows.groupBy("stratum", "good", "chosen", "levels").agg(F.count(F.lit(1)).alias("n")), "levels")
+    kind = hist.schema["stratum"].dataType.simpleString()
+
+    def order(group: pa.Table) -> pa.Table:
+        n, is_good = group["n"].to_numpy(), np.array(group["good"].to_pylist(), bool)
+        steps = nested_order(np.array(group["levels"].to_pylist(), np.int64), n * is_good, n * ~is_good)
+        return pa.table({"stratum": pa.array([group["stratum"][0].as_py()] * len(steps), group.schema.field("stratum").type), "step": pa.array(range(len(steps)), pa.int32()),
+                         "rule": pa.array([r for r, _ in steps], pa.int32()), "at": pa.array([c for _, c in steps], pa.int32())})
+
+    # documents of equal levels are one row: thousands at most for a stratum
+    seen = hist.filter("NOT good OR chosen").groupBy("stratum", "good", "levels").agg(F.sum("n").alias("n"))
+    path = stored(seen.groupBy("stratum").applyInArrow(order, f"stratum {kind}, step int, rule int, at int"), "order")
+    strata = max(1, path.select("stratum").distinct().count())
+    whole = path.groupBy(F.col("stratum").alias("__stratum")).agg(F.collect_list(F.struct("step", "rule", "at")).alias("path"))
+    first = F.array_min(F.transform(F.filter("path", lambda p: F.get(F.col("levels"), p["rule"]) > p["at"]), lambda p: p["step"]))
+    tested = hist.filter("good AND NOT chosen").join(F.broadcast(whole), F.col("stratum").eqNullSafe(F.col("__stratum"))).select("__stratum", first.alias("first"), "n")
+    tested = tested.groupBy("__stratum", "first").agg(F.sum("n").alias("n"))     # a row per step at most
+    lost = path.join(tested, F.col("stratum").eqNullSafe(F.col("__stratum"))).groupBy("stratum", "step", "rule", "at").agg(
+        F.sum("n").alias("n_good"), F.sum(F.when(F.col("first") <= F.col("step"), F.col("n")).otherwise(0)).alias("lost"))
 
     def test(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for n, k in batches:
-            yield pa.array([tail(a, b, share) <= delta / tests for a, b in zip(n.to_pylist(), k.to_pylist())], pa.bool_())
+            yield pa.array([tail(a, b, alpha) <= delta / strata for a, b in zip(n.to_pylist(), k.to_pylist())], pa.bool_())
 
-    safe = F.arrow_udf(test, "boolean")(F.col("n_good"), F.col("lost"))
-    gain = F.col("caught") - F.col("lost")
-    best = table.withColumn("safe", safe).filter(F.col("safe") & (gain > 0)).groupBy("stratum", "rule").agg(F.max_by("at", F.struct(gain, "at")).alias("at"))
-    return best.select("stratum", "rule", F.element_at(F.array(*map(F.lit, GRID)), F.col("at") + 1).alias("cutoff"))
+    judged = stored(lost.withColumn("safe", F.arrow_udf(test, "boolean")(F.col("n_good"), F.col("lost"))), "steps")
+    end = judged.filter("NOT safe").groupBy(F.col("stratum").alias("__stratum")).agg(F.min("step").alias("end"))
+    held = judged.join(F.broadcast(end), F.col("stratum").eqNullSafe(F.col("__stratum")), "left").filter("end IS NULL OR step < end")
+    held = held.groupBy("stratum", "rule").agg(F.min("at").alias("at"))
+    return held.select("stratum", F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1).alias("rule"), F.element_at(F.array(*map(F.lit, GRID)), F.col("at") + 1).alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang", quality: str = "quality",
@@ -127,7 +163,7 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     hold = labels.filter(F.col(quality).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), (F.col(quality) > 0).alias("good"))
     known = with_counts(docs.select(F.col(id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")).join(few_or_not(stored(hold, "labels")), "doc_id"))
     # a document that fails the base rules is rejected anyway and says nothing about the cutoffs
-    chosen = cutoffs(stored(known.select("stratum", "good", "counts"), "labelled").filter(~base_failed()), "stratum", "good", alpha, delta)
+    chosen = cutoffs(stored(known.select("doc_id", "stratum", "good", "counts"), "labelled").filter(~base_failed()), "stratum", "good", alpha, delta, key="doc_id")
     per_stratum = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
     per_stratum = stored(per_stratum.select(F.col("stratum").alias("__stratum"), F.struct(*RULES).alias("__cut")), "cutoffs")
     out = with_counts(docs, text).join(per_stratum, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")

@@ -68,3 +68,21 @@ def test_cutoffs_hold_their_limit(spark):
         assert ok and got[lang, "symbols"] == q.GRID[max(ok)[1]]
         assert sum(g and x > got[lang, "symbols"] for g, x in mine) <= q.ALPHA * n
     assert {r for _, r in got} == {"symbols"}
+
+
+def test_few_hundred_good_labels_give_a_cutoff(spark):
+    """About 300 good documents per stratum certify a rule that rejects none of them; a stratum of 100 gets nothing, and what good ones share is kept."""
+    rows = [(lang, good, (100, 500, 30 + i % 20 if not good else i % 9, 0, 0, 10, 5, 8, 60 + i % 40))
+            for lang, n in (("en", 320), ("de", 320), (None, 320), ("few", 100)) for good in (True, False) for i in range(n)]
+    kind = "stratum string, good boolean, counts struct<" + ",".join(f"{c}:long" for c in q.COUNTS) + ">"
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in q.cutoffs(spark.createDataFrame(rows, kind), "stratum", "good").collect()}
+    assert {s for s, _ in got} == {"en", "de", None} and all(r == "symbols" and 0.02 <= c < 0.06 for (_, r), c in got.items())
+
+
+def test_limit_holds_for_all_rules_together():
+    """Steps are nested, and where two rules each lose good documents the joint loss is what is tested."""
+    import numpy as np
+    levels = np.array([[0] * 6, [5, 0, 0, 0, 0, 0], [0, 9, 0, 0, 0, 0], [5, 9, 0, 0, 0, 0]])
+    steps = q.nested_order(levels, np.array([100, 1, 2, 0]), np.array([0, 50, 10, 5]))
+    assert steps == [(1, 8), (0, 4)] or steps == [(0, 4), (1, 8)]
+    assert all(b[1] < a[1] for r in range(6) for a, b in zip([s for s in steps if s[0] == r], [s for s in steps if s[0] == r][1:]))
