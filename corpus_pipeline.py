@@ -31,13 +31,17 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates share 0.8 or more of their five-word shingles (Jaccard), checked by the shingles themselves. The query of the operator
     links by its own contract, three bits of a fingerprint of three-word shingles, which hardly any near copy is within.
 
-    Rows of equal id count as one document. Rows without an id stay only if no document of their group has one, and then as one row.
+    Where ids repeat, each group still keeps one row: that of the smallest id and then of the smallest hash of its shingles. Rows without an id stay only if no document of their group has one, and then as one row.
     """
     groups = stored(simhash.similar_groups(docs), "groups")
-    first = few_or_not(stored(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts"))
-    out = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
+        # an id may name rows of several groups: each group is represented by its own row
+        first = groups.filter("doc_id IS NOT NULL").groupBy("group_node").agg(F.min(F.struct("doc_id", F.col("node").alias("__node"))).alias("first"))
+        first = few_or_not(stored(first.select("first.*"), "firsts"))
+        out = simhash.with_node(docs, "__node").join(first, ["doc_id", "__node"], "left_semi").dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
+    else:
+        first = few_or_not(stored(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "firsts"))
+        out = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     if groups.filter("component_id IS NULL").take(1):
         nameless = docs.filter("doc_id IS NULL")
         lone = groups.filter("component_id IS NULL").select(F.col("node").alias("__node"), F.col("group_node").alias("__group")).distinct()

@@ -54,3 +54,10 @@ def test_near_copies_go(spark, folder):
     docs = spark.createDataFrame([(5, " ".join(words)), (7, " ".join(copy)), (9, " ".join(words[60:] + ["other"] * 40)), (None, " ".join(copy)), (None, "no copy of anything")], "doc_id long, text string")
     assert (simhash.fingerprint(" ".join(words).encode()) ^ simhash.fingerprint(" ".join(copy).encode())).bit_count() > simhash.RADIUS
     assert sorted((str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect())) == ["5", "9", "None"]
+
+
+def test_each_group_keeps_a_row_where_ids_repeat(spark, folder):
+    """Of two rows of one id and unlike texts none is lost, and the row that goes is the near copy."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    docs = spark.createDataFrame([(1, x), (3, x + " more"), (3, y), (5, z), (5, y + " more"), (5, z)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()) == [(1, x), (3, y), (5, z)]
