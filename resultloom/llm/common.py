@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from resultloom.plans.skew import scratch_folder
@@ -72,3 +74,37 @@ def extended(df: DataFrame, text: str, fn, added: list[tuple[str, str, pa.DataTy
 
     schema = T.StructType([*(f for f in source.schema.fields if f.name in kept), *(T.StructField(n, T._parse_datatype_string(k)) for n, k, _ in added)])
     return source.mapInArrow(of, schema)
+
+
+def in_order(df: DataFrame, keys: list[str], name: str, sums: dict[str, str] | None = None, changes: dict[str, str] | None = None) -> DataFrame:
+    """The rows in the order of ``keys``, written as runs that follow one another; nulls come first.
+
+    Added: ``run`` and ``at`` (place in the run, from 0); for each of ``sums`` the sum of a long column over the rows before it in its run; for each of
+    ``changes`` whether a column differs from the row before (true on the first row of a run). Runs are ranges of the keys, so no key is too
+    frequent as long as all keys together tell rows apart. ``df`` is read twice: it should be a written table.
+    """
+    sums, changes = sums or {}, changes or {}
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = df.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, at, before, last = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0), {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            added = [pa.array(np.full(n, run, np.int32)), pa.array(np.arange(at, at + n))]
+            at += n
+            for out, column in sums.items():
+                ends = before[out] + np.cumsum(batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64))
+                added.append(pa.array(np.concatenate(([before[out]], ends[:-1]))))
+                before[out] = int(ends[-1])
+            for out, column in changes.items():
+                values = batch.column(column).to_pylist()
+                added.append(pa.array([a != b for a, b in zip(values, [last.get(out, ()), *values])]))
+                last[out] = values[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, "run", "at", *sums, *changes])
+
+    added = [("run", T.IntegerType()), ("at", T.LongType()), *((c, T.LongType()) for c in sums), *((c, T.BooleanType()) for c in changes)]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, t) for c, t in added)])
+    return stored(df.repartitionByRange(count, *keys).sortWithinPartitions(*keys).mapInArrow(number, schema), name)

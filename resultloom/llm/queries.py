@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from . import bpe, cotraining, decontaminate, packing, quality_rules, repeats, secrets, simhash, url_lists, warc
+from . import bpe, cotraining, decontaminate, filter_audit, manifest, packing, quality_rules, repeats, secrets, sharding, simhash, url_lists, warc
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -131,3 +131,66 @@ def radix_suffix_dedup(spark, sf_dir):
     found = repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["finish"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+AUDIT_SQL = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN min(doc_id) OVER (PARTITION BY x) < doc_id THEN 16 ELSE 0 END AS mask FROM t),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT chr(CAST(65 + i AS INTEGER)) AS c, 1 << i AS b FROM range(5) g(i)),
+orders AS (SELECT v.c || w.c || x.c || y.c || z.c AS o FROM l v, l w, l x, l y, l z WHERE (v.b | w.b | x.b | y.b | z.b) = 31),
+steps AS (SELECT o, step, substr(o, step, 1) AS letter, 1 << (ascii(substr(o, step, 1)) - 65) AS bit, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, i, 1)) - 65))), 0)::INTEGER AS prior FROM orders, range(1, 6) g(step)),
+r AS (SELECT part, o, step, letter, coalesce(sum(n) FILTER (mask & (prior | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & prior = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & prior <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & prior = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & prior = 0), 0) AS toxic_lost
+  FROM h, steps GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, letter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def filter_interactions(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_minimax_shards")
+def minimax_shards(spark, sf_dir):
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+MANIFEST_SQL = """
+WITH RECURSIVE codes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS codes FROM range(256) g(i)),
+d AS (SELECT *, row_number() OVER () AS r, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+  lambda c, b: xor(c >> 8, codes[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, codes),
+pairs AS (SELECT r, doc_id, source, lang, n_chars, 0 AS changed, text FROM d UNION ALL SELECT r, doc_id, source, lang, n_chars, 1, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END FROM d),
+h AS (SELECT r, doc_id, source, changed, sha256(array_to_string(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text],
+  lambda v: CASE WHEN v IS NULL THEN '-' ELSE octet_length(encode(v)) || ':' || v END), '')) AS leaf FROM pairs),
+leaves AS (SELECT a.r, a.doc_id, coalesce('s' || a.source, '') AS g, a.leaf, b.leaf AS now_, row_number() OVER (PARTITION BY a.source ORDER BY a.doc_id NULLS FIRST, a.leaf) - 1 AS idx, count(*) OVER (PARTITION BY a.source) AS n
+  FROM h a JOIN h b USING (r) WHERE a.changed = 0 AND b.changed = 1),
+low AS (SELECT 0 AS lvl, g, idx, n, leaf AS h FROM leaves UNION ALL SELECT lvl + 1, g, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY lvl, g, idx // 3, n),
+subs AS (SELECT g, lvl AS height, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, idx, n, h FROM subs UNION ALL SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY lvl, idx // 3, n),
+own AS (SELECT v.r, l.lvl, l.g, 0 AS top, l.idx, l.lvl AS nth FROM leaves v JOIN low l ON l.g = v.g AND l.idx = v.idx // CAST(3 ** l.lvl AS BIGINT) AND l.n > 1
+  UNION ALL SELECT v.r, u.lvl, v.g, 1, u.idx, s.height + u.lvl FROM leaves v JOIN subs s USING (g) JOIN high u ON u.idx = s.idx // CAST(3 ** u.lvl AS BIGINT) AND u.n > 1),
+every AS (SELECT 0 AS top, g, lvl, idx, h FROM low UNION ALL SELECT 1, '', lvl, idx, h FROM high),
+steps AS (SELECT o.r, o.nth, coalesce(string_agg(e.h, '' ORDER BY e.idx) FILTER (e.idx < o.idx), '') AS ahead, coalesce(string_agg(e.h, '' ORDER BY e.idx) FILTER (e.idx > o.idx), '') AS behind
+  FROM own o LEFT JOIN every e ON e.top = o.top AND e.lvl = o.lvl AND e.g = CASE WHEN o.top = 0 THEN o.g ELSE '' END AND e.idx // 3 = o.idx // 3 AND e.idx <> o.idx GROUP BY o.r, o.nth),
+fold AS (SELECT r, 0 AS nth, now_ AS h FROM leaves UNION ALL SELECT f.r, f.nth + 1, sha256(s.ahead || f.h || s.behind) FROM fold f JOIN steps s ON s.r = f.r AND s.nth = f.nth),
+ends AS (SELECT r, arg_max(h, nth) AS h FROM fold GROUP BY r),
+proofs AS (SELECT r, string_agg(ahead || behind, '' ORDER BY nth) AS p FROM steps GROUP BY r)
+SELECT v.doc_id, v.leaf, s.h AS subroot, t.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM leaves v JOIN subs s USING (g) JOIN ends e USING (r) LEFT JOIN proofs p USING (r), (SELECT h FROM high WHERE n = 1) t"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    fields = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in manifest.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, manifest.leaf_of(*fields))
+    found = manifest.manifest(docs, tampered=tampered)
+    hexed = found.select("doc_id", *[manifest.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], manifest.as_text(manifest.proof_of(F.col("path"))).alias("proof_sha256"),
+                         manifest.as_text(manifest.folded(F.coalesce("tampered", "leaf"), F.col("path"))).alias("folded_root"))
+    return hexed.withColumn("verified", F.col("folded_root") == F.col("root"))
