@@ -26,13 +26,33 @@ def shared_path(spark, name: str) -> str:
     return f"{scratch_folder(spark)}/resultloom-llm/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[list[str]] = []   # tables written inside each call of ``finished`` that is under way
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark, name: str, build) -> DataFrame:
+    """Stores what ``build()`` gives and removes the tables that were stored on the way to it; nothing is removed before the result is written."""
+    _written.append([])
+    try:
+        out = stored(build(), name)
+    finally:
+        made = _written.pop()
+    for path in made[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if _written:
+        _written[-1].append(made[-1])
+    return out
+
+
 def few_or_not(ids: DataFrame) -> DataFrame:
     """A table of ids, to be broadcast if it has at most ``FEW`` rows; beyond that the join shuffles both sides."""
     return F.broadcast(ids) if ids.count() <= FEW else ids

@@ -31,7 +31,8 @@ from .text import mixed
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS, TILE = 4, 4096
-SIMILARITY, WIDE_SHINGLE, WIDE_RADII, WIDE_TILE = 0.8, 5, (18, 32), 1 << 14
+SIMILARITY, WIDE_SHINGLE, WIDE_RADII = 0.8, 5, (18, 32)
+WIDE_TILE, CROWD_BYTES = 1 << 17, 8 << 20   # members of a tile; bytes of the sets in a tile of a crowd
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -156,15 +157,17 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def with_sets(docs: DataFrame, text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """Adds the set of shingle hashes (``hashes``), its size ``n``, its two fingerprints and the hash ``node`` that names it."""
+def with_prints(docs: DataFrame, text: str = "text", shingle: int = WIDE_SHINGLE, sets: bool = False) -> DataFrame:
+    """Adds the hash ``node`` that names a text's set of shingles, its size ``n`` and its two fingerprints ``fp, fp2``; or ``node`` and the set itself (``hashes``)."""
     def of(texts: list[bytes]):
-        sets = [shingle_set(t, shingle) for t in texts]
-        longs = lambda values: np.fromiter(values, np.uint64, len(sets)).view(np.int64)
-        return (longs(xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), longs(map(_majority, sets)), longs(_majority(mixed(x)) for x in sets),
-                np.fromiter(map(len, sets), np.int64, len(sets)), [x.tobytes() for x in sets])
+        found = [shingle_set(t, shingle) for t in texts]
+        longs = lambda values: np.fromiter(values, np.uint64, len(found)).view(np.int64)
+        nodes = longs(xxhash.xxh3_64_intdigest(x.tobytes()) for x in found)
+        if sets:
+            return nodes, [x.tobytes() for x in found]
+        return nodes, longs(map(_majority, found)), longs(_majority(mixed(x)) for x in found), np.fromiter(map(len, found), np.int64, len(found))
 
-    return extended(docs, text, lambda: of, [*((c, "long", pa.int64()) for c in ("node", "fp", "fp2", "n")), ("hashes", "binary", pa.binary())])
+    return extended(docs, text, lambda: of, [("node", "long", pa.int64()), *([("hashes", "binary", pa.binary())] if sets else [(c, "long", pa.int64()) for c in ("fp", "fp2", "n")])])
 
 
 def with_node(docs: DataFrame, out: str, text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
@@ -191,19 +194,11 @@ def _chains(u: np.ndarray, v: np.ndarray, orders: list[np.ndarray]) -> tuple[np.
     return np.concatenate(us), np.concatenate(vs)
 
 
-def candidates(a: np.ndarray, b: np.ndarray, same: bool, radii: tuple[int, int], similarity: float, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of two tiles (rows node, fp, fp2, n, label) whose sizes allow the similarity, whose labels differ and whose fingerprints differ in at most
-    ``radii[0]`` bits, both fingerprints together in at most ``radii[1]``. If that is many pairs and not the ``whole`` is asked for, chains of what they connect.
-
-    The third result tells whether these are chains.
-    """
-    a, b = (x[:, np.argsort(x[3], kind="stable")] for x in (a, b))
-    both = a if same else np.concatenate((a, b), axis=1)
+def _within(a: np.ndarray, b: np.ndarray, same: bool, radii: tuple[int, int], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of two tiles, block by block, whose sizes allow the similarity and whose fingerprints differ in at most ``radii[0]`` bits, both
+    fingerprints together in at most ``radii[1]``. Tiles are rows node, fp, fp2, n in the order of n. Blocks come row of ``a`` by row."""
     unsigned = lambda x: np.ascontiguousarray(x).view(np.uint64)
     fa, ga, fb, gb = unsigned(a[1]), unsigned(a[2]), unsigned(b[1]), unsigned(b[2])
-    n, shift, found, chained = both.shape[1], 0 if same else a.shape[1], 0, False
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    orders = [both[1], both[2], both[0]]
     for at in range(0, a.shape[1], 64):
         some = slice(at, at + 64)
         low = at if same else int(np.searchsorted(b[3], similarity * a[3, at] - 1e-6))
@@ -214,46 +209,114 @@ def candidates(a: np.ndarray, b: np.ndarray, same: bool, radii: tuple[int, int],
             i, j = i + at, j + begin
             small, large = np.minimum(a[3, i], b[3, j]), np.maximum(a[3, i], b[3, j])
             near = np.bitwise_count(fa[i] ^ fb[j]).astype(np.int64) + np.bitwise_count(ga[i] ^ gb[j]) <= radii[1]
-            keep = near & (small >= similarity * large - 1e-6) & (a[4, i] != b[4, j]) & ((i < j) if same else True)
-            us.append(i[keep])
-            vs.append(j[keep] + shift)
-            found += int(keep.sum())
-            if found > 8 * n + 1000 and not whole:
-                u, v = _forest(np.concatenate(us), np.concatenate(vs), n)
-                us, vs, found, chained = [u], [v], len(u), True
+            keep = near & (small >= similarity * large - 1e-6) & ((i < j) if same else True)
+            if keep.any():
+                yield i[keep], j[keep]
+
+
+def candidates(a: np.ndarray, b: np.ndarray, same: bool, radii: tuple[int, int], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of two tiles as two arrays of nodes. If there are many of them, a *crowd*: only chains of what they connect, and all nodes that are in a pair."""
+    a, b = (x[:, np.argsort(x[3], kind="stable")] for x in (a, b))
+    both = a if same else np.concatenate((a, b), axis=1)
+    n, shift, found, chained = both.shape[1], 0 if same else a.shape[1], 0, False
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    paired = np.zeros(n, bool)
+    for i, j in _within(a, b, same, radii, similarity):
+        us.append(i)
+        vs.append(j + shift)
+        paired[i] = paired[j + shift] = True
+        found += len(i)
+        if found > 8 * n + 1000:
+            u, v = _forest(np.concatenate(us), np.concatenate(vs), n)
+            us, vs, found, chained = [u], [v], len(u), True
     u, v = np.concatenate(us), np.concatenate(vs)
     if chained:
-        u, v = _chains(u, v, orders)
-    return both[0, u], both[0, v], chained
+        u, v = _chains(u, v, [both[1], both[2], both[0]])
+    return both[0, u], both[0, v], both[0, paired] if chained else both[0, :0]
 
 
 _PAIR = ["own", "own_slot", "cell", "slot"]
 
 
-def _compared(tiles: DataFrame, pairs: DataFrame, radii, similarity, whole) -> DataFrame:
+def _tiled(nodes: DataFrame, fields: list[str], per_tile, name: str) -> tuple[DataFrame, DataFrame]:
+    """Tiles of the nodes of each cell, and which tiles are compared: those of one cell and of two neighbouring ones. ``per_tile`` is the number of tiles of a cell."""
+    wide = stored(nodes.groupBy("cell").agg(F.ceil(per_tile).cast("long").alias("tiles")), name)   # one row per cell: the logarithm of a size
+    slots = nodes.join(F.broadcast(wide), "cell").withColumn("slot", F.pmod(F.xxhash64("node"), F.greatest("tiles", F.lit(1))))
+    tiles = stored(slots.groupBy("cell", "slot").agg(F.collect_list(F.struct(*fields)).alias("members")), name)
+    ids = tiles.select(F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    pairs = ids.join(tiles.select("cell", "slot"), "cell").filter((F.col("own") < F.col("cell")) | (F.col("own_slot") <= F.col("slot")))
+    return tiles, stored(pairs.select(*_PAIR), name)
+
+
+def _compared(tiles: DataFrame, pairs: DataFrame, compare, out: list[str]) -> DataFrame:
+    """``compare(a, b, same)`` on each pair of tiles; columns of its arrays are ``out``. Tiles travel to the tasks of their pairs."""
+    spread = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = tiles.select(F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.col("members").alias("a"))
-    rows = pairs.join(a, ["own", "own_slot"]).join(tiles.withColumnRenamed("members", "b"), ["cell", "slot"]).select(*_PAIR, "a", "b")
+    rows = pairs.repartition(spread, *_PAIR).join(a, ["own", "own_slot"]).join(tiles.withColumnRenamed("members", "b"), ["cell", "slot"]).select(*_PAIR, "a", "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            for k, key in enumerate(keys):
-                a, b = (np.stack([f.to_numpy(zero_copy_only=False) for f in batch.column(c)[k].values.flatten()]) for c in (4, 5))
-                u, v, chained = candidates(a, b, key[:2] == key[2:], radii, similarity, whole)
-                for at in range(0, len(u), 1 << 16):
-                    x, y = u[at:at + (1 << 16)], v[at:at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *(pa.array(np.full(len(x), p, np.int64)) for p in key), pa.array(np.full(len(x), chained))],
-                                                     ["u", "v", *_PAIR, "chained"])
+            for k, (own, own_slot, cell, slot) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                found = compare(batch.column(4)[k].values, batch.column(5)[k].values, (own, own_slot) == (cell, slot))
+                for at in range(0, len(found[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 16)]) for x in found], out)
+
+    return rows.mapInArrow(of, ", ".join(f"{c} long" for c in out))
+
+
+def _numbers(members: pa.StructArray) -> np.ndarray:
+    return np.stack([members.field(c).to_numpy(zero_copy_only=False) for c in range(4)])
+
 
-    return rows.mapInArrow(compare, "u long, v long, own long, own_slot long, cell long, slot long, chained boolean")
+def _connected(a: pa.StructArray, b: pa.StructArray, same: bool, radii: tuple[int, int], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of two tiles (node, fp, fp2, n, label, hashes) that connect all candidate pairs of different labels whose sets are similar enough.
+
+    Every such pair is checked by its sets unless links found before connect it.
+    """
+    sides = []
+    for x in (a, b):
+        x = x.take(pa.array(np.argsort(x.field(3).to_numpy(zero_copy_only=False), kind="stable")))
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in x.field(5)]
+        sides.append((_numbers(x), x.field(4).to_numpy(zero_copy_only=False), sets))
+    (a, label_a, sets_a), (b, label_b, sets_b) = sides
+    _, root = np.unique(label_a if same else np.concatenate((label_a, label_b)), return_inverse=True)
+    flat, begin = np.concatenate([*sets_b, np.zeros(1, np.uint64)]), np.concatenate(([0], np.cumsum([len(x) for x in sets_b]))).astype(np.int64)
+    shift = 0 if same else len(sets_a)
+    us, vs = [], []
+    for rows, columns in _within(a, b, same, radii, similarity):
+        for i in np.unique(rows):
+            js = columns[rows == i]
+            js = js[np.argsort(np.bitwise_count(a[1, i:i + 1].view(np.uint64) ^ b[1, js].view(np.uint64)), kind="stable")]
+            mine, size = sets_a[i], 1
+            while len(js := js[root[js + shift] != root[i]]):
+                # the nearest first, then more at a time: whatever a link connects needs no check any more
+                part, js, size = js[:size], js[size:], min(8 * size, 1024)
+                n = begin[part + 1] - begin[part]
+                ends = np.cumsum(n)
+                values = flat[np.arange(ends[-1]) - np.repeat(ends - n - begin[part], n)]
+                at = np.minimum(np.searchsorted(mine, values), max(len(mine) - 1, 0))
+                hits = np.concatenate(([0], np.cumsum(mine[at] == values if len(mine) else np.zeros(len(values), bool))))
+                shared = hits[ends] - hits[ends - n]
+                for j in part[shared >= similarity * (len(mine) + n - shared) - 1e-9]:
+                    if root[j + shift] != root[i]:
+                        us.append(a[0, i])
+                        vs.append(b[0, j])
+                        root[root == root[j + shift]] = root[i]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, hashes`` of the wanted nodes (``node, first``), made anew from the texts of the documents that stand for them."""
+    some = docs.join(few_or_not(stored(nodes.filter("first IS NOT NULL").select(F.col("first").alias("doc_id")).distinct(), "wanted")), "doc_id", "left_semi")
+    if nodes.filter("first IS NULL").take(1):
+        some = some.unionByName(docs.filter("doc_id IS NULL"))
+    wanted = few_or_not(nodes.select("node"))
+    return stored(with_prints(some, "text", shingle, sets=True).select("node", "hashes").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose sets of shingles are similar enough."""
-    links = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    nodes = few_or_not(stored(links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct(), "nodes"))
-    held = stored(sets.select("node", "hashes").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = links.join(held.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    both = links.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,42 +331,44 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY,
-                   radii: tuple[int, int] = WIDE_RADII, tile: int = WIDE_TILE) -> DataFrame:
+                   radii: tuple[int, int] = WIDE_RADII, tile: int = WIDE_TILE, crowd_bytes: int = CROWD_BYTES) -> DataFrame:
     """``doc_id, node, component_id, group_node`` per row: groups connected by texts whose sets of shingles have at least this Jaccard similarity.
 
     Tiles hold sets of like size: sizes that differ by more than ``similarity`` are never compared. Pairs whose two fingerprints are within
-    ``radii`` are checked by their sets, all of them: where a tile pair has too many (a large group of near copies), first chains of
-    what they connect are checked, then all pairs that this has not connected. Only pairs beyond ``radii`` are missed: at a similarity of exactly 0.8 the bits of a
-    fingerprint differ independently with a probability of about 0.15, so about 3 of 1000 such pairs, fewer of more similar ones.
+    ``radii`` are checked by their sets. Where a pair of tiles has more candidates than members (a crowd of near copies), chains of what they
+    connect are checked first; then the members of crowds are put into tiles with their sets, and pairs that are not connected yet are checked where the tiles meet, so no
+    pair leaves a task but the links. Sets are made anew for members of candidates and held for them alone. Only pairs beyond ``radii`` are missed: at a
+    similarity of exactly 0.8 the bits of a fingerprint differ independently with a probability of about 0.15, so about 3 of 1000 such pairs, fewer of more similar ones.
     """
-    sets = stored(with_sets(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).select("doc_id", "node", "fp", "fp2", "n", "hashes"), "sets")
-    distinct = sets.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")])
+    source = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    rows = stored(with_prints(source, "text", shingle).select("doc_id", "node", "fp", "fp2", "n"), "prints")
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")])
     # a little wider than the similarity asks, so that rounded logarithms never put allowed sizes two cells apart
-    distinct = distinct.withColumn("cell", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(1e-6 - log(similarity))).cast("long"))
-    distinct = stored(distinct, "distinct")
-    wide = distinct.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    distinct = stored(distinct.join(F.broadcast(wide), "cell").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("tiles"))).drop("tiles"), "distinct")
-
-    def tiled(nodes: DataFrame) -> DataFrame:
-        return stored(nodes.groupBy("cell", "slot").agg(F.collect_list(F.struct("node", "fp", "fp2", "n", "label")).alias("members")), "tiles")
-
-    tiles = tiled(distinct.withColumn("label", F.col("node")))
-    ids = tiles.select(F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    pairs = ids.join(tiles.select("cell", "slot"), "cell").filter((F.col("own") < F.col("cell")) | (F.col("own_slot") <= F.col("slot")))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stored(pairs.select(*_PAIR), "pairs")
-    links = stored(_compared(tiles, pairs.repartition(spread, *_PAIR), radii, similarity, False), "links")
+    distinct = stored(distinct.withColumn("cell", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(1e-6 - log(similarity))).cast("long")), "distinct")
+
+    def first_look(a, b, same):
+        u, v, crowd = candidates(_numbers(a), _numbers(b), same, radii, similarity)
+        return np.concatenate((u, crowd)), np.concatenate((v, crowd))
+
+    tiles, pairs = _tiled(distinct, ["node", "fp", "fp2", "n"], F.count(F.lit(1)) / tile, "tiles")
+    found = stored(_compared(tiles, pairs, first_look, ["u", "v"]), "links")
+    links = stored(found.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    crowd = stored(found.filter("u = v").select(F.col("u").alias("node")).distinct(), "crowd")
+    nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).unionByName(crowd).distinct()
+    nodes = stored(distinct.select("node", "first").join(few_or_not(stored(nodes, "nodes")), "node", "left_semi"), "nodes")
+    sets = _sets_of(source, nodes, shingle)
     good = stored(_verified(links, sets, similarity), "good")
     groups = components(good)
-    crowded = stored(links.filter("chained").select(*_PAIR).distinct(), "pairs")
-    if crowded.take(1):
-        labelled = distinct.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        rest = _compared(tiled(labelled), crowded.repartition(spread, *_PAIR), radii, similarity, True)
-        groups = components(good.unionByName(_verified(rest, sets, similarity)))
+    if crowd.take(1):
+        members = distinct.join(crowd, "node", "left_semi").join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).join(sets, "node")
+        members = stored(members.select("node", "fp", "fp2", "n", "cell", "label", "hashes"), "crowd")
+        tiles, pairs = _tiled(members, ["node", "fp", "fp2", "n", "label", "hashes"], F.sum("n") * 8 / crowd_bytes, "crowd")
+        rest = stored(_compared(tiles, pairs, lambda a, b, same: _connected(a, b, same, radii, similarity), ["u", "v"]), "good")
+        groups = components(good.unionByName(rest))
     named = distinct.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group_node"))
     named = stored(named, "groups")
     least = named.groupBy("group_node").agg(F.min("first").alias("component_id"))
-    return sets.select("doc_id", "node").join(named.join(least, "group_node").select("node", "group_node", "component_id"), "node").select("doc_id", "node", "component_id", "group_node")
+    return rows.select("doc_id", "node").join(named.join(least, "group_node").select("node", "group_node", "component_id"), "node").select("doc_id", "node", "component_id", "group_node")
 
 
 def hex_of(fp):

@@ -6,7 +6,7 @@ import corpus_pipeline
 from helpers import empty_docs, odd_docs
 from test_bpe import PLAIN
 from test_quality_rules import plain_counts
-from test_simhash import plain_groups, plain_print
+from test_simhash import similar
 
 from resultloom.llm import decontaminate, secrets, simhash
 from resultloom.llm.common import stored, table
@@ -16,9 +16,9 @@ def test_whole_run(spark, folder):
     rows = {r["doc_id"]: r["text"] or "" for r in table(spark, folder, "documents").collect()}
     counts = {d: plain_counts(t) for d, t in rows.items()}
     rows = {d: t for d, t in rows.items() if counts[d][0] >= 50 and 100 * counts[d][4] <= 50 * counts[d][0]}   # too few labels for any cutoff
-    prints = [(d, plain_print(t)) for d, t in rows.items()]
-    group = plain_groups(prints)
-    rows = {d: rows[d] for d, f in prints if group[f] == d}
+    ids = sorted(rows)
+    first, _ = similar([rows[d] for d in ids])      # all pairs, five-word shingles, similarity 0.8
+    rows = {d: rows[d] for k, d in enumerate(ids) if first[k] == k}
     bad = {r["doc_id"] for r in decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).collect()}
     want = set()
     for d, t in rows.items():

@@ -143,19 +143,33 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     want, pairs = similar(texts)
     assert pairs > 8 * len(texts) + 1000 and len(set(want)) > 50       # the crowd is first joined by chains
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for tile in (40, 1 << 14):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, tile=tile).collect()}
+    for tile, crowd_bytes in ((40, 30_000), (1 << 14, 8 << 20)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, tile=tile, crowd_bytes=crowd_bytes).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert simhash.similar_groups(df.limit(0)).count() == 0
 
 
-def test_no_chain_takes_what_is_less_similar():
-    """Of a crowd within the radii, all pairs are compared that the chains have not connected."""
-    rng = np.random.default_rng(3)
+def test_a_crowd_that_hardly_links(spark):
+    """Copies of one text that are near by their fingerprints and mostly less similar than asked: each pair is checked, only real links count."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(240):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 3, 4, 5))):
+            w[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    want, pairs = similar(texts)
+    assert 0 < pairs < 240 * 239 // 4 and 1 < len(set(want)) < 240
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, crowd_bytes=40_000).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_crowds_are_chained_and_all_their_members_named():
     fp = np.arange(200, dtype=np.int64) % 8
-    tile = np.stack((np.arange(200), fp, fp, np.full(200, 100), np.arange(200) // 100))
-    u, v, chained = simhash.candidates(tile, tile, True, (18, 32), 0.8, True)
-    assert not chained and len(u) == 100 * 100 and ((u < 100) != (v < 100)).all()
-    tile[4] = rng.permutation(200)
-    u, v, chained = simhash.candidates(tile, tile, True, (18, 32), 0.8, False)
-    assert chained and len(u) == 3 * 199
+    tile = np.stack((np.arange(200), fp, fp, np.full(200, 100)))
+    u, v, crowd = simhash.candidates(tile, tile, True, (18, 32), 0.8)
+    assert len(u) == 3 * 199 and sorted(crowd) == list(range(200))
+    u, v, crowd = simhash.candidates(tile[:, :40], tile[:, :40], True, (18, 32), 0.8)
+    assert len(u) == 40 * 39 // 2 and not len(crowd)
