@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 import sys
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from resultloom.llm import decontaminate, quality_rules, queries, secrets, simhash  # noqa: E402
-from resultloom.llm.common import few_or_not, stored, table  # noqa: E402
+from resultloom.llm.common import few_or_not, finished, stored, table  # noqa: E402
 
 #: calibrated cutoffs, fingerprints and token ids are no SQL; tests/llm compares the stages with plain versions
 ORACLE_SQL = None
@@ -33,7 +34,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where ids repeat, each group still keeps one row: that of the smallest id and then of the smallest hash of its shingles. Rows without an id stay only if no document of their group has one, and then as one row.
     """
-    groups = stored(simhash.similar_groups(docs), "groups")
+    groups = finished(spark, "groups", lambda: simhash.similar_groups(docs))
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").take(1):
         # an id may name rows of several groups: each group is represented by its own row
         first = groups.filter("doc_id IS NOT NULL").groupBy("group_node").agg(F.min(F.struct("doc_id", F.col("node").alias("__node"))).alias("first"))
@@ -79,5 +80,5 @@ STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), (
 def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = finished(spark, name, partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
