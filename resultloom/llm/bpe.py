@@ -4,8 +4,9 @@ The encodings of byte strings form a monoid: ``join(encode(a), encode(b)) == enc
 the halves are encoded, and neighbours are joined on the way up. A sequence of tokens is the encoding of its bytes exactly if each
 pair of neighbours is (a merge across a border would show in the two tokens at that border alone). So a join looks at the border:
 if the two tokens there may stand side by side, the halves are put together as they are; else a window around the border is
-encoded anew, and grows on that side on which its outer token and the token next to it may not stand side by side. When both may,
-no token outside the window can change. Decoding concatenates the tokens' bytes up the same kind of tree.
+encoded anew. It grows to the left until its first token and the one before it may stand side by side, and to the right by a token at a time: what is settled
+on the left leaves the window. When both sides may stand, no token outside the window can change. So a join costs what it changes, and a run whose tokens all shift
+meets the same few windows again and again. Decoding concatenates the tokens' bytes up the same kind of tree.
 
 Texts are first split into pieces by the pattern of the rank files; the split is done for a block of texts at once from
 the classes of their characters. Equal pieces of a block are encoded once.
@@ -17,6 +18,7 @@ and a column with the name of the result is replaced. Each row is handled by its
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,6 +92,8 @@ class Coder:
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding from its definition: again and again the pair of lowest rank, the leftmost of equals, becomes one token."""
+        if len(data) > 256:
+            return self._merged_long(data)
         ranks, cut = self.ranks, list(range(len(data) + 1))
         far = len(ranks) + (1 << 62)
         cost = [ranks.get(data[i:i + 2], far) for i in range(len(data) - 1)]
@@ -102,6 +106,26 @@ class Coder:
                 cost[at - 1] = ranks.get(data[cut[at - 1]:cut[at + 1]], far)
         return [ranks[data[a:b]] for a, b in zip(cut, cut[1:])]
 
+    def _merged_long(self, data: bytes) -> list[int]:
+        """The same by a heap of pairs over linked neighbours; a pair that has changed since is passed over."""
+        ranks, n = self.ranks, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))   # of the token that begins here; end 0: none does any more
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i:end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if i and (r := ranks.get(data[before[i]:stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        return [ranks[data[a:b]] for a, b in enumerate(end) if b]
+
     def remembered(self, data: bytes) -> list[int]:
         ids = self.short.get(data)
         if ids is None:
@@ -123,26 +147,27 @@ class Coder:
         """The encoding of the bytes of both, from their encodings."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
-        l, r, table = len(left) - 1, 1, self.table
-        step_l = step_r = 1
-        while True:
-            window = self.remembered(b"".join(map(table.__getitem__, left[l:] + right[:r])))
-            lost_l = l > 0 and not self.stable(left[l - 1], window[0])
-            lost_r = r < len(right) and not self.stable(window[-1], right[r])
-            if not lost_l and not lost_r:
-                return left[:l] + window + right[r:]
-            if lost_l:
-                l, step_l = max(0, l - step_l), 2 * step_l
-            if lost_r:
-                r, step_r = min(len(right), r + step_r), 2 * step_r
+        out, r, table = list(left), 0, self.table
+        while r < len(right) and not self.stable(out[-1], right[r]):
+            l, step = len(out) - 1, 1
+            while True:
+                window = self.remembered(b"".join(map(table.__getitem__, out[l:])) + table[right[r]])
+                if l == 0 or self.stable(out[l - 1], window[0]):
+                    break
+                l, step = max(0, l - step), 2 * step
+            out[l:] = window
+            r += 1
+        return out + right[r:]
 
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
             return self.remembered(data)
-        half = len(data) // 2
+        # long pieces are cut at powers of two, so that the parts of a run or a period are equal
+        half = len(data) // 2 if len(data) <= 64 else 1 << (len(data) - 1).bit_length() - 1
         left, right = data[:half], data[half:]
+        same = left == right
         left = self.short.get(left) or self.tree(left)
-        right = self.short.get(right) or self.tree(right)
+        right = left if same else self.short.get(right) or self.tree(right)
         return left + right if self.pairs.get((left[-1], right[0])) else self.join(left, right)
 
     def piece(self, data: bytes) -> list[int]:
@@ -180,24 +205,25 @@ class Coder:
 
     @staticmethod
     def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One of each set of equal pieces, and which of them each piece equals. Pieces of up to 16 bytes are compared byte by byte,
-        longer ones by a second hash of their own as well."""
-        spans = Spans(buf)
-        keys, one, which = np.unique(spans.hashes(start, end), return_index=True, return_inverse=True)
+        """One of each set of equal pieces, and which of them each piece equals. Pieces are put together by a hash and then compared byte by byte;
+        should unequal ones ever share a hash, each piece of the block stands for itself."""
+        keys, one, which = np.unique(Spans(buf).hashes(start, end), return_index=True, return_inverse=True)
+        alone = np.arange(len(start)), np.arange(len(start))
+        size = end - start
+        if not np.array_equal(size, size[one][which]):
+            return alone
         padded = np.concatenate((buf, np.zeros(16, np.uint8)))
         words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        size = end - start
         for off in (0, 8):
             eight = np.ascontiguousarray(words[start + off]).view("<u8").ravel()
             left = np.clip(size - off, 0, 8).astype(np.uint64)
             kept = np.where(left == 8, eight, eight & ((np.uint64(1) << (np.uint64(8) * np.minimum(left, np.uint64(7)))) - np.uint64(1)))
             if not np.array_equal(kept, kept[one][which]):
-                return np.arange(len(start)), np.arange(len(start))
-        long = np.flatnonzero(size > 16)
-        if len(long):
-            again = Spans(buf, seed=2).hashes(start, end)
-            if not np.array_equal(again, again[one][which]):
-                return np.arange(len(start)), np.arange(len(start))
+                return alone
+        for k in np.flatnonzero(size > 16).tolist():
+            a, b = int(start[k]), int(start[one[which[k]]])
+            if a != b and not np.array_equal(buf[a:a + size[k]], buf[b:b + size[k]]):
+                return alone
         return one, which
 
     def decode(self, ids: list[int]) -> bytes:
@@ -207,8 +233,6 @@ class Coder:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-
-
 IDS = ("array<int>", pa.list_(pa.int32()))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import tiktoken
@@ -65,3 +66,30 @@ def test_round_trip_equals_both_steps(spark):
     docs = odd_docs(spark)
     steps, once = bpe.decode(bpe.encode(docs, PATH), PATH), bpe.round_trip(docs, PATH)
     assert sorted(map(str, once.select(steps.columns).collect())) == sorted(map(str, steps.collect()))
+
+
+def test_pieces_that_share_a_polynomial_hash():
+    """A word over two letters and its mirror word agree in every polynomial hash modulo a power of two: both keep their own ids."""
+    for k in range(9, 13):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(1 << k))
+        texts = ["x" * 16 + word, "x" * 16 + word.translate(str.maketrans("ab", "ba"))]
+        ids, bound = bpe.Coder(RANKS).encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [PLAIN.encode_ordinary(t) for t in texts]
+
+
+def test_long_runs_take_time_in_proportion():
+    for unit in (".", "-", " ", ".-", "xy", ".-="):
+        for n in (30_000, 1_000_003):
+            text, began = (unit * n)[:n], time.time()
+            coder = bpe.Coder(RANKS)
+            ids, _ = coder.encode([text.encode()])
+            assert time.time() - began < 5 and coder.decode(ids.tolist()) == text.encode()
+            assert n > 50_000 or ids.tolist() == PLAIN.encode_ordinary(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=257, max_size=600) | st.text("ab.-", min_size=257, max_size=900).map(str.encode))
+def test_long_merges_are_the_short_ones(data):
+    long = CODER.merged(data)
+    assert long == CODER.tree(data) and b"".join(CODER.table[i] for i in long) == data
+    assert all(CODER.stable(a, b) for a, b in zip(long, long[1:]))
