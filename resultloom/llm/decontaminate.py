@@ -31,6 +31,7 @@ from .text import NO_WORD, mixed, words_of
 MASKS = ("110100110101", "111010010111", "11111101000")
 MIN_WORDS, PENALTY = 13, 4
 SLICE_WORDS, SEGMENT_WORDS, OVERLAP_WORDS = 1 << 20, 1024, 128
+MANY = 1 << 12   # pairs of places that one seed may make before only its diagonals are kept
 _PLACES = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
 _WIDE = max(map(len, MASKS))
 _SIEVE = 1 << 22
@@ -80,11 +81,44 @@ class Slice:
             place = np.flatnonzero(sieve[(made & np.uint64(_SIEVE - 1)).astype(np.int64)])
             low, high = np.searchsorted(key, made[place], "left"), np.searchsorted(key, made[place], "right")
             n = high - low
+            found += self._often(made, place, low, high, which, at, len(words))
+            n[_repeated(made[place], n)] = 0
             k = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             found.append(np.stack((which[k], np.repeat(place, n) - at[k])))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pairs[0], pairs[1]
 
+    @staticmethod
+    def _often(made, place, low, high, which, at, n_words) -> Iterator[np.ndarray]:
+        """Hits of seeds that are frequent on both sides (a word said over and over): diagonals are marked in one array per segment, so their number
+        counts and not that of the pairs."""
+        some = _repeated(made[place], high - low)
+        keys, first, back, count = np.unique(made[place][some], return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(back, kind="stable")
+        groups = np.split(place[some][order], np.cumsum(count)[:-1]) if len(keys) else []
+        entries: dict[int, list] = {}
+        for k, begin in enumerate(first.tolist()):
+            a, b = int(low[some][begin]), int(high[some][begin])
+            for w in np.unique(which[a:b]).tolist():
+                entries.setdefault(w, []).append((groups[k], at[a:b][which[a:b] == w]))
+        for w, pairs in entries.items():
+            far = max(int(places.max()) for _, places in pairs)
+            marks = np.zeros(n_words + far + 1, bool)
+            for mine, places in pairs:
+                few, many, sign = (places, mine, -1) if len(places) <= len(mine) else (mine, -places, 1)
+                for x in few.tolist():
+                    marks[many + sign * x + far] = True
+            s = np.flatnonzero(marks) - far
+            yield np.stack((np.full(len(s), w), s))
+
+
+def _repeated(made: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of a text block's seeds, with ``n`` places on the other side each, make more than ``MANY`` pairs."""
+    if int(n.sum()) <= MANY:
+        return np.zeros(len(made), bool)
+    _, back, count = np.unique(made, return_inverse=True, return_counts=True)
+    return count[back] * n > MANY
+
 
 def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int]:
     """Start and end of the longest stretch whose score is not below zero, of equals that of highest score and then the first.
@@ -157,16 +191,29 @@ def _scan(docs, id, text, rows, min_words, penalty):
                 start, end = bound[:-1] + shift, bound[1:] + shift
                 which, begin = table.hits(spread)
                 # the segment's place may touch several texts: each is compared with its part of the segment
+                met: dict[tuple[int, int], list] = {}
                 for w, s in zip(which.tolist(), begin.tolist()):
-                    item = table.words[w]
                     first = int(np.searchsorted(end, s, "right"))
-                    while first < len(start) and start[first] < s + len(item):
-                        a, b = max(s, int(start[first])), min(s + len(item), int(end[first]))
-                        same = spread[a:b] == item[a - s:b - s]
+                    while first < len(start) and start[first] < s + len(table.words[w]):
+                        a, b = max(s, int(start[first])), min(s + len(table.words[w]), int(end[first]))
+                        met.setdefault((first, w), []).append((a - b, a, s))
+                        first += 1
+                for (doc, w), diagonals in met.items():
+                    # the longest diagonals first: those that cannot beat what was found are not compared
+                    item, origin, best = table.words[w], int(start[doc]), None
+                    for less, a, s in sorted(diagonals):
+                        if best and (-less, -less, origin - a) < best[0][:3]:
+                            if -less < best[0][0]:
+                                break
+                            continue
+                        same = spread[a:a - less] == item[a - s:a - less - s]
                         x, y = best_stretch(same, penalty)
                         if y - x >= min(min_words, table.whole[w]):
-                            rows.append((docs_in[first], table.item[w], table.whole[w], y - x, int(same[x:y].sum()), a + x - int(start[first]), table.first[w] + a + x - s))
-                        first += 1
+                            key = (int(same[x:y].sum()), y - x, origin - a - x, s - a - x)
+                            if best is None or key > best[0]:
+                                best = key, (docs_in[doc], table.item[w], table.whole[w], y - x, key[0], a + x - origin, table.first[w] + a + x - s)
+                    if best:
+                        rows.append(best[1])
             cols = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 

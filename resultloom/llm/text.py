@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -26,7 +27,10 @@ def _byte_values(seed: int) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of spans of one buffer: equal bytes give equal hashes, wherever they stand."""
+    """64-bit hashes of spans of one buffer: equal bytes give equal hashes, wherever they stand.
+
+    They are sums modulo a power of two, which certain spans of 1024 bytes and more share whatever the factors are: compare long spans by their bytes.
+    """
 
     _powers = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
@@ -46,6 +50,9 @@ class Spans:
         return mixed((self.sums[end] - self.sums[start]) * Spans._inverse[start] + (end - start).astype(np.uint64))
 
 
+LONG_WORD = 256   # bytes beyond which a word has a hash of another kind
+
+
 def lookup_table(members: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(members)] = True
@@ -71,4 +78,7 @@ def words_of(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np
     start, end = runs(~separators[buf])
     ends = np.cumsum([len(t) + 1 for t in texts])
     bounds = np.concatenate(([0], np.searchsorted(start, ends)))
-    return Spans(buf).hashes(start, end), bounds
+    hashes = Spans(buf).hashes(start, end)
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(buf[start[k]:end[k]].tobytes())
+    return hashes, bounds

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from helpers import empty_docs, odd_docs, sentence
@@ -14,7 +15,7 @@ def words(text):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def plain(docs, items, least=13, penalty=4):
+def plain(docs, items, least=13, penalty=4, few=5):
     """All diagonals of all pairs: those that some mask hits are searched for their best stretch."""
     first = {}
     for i, t in sorted(((i, t) for i, t in items if words(t)), key=lambda x: (x[0] is None, x[0])):
@@ -24,7 +25,7 @@ def plain(docs, items, least=13, penalty=4):
         w = words(text)
         for item, i in first.items():
             best = None
-            if len(set(w) & set(item)) < min(5, len(set(item))):
+            if len(set(w) & set(item)) < min(few, len(set(item))):
                 continue       # a mask hit needs at least that many different words, or a tiny item
             for s in range(1 - len(item), len(w)):
                 same = [(0 <= s + k < len(w)) and w[s + k] == item[k] for k in range(len(item))]
@@ -117,3 +118,35 @@ def test_passages_of_80_percent_are_found(spark):
            if any(all(p + i not in changed for i, m in enumerate(mask) if m == "1") for mask in MASKS for p in range(n - 11))}
     assert hit >= {0, 1, 2, 3, 4} and set(got) == {(k, k) for k in hit}
     assert all(got[k, k][:3] == (cases[k][0], cases[k][0], cases[k][0] - len(cases[k][1])) for k in hit)
+
+
+def test_repeated_words(spark, monkeypatch):
+    """Words said over and over: only diagonals are kept of their seeds, and the best overlap is that of all pairs."""
+    rng = random.Random(12)
+    items = [(0, "la " * 40), (1, "tick tock " * 25), (2, "la " * 20 + "and then some more words here to end it " + "la " * 20), (3, "one two three " * 9 + "four")]
+    docs = [(0, "la " * 90), (1, "la " * 15), (2, "tick tock " * 60), (3, "x " * 5 + "la " * 30 + "tick tock " * 12 + "la " * 31), (4, "one two three " * 30), (5, "tock " * 50),
+            (6, " ".join(rng.choice(("la", "la", "la", "la", "tick")) for _ in range(120)))]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain(docs, items, few=1)
+    assert len(want) > 6
+    for many in (1, 50, 1 << 12):
+        monkeypatch.setattr(d, "MANY", many)
+        rows = d.Slice([(i, len(words(t)), 0, d.words_of([t.encode()], d.NO_WORD)[0].tobytes()) for i, t in items])
+        block = d.words_of([t.encode() for _, t in docs], d.NO_WORD)[0]
+        got = {tuple(map(int, p)) for p in zip(*rows.hits(block))}
+        expected = set()
+        for k, item in enumerate(rows.words):
+            for places in d._PLACES:
+                mine, theirs = d.seeds(block, places, d._WIDE), d.seeds(item, places, d._WIDE)
+                expected |= {(k, int(p - a)) for a in range(len(theirs)) for p in np.flatnonzero(mine == theirs[a])}
+        assert got == expected
+    assert found(d.overlaps(*tables)) == want
+
+
+def test_repeated_words_cost_their_diagonals(spark):
+    docs = spark.createDataFrame([(1, "la " * 20_000), (2, "la " * 40)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "la " * 1000)], "item_id long, text string")
+    d.overlaps(docs, items).collect()
+    began = time.time()
+    assert found(d.overlaps(docs, items)) == {(1, 5): (1000, 1000, 1000, 0, 0), (2, 5): (1000, 40, 40, 0, 0)}
+    assert time.time() - began < 8
