@@ -74,9 +74,10 @@ WITH visits AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 365
 entries AS (SELECT DISTINCT CASE WHEN substr(h, 4, 1) < '4' AND host LIKE '%.%.%' THEN regexp_replace(host, '^[^.]*\\.', '') ELSE host END AS domain,
   CAST(DATE '2024-01-01' + (ascii(substr(h, 2, 1)) * 16 + ascii(substr(h, 3, 1))) % 365 AS DATE) AS day,
   CASE WHEN substr(h, 1, 1) < '6' THEN 2 WHEN substr(h, 1, 1) < 'b' THEN 1 ELSE 0 END AS strict FROM visits WHERE host <> ''),
-daily AS (SELECT domain, day, max(strict) AS strict FROM entries GROUP BY ALL),
+daily AS (SELECT domain, day, max(strict) AS strict FROM entries WHERE length(domain) <= 253 GROUP BY ALL),
 spans AS (SELECT *, lead(day) OVER (PARTITION BY domain ORDER BY day) AS until FROM daily),
-parents AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[i:], '.') AS domain, i FROM visits, unnest(generate_series(1, len(string_split(host, '.')))) g(i) WHERE host <> ''),
+parents AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[i:], '.') AS domain, i FROM visits, unnest(generate_series(1, len(string_split(host, '.')))) g(i) WHERE host <> ''
+  AND length(array_to_string(string_split(host, '.')[i:], '.')) <= 253),
 found AS (SELECT v.page_id, s.*, row_number() OVER (PARTITION BY v.page_id ORDER BY p.i) AS nth FROM visits v JOIN parents p USING (host) JOIN spans s ON s.domain = p.domain
   AND s.day <= v.fetched AND (s.until IS NULL OR v.fetched < s.until) WHERE s.strict > 0)
 SELECT v.page_id, v.host, CAST(v.fetched AS VARCHAR) AS fetched, f.domain AS listed_domain, CASE f.strict WHEN 2 THEN 'block' WHEN 1 THEN 'allow' END AS action,

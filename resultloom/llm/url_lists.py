@@ -7,8 +7,8 @@ per domain. So a window holds at most two rows per day of the calendar, however
 captures only meet the verdict of their (host, day).
 
 Defined results: of several entries of one domain and day the strictest holds (block, then allow, then remove). Captures without a
-usable host (null, no scheme, longer than the 253 characters that a host name may have) or without a day match nothing; entries without a
-domain, day or known action are ignored. Domains are compared in lower case, without a port, user or closing dot. Repeated captures
+usable host (null, no scheme) or without a day match nothing; entries without a domain, day or known action are ignored, and so are those
+longer than the 253 characters that a name may have. A longer host still meets its listed parent domains. Domains are compared in lower case, without a port, user or closing dot. Repeated captures
 each get a row. Other columns of the captures are kept; one with the name of a result is replaced.
 """
 
@@ -19,26 +19,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # fixed values: actions from lenient to strict
 ACTIONS = ("remove", "allow", "block")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
-MAX_HOST = 253
+MAX_NAME, MAX_LABELS = 253, 127   # characters of a domain name, and labels that fit into them
 
 
 def host_of(url: Column) -> Column:
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), r"\.+$", "")
-    return F.when(F.length(host) <= MAX_HOST, host).otherwise("")
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), r"\.+$", "")
 
 
 def domains_of(host: Column) -> Column:
-    """The host and all its parent domains, longest first; none of an empty host."""
-    parts = F.split(host, r"\.")
+    """The host and all its parent domains that are names a list can hold, longest first; none of an empty host."""
+    labels = F.split(F.right(host, F.lit(MAX_NAME + 1)), r"\.")
+    parts = F.slice(labels, F.greatest(F.size(labels) - MAX_LABELS, F.lit(1)), F.lit(MAX_LABELS + 1))
     every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.when(host != "", every).otherwise(F.array().cast("array<string>"))
+    # of a host that was cut the first piece may be a part of a label: only what follows a dot of the host is its parent
+    whole = F.filter(every, lambda d: (F.length(d) <= MAX_NAME) & ((d == host) | F.endswith(host, F.concat(F.lit("."), d))))
+    return F.when(host != "", whole).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame, domain: str = "domain", day: str = "day", action: str = "action") -> DataFrame:
     """``domain, valid_from, valid_to, action``: valid_to is exclusive, null for the last entry of a domain."""
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col(action))
     name = F.regexp_replace(F.lower(F.trim(domain)), r"\.+$", "")
-    daily = entries.select(name.alias("domain"), F.col(day).cast("date").alias("valid_from"), rank.alias("rank")).filter("rank > 0 AND domain <> '' AND valid_from IS NOT NULL")
+    daily = entries.select(name.alias("domain"), F.col(day).cast("date").alias("valid_from"), rank.alias("rank")).filter(f"rank > 0 AND domain <> '' AND length(domain) <= {MAX_NAME} AND valid_from IS NOT NULL")
     daily = daily.groupBy("domain", "valid_from").agg(F.max("rank").alias("rank"))
     following = F.lead("valid_from").over(Window.partitionBy("domain").orderBy("valid_from"))
     return daily.select("domain", "valid_from", following.alias("valid_to"), F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank").cast("int")).alias("action"))

@@ -12,7 +12,7 @@ def test_temporal_lists(spark):
                ("b.org", day(2024, 1, 1), "block"), (None, day(2024, 1, 1), "block"), ("c.org", None, "block"), ("c.org", day(2024, 1, 1), "maybe")]
     cases = [("http://example.com/x", 4, None), ("http://a.example.com:80/x", 5, ("example.com", "block")), ("https://u:p@OK.example.com./", 9, ("example.com", "block")), ("http://ok.example.com", 10, ("ok.example.com", "allow")),
              ("http://ok.example.com", 40, ("ok.example.com", "allow")), ("http://example.com?q", 31, None), ("ftp://b.org#f", 0, ("b.org", "block")), ("http://c.org/", 3, None), ("http://notexample.com", 6, None),
-             (None, 6, None), ("no scheme", 6, None), ("http://" + "a." * 200 + "example.com", 6, None), ("http://example.com/x", None, None), ("http://a.example.com:80/x", 5, ("example.com", "block"))]
+             (None, 6, None), ("no scheme", 6, None), ("http://" + "a." * 200 + "example.com", 6, ("example.com", "block")), ("http://" + "a" * 300 + ".ok.example.com", 40, ("ok.example.com", "allow")), ("http://example.com/x", None, None), ("http://a.example.com:80/x", 5, ("example.com", "block"))]
     start = day(2024, 1, 1)
     rows = [(i, u, None if d is None else start + dt.timedelta(days=d if d != 4 else 3), "x") for i, (u, d, _) in enumerate(cases)]
     rows = [(i, u, d if d is None or cases[i][1] in (4, 0, 31) else d - dt.timedelta(days=1), x) for i, u, d, x in rows]
