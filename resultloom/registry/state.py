@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import state
 from ..sources import testviews as T
 from ..streaming import state_streams
@@ -65,22 +66,56 @@ def _(spark, folder):
     return state.mru_history(T.history(spark, folder))
 
 
-@query("l2_reuse_build_stream", "SELECT DISTINCT sid, build_key FROM state_events")
+# The streams get the events in three arrivals by time; one row in 97 comes an arrival late and is dropped if it is behind the watermark by then.
+ARRIVALS = 3
+HOUR_US = 3_600_000_000
+LIFE_US, GAP_US = 24 * HOUR_US, 6 * HOUR_US
+
+
+def arrivals(spark, folder):
+    events = T.state_events(spark, folder)
+    low, high = events.agg(F.min(F.unix_micros("saved_at")), F.max(F.unix_micros("saved_at"))).first()
+    third = F.expr(f"(unix_micros(saved_at) - {low}) * {ARRIVALS} div {high - low + 1}")
+    nth = F.least(F.lit(ARRIVALS - 1), third + F.when(F.col("seq") % 97 == 0, 1).otherwise(0))
+    return [events.filter(nth == k) for k in range(ARRIVALS)]
+
+
+view("arriving", f"""
+SELECT *, epoch_us(saved_at) AS us, least({ARRIVALS - 1}, (epoch_us(saved_at) - lo) * {ARRIVALS} // (hi - lo + 1) + CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END) AS arrival
+FROM state_events, (SELECT min(epoch_us(saved_at)) AS lo, max(epoch_us(saved_at)) AS hi FROM state_events) x""")
+view("watermarks", f"""
+SELECT k AS arrival, (SELECT max(us) // 1000 * 1000 FROM arriving WHERE arrival < k) - {HOUR_US} AS mark FROM range(0, {ARRIVALS + 1}) g(k)""")
+view("in_time", """
+SELECT a.*, row_number() OVER (PARTITION BY sid ORDER BY a.arrival, us, seq) AS nth FROM arriving a JOIN watermarks w ON w.arrival = a.arrival WHERE w.mark IS NULL OR a.us > w.mark""")
+view("lives", f"""
+SELECT *, sum(CASE WHEN us - newest <= {LIFE_US} THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY nth) AS life FROM (
+SELECT *, max(us) OVER (PARTITION BY sid ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM in_time) a""")
+
+
+@query("l2_reuse_build_stream", f"""
+SELECT u.sid, u.seq, u.build_key, CASE WHEN used IS NOT NULL AND (SELECT count(DISTINCT o.build_key) FROM lives o WHERE o.sid = u.sid AND o.nth > u.used AND o.nth < u.nth) < {fixed.BUILDS_KEPT} THEN 'hit' ELSE 'build' END AS status
+FROM (SELECT *, lag(nth) OVER (PARTITION BY sid, life, build_key ORDER BY nth) AS used FROM lives) u""")
 def _(spark, folder):
-    return state_streams.run_to_table(state_streams.first_builds(state_streams.state_stream(spark, folder))).select("sid", "build_key")
+    """A session knows its last builds for as long as it lives: by arrival, not by hindsight."""
+    return state_streams.replay(spark, arrivals(spark, folder), lambda s: state_streams.reuse_build(s, LIFE_US)).drop("batch")
 
 
-@query("l5_latest_state_stream", """
-SELECT sid, seq, payload FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY saved_at DESC, seq DESC) AS rn FROM state_events) a WHERE rn = 1""")
+@query("l5_latest_state_stream", f"""
+SELECT sid, us, seq, payload, us + {LIFE_US} <= (SELECT mark FROM watermarks WHERE arrival = {ARRIVALS}) AS expired FROM (
+SELECT *, row_number() OVER (PARTITION BY sid ORDER BY us DESC, seq DESC) AS rn FROM in_time) a WHERE rn = 1""")
 def _(spark, folder):
-    updates = state_streams.run_to_table(state_streams.latest_state(state_streams.state_stream(spark, folder)), "update")
-    return state.latest_state(updates).select("sid", "seq", "payload")
+    updates = state_streams.replay(spark, arrivals(spark, folder), lambda s: state_streams.latest_state(s, LIFE_US), "update")
+    last = F.max(F.struct("us", "seq", "expired", "payload")).alias("s")
+    return updates.groupBy("sid").agg(last).select("sid", "s.us", "s.seq", "s.payload", "s.expired")
 
 
-@query("l6_debounce_stream", """
-SELECT sid, min(us) AS started_us, max(us) AS ended_us, count(*) AS changes, arg_max(payload, (us, seq)) AS payload, arg_max(build_key, (us, seq)) AS build_key FROM burst_rows GROUP BY sid, burst
-HAVING max(us) + 21600000000 <= (SELECT max(us) FROM burst_rows) - 60000000""")
+@query("l6_debounce_stream", f"""
+SELECT sid, started_us, ended_us, changes, payload, build_key, (lag(build_key) OVER w IS DISTINCT FROM build_key OR started_us - lag(ended_us) OVER w > {LIFE_US}) AS starts_build FROM (
+SELECT sid, min(us) AS started_us, max(us) AS ended_us, count(*) AS changes, arg_max(payload, (us, seq)) AS payload, arg_max(build_key, (us, seq)) AS build_key FROM (
+SELECT *, sum(CASE WHEN us - earlier <= {GAP_US} THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY us, seq) AS burst FROM (
+SELECT *, lag(us) OVER (PARTITION BY sid ORDER BY us, seq) AS earlier FROM in_time) a) b GROUP BY sid, burst) c WINDOW w AS (PARTITION BY sid ORDER BY started_us)""")
 def _(spark, folder):
-    """Closed bursts only: a burst is put out once the watermark, a minute behind the newest row, has passed its end."""
-    df = state_streams.run_to_table(state_streams.bursts(state_streams.state_stream(spark, folder), "6 hours"))
-    return df.select("sid", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "changes", "payload", "build_key")
+    """All bursts: an end marker behind the last arrival closes those that are open."""
+    parts = arrivals(spark, folder)
+    parts.append(state_streams.end_marker(T.state_events(spark, folder)))
+    return state_streams.replay(spark, parts, lambda s: state_streams.bursts(s, GAP_US, LIFE_US)).drop("batch")

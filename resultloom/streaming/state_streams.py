@@ -1,48 +1,65 @@
-"""Page state as streams. Late rows fall under Spark's watermark rule."""
+"""Page state as streams. Rows that come later than ``delay`` behind the newest one are dropped."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..plans.skew import scratch_folder
+from . import processors
 
+DAY = 86_400_000_000
+LIFE = fixed.SESSION_DAYS * DAY
+DELAY = "1 hour"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-def first_builds(events: DataFrame, delay: str = f"{fixed.SESSION_DAYS} days") -> DataFrame:
-    """Builds to make: the first time a session shows a key; repeats within the session's life are dropped."""
-    return events.withWatermark("saved_at", delay).dropDuplicatesWithinWatermark(["sid", "build_key"])
 
+def _per_session(events: DataFrame, processor, mode: str, delay: str, columns: list[str]) -> DataFrame:
+    rows = events.withWatermark("saved_at", delay).select("sid", "saved_at", F.unix_micros("saved_at").alias("us"), "seq", *columns)
+    return rows.groupBy("sid").transformWithStateInPandas(processor, processor.schema, mode, "EventTime")
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """Last snapshot of every session (update mode)."""
-    return events.groupBy("sid").agg(F.max(F.struct("saved_at", "seq", "payload")).alias("s")).select("sid", "s.*")
 
+def reuse_build(events: DataFrame, life_us: int = LIFE, kept: int = fixed.BUILDS_KEPT, delay: str = DELAY) -> DataFrame:
+    """Every row as a build or a hit, in the order of arrival; a key that fell out of the last ``kept`` ones, or whose session was at rest for its life, is built again."""
+    return _per_session(events, processors.Builds(life_us, kept), "append", delay, ["build_key"])
 
-def bursts(events: DataFrame, gap: str = "1400 milliseconds", delay: str = "1 minute") -> DataFrame:
-    """One row per burst of a session (append mode emits closed bursts)."""
-    df = events.withWatermark("saved_at", delay).groupBy("sid", F.session_window("saved_at", gap).alias("w"))
-    df = df.agg(F.count(F.lit(1)).alias("changes"), F.max(F.struct("saved_at", "seq", "payload", "build_key")).alias("s"))
-    return df.select("sid", F.col("w.start").alias("started"), F.col("s.saved_at").alias("ended"), "changes", F.col("s.payload").alias("payload"), F.col("s.build_key").alias("build_key"))
 
+def latest_state(events: DataFrame, life_us: int = LIFE, delay: str = DELAY) -> DataFrame:
+    """Last snapshot of every session as it changes, and its end (update mode)."""
+    return _per_session(events, processors.Latest(life_us), "update", delay, ["payload"])
 
-def state_stream(spark: SparkSession, folder: str, file: str = "events.parquet") -> DataFrame:
-    """The events table as a stream of state snapshots."""
-    schema = spark.read.parquet(f"{folder}/{file}").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    return raw.selectExpr("user_id AS sid", "event_id AS seq", "CAST(ts AS TIMESTAMP) AS saved_at", "concat(event_type, '|', props) AS payload",
-                          "substr(sha1(CAST(concat('2.2|', event_type, '|', props) AS BINARY)), 1, 12) AS build_key")
 
+def bursts(events: DataFrame, gap_us: int = 1_400_000, life_us: int = LIFE, delay: str = DELAY) -> DataFrame:
+    """One row per burst of a session, once it is over."""
+    return _per_session(events, processors.Bursts(life_us, gap_us), "append", delay, ["payload", "build_key"])
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives its output as a table; update mode keeps every batch's rows."""
-    spark = stream.sparkSession
+
+def end_marker(events: DataFrame, after_us: int = LIFE + DAY) -> DataFrame:
+    """A row without a session, ``after_us`` behind the newest row: the last file of a stream that ends. It moves the watermark, so all that is open is closed."""
+    newest = events.agg(F.max("saved_at").alias("saved_at"))
+    at = F.timestamp_micros(F.unix_micros("saved_at") + after_us)
+    return newest.select(*[at.alias(c) if c == "saved_at" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+
+
+def replay(spark: SparkSession, arrivals: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """The output of ``build`` over a stream of files that come one arrival after the other, with a restart from the checkpoint before each, and its ``batch``."""
     base = f"{scratch_folder(spark)}/resultloom-stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{base}/out").start()
-    else:
-        query = writer.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/batch_no={batch}")).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{base}/out")
+    before = spark.conf.get(_STORE, None)
+    schema = None
+    for part in arrivals:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{base}/in"))
+        schema = stream.schema
+        writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
+        # a batch that is run again replaces its own rows
+        writer = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/out/batch={batch}"))
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")   # timers need it
+        try:
+            query = writer.start()
+        finally:
+            spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        query.awaitTermination()
+    return spark.read.schema(schema.add("batch", "long")).parquet(f"{base}/out")

@@ -1,4 +1,6 @@
-"""Streams over the test events equal their batch form."""
+"""Streams over several arrivals with restarts in between: lives, eviction, late rows, bridged and last bursts."""
+
+import datetime as dt
 
 from pyspark.sql import functions as F
 
@@ -6,23 +8,49 @@ from resultloom.operators import state
 from resultloom.sources import testviews as T
 from resultloom.streaming import state_streams as S
 
+SCHEMA = "sid long, seq long, saved_at timestamp, payload string, build_key string"
+START = dt.datetime(2024, 1, 1)
+HOUR = 3_600_000_000
+
+
+def events(spark, rows):
+    """rows: (sid, seq, hours after the start, key)"""
+    return spark.createDataFrame([(s, q, START + dt.timedelta(hours=h), f"p{q}", k) for s, q, h, k in rows], SCHEMA)
+
+
+def test_builds_by_life_and_by_the_last_keys(spark):
+    # 8 is late but within the hour, 12 is not; a and c push b out; session 1 has rested for more than a day before 10
+    parts = [[(1, 1, 0, "a"), (1, 2, 0.5, "b"), (1, 3, 1, "a"), (2, 4, 0, "a")],
+             [(1, 5, 2, "c"), (1, 6, 3, "b"), (2, 7, 20, "x"), (1, 8, 0.9, "late"), (2, 9, 0.2, "a")],
+             [(1, 10, 29, "b"), (2, 11, 30, "x"), (1, 12, 5, "gone"), (None, 13, 31, "z")]]
+    got = {r["seq"]: r["status"] for r in S.replay(spark, [events(spark, p) for p in parts], lambda s: S.reuse_build(s, 24 * HOUR, kept=2)).collect()}
+    assert got == {1: "build", 2: "build", 3: "hit", 4: "build", 8: "build", 5: "build", 6: "build", 9: "hit", 7: "build", 10: "build", 11: "hit"}
+
 
-def test_first_builds(spark, folder):
-    got = {(r["sid"], r["build_key"]) for r in S.run_to_table(S.first_builds(S.state_stream(spark, folder))).collect()}
-    want = {(r["sid"], r["build_key"]) for r in state.reuse_build(T.state_events(spark, folder)).filter("status = 'build'").collect()}
-    assert got == want
+def test_a_session_is_forgotten(spark):
+    parts = [[(1, 1, 0, "a"), (2, 2, 1, "b")], [(2, 3, 30, "c")], [(2, 4, 40, "d"), (1, 5, 39.5, "e")], [(2, 6, 39.6, "old")]]
+    out = S.replay(spark, [events(spark, p) for p in parts], lambda s: S.latest_state(s, 24 * HOUR), "update")
+    got = sorted((r["sid"], r["seq"], r["expired"]) for r in out.collect())
+    assert got == [(1, 1, False), (1, 1, True), (1, 5, False), (2, 2, False), (2, 2, True), (2, 3, False), (2, 4, False)]
 
 
-def test_latest_state(spark, folder):
-    got = {r["sid"]: r["seq"] for r in S.run_to_table(S.latest_state(S.state_stream(spark, folder)), "update").collect()}
-    assert got == {r["sid"]: r["seq"] for r in state.latest_state(T.state_events(spark, folder)).collect()}
+def test_bursts_are_bridged_and_the_last_one_closes(spark):
+    parts = [[(1, 1, 0, "a"), (1, 2, 0.8, "b"), (2, 3, 0, "x")],
+             [(1, 4, 0.4, "c"), (2, 5, 1, "x")],                    # 4 joins 1 and 2; 5 begins a burst that starts no build
+             [(1, 6, 90, "b"), (1, 7, 90.3, "b")]]                  # the key is the same, but the life of what was built is over
+    parts = [events(spark, p) for p in parts]
+    marker = S.end_marker(parts[-1])
+    out = S.replay(spark, [*parts, marker], lambda s: S.bursts(s, int(0.5 * HOUR), 48 * HOUR))
+    got = sorted((r["sid"], r["changes"], r["payload"], r["build_key"], r["starts_build"]) for r in out.collect())
+    assert got == [(1, 2, "p7", "b", True), (1, 3, "p2", "b", True), (2, 1, "p3", "x", True), (2, 1, "p5", "x", False)]
 
 
-def test_bursts_match_but_for_the_open_ones(spark, folder):
-    stream = S.run_to_table(S.bursts(S.state_stream(spark, folder), "6 hours"))
-    batch = state.debounce(T.state_events(spark, folder), 6 * 3600 * 1000)
-    cols = ["sid", "started", "ended", "changes", "payload", "build_key"]
-    got, want = {tuple(r) for r in stream.select(cols).collect()}, {tuple(r) for r in batch.select(cols).collect()}
-    assert got <= want
-    newest = max(r[2] for r in want)
-    assert all((newest - r[2]).total_seconds() <= 6 * 3600 + 120 for r in want - got)
+def test_bursts_in_order_equal_the_batch(spark, folder):
+    """One session holds a third of all rows."""
+    rows = T.state_events(spark, folder).withColumn("sid", F.when(F.col("seq") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("sid")))
+    middle = F.lit("2024-01-15").cast("timestamp")
+    parts = [rows.filter(F.col("saved_at") < middle), rows.filter(F.col("saved_at") >= middle), S.end_marker(rows)]
+    stream = S.replay(spark, parts, lambda s: S.bursts(s, 6 * HOUR))
+    want = state.debounce(rows, 6 * 3600 * 1000, slice_unit="day")
+    cols = ["sid", "changes", "payload", "build_key", "starts_build"]
+    assert sorted(map(tuple, stream.select("started_us", *cols).collect())) == sorted(map(tuple, want.select(F.unix_micros("started"), *cols).collect()))
