@@ -41,7 +41,7 @@ def split_projects(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) ->
     marks = setups.select(*on, F.col("__model").alias("__at"))
 
     def closest(points):
-        return skew.nearest(points, marks, on, "__at", [F.left("__at", F.lit(2))], [F.left("__at", F.lit(16))], hot_rows)
+        return skew.nearest(points, marks, on, "__at", [F.left("__at", F.lit(2))], hot_rows)
 
     near = closest(groups.filter("__kind = 'other'").withColumn("__at", F.col("__model"))).filter("below IS NOT NULL OR above IS NOT NULL")
     near = X.with_common_prefix(X.with_common_prefix(near, "__model", "below", "__p"), "__model", "above", "__q")
@@ -64,7 +64,7 @@ def number_cases(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> D
     df = skew.settle(pictures).withColumns({"__m": F.coalesce("sub_model", F.lit("")), "__i": F.coalesce("sub_id", F.lit(-1))})
     groups = df.filter(F.col("group_letter").isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("__size"))
     groups = skew.number_rows(groups, ["job_id"], ["group_letter", "__m", "__i"], [F.col("group_letter"), F.left("__m", F.lit(2))], "case_no",
-                              fine=[F.col("__m"), skew.slice_of("__i")], hot_rows=hot_rows)
+                              hot_rows=hot_rows)
     return skew.lookup(df.drop("case_no"), groups, on, size="__size", hot_rows=hot_rows).drop("__m", "__i")
 
 

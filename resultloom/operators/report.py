@@ -31,7 +31,7 @@ def shown_pictures(cases: DataFrame, views: DataFrame, extras: DataFrame, pictur
     """
     cases = skew.settle(cases)
     px = F.nullif(F.col("legend_px"), F.lit(0.0))
-    job = skew.exact_median(cases.withColumn("__px", px), ["job_id"], "__px", [F.floor("__px")], hot_rows).select("job_id", F.col("median").alias("job_px"))
+    job = skew.exact_median(cases.withColumn("__px", px), ["job_id"], "__px", hot_rows).select("job_id", F.col("median").alias("job_px"))
     pair = F.col("def_id").isNotNull() & F.col("stress_id").isNotNull()
 
     def slot(family, c, pos, when):

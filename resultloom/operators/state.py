@@ -48,16 +48,15 @@ def debounce(events: DataFrame, gap_ms: int = 1400, slice_unit: str = "hour", ho
     ``starts_build`` is false when that state equals the one the burst before ended with. Works in time slices, so one busy
     session is spread over many tasks.
     """
-    fine = [F.date_trunc("second", "saved_at"), skew.slice_of("seq")]
     slices = [F.date_trunc(slice_unit, "saved_at")]
     df = events.withColumn("__us", F.unix_micros("saved_at"))
-    df = skew.settle(skew.previous(df, ["sid"], ["saved_at", "seq"], "__us", slices, "__before", fine, hot_rows))
+    df = skew.settle(skew.previous(df, ["sid"], ["saved_at", "seq"], "__us", slices, "__before", hot_rows))
     opens = F.col("__before").isNull() | (F.col("__us") - F.col("__before") > gap_ms * 1000)
-    df = skew.prefix_sum(df, ["sid"], ["saved_at", "seq"], opens.cast("long"), slices, "burst", fine, hot_rows=hot_rows)
+    df = skew.prefix_sum(df, ["sid"], ["saved_at", "seq"], opens.cast("long"), slices, "burst", hot_rows=hot_rows)
     df = df.groupBy("sid", "burst").agg(F.min("saved_at").alias("started"), F.max("saved_at").alias("ended"), F.count(F.lit(1)).alias("changes"),
                                         F.max(F.struct("saved_at", "seq", "payload", "build_key")).alias("s"))
     df = skew.settle(df.select("sid", "burst", "started", "ended", "changes", F.col("s.payload").alias("payload"), F.col("s.build_key").alias("build_key")))
-    df = skew.previous(df, ["sid"], ["burst"], "build_key", [skew.slice_of("burst")], "__key", hot_rows=hot_rows)
+    df = skew.previous(df, ["sid"], ["burst"], "build_key", [skew.slice_of("burst")], "__key", hot_rows)
     return df.withColumn("starts_build", ~F.col("build_key").eqNullSafe(F.col("__key"))).drop("__key")
 
 

@@ -8,6 +8,7 @@ partial aggregation, joins whose hot keys are broadcast, and windows over bounde
                   a key pass through, the rest is an ordinary shuffled join
 * ``prefix_sum``  running sum, ``number_rows`` running number: local per slice, plus an offset per slice
 * ``previous``    value of the row before, across slices
+* ``rank_value`` order statistics by a radix selection over histograms
 * ``top_k``       first k rows of each group; Spark cuts every map task to k rows before its shuffle
 
 A *slice* is a coarse, order-preserving function of the leading order column (for example
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 HOT_KEYS = 1000        # keys that may be hot at once: a key is hot if it has more than this share of all rows
 HOT_ROWS = None        # rows above which a key is hot; None: rows / HOT_KEYS, so hot keys are few at any size and may be broadcast
 SLICE = 65_536         # rows of one slice when the order column is a dense counter
+SLICE_ROWS, MANY_SLICES = 1 << 20, 100_000   # a slice of more rows, and of more than this share of all rows, is cut again
 
 _SHUFFLES = re.compile(r"^[\s:+\-]*'?(Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate)\b", re.M)
 _own_folder: list = []
@@ -98,19 +100,24 @@ def attach(df: DataFrame, on: list[str], hot_rows: int | None = HOT_ROWS, few_gr
     return _lookup(df, settle(groups) if few_groups else groups, on, "__rows", hot_rows)
 
 
-def _sliced(df, on, slices, fine, hot_rows):
-    """Adds the slice columns; slices above ``hot_rows`` are cut further by ``fine``."""
+def _sliced(df, on, slices, order, hot_rows):
+    """Adds the slice columns. A slice of too many rows is cut again at sampled bounds of its rows' full order, so the pieces are of like size whatever
+    the order columns hold; pieces follow one another in the order of the rows, like slices."""
     names = [f"__s{i}" for i in range(len(slices))]
     df = df.withColumns(dict(zip(names, slices)))
-    if not fine:
+    rows = df.count()
+    limit = hot_rows or max(SLICE_ROWS, rows // MANY_SLICES)
+    if rows <= limit:
         return df, names
-    big = df.groupBy(*on, *names).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > _limit(df, hot_rows))
-    df = df.join(F.broadcast(big.select(*on, *names, F.lit(True).alias("__big"))), [*on, *names], "left")
-    extra = [f"__f{i}" for i in range(len(fine))]
-    df = df.select("*", *[c.alias(n) for n, c in zip(extra, fine)])
-    rest = {n: F.lit("").cast("string") if df.schema[n].dataType.simpleString() == "string" else F.lit(0).cast(df.schema[n].dataType) for n in extra}
-    df = df.withColumns({n: F.when(F.col("__big"), F.col(n)).otherwise(rest[n]) for n in extra}).drop("__big")
-    return df, names + extra
+    big = settle(df.groupBy(*on, *names).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit))
+    held = big.agg(F.sum("__n")).first()[0]
+    if held is None:
+        return df, names
+    keys = F.broadcast(big.drop("__n"))    # at most rows / limit of them
+    pieces = min(-(-2 * held // limit), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8)
+    cut = df.join(keys, [*on, *names], "left_semi").repartitionByRange(max(2, pieces), *on, *names, *order).withColumn("__cut", F.spark_partition_id())
+    rest = df.join(keys, [*on, *names], "left_anti").withColumn("__cut", F.lit(0))
+    return rest.unionByName(settle(cut)), [*names, "__cut"]
 
 
 def _with_slice_values(df, per_slice, cols):
@@ -118,13 +125,13 @@ def _with_slice_values(df, per_slice, cols):
     return df.join(per_slice, cols, "left")
 
 
-def prefix_sum(df: DataFrame, on: list[str], order: list, value, slices: list, out: str, fine: list | None = None,
-               before: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def prefix_sum(df: DataFrame, on: list[str], order: list, value, slices: list, out: str, before: bool = False,
+               hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Running sum of ``value`` in each group, with the row itself or (``before``) without it."""
     value = F.col(value) if isinstance(value, str) else value
     df = settle(df)
     source = df.columns
-    df, names = _sliced(df, on, slices, fine, hot_rows)
+    df, names = _sliced(df, on, slices, order, hot_rows)
     cols = [*on, *names]
     totals = df.groupBy(*cols).agg(F.sum(value).alias("__t"))
     ahead = Window.partitionBy(*on).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
@@ -136,18 +143,18 @@ def prefix_sum(df: DataFrame, on: list[str], order: list, value, slices: list, o
     return df.select(*[c for c in source if c != out], (F.coalesce("__off", zero) + F.coalesce("__run", zero)).alias(out))
 
 
-def number_rows(df: DataFrame, on: list[str], order: list, slices: list, out: str, fine: list | None = None,
+def number_rows(df: DataFrame, on: list[str], order: list, slices: list, out: str,
                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Dense running number from 1 in each group."""
-    return prefix_sum(df, on, order, F.lit(1).cast("long"), slices, out, fine, hot_rows=hot_rows)
+    return prefix_sum(df, on, order, F.lit(1).cast("long"), slices, out, hot_rows=hot_rows)
 
 
-def previous(df: DataFrame, on: list[str], order: list, value: str, slices: list, out: str, fine: list | None = None,
+def previous(df: DataFrame, on: list[str], order: list, value: str, slices: list, out: str,
              hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``value`` of the row before in each group, null on the first row. ``value`` must not be null."""
     df = settle(df)
     source = df.columns
-    df, names = _sliced(df, on, slices, fine, hot_rows)
+    df, names = _sliced(df, on, slices, order, hot_rows)
     cols = [*on, *names]
     last = df.groupBy(*cols).agg(F.max_by(value, F.struct(*order)).alias("__last"))
     carried = last.select(*cols, F.lag("__last").over(Window.partitionBy(*on).orderBy(*names)).alias("__carry"))
@@ -156,14 +163,14 @@ def previous(df: DataFrame, on: list[str], order: list, value: str, slices: list
     return df.select(*[c for c in source if c != out], F.coalesce("__lag", "__carry").alias(out))
 
 
-def nearest(points: DataFrame, marks: DataFrame, on: list[str], at: str, slices: list, fine: list | None = None,
+def nearest(points: DataFrame, marks: DataFrame, on: list[str], at: str, slices: list,
             hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Points with the closest mark of their group on either side: largest ``below`` <= at <= smallest ``above``.
 
     One sorted pass over points and marks together, slice by slice, instead of pairs.
     """
     both = points.withColumn("__mark", F.lit(False)).unionByName(marks.select(*on, at, F.lit(True).alias("__mark")), allowMissingColumns=True)
-    both, names = _sliced(settle(both), on, slices, fine, hot_rows)
+    both, names = _sliced(settle(both), on, slices, [at], hot_rows)
     cols, mark = [*on, *names], F.when(F.col("__mark"), F.col(at))
     span = Window.partitionBy(*on).orderBy(*names)
     ends = both.groupBy(*cols).agg(F.max(mark).alias("__hi"), F.min(mark).alias("__lo"))
@@ -187,22 +194,54 @@ def slice_of(c, width: int = SLICE) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def rank_value(df: DataFrame, on: list[str], value: str, slices: list, picks: dict, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Exact order statistics of each group: count, lowest, highest and the values at given ranks.
+def _picked(rows, ranks, on):
+    """The rows (group, part, digit ``__d``, count ``__c``) on which the ranks of their part fall, with the rank inside them. A part has at most ``SLICE`` rows."""
+    ahead = Window.partitionBy(*on, "__p").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__b", F.coalesce(F.sum("__c").over(ahead), F.lit(0)))
+    rows = rows.join(ranks.select(*on, "__p", "__picks"), [*on, "__p"]).withColumn("__k", F.explode("__picks")).drop("__picks")
+    return rows.filter((F.col("__k.at") >= F.col("__b")) & (F.col("__k.at") < F.col("__b") + F.col("__c"))).withColumn("__k", F.struct(F.col("__k.name").alias("name"), (F.col("__k.at") - F.col("__b")).alias("at")))
 
-    ``picks`` maps a result name to a function of the count that gives a rank from 0. Works on the histogram, which Spark
-    combines before the shuffle, so equal values cost nothing.
-    """
-    hist = settle(df.filter(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count(F.lit(1)).alias("__c")))
-    total = hist.groupBy(*on).agg(F.sum("__c").alias("count"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("__size"))
-    run = prefix_sum(hist, on, [value], "__c", slices, "__run", fine=[F.col(value)], hot_rows=hot_rows)
-    run = _lookup(settle(run), settle(total), on, "__size", hot_rows)
-    return run.groupBy(*on).agg(F.first("count").alias("count"), F.first("low").alias("low"), F.first("high").alias("high"),
-                                *[F.min(F.when(F.col("__run") > at(F.col("count")), F.col(value))).alias(n) for n, at in picks.items()])
+
+def _digit(first: bool) -> Column:
+    """Grows with the value: its binary exponent first, then 65 536 steps of equal width between the lowest and the highest value that are left."""
+    v, low, high = (F.col(c).cast("double") for c in ("__v", "__lo", "__hi"))
+    if first:
+        size = F.least(F.floor(F.log2(F.abs(v))), F.lit(1500)) + 1100
+        return F.when(F.isnan(v), F.lit(4000)).when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size).cast("long")
+    return F.when(high > low, F.least(F.floor((v - low) / (high - low) * 65536), F.lit(65535))).otherwise(F.lit(0)).cast("long")
 
 
-def exact_median(df: DataFrame, on: list[str], value: str, slices: list, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def rank_value(df: DataFrame, on: list[str], value: str, picks: dict, hot_rows: int | None = HOT_ROWS, bound: int = SLICE) -> DataFrame:
+    """Exact order statistics of each group: count, lowest, highest and the values at given ranks; keys must not be null.
+
+    ``picks`` maps a result name to a function of the count that gives a rank from 0. Works on the histogram, which Spark combines before
+    the shuffle, so equal values cost nothing. Groups of more than ``bound`` different values are narrowed by a radix selection first: counts by digit tell in which
+    digit each rank falls, and only its values go on. The exponent takes one pass and the 52 bits behind it at most four, so no window holds more rows than digits.
+    """
+    hist = settle(df.filter(F.col(value).isNotNull()).groupBy(*on, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    total = settle(hist.groupBy(*on).agg(F.sum("__c").alias("count"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.count(F.lit(1)).alias("__n")))
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), at(F.col("count")).cast("long").alias("at")) for n, at in picks.items()])
+    ranks = total.select(*on, F.lit("").alias("__p"), asked.alias("__picks"), F.col("low").alias("__lo"), F.col("high").alias("__hi"), "__n")
+    left, first = hist.withColumn("__p", F.lit("")), True
+
+    def narrowed():
+        found = _lookup(left, ranks.select(*on, "__p", F.lit(True).alias("__in"), "__lo", "__hi", "__n"), [*on, "__p"], "__n", hot_rows)
+        return found.filter("__in").drop("__in")
+
+    while ranks.filter(F.col("__n") > bound).take(1):
+        left = settle(narrowed().withColumn("__d", _digit(first)))
+        digits = left.groupBy(*on, "__p", "__d").agg(F.sum("__c").alias("__c"), F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        part = F.concat_ws("/", "__p", F.col("__d").cast("string"))
+        ranks = _picked(digits, ranks, on).withColumn("__p", part).groupBy(*on, "__p").agg(
+            F.collect_list("__k").alias("__picks"), F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"), F.first("__n").alias("__n"))
+        ranks, left, first = settle(ranks), left.select(*on, "__v", "__c", part.alias("__p")), False
+    rows = left if first else narrowed()
+    found = _picked(rows.select(*on, "__p", F.col("__v").alias("__d"), "__c"), ranks, on)
+    found = found.groupBy(*on).agg(*[F.max(F.when(F.col("__k.name") == n, F.col("__d"))).alias(n) for n in picks])
+    return total.drop("__n").join(found, on)
+
+
+def exact_median(df: DataFrame, on: list[str], value: str, hot_rows: int | None = HOT_ROWS, bound: int = SLICE) -> DataFrame:
     """Count and exact median of each group."""
-    picks = {"__lo": lambda n: F.floor((n - 1) / 2), "__hi": lambda n: F.floor(n / 2)}
-    ranked = rank_value(df, on, value, slices, picks, hot_rows)
-    return ranked.select(*on, "count", ((F.col("__lo") + F.col("__hi")) / 2).alias("median"))
+    ranked = rank_value(df, on, value, {"__low": lambda n: F.floor((n - 1) / 2), "__high": lambda n: F.floor(n / 2)}, hot_rows, bound)
+    return ranked.select(*on, "count", ((F.col("__low") + F.col("__high")) / 2).alias("median"))

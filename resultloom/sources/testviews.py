@@ -18,8 +18,7 @@ def pictures(spark, folder):
     """Pictures of jobs. AQE splits a hot part in the join to ``part``; numbering runs per slice of the order key."""
     lines = table(spark, folder, "lineitem").withColumn("job_id", F.col("l_orderkey") % 1000)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_tax", "l_discount"]
-    lines = skew.number_rows(lines, ["job_id"], order, [skew.slice_of("l_orderkey", 1 << 22)], "id",
-                             fine=[F.col("l_orderkey"), F.col("l_linenumber"), skew.slice_of("l_partkey", 4096)])
+    lines = skew.number_rows(lines, ["job_id"], order, [skew.slice_of("l_orderkey", 1 << 22)], "id")
     lines = lines.withColumn("id", F.col("id") - 1)
     part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_name")
     df = lines.join(part, F.col("p_partkey") == F.col("l_partkey"))
@@ -46,8 +45,7 @@ def picture_names(spark, folder):
 
 def legend_lines(spark, folder):
     events = table(spark, folder, "events").withColumn("pass", F.col("event_id") % 2).withColumn("image_id", F.col("user_id"))
-    events = skew.number_rows(events, ["image_id", "pass"], ["ts", "event_id"], [F.date_trunc("hour", "ts")], "line_no",
-                              fine=[F.date_trunc("second", "ts"), skew.slice_of("event_id")])
+    events = skew.number_rows(events, ["image_id", "pass"], ["ts", "event_id"], [F.date_trunc("hour", "ts")], "line_no")
     text = (F.when(F.col("event_type") == "signup", F.concat(F.lit("me "), F.col("value").cast("string"), F.lit(" Max")))
             .when(F.col("event_type") == "error", F.concat(F.col("value").cast("string"), F.lit(" Min")))
             .when(F.col("event_type") == "click", F.concat(F.lit("| "), F.col("value").cast("string")))

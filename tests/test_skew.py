@@ -47,11 +47,10 @@ def test_lookup_keeps_rows_without_a_match(spark, table, hot, size):
 
 
 @pytest.mark.parametrize("hot", [4, 10**6])
-@pytest.mark.parametrize("fine", [True, False])
 @pytest.mark.parametrize("before", [True, False])
-def test_prefix_sum(table, hot, fine, before):
+def test_prefix_sum(table, hot, before):
     df, data = table
-    out = skew.prefix_sum(df, ["k"], ["o", "id"], "v", [skew.slice_of("o", 1000)], "run", fine=[F.col("o"), skew.slice_of("id", 10)] if fine else None, before=before, hot_rows=hot)
+    out = skew.prefix_sum(df, ["k"], ["o", "id"], "v", [skew.slice_of("o", 1000)], "run", before=before, hot_rows=hot)
     got = {r["id"]: r["run"] for r in out.collect()}
     for rows in grouped(data).values():
         total = 0
@@ -62,8 +61,8 @@ def test_prefix_sum(table, hot, fine, before):
 
 def test_number_rows_and_previous(table):
     df, data = table
-    num = {r["id"]: r["n"] for r in skew.number_rows(df, ["k"], ["o", "id"], [skew.slice_of("o", 100)], "n", fine=[F.col("o")], hot_rows=6).collect()}
-    prev = {r["id"]: r["p"] for r in skew.previous(df, ["k"], ["o", "id"], "id", [skew.slice_of("o", 100)], "p", fine=[F.col("o")], hot_rows=6).collect()}
+    num = {r["id"]: r["n"] for r in skew.number_rows(df, ["k"], ["o", "id"], [skew.slice_of("o", 100)], "n", hot_rows=6).collect()}
+    prev = {r["id"]: r["p"] for r in skew.previous(df, ["k"], ["o", "id"], "id", [skew.slice_of("o", 100)], "p", hot_rows=6).collect()}
     for rows in grouped(data).values():
         assert [num[r[2]] for r in rows] == list(range(1, len(rows) + 1))
         assert [prev[r[2]] for r in rows] == [None] + [r[2] for r in rows[:-1]]
@@ -72,7 +71,7 @@ def test_number_rows_and_previous(table):
 def test_exact_median(table):
     from statistics import median
     df, data = table
-    got = {r["k"]: (r["count"], r["median"]) for r in skew.exact_median(df, ["k"], "v", [F.floor(F.col("v") / 10)], hot_rows=5).collect()}
+    got = {r["k"]: (r["count"], r["median"]) for r in skew.exact_median(df, ["k"], "v", hot_rows=5).collect()}
     assert got == {k: (len(v), median(r[3] for r in v)) for k, v in grouped(data).items()}
 
 
@@ -105,3 +104,41 @@ def test_rows_of_hot_keys_and_null_keys_stay_spread(spark):
     for out in (skew.attach(df, ["k"], total=F.sum("v")), skew.lookup(df, dim, ["k"])):
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 24_000 and max(sizes) <= 2_500, sizes
+
+
+def test_a_huge_slice_is_cut_along_the_whole_order(spark):
+    """All rows are one group and one slice, and their order keys share forty characters: pieces stay small, sums and neighbours right."""
+    n = 20_000
+    df = skew.settle(spark.range(n).repartition(8).selectExpr("'job' AS k", "concat(repeat('x', 40), lpad(CAST(id AS STRING), 8, '0')) AS o", "id", "id % 7 AS v").repartition(8))
+    cut, names = skew._sliced(df, ["k"], [F.left("o", F.lit(2))], ["o"], 1000)
+    sizes = [r["count"] for r in cut.groupBy("k", *names).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 1500, sizes
+    run = skew.prefix_sum(df, ["k"], ["o"], "v", [F.left("o", F.lit(2))], "run", hot_rows=1000)
+    whole = 7 * 6 // 2
+    assert run.filter(F.col("run") != F.expr(f"(id div 7) * {whole} + (id % 7) * (id % 7 + 1) div 2")).count() == 0 and run.count() == n
+    before = skew.previous(df, ["k"], ["o"], "id", [F.left("o", F.lit(2))], "p", hot_rows=1000)
+    assert before.filter("NOT (p <=> CASE WHEN id > 0 THEN id - 1 END)").count() == 0
+    marks = df.filter("id % 501 = 0").select("k", "o")
+    near = skew.nearest(df.select("k", "o", "id"), marks, ["k"], "o", [F.left("o", F.lit(2))], 1000)
+    at = F.substring("below", 41, 8).cast("long"), F.substring("above", 41, 8).cast("long")
+    assert near.filter(~at[0].eqNullSafe(F.expr("id div 501 * 501"))).count() == 0
+    assert near.filter(~at[1].eqNullSafe(F.expr(f"nullif(least((id + 500) div 501 * 501, {n // 501 * 501 + 501}), {n // 501 * 501 + 501})"))).count() == 0
+
+
+@pytest.mark.parametrize("bound", [3, 40, 65_536])
+def test_ranks_by_radix_selection(spark, bound):
+    """Ties, signs, zero, very near and very far values, one group of nearly all rows, one of a single value."""
+    from statistics import median
+    rnd = random.Random(4)
+    kinds = [lambda: rnd.gauss(0, 1), lambda: 1 + rnd.randrange(50) * 2.0 ** -52, lambda: rnd.choice([0.0, -5.0, 7.5]), lambda: rnd.choice([-1, 1]) * 10.0 ** rnd.randrange(-300, 300), lambda: float("inf")]
+    data = [("big", rnd.choice(kinds)()) for _ in range(3001)] + [("near", 1 + i * 2.0 ** -52) for i in range(300)] + [("one", 3.5)] * 50 + [(f"g{i % 20}", rnd.random()) for i in range(100)] + [("g1", None), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(8)
+    groups = defaultdict(list)
+    for k, v in data:
+        if v is not None:
+            groups[k].append(v)
+    got = {r["k"]: (r["count"], r["median"]) for r in skew.exact_median(df, ["k"], "v", bound=bound).collect()}
+    assert got == {k: (len(v), median(v)) for k, v in groups.items()}
+    picks = {"first": lambda n: n * 0, "tenth": lambda n: F.floor(n / 10), "last": lambda n: n - 1}
+    got = {r["k"]: (r["low"], r["high"], r["first"], r["tenth"], r["last"]) for r in skew.rank_value(df, ["k"], "v", picks, bound=bound).collect()}
+    assert got == {k: (min(v), max(v), min(v), sorted(v)[len(v) // 10], max(v)) for k, v in groups.items()}
