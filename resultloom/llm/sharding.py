@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from resultloom.plans.skew import lookup
+from resultloom.plans.skew import HOT_KEYS, lookup
 
 from .common import few_or_not, in_order, stored
 
@@ -158,7 +158,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str
     if largest is None:
         return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     shared = groups.filter("copies > 1").select("digest", "first", "copies")
-    rows = stored(lookup(rows, shared, ["digest"], size="copies").withColumn("first", F.coalesce("first", "doc_id")), "grouped")
+    rows = stored(lookup(rows, shared, ["digest"], size="copies", hot_rows=max(1, rows.count() // HOT_KEYS)).withColumn("first", F.coalesce("first", "doc_id")), "grouped")
     ordered = in_order(rows, ["first", "digest", "doc_id"], "ordered", sums={"bytes_before": "size"}, changes={"head": "digest"})
     # one row per run: as many as there are shuffle partitions
     runs = ordered.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min_by("digest", "at").alias("a"), F.max_by("digest", "at").alias("z")).orderBy("run").collect()
