@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_KEYS = 1000        # keys that may be hot at once: a key is hot if it has more than this share of all rows
 HOT_ROWS = None        # rows above which a key is hot; None: rows / HOT_KEYS, so hot keys are few at any size and may be broadcast
+SMALL = 1 << 20        # rows of a table that one task can bear: none of its keys is hot
 SLICE = 65_536         # rows of one slice when the order column is a dense counter
 SLICE_ROWS, MANY_SLICES = 1 << 20, 100_000   # a slice of more rows, and of more than this share of all rows, is cut again
 
@@ -57,8 +58,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _limit(df: DataFrame, hot_rows: int | None) -> int:
-    return max(1, df.count() // HOT_KEYS) if hot_rows is None else hot_rows
+def _limit(df: DataFrame, hot_rows: int | None) -> int | None:
+    """Rows above which a key is hot; None if the table is so small that one task could hold it."""
+    if hot_rows is not None:
+        return hot_rows
+    rows = df.count()
+    return None if rows <= SMALL else max(1, rows // HOT_KEYS)
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], size: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -73,6 +78,8 @@ def lookup(df: DataFrame, dim: DataFrame, on: list[str], size: str | None = None
 def _lookup(df, dim, on, size, hot_rows):
     values = [c for c in dim.columns if c not in on and c != size]
     limit = _limit(df, hot_rows)
+    if limit is None:
+        return df.select(*[c for c in df.columns if c not in values]).join(dim.select(*on, *values), on, "left")
     packed = dim.select(*on, F.struct(*values).alias("__found"), *([F.col(size).alias("__size")] if size else []))
     if size is None:
         often = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*on)

@@ -26,15 +26,10 @@ UNION ALL SELECT f.image_id, f.pass, f.line_no, vend FROM legend_flags f JOIN le
 WHERE f.line_no > max_line AND (end_line IS NULL OR f.line_no < end_line) AND NOT is_min AND vend IS NOT NULL AND lead <= 5""")
 
 
-def parsed(spark, folder):
-    reads, values = legend.parse_legend(T.legend_lines(spark, folder))
-    return reads, skew.settle(values)
-
-
 @query("c1_parse_legend", """
 SELECT r.image_id, r.pass, r."max", r."min", v.line_no, v.value FROM legend_reads r LEFT JOIN legend_values v ON v.image_id = r.image_id AND v.pass = r.pass""")
 def _(spark, folder):
-    reads, values = parsed(spark, folder)
+    reads, values = legend.parse_legend(T.legend_lines(spark, folder))
     return reads.select("image_id", "pass", "max", "min").join(values, ["image_id", "pass"], "left")
 
 
@@ -52,16 +47,17 @@ GROUP BY image_id) p) x) y""")
 
 
 def chosen(spark, folder):
-    return legend.reconcile_passes(*parsed(spark, folder))
+    return legend.reconcile_passes(legend.read_passes(T.legend_lines(spark, folder)))
 
 
 @query("c2_reconcile_passes", """
 SELECT c.*, v.line_no, CASE WHEN v.line_no = r.max_line THEN coalesce(c."max", v.value) ELSE v.value END AS value FROM reconciled c
 LEFT JOIN legend_values v ON v.image_id = c.image_id AND v.pass = c.kept_pass LEFT JOIN legend_reads r ON r.image_id = c.image_id AND r.pass = c.kept_pass""")
 def _(spark, folder):
-    reads, values = parsed(spark, folder)
-    best = skew.settle(legend.reconcile_passes(reads, values))
-    return best.join(legend.kept_values(values, reads, best), "image_id", "left")
+    lines = skew.settle(T.legend_lines(spark, folder))
+    reads = skew.settle(legend.read_passes(lines))
+    best = skew.settle(legend.reconcile_passes(reads))
+    return best.join(legend.kept_values(lines, reads, best), "image_id", "left")
 
 
 @query("c3_first_region_with_max", """

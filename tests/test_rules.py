@@ -205,3 +205,31 @@ def test_names_blanks_and_letters(spark):
     df = spark.createDataFrame([("https://model.host/page/3.png", "a\u00a0\u2003b\x1c c.", 18279), ("C:\\job\\x.y.jpg", "\u3000", 0), ("plain", None, 475255)], "name string, t string, n long")
     got = [tuple(r) for r in df.select(X.stem("name"), X.clean("t"), X.list_letter("n")).collect()]
     assert got == [("3", "a b c", "AAAA"), ("x.y", "", ""), ("plain", "", "AAAAA")]
+
+
+@pytest.mark.parametrize("lines_of_a_segment", [1, 3, 4096])
+def test_readings_may_be_cut_anywhere(spark, monkeypatch, lines_of_a_segment):
+    """Max, Min and value lines in any order: the summaries of segments join to what one walk over the lines finds."""
+    monkeypatch.setattr(legend, "LINES", lines_of_a_segment)
+    rnd = random.Random(11)
+    kinds = ["{} Max", "{} Min", "| {}", "{}", "a long text {}", "none"]
+    data = [(image, p, n, rnd.choice(kinds).format(rnd.randrange(1, 900))) for image in range(150) for p in (0, 1) for n in range(rnd.randrange(1, 14))]
+    want = {}
+    for image, p, _, _ in data:
+        mine = sorted((n, t) for i, q, n, t in data if (i, q) == (image, p))
+        number = lambda t: float(t.replace("|", " ").split()[0])
+        top = next(((n, number(t)) for n, t in mine if t.endswith("Max")), None)
+        behind = next(((n, number(t)) for n, t in mine if top and n > top[0] and t.endswith("Min")), None)
+        ahead = [(n, number(t)) for n, t in mine if t.endswith("Min") and (top is None or n < top[0])]
+        rest = [number(t) for n, t in mine if top and n > top[0] and (behind is None or n < behind[0]) and t[-1].isdigit() and not t.startswith("a")]
+        low = behind or (ahead[-1] if ahead else None)
+        want[image, p] = (top and top[0], top and top[1], behind and behind[0], low and low[1], len(rest) if top else None, rest[0] if rest else None)
+    df = spark.createDataFrame(data, "image_id bigint, pass bigint, line_no bigint, text string").repartition(7)
+    got = {(r["image_id"], r["pass"]): (r["max_line"], r["max"], r["end_line"], r["min"], r["more"], r["second"]) for r in legend.read_passes(df).collect()}
+    assert got == want
+
+
+def test_lines_are_shuffled_once_to_the_chosen_maximum(spark):
+    df = skew.settle(spark.range(10).selectExpr("id % 2 AS image_id", "id % 2 AS pass", "id AS line_no", "'3 Max' AS text").repartition(3))
+    plan = legend.reconcile_passes(legend.read_passes(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 3     # by segment, then two of summaries: by reading and by picture
