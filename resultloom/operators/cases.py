@@ -77,7 +77,7 @@ def pick_main(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> Data
     user_set = F.coalesce(F.col("user_set"), F.lit(False))
     height = F.when(F.col("role") == "bc", F.lit(0.0)).otherwise(-F.coalesce("max_value", F.lit(0.0)))
     rank = F.struct((~user_set).alias("a"), height.alias("b"), F.col("id").alias("c"))
-    df = skew.attach(pictures.drop("main_id"), ["job_id", "case_no", "role"], hot_rows, main_id=F.min_by("id", F.when(candidate, rank)))
+    df = skew.attach(pictures.drop("main_id"), ["job_id", "case_no", "role"], hot_rows, few_groups=True, main_id=F.min_by("id", F.when(candidate, rank)))
     loser = candidate & (F.col("id") != F.col("main_id"))
     return (df.withColumn("auto_extra", F.coalesce(loser, F.lit(False)))
             .withColumn("main_id", F.when(candidate, F.col("main_id")))

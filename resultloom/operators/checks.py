@@ -149,7 +149,7 @@ def missing_inputs(ctx: DataFrame, cases: DataFrame, mesh_lines: DataFrame, assu
 
 def rank_checks(checks: DataFrame, jobs: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Checks of a job by severity, in their own order (n, seq) within a level; a calm job gets one line."""
-    checks = skew.settle(checks)
+    checks = skew.settle(checks, dear=True)   # sentences are made once
     level = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in fixed.LEVELS.items()])
     df = checks.withColumn("__l", level)
     df = skew.number_rows(df, ["job_id"], ["__l", "n", "seq", "code"], [F.col("__l"), skew.slice_of("n")], "rank", hot_rows=hot_rows).drop("__l")

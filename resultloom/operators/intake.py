@@ -15,8 +15,9 @@ def opt(df: DataFrame, name: str, default, kind: str):
 
 def dedup_first(pictures: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Same content within a job: the lowest id stays, the others become 'unused' and point to it."""
-    kept = pictures.drop("dup_of")
-    df = skew.attach(kept, ["job_id", "hash"], hot_rows, __first=F.min("id"))
+    kept = skew.settle(pictures.drop("dup_of"))
+    several = kept.groupBy("job_id", "hash").agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    df = skew.lookup(kept, several, ["job_id", "hash"], size="__n", hot_rows=hot_rows)
     later = F.col("id") > F.col("__first")
     return df.withColumns({"role": F.when(later, F.lit("unused")).otherwise(F.col("role")),
                            "dup_of": F.when(later, F.col("__first"))}).drop("__first")

@@ -20,7 +20,6 @@ to the shared checkpoint folder (``settle``): that cuts the lineage, survives lo
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from functools import reduce
@@ -33,7 +32,8 @@ SMALL = 1 << 20        # rows of a table that one task can bear: none of its key
 SLICE = 65_536         # rows of one slice when the order column is a dense counter
 SLICE_ROWS, MANY_SLICES = 1 << 20, 100_000   # a slice of more rows, and of more than this share of all rows, is cut again
 
-_SHUFFLES = re.compile(r"^[\s:+\-]*'?(Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate)\b", re.M)
+#: physical steps that move rows; joins with a broadcast table and what reads, filters or computes row by row do not
+_MOVES = {"SortMergeJoin", "ShuffledHashJoin", "CartesianProduct", "BroadcastNestedLoopJoin", "HashAggregate", "ObjectHashAggregate", "SortAggregate", "Window", "Sort", "Exchange", "TakeOrderedAndProject"}
 _own_folder: list = []
 
 
@@ -49,15 +49,21 @@ def scratch_folder(spark) -> str:
     return _own_folder[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows read back from a written table; a plain scan with projections is left as it is."""
-    if not _SHUFFLES.search(df._jdf.queryExecution().analyzed().toString()):
+def settle(df: DataFrame, dear: bool = False) -> DataFrame:
+    """The same rows read back from a written table. A plan that moves no rows (scans, projections, joins with small written tables) is left as it is:
+    computing it again is cheaper than a copy, unless its rows are ``dear`` to make."""
+    if not dear and not _moves(df._jdf.queryExecution().sparkPlan()):
         return df
     path = f"{scratch_folder(df.sparkSession)}/resultloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _moves(node) -> bool:
+    children = node.children()
+    return node.nodeName() in _MOVES or any(_moves(children.apply(i)) for i in range(children.size()))
+
+
 def _limit(df: DataFrame, hot_rows: int | None) -> int | None:
     """Rows above which a key is hot; None if the table is so small that one task could hold it."""
     if hot_rows is not None:

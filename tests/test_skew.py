@@ -83,6 +83,15 @@ def test_top_k(table):
         assert [got.get((k, i + 1)) for i in range(len(best))] == [r[2] for r in best]
 
 
+def test_settle_writes_what_moves_rows(spark, table):
+    df, _ = table
+    few = skew.settle(df.groupBy("k").agg(F.sum("v").alias("s")))
+    for plan, written in ((df.filter("v > 0").withColumn("w", F.col("v") + 1), False), (df.join(F.broadcast(few), "k"), False), (df.join(few.hint("merge"), "k"), True),
+                          (df.groupBy("k").count(), True), (df.repartition(3), True), (df.distinct(), True)):
+        assert bool(skew.settle(plan).inputFiles() and "resultloom-" in skew.settle(plan).inputFiles()[0] and len(skew.settle(plan)._jdf.queryExecution().sparkPlan().toString().splitlines()) < 3) == written
+    assert skew.settle(df, dear=True).inputFiles()
+
+
 def test_settle_uses_the_folder_of_the_session(spark, table):
     df, _ = table
     assert skew.settle(df.filter("v > 0")) is not None
@@ -97,8 +106,9 @@ def test_top_k_is_cut_before_the_shuffle(table):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_rows_of_hot_keys_and_null_keys_stay_spread(spark):
-    """Two keys with all the rows, and rows without a key: no task gets many more than its share."""
+def test_rows_of_hot_keys_and_null_keys_stay_spread(spark, monkeypatch):
+    """Two keys with all the rows, and rows without a key: no task gets many more than its share, once the table counts as more than small."""
+    monkeypatch.setattr(skew, "SMALL", 1000)
     df = skew.settle(spark.range(24_000).repartition(16).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS k", "id % 7 AS v"))
     dim = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, w long")
     for out in (skew.attach(df, ["k"], total=F.sum("v")), skew.lookup(df, dim, ["k"])):
