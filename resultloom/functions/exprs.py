@@ -185,18 +185,23 @@ def norm_model(c) -> Column:
 
 
 def common_prefix(a, b) -> Column:
-    """Number of leading characters two texts share."""
+    """Number of leading characters two texts share, null if one is null: blocks of halving size behind what is known to be equal are compared, so each
+    character is looked at a few times, however long the texts."""
     a, b = col(a), col(b)
     n = F.least(F.char_length(a), F.char_length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.left(a, i) == F.left(b, i)))
-    return F.size(same).cast("long")
+
+    def further(known, step):
+        equal = (known + step <= n) & (F.substring(a, known + 1, step) == F.substring(b, known + 1, step))
+        return F.when(equal, known + step).otherwise(known)
+
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda step: step <= n)
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(steps, F.lit(0), further)).cast("long")
 
 
 def with_common_prefix(df, a: str, b: str, out: str, width: int = 64):
     """Column with the number of leading characters two text columns share (null counts as empty), by halving steps.
 
-    Each step compares one block of characters behind what is known to be equal, so a text takes a few comparisons instead
-    of one per character. Texts that agree beyond the first block go the long way.
+    Each step compares one block of characters behind what is known to be equal, in generated code. Only texts that agree beyond the first block go on with ``common_prefix``.
     """
     x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
     df = df.withColumn(out, F.lit(0))

@@ -92,7 +92,7 @@ def case_extras(pictures: DataFrame) -> DataFrame:
                .when(hint == "section", F.lit(f"Section view {fixed.WHERE}")).when(hint == "detail", F.lit(f"Detail view {fixed.WHERE}"))
                .otherwise(F.lit("Additional view [describe - please confirm]")))
     return df.select("job_id", F.col("case_no").alias("n"), "id", X.base_role().alias("kind"), heading.alias("heading"), "max_value",
-                     opt(df, "auto_extra", False, "boolean").alias("auto"))
+                     opt(df, "unit", None, "string").alias("unit"), opt(df, "auto_extra", False, "boolean").alias("auto"))
 
 
 def case_rollup(pictures: DataFrame) -> DataFrame:
@@ -154,10 +154,24 @@ def merge_case_edits(old: DataFrame, new: DataFrame) -> DataFrame:
     return df.withColumns(out).drop("o")
 
 
-def merge_view_edits(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Views after a change: the heading and caption typed for a picture stay with it."""
-    o = old.select("job_id", "id", F.col("heading").alias("__h"), F.col("caption").alias("__c"), F.lit(True).alias("__hit"))
-    df = new.drop("caption").join(o, ["job_id", "id"], "left")
+def merge_setup_lines(old: DataFrame, old_lines: DataFrame, new: DataFrame, new_lines: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """Setup lines (job_id, n, line_no, ...) after a change of the cases (job_id, n, bc_id): the user's lines, as moved, added, removed or
+    rewritten, stay while the case has the same setup picture; a case with another one, or a new case, has the lines that were read from it.
+
+    Lines stay rows: a case may have any number of them.
+    """
+    before = old.select("job_id", "n", F.col("bc_id").alias("__bc"), F.lit(True).alias("__known"))
+    same = F.coalesce(F.col("__known") & F.col("__bc").eqNullSafe(F.col("bc_id")), F.lit(False))
+    now = skew.settle(new.select("job_id", "n", "bc_id").join(before, ["job_id", "n"], "left").select("job_id", "n", same.alias("__same")))
+    kept = skew.lookup(old_lines, now, ["job_id", "n"], hot_rows=hot_rows).filter("__same")
+    fresh = skew.lookup(new_lines, now, ["job_id", "n"], hot_rows=hot_rows).filter("NOT __same")
+    return kept.unionByName(fresh).drop("__same")
+
+
+def merge_view_edits(old: DataFrame, new: DataFrame, on=("job_id", "id")) -> DataFrame:
+    """Views after a change: the heading and caption typed for a picture stay with it. Extras of a case are views by (job_id, n, id)."""
+    o = old.select(*on, F.col("heading").alias("__h"), F.col("caption").alias("__c"), F.lit(True).alias("__hit"))
+    df = new.drop("caption").join(o, [*on], "left")
     return (df.withColumn("caption", F.coalesce("__c", F.lit("")))
             .withColumn("heading", F.when(F.col("__hit"), F.col("__h")).otherwise(F.col("heading"))).drop("__h", "__c", "__hit"))
 

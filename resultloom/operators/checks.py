@@ -119,15 +119,17 @@ def material_checks(materials: DataFrame) -> DataFrame:
 
 
 def mesh_checks(stats: DataFrame, limits: dict = fixed.SETTINGS["mesh_limits"]) -> DataFrame:
-    """Skewness and orthogonal quality against the limits of the settings."""
+    """Skewness and orthogonal quality against the limits of the settings: those of the job (a column ``settings``, see ``readers.job_settings``) or the given ones."""
     df = stats.withColumns({c: X.to_float(c) for c in ("skew_max", "skew_avg", "oq_min")})
-    bad, poor, avg, oq = (limits[k] for k in ("skew_max_warn", "skew_max_info", "skew_avg_info", "oq_min_warn"))
-    m = F.col("skew_max")
+    names = ("skew_max_warn", "skew_max_info", "skew_avg_info", "oq_min_warn")
+    own = "settings" in stats.columns
+    bad, poor, avg, oq = (F.col(f"settings.mesh_limits.{k}") if own else F.lit(float(limits[k])) for k in names)
+    m, shown = F.col("skew_max"), {k: _g(f"settings.mesh_limits.{k}") if own else F.lit(f"{limits[k]:g}") for k in names}
     return emit(df, [
-        rule(1, "warn", "skew_bad", m >= bad, X.fill(S["skew_bad"], v=_g("skew_max"), lim=F.lit(f"{bad:g}"))),
-        rule(1, "info", "skew_poor", (m >= poor) & (m < bad), X.fill(S["skew_poor"], v=_g("skew_max"), lo=F.lit(f"{poor:g}"), lim=F.lit(f"{bad:g}"))),
-        rule(2, "info", "skew_avg", F.col("skew_avg") > avg, X.fill(S["skew_avg"], v=_g("skew_avg"), lim=F.lit(f"{avg:g}"))),
-        rule(3, "warn", "oq", F.col("oq_min") < oq, X.fill(S["oq"], v=_g("oq_min"), lim=F.lit(f"{oq:g}")))], ("job_id",))
+        rule(1, "warn", "skew_bad", m >= bad, X.fill(S["skew_bad"], v=_g("skew_max"), lim=shown["skew_max_warn"])),
+        rule(1, "info", "skew_poor", (m >= poor) & (m < bad), X.fill(S["skew_poor"], v=_g("skew_max"), lo=shown["skew_max_info"], lim=shown["skew_max_warn"])),
+        rule(2, "info", "skew_avg", F.col("skew_avg") > avg, X.fill(S["skew_avg"], v=_g("skew_avg"), lim=shown["skew_avg_info"])),
+        rule(3, "warn", "oq", F.col("oq_min") < oq, X.fill(S["oq"], v=_g("oq_min"), lim=shown["oq_min_warn"]))], ("job_id",))
 
 
 def duplicate_case_names(cases: DataFrame) -> DataFrame:

@@ -93,12 +93,13 @@ def _(spark, folder):
 
 view("extras", f"""
 SELECT job_id, case_no AS n, id, substr(role, 3) AS kind, CASE {Q.hint('name')} WHEN 'section' THEN 'Section view {fixed.WHERE}' WHEN 'detail' THEN 'Detail view {fixed.WHERE}'
-  ELSE 'Additional view [describe - please confirm]' END AS heading, max_value, auto_extra AS auto FROM mains WHERE role IN {EXTRA} AND case_no IS NOT NULL""")
+  ELSE 'Additional view [describe - please confirm]' END AS heading, max_value, CASE WHEN id % 7 <> 0 THEN CASE role WHEN 'x_deformation' THEN 'mm' WHEN 'x_stress' THEN 'MPa' END END AS unit, auto_extra AS auto FROM mains WHERE role IN {EXTRA} AND case_no IS NOT NULL""")
 
 
 @query("f5_case_extras", "SELECT * FROM extras")
 def _(spark, folder):
-    return cases.case_extras(mains(spark, folder))
+    unit = F.expr("CASE WHEN id % 7 <> 0 THEN CASE role WHEN 'x_deformation' THEN 'mm' WHEN 'x_stress' THEN 'MPa' END END")
+    return cases.case_extras(mains(spark, folder).withColumn("unit", unit))
 
 
 def rollup_sql(source, px="CAST(NULL AS DOUBLE)"):
@@ -157,6 +158,47 @@ def _(spark, folder):
     return cases.merge_case_edits(old, new)
 
 
+view("corrected_extras", f"""
+SELECT job_id, case_no AS n, id, substr(role, 3) AS kind, CASE {Q.hint('name')} WHEN 'section' THEN 'Section view {fixed.WHERE}' WHEN 'detail' THEN 'Detail view {fixed.WHERE}'
+  ELSE 'Additional view [describe - please confirm]' END AS heading FROM corrected_mains WHERE role IN {EXTRA} AND case_no IS NOT NULL""")
+
+
+@query("f8_merge_extra_edits", """
+SELECT c.job_id, c.n, c.id, c.kind, CASE WHEN o.id IS NOT NULL THEN 'Typed ' || o.id ELSE c.heading END AS heading, CASE WHEN o.id IS NOT NULL THEN 'caption' ELSE '' END AS caption
+FROM corrected_extras c LEFT JOIN (SELECT * FROM extras WHERE id % 3 <> 0) o ON o.job_id = c.job_id AND o.n = c.n AND o.id = c.id""")
+def _(spark, folder):
+    """Extras of a case: headings and captions typed before the change stay with the pictures that are still extras of the same case."""
+    before = mains(spark, folder)
+    typed = cases.case_extras(before).filter("id % 3 <> 0").withColumn("heading", F.concat(F.lit("Typed "), F.col("id").cast("string"))).withColumn("caption", F.lit("caption"))
+    after = cases.case_extras(cases.pick_main(cases.apply_corrections(before, T.assignments(spark, folder))))
+    return cases.merge_view_edits(typed, after.select("job_id", "n", "id", "kind", "heading"), ("job_id", "n", "id"))
+
+
+# Setup lines: two to four are read from a setup picture; the user's list moves them to the end, lacks the second one in every third case, and has a line more in every second one.
+READ_LINES = "SELECT job_id, n, k AS line_no, 'load ' || k || ' of picture ' || bc_id AS text FROM {0}, range(1, 5) g(k) WHERE bc_id IS NOT NULL AND k <= 2 + bc_id % 3"
+view("typed_lines", f"""
+SELECT job_id, n, 10 - line_no AS line_no, 'typed ' || text AS text FROM ({READ_LINES.format('rollup_cases')}) a WHERE line_no <> 2 OR n % 3 <> 0
+UNION ALL SELECT job_id, n, 20, 'one more' FROM rollup_cases WHERE n % 2 = 0""")
+
+
+def read_lines(table):
+    lines = table.filter("bc_id IS NOT NULL").selectExpr("job_id", "n", "bc_id", "explode(sequence(1L, 2 + bc_id % 3)) AS line_no")
+    return lines.selectExpr("job_id", "n", "line_no", "concat('load ', line_no, ' of picture ', bc_id) AS text")
+
+
+@query("f8_merge_setup_lines", f"""
+WITH same AS (SELECT c.job_id, c.n FROM corrected_cases c JOIN rollup_cases o ON o.job_id = c.job_id AND o.n = c.n AND o.bc_id IS NOT DISTINCT FROM c.bc_id)
+SELECT * FROM typed_lines WHERE (job_id, n) IN (SELECT (job_id, n) FROM same)
+UNION ALL SELECT * FROM ({READ_LINES.format('corrected_cases')}) a WHERE (job_id, n) NOT IN (SELECT (job_id, n) FROM same)""")
+def _(spark, folder):
+    before = mains(spark, folder)
+    old = cases.case_rollup(before)
+    typed = read_lines(old).filter("line_no <> 2 OR n % 3 <> 0").selectExpr("job_id", "n", "10 - line_no AS line_no", "concat('typed ', text) AS text")
+    typed = typed.unionByName(old.filter("n % 2 = 0").selectExpr("job_id", "n", "20L AS line_no", "'one more' AS text"))
+    new = skew.settle(cases.case_rollup(cases.pick_main(cases.apply_corrections(before, T.assignments(spark, folder)))))
+    return cases.merge_setup_lines(old, typed, new, read_lines(new))
+
+
 @query("f8_merge_view_edits", f"""
 SELECT g.job_id, g.id, CASE WHEN g.id % 3 = 0 THEN 'Typed ' || g.id ELSE g.heading END AS heading, g.position, g.k, CASE WHEN g.id % 3 = 0 THEN 'caption' ELSE '' END AS caption FROM geo_views g""")
 def _(spark, folder):

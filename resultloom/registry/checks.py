@@ -8,6 +8,7 @@ from ..plans import skew
 from ..sources import testviews as T
 from . import sqltext as Q
 from .cases import mains
+from .sources import settings
 from .core import query, view
 from .verdict import case_table, job_inputs
 
@@ -86,6 +87,17 @@ def _(spark, folder):
     return checks.mesh_checks(T.mesh_stats(spark, folder))
 
 
+@query("h10_mesh_check_by_job", f"""
+WITH m AS (SELECT * FROM mesh_stats JOIN job_settings USING (job_id))
+SELECT job_id, 1::BIGINT AS seq, 'warn' AS level, 'skew_bad' AS code, {Q.say(S['skew_bad'], v=G('skew_max'), lim=G('skew_max_warn'))} AS text FROM m WHERE skew_max >= skew_max_warn
+UNION ALL SELECT job_id, 1, 'info', 'skew_poor', {Q.say(S['skew_poor'], v=G('skew_max'), lo=G('skew_max_info'), lim=G('skew_max_warn'))} FROM m WHERE skew_max >= skew_max_info AND skew_max < skew_max_warn
+UNION ALL SELECT job_id, 2, 'info', 'skew_avg', {Q.say(S['skew_avg'], v=G('skew_avg'), lim=G('skew_avg_info'))} FROM m WHERE skew_avg > skew_avg_info
+UNION ALL SELECT job_id, 3, 'warn', 'oq', {Q.say(S['oq'], v=G('oq_min'), lim=G('oq_min_warn'))} FROM m WHERE oq_min < oq_min_warn""")
+def _(spark, folder):
+    """The limits are those of each job's own settings."""
+    return checks.mesh_checks(T.mesh_stats(spark, folder).join(settings(spark, folder).select("job_id", "settings"), "job_id"))
+
+
 @query("h11_duplicate_case_names", f"""
 SELECT DISTINCT job_id, 'warn' AS level, 'same_name' AS code, {Q.quote(S['same_name'])} AS text FROM (SELECT job_id FROM cases GROUP BY job_id, lower(trim(name)) HAVING count(*) > 1) a""")
 def _(spark, folder):

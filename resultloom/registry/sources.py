@@ -1,8 +1,11 @@
 """Queries of the sources and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..plans import skew
 from ..sources import readers, sinks, testviews as T
 from . import sqltext as Q
 from .core import query, view
@@ -47,6 +50,48 @@ def _(spark, folder):
     return readers.overlay_config(customer.select(F.col("c_custkey").alias("set_id")), over)
 
 
+SETTINGS_JSON = """CASE s_suppkey % 5 WHEN 1 THEN '{"mesh_limits": {"skew_max_warn": 0.7}, "_note": 1}' WHEN 2 THEN '{"mesh_limits": {"oq_min_warn": 0.15, "skew_avg_info": 0.3}, "fos": 1.5, "assumption_library": ["Only one."]}'
+  WHEN 3 THEN '{"mesh_limits": {"skew_max' WHEN 4 THEN '{"fos": 2, "show_utilisation": false, "material": {"E": "2e5"}}' END"""
+LIMITS = fixed.SETTINGS["mesh_limits"]
+view("job_settings", f"""
+SELECT job_id, t IS NULL OR json_valid(t) AS settings_ok, coalesce(CAST(json_extract_string(ok, '$.fos') AS DOUBLE), {fixed.SETTINGS['fos']}e0) AS fos,
+  coalesce(CAST(json_extract_string(ok, '$.show_utilisation') AS BOOLEAN), true) AS show_utilisation, coalesce(json_extract_string(ok, '$.material.E'), '{fixed.SETTINGS['material']['E']}') AS e,
+  {", ".join(f"coalesce(CAST(json_extract_string(ok, '$.mesh_limits.{k}') AS DOUBLE), {v}e0) AS {k}" for k, v in LIMITS.items())},
+  CAST(coalesce(json_array_length(ok, '$.assumption_library'), {len(fixed.ASSUMPTIONS)}) AS BIGINT) AS assumptions
+FROM (SELECT *, CASE WHEN json_valid(t) THEN t END AS ok FROM (SELECT s_suppkey AS job_id, {SETTINGS_JSON} AS t FROM supplier) a) b""")
+
+
+def settings(spark, folder):
+    jobs = T.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("job_id"), F.expr(SETTINGS_JSON).alias("settings_json"))
+    return readers.job_settings(jobs)
+
+
+@query("a2_job_settings", "SELECT * FROM job_settings")
+def _(spark, folder):
+    """Defaults with each job's own document put over them: values, sub-keys, lists; a damaged document leaves the defaults."""
+    s = settings(spark, folder)
+    return s.select("job_id", "settings_ok", "settings.fos", "settings.show_utilisation", F.col("settings.material.E").alias("e"), *[f"settings.mesh_limits.{k}" for k in LIMITS],
+                    F.size("settings.assumption_library").cast("long").alias("assumptions"))
+
+
+@query("a3_session_files", """
+SELECT 'record' AS kind, job_id, id, CASE WHEN id % 50 = 7 THEN 1 ELSE 2 END AS generation, CASE WHEN id % 50 = 7 THEN 'old ' || name ELSE name END AS name, max_value FROM pictures
+UNION ALL SELECT 'damaged', NULL, count(*), NULL, NULL, NULL FROM pictures WHERE id % 50 = 7""")
+def _(spark, folder):
+    """Two generations of session files; some lines of the newer ones were cut off while they were written."""
+    pictures = T.pictures(spark, folder)
+    lines = None
+    for generation, name in ((1, F.concat(F.lit("old "), F.col("name"))), (2, F.col("name"))):
+        record = F.to_json(F.struct("job_id", "id", name.alias("name"), "max_value", F.lit(generation).alias("generation")))
+        part = pictures.select(F.when((F.col("id") % 50 == 7) & F.lit(generation == 2), F.left(record, F.lit(20))).otherwise(record).alias("value"))
+        lines = part if lines is None else lines.unionByName(part)
+    path = f"{skew.scratch_folder(spark)}/resultloom-sessions-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    newest, damaged = readers.read_sessions(spark, path)
+    count = damaged.agg(F.lit("damaged").alias("kind"), F.count(F.lit(1)).alias("id"))
+    return newest.select(F.lit("record").alias("kind"), "job_id", "id", F.col("generation").cast("int").alias("generation"), "name", "max_value").unionByName(count, allowMissingColumns=True)
+
+
 @query("a3_session_records", """
 SELECT job_id, id, name, role, letter, model, max_value, z_dir, CAST(red_px AS BIGINT) AS red_px, width, height, user_set, '/api/img/' || job_id || '/' || id AS url FROM pictures""")
 def _(spark, folder):

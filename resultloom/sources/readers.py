@@ -60,6 +60,35 @@ def overlay_config(sets: DataFrame, overrides: DataFrame, defaults: list[tuple]
     return kept.select("set_id", "key", "subkey", "value").unionByName(over.select("set_id", "key", "subkey", "value"))
 
 
+def _kind(value) -> str:
+    if isinstance(value, dict):
+        return "STRUCT<" + ", ".join(f"{k}: {_kind(v)}" for k, v in value.items()) + ">"
+    return "ARRAY<STRING>" if isinstance(value, (list, tuple)) else {bool: "BOOLEAN", float: "DOUBLE", int: "DOUBLE"}.get(type(value), "STRING")
+
+
+def _overlaid(given, default):
+    """The given value where there is one, else the default; sub-keys one by one, lists as a whole."""
+    if isinstance(default, dict):
+        return F.struct(*[_overlaid(given[k], v).alias(k) for k, v in default.items()])
+    if isinstance(default, (list, tuple)):
+        return F.coalesce(given, F.array(*map(F.lit, default)))
+    return F.coalesce(given, F.lit(float(default) if isinstance(default, (int, float)) and not isinstance(default, bool) else default))
+
+
+def job_settings(jobs: DataFrame, text: str = "settings_json", defaults: dict | None = None) -> DataFrame:
+    """Adds ``settings``, all settings of a job as one typed struct: the defaults with the job's own JSON document put over them, and ``settings_ok``.
+
+    A document that can't be read, or holds a value of another kind, leaves the defaults (``settings_ok`` is false); no document is fine. Keys that are no settings, like notes
+    that begin with an underscore, are ignored.
+    """
+    defaults = defaults or fixed.SETTINGS | {"assumption_library": fixed.ASSUMPTIONS}
+    schema = ", ".join(f"{k} {_kind(v)}" for k, v in defaults.items()) + ", _damaged STRING"
+    df = jobs.withColumn("__s", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}))
+    good = F.col("__s._damaged").isNull()
+    own = F.when(good, F.col("__s"))
+    return df.withColumn("settings", F.struct(*[_overlaid(own[k], v).alias(k) for k, v in defaults.items()])).withColumn("settings_ok", good).drop("__s")
+
+
 PRIVATE = ("path", "_done", "hash")
 
 
@@ -78,6 +107,19 @@ def from_records(records: DataFrame, schema: str = schemas.PICTURES) -> DataFram
     return records.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
+def read_sessions(spark: SparkSession, path: str, schema: str = schemas.PICTURES, keys=("job_id", "id")) -> tuple[DataFrame, DataFrame]:
+    """Session files of several generations -> (the newest whole record of each picture, with its ``generation``; lines that can't be read).
+
+    A record that was cut off while it was written is set aside, so the picture falls back to its record of the generation before.
+    """
+    lines = spark.read.schema(schema + ", generation BIGINT, _damaged STRING").option("columnNameOfCorruptRecord", "_damaged").json(path)
+    lines = skew.settle(lines, dear=True)
+    whole = lines.filter("_damaged IS NULL").drop("_damaged")
+    rest = [c for c in whole.columns if c not in (*keys, "generation")]
+    newest = whole.groupBy(*keys).agg(F.max_by(F.struct("generation", *rest), "generation").alias("r"))
+    return newest.select(*keys, "r.*"), lines.filter("_damaged IS NOT NULL").select(F.col("_damaged").alias("line"))
+
+
 def read_session(spark: SparkSession, path: str, schema: str = schemas.PICTURES) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
