@@ -10,23 +10,30 @@ from ..sources import readers, sinks, testviews as T
 from . import sqltext as Q
 from .core import query, view
 
-HEADS = {0: "89504E470D0A1A0A", 1: "FFD8FFE0", 2: "424D3604", 3: "49492A0008000000"}
-NAMES = ("png", "JPG", "bmp", "tiff", "html", "png", "webp", "")
+view("page_files", f"""
+SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY job_id, ok ORDER BY seq) - 1 END AS id, CASE WHEN ok THEN md5(content) END AS hash FROM (
+SELECT *, regexp_matches(name, '(?i)\\.(png|jpg|jpeg|bmp|tif|tiff|webp)$') AND regexp_matches(hex(content), '^(89504E470D0A1A0A|FFD8FF|424D|49492A00|4D4D002A|52494646.{{8}}57454250)') AS ok FROM (
+SELECT page_id % 10 AS job_id, page_id AS seq, 'page' || page_id || CASE page_id % 8 {' '.join(f"WHEN {i} THEN '.{n}'" for i, n in enumerate(T.PICTURE_SUFFIXES) if n)} ELSE '' END AS name,
+  CASE page_id % 8 {' '.join(f"WHEN {i} THEN unhex('{h}')" for i, h in T.PICTURE_HEADS.items())} ELSE unhex('') END || encode(html) AS content FROM pages) a) b""")
 
 
-@query("a1_scan_pictures", f"""
-WITH f AS (SELECT page_id % 10 AS job_id, page_id AS seq, 'page' || page_id || CASE page_id % 8 {' '.join(f"WHEN {i} THEN '.{n}'" for i, n in enumerate(NAMES) if n)} ELSE '' END AS name,
-  CASE page_id % 8 WHEN 0 THEN unhex('{HEADS[0]}') WHEN 1 THEN unhex('{HEADS[1]}') WHEN 2 THEN unhex('{HEADS[2]}') WHEN 3 THEN unhex('{HEADS[3]}') ELSE unhex('') END || encode(html) AS content FROM pages),
-g AS (SELECT *, regexp_matches(name, '(?i)\\.(png|jpg|jpeg|bmp|tif|tiff|webp)$') AND regexp_matches(hex(content), '^(89504E470D0A1A0A|FFD8FF|424D|49492A00|4D4D002A|52494646.{{8}}57454250)') AS ok FROM f)
-SELECT job_id, seq, name, ok AS accepted, CASE WHEN ok THEN row_number() OVER (PARTITION BY job_id, ok ORDER BY seq) - 1 END AS id, CASE WHEN ok THEN md5(content) END AS hash FROM g""")
-def _(spark, folder):
-    pages = T.table(spark, folder, "pages")
-    name = "concat('page', page_id, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '.{n}'" for i, n in enumerate(NAMES) if n) + " ELSE '' END) AS name"
-    head = "concat(CASE page_id % 8 " + " ".join(f"WHEN {i} THEN unhex('{h}')" for i, h in HEADS.items()) + " ELSE unhex('') END, CAST(html AS BINARY)) AS content"
-    good, skipped = readers.scan_pictures(pages.selectExpr("page_id % 10 AS job_id", "page_id AS seq", name, head))
+def accepted(good, skipped):
     return good.withColumn("accepted", F.lit(True)).unionByName(skipped.withColumn("accepted", F.lit(False)), allowMissingColumns=True)
 
 
+@query("a1_scan_pictures", "SELECT job_id, seq, name, ok AS accepted, id, hash FROM page_files")
+def _(spark, folder):
+    return accepted(*readers.scan_pictures(T.page_files(spark, folder)))
+
+
+@query("a1_picture_files", """
+SELECT CAST(job_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS seq, name, ok AS accepted, id, hash FROM page_files""")
+def _(spark, folder):
+    """From a folder of job folders: files in the order of their arrival."""
+    files = skew.settle(readers.read_pictures(spark, T.page_folder(spark, folder)))
+    return accepted(*readers.scan_pictures(files))
+
+
 DEFAULTS = ", ".join(f"({Q.quote(k)}, {Q.quote(s)}, {Q.quote(v)})" for k, s, v in readers.default_settings())
 KEYS = ("fos", "mesh_limits", "material", "_help", "mm_format", "new_key")
 OVERRIDES = ("SELECT c_custkey AS set_id, CASE c_nationkey % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KEYS)) + " END AS key, "
@@ -116,6 +123,27 @@ def _(spark, folder):
     return sinks.publish_once(last(events), last(events.filter("seq % 3 = 0")).drop("made_at"))
 
 
+@query("a4_publish_runs", """
+WITH third AS (SELECT *, least(2, (epoch_us(saved_at) - lo) * 3 // (hi - lo + 1)) AS k FROM state_events, (SELECT min(epoch_us(saved_at)) AS lo, max(epoch_us(saved_at)) AS hi FROM state_events) x),
+runs AS (SELECT r.k, sid, 'FEA_Report_' || sid AS stem, arg_max(payload, (saved_at, seq)) AS content, max(saved_at) AS made_at FROM (SELECT unnest([0, 1, 2]) AS k) r JOIN third t ON t.k <= r.k GROUP BY ALL),
+firsts AS (SELECT stem, min(k) AS k0, arg_min(content, k) AS c0 FROM runs GROUP BY stem)
+SELECT name, arg_max(content, k) AS content FROM (
+SELECT stem || CASE WHEN r.k = k0 THEN '' ELSE '_' || strftime(made_at, '%H%M%S') END || '.pptx' AS name, content, r.k FROM runs r JOIN firsts USING (stem) WHERE r.k = k0 OR content <> c0) a GROUP BY name""")
+def _(spark, folder):
+    """Three runs over growing states; the second is repeated, and one was killed before its commit."""
+    events = T.state_events(spark, folder).withColumn("name", F.concat(F.lit("FEA_Report_"), F.col("sid").cast("string"), F.lit(".pptx")))
+    low, high = events.agg(F.min(F.unix_micros("saved_at")), F.max(F.unix_micros("saved_at"))).first()
+    third = F.least(F.lit(2), F.expr(f"(unix_micros(saved_at) - {low}) * 3 div {high - low + 1}"))
+    path = f"{skew.scratch_folder(spark)}/resultloom-published-{uuid.uuid4().hex}"
+    for k in (0, 1, 1, 2):
+        last = events.filter(third <= k).groupBy("name").agg(F.max(F.struct("saved_at", "seq", "payload")).alias("s"))
+        last = last.select("name", F.col("s.payload").alias("content"), F.col("s.saved_at").alias("made_at"))
+        if k == 1:
+            last.select("name", F.lit("killed").alias("content"), F.lit(2).alias("version")).write.mode("overwrite").parquet(f"{path}/runs/killed")
+        sinks.publish(path, last)
+    return sinks.published(spark, path).select("name", "content")
+
+
 @query("a5_read_report_config", """
 SELECT c_custkey AS job_id, 'QA desk' AS author, CASE WHEN c_custkey % 2 = 0 THEN 'sig3' END AS mm_format, c_acctbal AS allowable_mpa, c_name AS title, 'stack' AS results, CAST(c_custkey % 3 AS BIGINT) AS cases FROM customer""")
 def _(spark, folder):

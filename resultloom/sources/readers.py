@@ -9,28 +9,39 @@ from ..functions import exprs as X, fixed
 from ..plans import skew
 
 
-def read_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder of job folders: job, name, content. Names come from the paths; nothing is decoded."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_pictures(spark: SparkSession, path: str, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """Files below a folder of job folders: job, order of arrival ``seq`` (from 1), name, first bytes, hash, length, ``readable``.
+
+    Files arrive in the order of their time of change, then of their path. Contents are read once and leave their task as a hash and a few bytes; a file that
+    is listed but can't be read (or went away in between) keeps its row without them. Nothing is decoded.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     parts = F.split("path", "/")
-    return df.select("path", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("job_id"), "content", "length")
+    listed = files.load(path).select("path", "modificationTime", "length", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("job_id"))
+    read = files.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
+    read = read.select("path", F.substring("content", 1, 12).alias("head"), F.md5("content").alias("hash"))
+    df = listed.join(read, "path", "left").withColumn("readable", F.col("hash").isNotNull())
+    df = skew.number_rows(df, ["job_id"], ["modificationTime", "path"], [F.date_trunc("hour", "modificationTime")], "seq", hot_rows=hot_rows)
+    return df.select("job_id", "seq", "name", "path", "head", "hash", "length", "readable")
 
 
-def _is_picture(name="name", content="content"):
+def _is_picture(name="name", head="head"):
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    head = F.hex(F.substring(content, 1, 12))
+    head = F.hex(head)
     known = (head.startswith("89504E470D0A1A0A") | head.startswith("FFD8FF") | head.startswith("424D") | head.startswith("49492A00") | head.startswith("4D4D002A")
              | (head.startswith("52494646") & head.endswith("57454250")))
     return suffix.isin(*fixed.PICTURE_SUFFIXES) & known
 
 
 def scan_pictures(files: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Files (job_id, seq, name, content) -> (pictures with dense ids from 0 per job, skipped files).
+    """Files (job_id, seq, name and content, or its ``head`` and ``hash``) -> (pictures with dense ids from 0 per job, skipped files).
 
     A picture has a picture suffix and begins like one. ``seq`` is the order of arrival within the job.
     """
+    if "content" in files.columns:
+        files = files.withColumns({"head": F.substring("content", 1, 12), "hash": F.md5("content")})
     df = files.withColumn("__ok", F.coalesce(_is_picture(), F.lit(False)))
-    good = df.filter("__ok").select("job_id", "seq", "name", F.md5("content").alias("hash"))
+    good = df.filter("__ok").select("job_id", "seq", "name", "hash")
     good = skew.number_rows(good, ["job_id"], ["seq"], [skew.slice_of("seq")], "id", hot_rows=hot_rows).withColumn("id", F.col("id") - 1)
     return good, df.filter(~F.col("__ok")).select("job_id", "seq", "name")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.skew import settle
@@ -27,6 +30,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Committed runs of a published table, the oldest first: one small file each."""
+    if not _exists(spark, f"{path}/manifest"):
+        return []
+    rows = spark.read.schema("version INT, run STRING").json(f"{path}/manifest").collect()
+    return sorted((r["version"], r["run"]) for r in rows)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """What is published: name, content, version. Of a name that was published again the newest version counts; runs that were not committed don't exist."""
+    runs = [f"{path}/runs/{run}" for _, run in _commits(spark, path)]
+    schema = "name STRING, content STRING, version INT"
+    df = spark.read.schema(schema).parquet(*runs) if runs else spark.createDataFrame([], schema)
+    return df.groupBy("name").agg(F.max_by("content", "version").alias("content"), F.max("version").alias("version"))
+
+
+def publish(path: str, reports: DataFrame) -> int:
+    """Publishes reports (name, content, made_at; one row per name) by the rule of ``publish_once`` and returns the version that stands then.
+
+    Rows are written to a folder of the run first and become visible by one manifest file, which only one run can create for a
+    version. So a run that fails on the way changes nothing, a repeated run finds nothing to publish, and of two runs at once one must start again.
+    """
+    spark = reports.sparkSession
+    version = len(_commits(spark, path)) + 1
+    known = settle(published(spark, path).select("name", "content"))
+    new = publish_once(reports, known).select(F.col("published_name").alias("name"), "content")
+    there = known.select("name", F.sha1("content").alias("__there"))
+    new = new.join(there, "name", "left").filter(F.col("__there").isNull() | (F.col("__there") != F.sha1("content"))).drop("__there")
+    run = uuid.uuid4().hex
+    new.withColumn("version", F.lit(version)).write.parquet(f"{path}/runs/{run}")
+    if not spark.read.parquet(f"{path}/runs/{run}").take(1):
+        return version - 1
+    commit(spark, path, version, run)
+    return version
+
+
+def commit(spark: SparkSession, path: str, version: int, run: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{version:09d}.json")
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)   # fails if the version is there
+    out.writeBytes(json.dumps({"version": version, "run": run}) + "\n")
+    out.close()
+
+
 def write_report_model(path: str, buckets: int = BUCKETS, **tables: DataFrame) -> None:
     """The tables of the report model, each in its folder, split by a hash of the job.
 

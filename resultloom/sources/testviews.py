@@ -5,6 +5,9 @@ Ids that count rows within a group are numbered slice by slice (see ``plans.skew
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import skew
@@ -37,6 +40,35 @@ def pictures(spark, folder):
         "md5(CAST(concat(l_partkey % 400, '|', l_linenumber) AS BINARY)) AS hash")
 
 
+PICTURE_HEADS = {0: "89504E470D0A1A0A", 1: "FFD8FFE0", 2: "424D3604", 3: "49492A0008000000"}
+PICTURE_SUFFIXES = ("png", "JPG", "bmp", "tiff", "html", "png", "webp", "")
+
+
+def page_files(spark, folder):
+    """Pages as files of ten jobs: job_id, seq, name, content; half of them begin like the picture that their name tells."""
+    name = "concat('page', page_id, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '.{n}'" for i, n in enumerate(PICTURE_SUFFIXES) if n) + " ELSE '' END) AS name"
+    head = "concat(CASE page_id % 8 " + " ".join(f"WHEN {i} THEN unhex('{h}')" for i, h in PICTURE_HEADS.items()) + " ELSE unhex('') END, CAST(html AS BINARY)) AS content"
+    return table(spark, folder, "pages").selectExpr("page_id % 10 AS job_id", "page_id AS seq", name, head)
+
+
+def page_folder(spark, folder) -> str:
+    """The same, written as files into job folders; ``seq`` is their time of change in seconds, so it is their order of arrival."""
+    target = f"{skew.scratch_folder(spark)}/resultloom-files-{uuid.uuid4().hex}"
+    local = target.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for job, seq, name, content in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                os.makedirs(f"{local}/{job}", exist_ok=True)
+                with open(f"{local}/{job}/{name}", "wb") as f:
+                    f.write(content)
+                os.utime(f"{local}/{job}/{name}", (1_700_000_000 + seq, 1_700_000_000 + seq))
+            yield batch.select([1])
+
+    page_files(spark, folder).mapInArrow(write, "seq long").write.format("noop").mode("overwrite").save()
+    return target
+
+
 def picture_names(spark, folder):
     """Only job, name and size of the pictures; the id of a picture is its order, line and part key."""
     return table(spark, folder, "lineitem").selectExpr(
