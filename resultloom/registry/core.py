@@ -32,7 +32,8 @@ SELECT doc_id AS image_id, line_no, CASE line_no WHEN 1 THEN concat(CASE doc_id
   WHEN 2 THEN CASE doc_id % 5 WHEN 0 THEN 'Total Deformation' WHEN 1 THEN 'Equivalent Stress' WHEN 2 THEN 'Maximum Principal Stress' WHEN 3 THEN 'Static Structural' ELSE 'Holiday photo' END
   WHEN 3 THEN CASE doc_id % 5 WHEN 0 THEN 'Type: Total Deformation' WHEN 1 THEN 'Type: Equivalent (von-Mises) Stress' WHEN 2 THEN 'Type: Maximum Principal Stress' ELSE 'Time: 1. s' END
   ELSE CASE doc_id % 5 WHEN 0 THEN 'Unit: mm' WHEN 1 THEN 'Unit: MPa' ELSE 'no unit' END END AS text
-FROM documents CROSS JOIN (SELECT CAST(i AS BIGINT) AS line_no FROM range(1, 5) t(i)) n""",
+FROM documents CROSS JOIN (SELECT CAST(i AS BIGINT) AS line_no FROM range(1, 5) t(i)) n
+UNION ALL SELECT doc_id, 4 + generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1), unnest(string_split(coalesce(text, ''), chr(10))) FROM documents""",
     "bc_lines": """
 SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no,
   CASE o_orderpriority WHEN '1-URGENT' THEN concat('[B] Pressure: ', CAST(o_totalprice AS STRING), CASE o_orderstatus WHEN 'P' THEN ' Pa' WHEN 'F' THEN ' kPa' ELSE ' bar' END)

@@ -87,9 +87,13 @@ def legend_lines(spark, folder):
 
 
 def header_lines(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang")
+    """Four lines of a title block, then all lines of the document's text."""
+    docs = table(spark, folder, "documents")
+    below = docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "text"))
+    below = below.select("image_id", (F.col("line_no") + 5).cast("long").alias("line_no"), "text")
+    docs = docs.select("doc_id", "source", "lang")
     docs = docs.withColumn("line_no", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3, 4)])))
-    return docs.selectExpr(
+    top = docs.selectExpr(
         "doc_id AS image_id", "line_no",
         "CASE line_no WHEN 1 THEN concat(CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE '' END, ': ', "
         "doc_id, '_', source, '_', lang, ' x') "
@@ -98,6 +102,7 @@ def header_lines(spark, folder):
         "WHEN 3 THEN CASE doc_id % 5 WHEN 0 THEN 'Type: Total Deformation' WHEN 1 THEN 'Type: Equivalent (von-Mises) Stress' "
         "WHEN 2 THEN 'Type: Maximum Principal Stress' ELSE 'Time: 1. s' END "
         "ELSE CASE doc_id % 5 WHEN 0 THEN 'Unit: mm' WHEN 1 THEN 'Unit: MPa' ELSE 'no unit' END END AS text")
+    return top.unionByName(below)
 
 
 def _numbered_orders(spark, folder, out):
