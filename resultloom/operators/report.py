@@ -228,10 +228,13 @@ def missing_picture_policy(cases: DataFrame, policy: str | None = None) -> DataF
                      F.when(gap, X.fill(fixed.NOTE_SAY["frame"], n="n", what=F.col("s.label"))).alias("note"))
 
 
-def material_rows(jobs: DataFrame, rows: DataFrame, columns: int = 7, default: dict = fixed.SETTINGS["material"]) -> DataFrame:
+def material_rows(jobs: DataFrame, rows: DataFrame, columns: int = 7, default: dict = fixed.SETTINGS["material"], hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """Material rows (job_id, row_no, cells) with a fixed number of cells; blanks are visible, a job without rows gets the default."""
     base = F.array(*[F.lit(str(default[k])) for k in ("material", "item", "E", "nu", "rho")], F.lit(""), F.lit(""))
-    df = jobs.select("job_id").distinct().join(rows, "job_id", "left").withColumns({"row_no": F.coalesce("row_no", F.lit(0).cast("long")), "cells": F.coalesce("cells", base)})
+    known = jobs.select("job_id").distinct()
+    own = skew.lookup(rows.select("job_id", "row_no", "cells"), known.withColumn("__in", F.lit(True)), ["job_id"], hot_rows=hot_rows).filter("__in").drop("__in")
+    bare = known.join(rows.select("job_id").distinct(), "job_id", "left_anti").select("job_id", F.lit(0).cast("long").alias("row_no"), base.alias("cells"))
+    df = own.unionByName(bare).withColumns({"row_no": F.coalesce("row_no", F.lit(0).cast("long")), "cells": F.coalesce("cells", base)})
     cells = F.slice(F.concat("cells", F.array_repeat(F.lit(""), columns)), 1, columns)
     cells = F.transform(cells, lambda t: F.coalesce(F.nullif(F.trim(t), F.lit("")), F.lit(fixed.VALUE)))
     df = df.withColumn("__c", cells)

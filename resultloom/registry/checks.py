@@ -14,7 +14,7 @@ from .verdict import case_table, job_inputs
 
 S = fixed.CHECK_SAY
 view("checked", """
-SELECT j.*, CAST(case_key % 12 AS BIGINT) AS red_px, CASE case_key % 10 WHEN 0 THEN 192.3e0 ELSE cap END AS cap, 'mm/s2' AS gravity_unit FROM judged j LEFT JOIN caps ON image_id = case_key % 500""")
+SELECT j.*, CAST(case_key % 12 AS BIGINT) AS red_px, CASE case_key % 10 WHEN 0 THEN 192.3e0 ELSE cap END AS cap, CASE WHEN case_key % 3 = 0 THEN 'm/s2' ELSE 'mm/s2' END AS gravity_unit FROM (SELECT * REPLACE (CASE WHEN case_key % 3 = 0 THEN gravity / 1000 ELSE gravity END AS gravity) FROM judged) j LEFT JOIN caps ON image_id = case_key % 500""")
 
 
 def checked(spark, folder):
@@ -22,7 +22,8 @@ def checked(spark, folder):
     caps = legend.legend_cap(T.legend_arrays(spark, folder)).select(F.col("image_id").alias("cap_id"), "cap")
     df = verdict.verdict(case_table(spark, folder)).withColumn("cap_id", F.col("case_key") % 500)
     df = skew.lookup(df, caps, ["cap_id"]).withColumn("cap", F.when(F.col("case_key") % 10 == 0, F.lit(192.3)).otherwise(F.col("cap")))
-    return df.withColumns({"red_px": F.col("case_key") % 12, "gravity_unit": F.lit("mm/s2")})
+    metres = F.col("case_key") % 3 == 0
+    return df.withColumns({"red_px": F.col("case_key") % 12, "gravity_unit": F.when(metres, F.lit("m/s2")).otherwise(F.lit("mm/s2")), "gravity": F.when(metres, F.col("gravity") / 1000).otherwise(F.col("gravity"))})
 
 
 def row(seq, level, code, cond, text):
@@ -34,7 +35,8 @@ OVER = "stress_max IS NOT NULL AND allow IS NOT NULL AND tier <> 'pass'"
 BASIS = "CASE basis " + " ".join(f"WHEN '{k}' THEN {Q.quote(v)}" for k, v in fixed.BASIS_TEXT.items()) + " END"
 H1 = [row(1, "warn", "stress_unit", "lower(stress_unit) <> 'mpa'", Q.say(S["stress_unit"], n="n", u="stress_unit")),
       row(2, "warn", "def_unit", "lower(def_unit) <> 'mm'", Q.say(S["def_unit"], n="n", u="def_unit"))]
-H2 = [row(3, "warn", "gravity_mm", "abs(gravity - 9806.65e0) > 98.0665e0", Q.say(S["gravity_mm"], n="n", v=G("gravity"), u="gravity_unit"))]
+H2 = [row(3, "warn", "gravity_mm", "gravity_unit = 'mm/s2' AND abs(gravity - 9806.65e0) > 98.0665e0", Q.say(S["gravity_mm"], n="n", v=G("gravity"), u="gravity_unit")),
+      row(3, "warn", "gravity_m", "gravity_unit = 'm/s2' AND abs(gravity - 9.80665e0) > 0.0980665e0", Q.say(S["gravity_m"], n="n", v=G("gravity"), u="gravity_unit"))]
 H3 = [row(4, "ok", "pass", "tier = 'pass'", Q.say(S["pass"], n="n", s=G("stress_max"), allow=G("allow"), util=Q.dec("stress_max / allow * 100", 0))),
       row(4, "bad", "exceeds", "tier = 'exceeds'", Q.say(S["exceeds"], n="n", s=G("stress_max"), allow=G("allow"), times=Q.dec("stress_max / allow", 1))),
       row(4, "bad", "beyond_yield", "tier = 'beyond_yield'", Q.say(S["beyond_yield"], n="n", s=G("stress_max"), sy=G("sy"), times=Q.dec("stress_max / sy", 1))),

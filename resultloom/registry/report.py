@@ -207,13 +207,14 @@ def _(spark, folder):
 
 
 @query("k10_material_rows", """
-WITH m AS (SELECT job_id // 3 AS job_id, job_id % 3 AS row_no, material, e_text, trim(nu_text) AS nu, rho_text, job_id % 2 = 0 AS long FROM materials WHERE (job_id // 3) % 5 <> 0)
+WITH m AS (SELECT job_id // 3 AS job_id, job_id % 3 AS row_no, material, e_text, trim(nu_text) AS nu, rho_text, job_id % 2 = 0 AS long FROM materials)
 SELECT job_id, row_no, material AS c1, '[value - please confirm]' AS c2, e_text AS c3, coalesce(nullif(nu, ''), '[value - please confirm]') AS c4, rho_text AS c5, '[value - please confirm]' AS c6, CASE WHEN long THEN 'g' ELSE '[value - please confirm]' END AS c7 FROM m
-UNION ALL SELECT DISTINCT job_id // 3, 0, 'IS 2062', 'Duct', '191400', '0.3', '7.8E-9', '[value - please confirm]', '[value - please confirm]' FROM materials WHERE (job_id // 3) % 5 = 0""")
+UNION ALL SELECT -s_suppkey, 0, 'IS 2062', 'Duct', '191400', '0.3', '7.8E-9', '[value - please confirm]', '[value - please confirm]' FROM supplier WHERE s_suppkey > 0""")
 def _(spark, folder):
     df = T.materials(spark, folder).withColumn("j", F.floor(F.col("job_id") / 3))
-    rows = df.filter("j % 5 <> 0").selectExpr("j AS job_id", "job_id % 3 AS row_no", "CASE WHEN job_id % 2 = 0 THEN array(material, ' ', e_text, nu_text, rho_text, '', 'g', 'h') ELSE array(material, CAST(NULL AS STRING), e_text, nu_text, rho_text) END AS cells")
-    return report.material_rows(df.select(F.col("j").alias("job_id")), rows)
+    bare = T.table(spark, folder, "supplier").filter("s_suppkey > 0").selectExpr("-s_suppkey AS job_id")     # jobs without a row
+    rows = df.selectExpr("j AS job_id", "job_id % 3 AS row_no", "CASE WHEN job_id % 2 = 0 THEN array(material, ' ', e_text, nu_text, rho_text, '', 'g', 'h') ELSE array(material, CAST(NULL AS STRING), e_text, nu_text, rho_text) END AS cells")
+    return report.material_rows(df.select(F.col("j").alias("job_id")).unionByName(bare), rows)
 
 
 LIB = "[" + ", ".join(Q.quote(a) for a in fixed.ASSUMPTIONS) + "]"
