@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_path, stored
+from .common import few_or_not, shared_path, stored
 
 LEAST_BYTES = 1000
 FILE_BYTES, RANGE_BYTES = 256 << 20, 16 << 20
@@ -46,9 +46,11 @@ def marked(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
     large = F.octet_length("payload") >= least
     again = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND last IS NOT NULL")
+    # the payloads stay where they are read, unless more of them repeat than may be broadcast
+    again = few_or_not(stored(again.select(F.col("digest").alias("key"), "last"), "repeated"))
     # small payloads never match; a key of their own keeps equal ones out of one task
     key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    rows = rows.withColumn("key", key).join(again.select(F.col("digest").alias("key"), "last"), "key", "left")
+    rows = rows.withColumn("key", key).join(again, "key", "left")
     return rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
