@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import fixed
+from ..functions import exprs as X, fixed
 from ..plans import skew
 
 
@@ -14,6 +14,21 @@ def build_key(states: DataFrame, fields: list[str], version: str = fixed.VERSION
     return states.withColumn("build_key", F.left(F.sha1(F.concat(F.lit(version + "|"), body)), F.lit(12)))
 
 
+def canonical_json(text, leave_out=()):
+    """One text for all spellings of a JSON document: keys sorted at every level, no blanks, numbers without trailing zeros, list order kept; null if it is
+    no document. ``leave_out`` names top-level keys that don't count. Of a key that is given twice nothing is kept: such a document is none."""
+    document = F.try_parse_json(X.col(text))
+    fields = F.try_variant_get(document, "$", "map<string, variant>")
+    names = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(*leave_out) if leave_out else F.lit(True)))
+    body = F.transform(names, lambda k: F.concat(F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1), F.lit(":"), F.to_json(fields[k])))
+    return F.when(fields.isNotNull(), F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))).otherwise(F.to_json(document))
+
+
+def state_key(states: DataFrame, column: str, version: str = fixed.VERSION, leave_out=("make_pdf",)) -> DataFrame:
+    """Key of a whole page state, a nested JSON document: equal for any order of its keys, another one for any changed value."""
+    return states.withColumn("build_key", F.left(F.sha1(F.concat(F.lit(version + "|"), canonical_json(column, leave_out))), F.lit(12)))
+
+
 def reuse_build(events: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
     """First time a session shows a key is a build, later times are hits. Keys removed by ``keep_last_builds`` count as known."""
     df = skew.attach(events, ["sid", "build_key"], hot_rows, __first=F.min(F.struct("saved_at", "seq")))

@@ -20,6 +20,19 @@ def _(spark, folder):
     return state.build_key(df, ["user_id", "make_pdf", "event_type", "props", "value"]).select("event_id", "build_key")
 
 
+STATES = """CASE event_id % 3 WHEN 0 THEN concat('{"user": ', user_id, ', "page": {"kind": "', event_type, '", "at": "', ts, '", "props": ', props, '}, "list": [', value, ', null, "x"], "make_pdf": true}')
+  WHEN 1 THEN concat('{ "list":[', value, ',null , "x"],"make_pdf":false, "page":{"props":', props, ',"kind":"', event_type, '","at":"', ts, '"},"user":', user_id, '.0}')
+  ELSE concat('{"page": {"at": "', ts, '", "kind": "', event_type, '", "props": ', props, '}, "user": ', user_id, ', "list": [', value, ', null, "x"]}') END"""
+
+
+@query("l1_state_key", """
+SELECT event_id, substr(sha1('2.2|{"list":[' || regexp_replace(regexp_replace(CAST(value AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || ',null,"x"],"page":{"at":"' || ts || '","kind":"' || event_type || '","props":' || replace(props, ' ', '') || '},"user":' || user_id || '}'), 1, 12) AS build_key FROM events""")
+def _(spark, folder):
+    """Whole nested states, each spelled in one of three orders of its keys."""
+    df = T.table(spark, folder, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).withColumn("ts", F.regexp_replace("ts", r"\.?0+$", ""))
+    return state.state_key(df.withColumn("state", F.expr(STATES)), "state").select("event_id", "build_key")
+
+
 @query("l2_reuse_build", """
 SELECT sid, seq, build_key, CASE WHEN row_number() OVER (PARTITION BY sid, build_key ORDER BY saved_at, seq) = 1 THEN 'build' ELSE 'hit' END AS status FROM state_events""")
 def _(spark, folder):

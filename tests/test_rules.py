@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resultloom.functions import exprs as X, fixed
-from resultloom.operators import cases, checks, intake, legend, loads, report, verdict
+from resultloom.operators import cases, checks, intake, legend, loads, report, state, verdict
 from resultloom.plans import skew
 from resultloom.sources import readers, sinks
 
@@ -233,3 +233,49 @@ def test_lines_are_shuffled_once_to_the_chosen_maximum(spark):
     df = skew.settle(spark.range(10).selectExpr("id % 2 AS image_id", "id % 2 AS pass", "id AS line_no", "'3 Max' AS text").repartition(3))
     plan = legend.reconcile_passes(legend.read_passes(df))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 3     # by segment, then two of summaries: by reading and by picture
+
+
+def test_state_key_tells_values_and_not_spellings(spark):
+    same = ['{"a": 1, "b": {"y": [1, 2.50, null], "x": "é\\"q"}, "make_pdf": true}', '{"b":{"x":"é\\"q","y":[1.0,2.5,null]},"make_pdf":false,"a":1.0}', ' { "a" : 1 , "b" : { "x" : "é\\"q" , "y" : [ 1 , 2.5 , null ] } } ']
+    other = ['{"a": 2, "b": {"y": [1, 2.50, null], "x": "é\\"q"}}', '{"a": 1, "b": {"y": [2.50, 1, null], "x": "é\\"q"}}', '{"a": 1, "b": {"y": [1, 2.50], "x": "é\\"q"}}', '{"a": 1, "b": {"y": [1, 2.50, null], "x": "é\\"q", "make_pdf": true}}',
+             '{"a": "1", "b": {"y": [1, 2.50, null], "x": "é\\"q"}}', "{}", "[1]", "7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*same, *other, "no document", None])], "i bigint, t string")
+    keys = [r["build_key"] for r in state.state_key(df, "t").orderBy("i").collect()]
+    assert len(set(keys[:3])) == 1 and len(set(keys[2:-2])) == 1 + len(other) and keys[-2:] == [None, None]
+
+
+def test_common_prefix_of_long_texts(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(60):
+        n = rnd.choice((0, 1, 63, 64, 65, 1000, 9_999, 10_000))
+        base = "é" * n
+        rows.append((i, base + "a" * rnd.randrange(3), base + "b" * rnd.randrange(3), n))
+    df = spark.createDataFrame(rows, "i bigint, a string, b string, n bigint").select("n", X.common_prefix("a", "b").alias("p"))
+    assert all(r["n"] == r["p"] for r in df.collect())
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(X.common_prefix("a", "b").alias("p")).first()["p"] is None
+
+
+def test_settings_of_a_job(spark):
+    docs = [None, "{}", '{"mesh_limits": {"oq_min_warn": 0.2}, "_x": 1, "fos": 2}', '{"fos": ', '{"assumption_library": ["a", "b"], "material": {"E": "7"}}']
+    df = readers.job_settings(spark.createDataFrame(list(enumerate(docs)), "job_id bigint, settings_json string"))
+    got = {r["job_id"]: (r["settings_ok"], r["settings"]) for r in df.collect()}
+    assert [got[i][0] for i in range(5)] == [True, True, True, False, True]
+    plain = fixed.SETTINGS["mesh_limits"]
+    assert got[0][1].asDict(True)["mesh_limits"] == got[3][1].asDict(True)["mesh_limits"] == plain and got[2][1].asDict(True)["mesh_limits"] == {**plain, "oq_min_warn": 0.2}
+    assert got[2][1]["fos"] == 2.0 and got[4][1]["fos"] == 1.3 and got[4][1]["assumption_library"] == ["a", "b"] and got[4][1]["material"]["E"] == "7" and got[4][1]["material"]["nu"] == "0.3"
+
+
+def test_published_versions(spark, tmp_path):
+    path = str(tmp_path / "published")
+    make = lambda rows: spark.createDataFrame(rows, "name string, content string, made string").withColumn("made_at", F.to_timestamp("made")).drop("made")
+    first = make([("a.pptx", "one", "2024-01-01 01:02:03"), ("b.pptx", "two", "2024-01-01 01:02:03")])
+    assert sinks.publish(path, first) == 1 and sinks.publish(path, first) == 1
+    second = make([("a.pptx", "new", "2024-01-02 04:05:06"), ("b.pptx", "two", "2024-01-02 04:05:06"), ("c.pptx", "three", "2024-01-02 04:05:06")])
+    second.select("name", "content").withColumn("version", F.lit(2)).write.parquet(path + "/runs/killed")
+    assert sinks.publish(path, second) == 2 and sinks.publish(path, second) == 2
+    want = {("a.pptx", "one", 1), ("b.pptx", "two", 1), ("a_040506.pptx", "new", 2), ("c.pptx", "three", 2)}
+    assert {tuple(r) for r in sinks.published(spark, path).select("name", "content", "version").collect()} == want
+    with pytest.raises(Exception, match="exist"):
+        sinks.commit(spark, path, 2, "killed")
+    assert {tuple(r) for r in sinks.published(spark, path).select("name", "content", "version").collect()} == want
