@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import exprs as X, fixed
 from ..plans import skew
 from . import verdict
+from .intake import opt
 
 S = fixed.CHECK_SAY
 
@@ -149,15 +150,38 @@ def missing_inputs(ctx: DataFrame, cases: DataFrame, mesh_lines: DataFrame, assu
     return emit(df, [rule(0, "info", "no_yield", F.col("allow").isNull(), F.lit(S["no_yield"])), rule(99, "info", "no_evidence", bare, F.lit(S["no_evidence"]))], ("job_id",))
 
 
-def rank_checks(checks: DataFrame, jobs: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
-    """Checks of a job by severity, in their own order (n, seq) within a level; a calm job gets one line."""
+def _ranked(checks: DataFrame, jobs: DataFrame, order: list[str], hot_rows: int | None) -> DataFrame:
+    """Numbered by severity and then in the given order; a job without any gets one calm line."""
     checks = skew.settle(checks, dear=True)   # sentences are made once
     level = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in fixed.LEVELS.items()])
     df = checks.withColumn("__l", level)
-    df = skew.number_rows(df, ["job_id"], ["__l", "n", "seq", "code"], [F.col("__l"), skew.slice_of("n")], "rank", hot_rows=hot_rows).drop("__l")
+    first = F.col(order[0]) if order[0] != "n" else skew.slice_of("n")
+    df = skew.number_rows(df, ["job_id"], ["__l", *order], [F.col("__l"), first], "rank", hot_rows=hot_rows).drop("__l")
     calm = jobs.select("job_id").distinct().join(checks.select("job_id").distinct(), "job_id", "left_anti")
     calm = calm.select("job_id", F.lit("ok").alias("level"), F.lit("nothing").alias("code"), F.lit(S["nothing"]).alias("text"), F.lit(1).cast("long").alias("rank"))
-    return df.select("job_id", "n", "level", "code", "text", "rank").unionByName(calm, allowMissingColumns=True)
+    return df.unionByName(calm, allowMissingColumns=True)
+
+
+def rank_checks(checks: DataFrame, jobs: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """Checks of a job by severity, in their own order (n, seq) within a level; a calm job gets one line."""
+    return _ranked(checks, jobs, ["n", "seq", "code"], hot_rows).select("job_id", "n", "level", "code", "text", "rank")
+
+
+#: kinds of messages in the order in which a job lists them within a level
+MESSAGES = ("hint", "case", "material", "mesh", "layout", "evidence")
+
+
+def rank_messages(messages: dict[str, list[DataFrame]], jobs: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """All messages of a job in one ranking: by severity, then by kind, case, place in the kind. ``messages`` are tables by kind with job_id, level, code, text and, where
+    the kind has them, n, seq, id and family."""
+    rows = None
+    for kind, tables in messages.items():
+        for df in tables:
+            part = df.select("job_id", F.lit(MESSAGES.index(kind)).alias("part"), F.lit(kind).alias("kind"), opt(df, "n", 0, "long").alias("n"), opt(df, "seq", 0, "long").alias("seq"),
+                             "level", "code", "text", opt(df, "id", -1, "long").alias("id"), opt(df, "family", "", "string").alias("family"))
+            rows = part if rows is None else rows.unionByName(part)
+    out = _ranked(rows, jobs, ["part", "n", "seq", "code", "id", "family"], hot_rows)
+    return out.select("job_id", "kind", F.nullif(F.col("n"), F.lit(0)).alias("n"), "level", "code", "text", "rank")
 
 
 def completeness_audit(fields: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
