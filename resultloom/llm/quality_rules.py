@@ -8,8 +8,9 @@ probability of ``k`` or fewer at a rate of ``alpha`` must be at most ``delta`` d
 documents is the only one whose test counts (fixed sequence), so with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good
 documents to the rules together. The last allowed step holds; a rule that adds nothing rejects nothing. Strata without labels thus keep everything.
 
-Defined results: null texts count as empty; a null stratum is a stratum of its own; labels without a quality are ignored, repeated labels
-count once each; documents that are repeated rows get the same verdict. Columns of the input are kept, and one with
+Defined results: null texts count as empty; a null stratum is a stratum of its own; labels without a quality are ignored. Each id is one trial of
+the tests: its labels are one label, good if any of them says so, and of its rows that with the least stratum, then counts, is tested. Documents that
+are repeated rows get the same verdict. Columns of the input are kept, and one with
 the name of a result is replaced. Empty tables give an empty result, or no cutoff at all.
 """
 
@@ -160,10 +161,11 @@ def cutoffs(labelled: DataFrame, stratum: str, good: str, alpha: float = ALPHA,
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang", quality: str = "quality",
           alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Adds ``counts``, ``base_failed`` and ``kept`` to the documents. Labels have the same id and a quality of 0 or 1."""
-    hold = labels.filter(F.col(quality).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), (F.col(quality) > 0).alias("good"))
+    hold = labels.filter(F.col(quality).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("doc_id")).agg((F.max(quality) > 0).alias("good"))
     known = with_counts(docs.select(F.col(id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")).join(few_or_not(stored(hold, "labels")), "doc_id"))
     # a document that fails the base rules is rejected anyway and says nothing about the cutoffs
-    chosen = cutoffs(stored(known.select("doc_id", "stratum", "good", "counts"), "labelled").filter(~base_failed()), "stratum", "good", alpha, delta, key="doc_id")
+    known = known.groupBy("doc_id").agg(F.min(F.struct("stratum", "counts", "good")).alias("one")).select("doc_id", "one.*")
+    chosen = cutoffs(stored(known, "labelled").filter(~base_failed()), "stratum", "good", alpha, delta, key="doc_id")
     per_stratum = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
     per_stratum = stored(per_stratum.select(F.col("stratum").alias("__stratum"), F.struct(*RULES).alias("__cut")), "cutoffs")
     out = with_counts(docs, text).join(per_stratum, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")

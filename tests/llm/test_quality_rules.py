@@ -86,3 +86,79 @@ def test_limit_holds_for_all_rules_together():
     steps = q.nested_order(levels, np.array([100, 1, 2, 0]), np.array([0, 50, 10, 5]))
     assert steps == [(1, 8), (0, 4)] or steps == [(0, 4), (1, 8)]
     assert all(b[1] < a[1] for r in range(6) for a, b in zip([s for s in steps if s[0] == r], [s for s in steps if s[0] == r][1:]))
+
+
+def plain_levels(text):
+    """How many cutoffs of the grid lie below each rule's value."""
+    words, dup, rep = re.findall(r"[^\x20\x09-\x0D]+", text), plain_counts(text)[3], plain_counts(text)[4]
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+    chars = sum(map(len, words))
+    values = {"symbols": (plain_counts(text)[2], chars), "dup_lines": (dup, len(lines)), "repeat_words": (rep, len(words)), "capitals": (sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text), chars),
+              "stops": (sum(c in "!?.,;:" for c in text), len(words)), "same_words": (len(words) - len(set(words)), len(words))}
+    return tuple(sum(values[r][0] / max(values[r][1], 1) > c for c in q.GRID) for r in q.RULES)
+
+
+def plain_cutoffs(good, bad, tests, strata):
+    """Number of cutoffs that stay below, by rule: every step looks at all cutoffs and all documents again."""
+    at, steps = [len(q.GRID)] * len(q.RULES), []
+    while True:
+        options = []
+        passes = lambda x: all(v <= a for v, a in zip(x, at))
+        for r in range(len(at)):
+            for c in range(at[r]):
+                gain, lost = sum(passes(x) and x[r] > c for x in bad), sum(passes(x) and x[r] > c for x in good)
+                if gain > lost:
+                    options.append((r, c, gain, lost))
+        loosest = [max((o for o in options if o[0] == r), key=lambda o: o[1]) for r in {o[0] for o in options}]
+        if not loosest:
+            break
+        r, c, _, _ = min(loosest, key=lambda o: (o[3] / o[2], -o[1], o[0]))
+        at[r] = c
+        steps.append((r, c))
+    held = [len(q.GRID)] * len(q.RULES)
+    for r, c in steps:
+        trial = [*held[:r], c, *held[r + 1:]]
+        lost = sum(any(v > a for v, a in zip(x, trial)) for x in tests)
+        if sum(comb(len(tests), i) * q.ALPHA ** i * (1 - q.ALPHA) ** (len(tests) - i) for i in range(lost + 1)) > q.DELTA / strata:
+            break
+        held = trial
+    return held
+
+
+def test_kept_equals_plain_search(spark):
+    """Every verdict against a plain search over all steps; repeated labels and repeated rows count one trial each."""
+    import random
+    from pyspark.sql import functions as F
+    rng, docs, labels = random.Random(4), [], []
+    for i in range(1500):
+        good, lang = i % 3 != 0, ("en", None)[i % 2]
+        words = [f"w{rng.randint(0, 300 if good else 90)}" for _ in range(rng.randint(45, 90))]
+        words += ["#$"] * rng.choice([0, 0, 1, 2] if good else [0, 9, 20]) + ["Stop!!"] * (rng.randint(0, 30) if not good else 0)
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), lang))
+        if i % 10:
+            labels += [(i, int(good))] * (3 if i % 4 == 0 else 1)
+    docs += docs[:300] + [(2000, None, None), (2001, "", "xx"), (None, "a b", "en")]
+    labels += [(1, 0), (4, 1), (9999, 1), (None, 1), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = q.judge(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    design = {r["doc_id"] for r in df.filter(F.pmod(F.xxhash64(F.lit("design"), "doc_id"), F.lit(q.DESIGN)) == 0).collect()}
+    is_good = {}
+    for i, quality in labels:
+        if i is not None and quality is not None:
+            is_good[i] = is_good.get(i, False) or quality > 0
+    texts = {i: (t or "", lang) for i, t, lang in docs if i is not None}
+    failed = {i: (c := plain_counts(t))[0] < 50 or 100 * c[4] > 50 * c[0] for i, (t, _) in texts.items()}
+    levels = {i: plain_levels(t) for i, (t, _) in texts.items()}
+    hold = [i for i in is_good if i in texts and not failed[i]]
+    held = {}
+    for lang in ("en", None):
+        mine = [i for i in hold if texts[i][1] == lang]
+        held[lang] = plain_cutoffs([levels[i] for i in mine if is_good[i] and i in design], [levels[i] for i in mine if not is_good[i]],
+                                   [levels[i] for i in mine if is_good[i] and i not in design], 2)
+    assert any(a < len(q.GRID) for at in held.values() for a in at)
+    assert len(got) == len(docs) and any(not r["kept"] and not r["base_failed"] for r in got)
+    for r in got:
+        if r["doc_id"] is not None:
+            at = held.get(r["lang"], [len(q.GRID)] * len(q.RULES))
+            assert r["kept"] == (not failed[r["doc_id"]] and all(v <= a for v, a in zip(levels[r["doc_id"]], at))), r["doc_id"]
