@@ -3,7 +3,7 @@
 Patterns that speak for themselves (keyword assignments, access identifiers, long hexadecimal runs) are always reported. Weaker
 candidates are parts of credentials: identifiers (user names, client ids, short access ids), secrets (short or loosely named
 values) and endpoints (addresses of services). Each part takes the interval ``reach`` code points around it within its scope, a block of
-text without an empty line; an interval join by sorted starts then finds which kinds of other parts begin in that interval. A weak
+text without an empty line; in a record, a block whose lines are all keys with values or JSON, it takes the whole block. An interval join by sorted starts then finds which kinds of other parts begin in that interval. A weak
 identifier needs a secret there, a weak secret an identifier or an endpoint, an endpoint both an identifier and a secret. Strong findings count as
 parts too. Documents are rows, scopes never cross them, so the join runs where the text is read and nothing is shuffled.
 
@@ -42,6 +42,8 @@ PART = {"assign": "secret", "access": "identifier", "hex": "secret"}
 _strong = {k: (re.compile(p, re.ASCII), g, n) for k, (p, g, n) in STRONG.items()}
 _weak = {k: re.compile(p, re.ASCII) for k, p in WEAK.items()}
 _scope_end = re.compile(r"\n[ \t\r]*\n")
+# a line of a record: brackets alone, a key and what follows it, or a quoted value of a list
+_record_line = re.compile(r"""[{}\[\], \t]++|(?:[{\[][ \t]*+)*+["']?[A-Za-z_][\w.-]*+["']?[ \t]*+[:=].*+|["'][^"']*+["'],?""", re.ASCII)
 
 Span = tuple[int, int, int]   # start, end, number of the kind
 
@@ -51,6 +53,12 @@ def strong_spans(text: str) -> list[Span]:
                   if m.end(group) - m.start(group) >= least)
 
 
+def is_record(block: str) -> bool:
+    """Whether a block holds keys with values or JSON: several such lines and no others, or one that opens with a bracket."""
+    lines = [line for line in (x.strip(" \t\r") for x in block.split("\n")) if line]
+    return (len(lines) > 1 or bool(lines) and lines[0][0] in "{[") and all(map(_record_line.fullmatch, lines))
+
+
 def spans_of(text: str, reach: int = REACH) -> list[Span]:
     """Strong spans, and the weak ones that complementary parts confirm."""
     strong = strong_spans(text)
@@ -71,11 +79,14 @@ def spans_of(text: str, reach: int = REACH) -> list[Span]:
     where: dict[str, list[int]] = {p: [] for p in WEAK}
     for a, _, k in sorted(strong + free):
         where[PART.get(KINDS[k], KINDS[k])].append(a)
-    out = list(strong)
+    out, records = list(strong), {}
     for a, b, k in free:
         scope = bisect_left(ends, a)
-        low = max(a - reach, ends[scope - 1] if scope else 0)
-        high = min(b + reach, ends[scope] if scope < len(ends) else len(text))
+        low, high = ends[scope - 1] if scope else 0, ends[scope] if scope < len(ends) else len(text)
+        if scope not in records:
+            records[scope] = is_record(text[low:high])
+        if not records[scope]:
+            low, high = max(a - reach, low), min(b + reach, high)
         near = {p for p, s in where.items() if bisect_left(s, high) > bisect_left(s, low) and p != KINDS[k]}
         if any(need <= near for need in NEEDS[KINDS[k]]):
             out.append((a, b, k))

@@ -44,6 +44,17 @@ def test_linking():
     assert kinds("AKIA1234567") == []
 
 
+def test_records_are_one_scope():
+    far = "".join(f'  "field_{i}": "{"word " * 20}",\n' for i in range(20))
+    json = '{\n  "user": "alice",\n' + far + '  "pwd": "abcdef"\n}'
+    assert kinds(json) == ["identifier", "secret"] and kinds("{" + json.replace("\n", " ")[1:]) == ["identifier", "secret"]
+    assert kinds(json + "\n\npassword: abcdef") == ["identifier", "secret"]             # the next block is another scope
+    assert kinds(json.replace("word ", "word\n", 1)) == []                              # a line of prose: no record
+    lines = "user = alice\n" + "".join(f"option_{i} = {'x' * 60}\n" for i in range(20)) + "pwd = abcdef"
+    assert kinds(lines) == ["identifier", "secret"] and kinds(lines.replace("option_7 =", "option 7,")) == []
+    assert secrets.is_record('[\n"a",\n"b"\n]') and not secrets.is_record("") and not secrets.is_record("key: one line") and not secrets.is_record("some text\nkey: v")
+
+
 def test_linking_equals_all_pairs():
     """The interval join by sorted starts against a comparison of all candidates."""
     import random
@@ -76,5 +87,5 @@ def test_odd_rows(spark):
 
 
 def test_long_texts_take_linear_time():
-    for piece in ("a.", "AKIA", "user=", "x" * 10, "\n", "token = ", "a@b."):
+    for piece in ("a.", "AKIA", "user=", "x" * 10, "\n", "token = ", "a@b.", "{ ", "{user=", "user = ab\n", '"a",\n', "pwd: abcd\n\n", "[ \n"):
         secrets.spans_of(piece * 100_000)
