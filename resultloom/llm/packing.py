@@ -6,7 +6,7 @@ group, parts go from the longest to the shortest into the row with the least roo
 over capacities: a leaf tells whether some row has just that room, so the least sufficient one is found in logarithmic time.
 
 A packed row is a row of an id matrix (``length`` ids, little-endian, filled up with ``pad``), the cumulative lengths of its segments from 0 on, and a
-row of positions that restart at each segment. ``write_matrices`` stores groups as plain binary files.
+row of positions that restart at each segment. ``write_matrices`` stores groups as plain binary files and ``read_matrices`` reads them back.
 
 Defined results: null and empty texts have no ids and no segment. Null ids of documents stay null. Repeated rows are packed each. Ties in
 length go by arrival. Other columns are ignored. Padding positions are 0, and belong to no segment.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
@@ -27,8 +28,11 @@ from .bpe import Coder, read_ranks
 from .common import blocks, stored
 
 LENGTH, GROUP_IDS, PAD = 2048, 1 << 22, 50256
+READ_ROWS = 1024     # packed rows that a task holds while it reads them back
 ROW = "grp string, row int, length int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
 
+INDEX = ("grp", "row", "length", "cu_seqlens", "doc_ids", "doc_starts")   # columns of a packed row beside its matrices
+
 
 class PieceCoder(Coder):
     """The same ids, with the merges inside a rare piece left to the tiktoken library: what is packed matters here, not how it is merged.
@@ -149,23 +153,56 @@ def packed(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str = "te
 
 def write_matrices(rows: DataFrame, folder: str) -> DataFrame:
     """Stores packed rows as ``.ids``, ``.positions`` (matrices, row after row) and ``.cu`` (per row the number of its cumulative
-    lengths, then those; 4 bytes each) files of each task; returns ``path, rows, length`` of the files of successful tasks."""
+    lengths, then those; 4 bytes each) files of each task. Returns a written row for each row of the files of successful tasks: ``path``, ``at`` (its
+    number in the file), ``width`` (bytes of an id), ``grp, row, length, cu_seqlens, doc_ids, doc_starts``."""
+    names = [x.split()[0] for x in ROW.split(", ")]
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = fs.FileSystem.from_uri(folder)
         system.create_dir(top, recursive=True)
-        task, out, n, length = TaskContext.get(), {}, 0, 0
+        task, out, n = TaskContext.get(), {}, 0
         path = f"{top}/{task.partitionId():06d}-{task.taskAttemptId()}"
+        prefix = folder[:len(folder) - len(top)] if folder.endswith(top) else ""
         for batch in batches:
-            for size, ids, positions, cu in zip(*(batch.column(c) for c in range(4))):
-                out = out or {e: system.open_output_stream(f"{path}.{e}", compression=None) for e in ("ids", "positions", "cu")}
-                out["ids"].write(ids.as_py())
-                out["positions"].write(positions.as_py())
-                out["cu"].write(np.array([len(cu), *cu.as_py()], "<i4").tobytes())
-                n, length = n + 1, size.as_py()
+            if not batch.num_rows:
+                continue
+            out = out or {e: system.open_output_stream(f"{path}.{e}", compression=None) for e in ("ids", "positions", "cu")}
+            for length, ids, positions, cu in zip(*(batch.column(c) for c in ("length", "ids", "positions", "cu_seqlens"))):
+                out["ids"].write(ids.as_buffer())
+                out["positions"].write(positions.as_buffer())
+                cu = cu.as_py()
+                out["cu"].write(np.array([len(cu), *cu], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([prefix + path] * batch.num_rows), pa.array(range(n, n + batch.num_rows), pa.int64()),
+                                              pa.array([len(ids.as_buffer()) // length.as_py()] * batch.num_rows, pa.int32()), *(batch.column(c) for c in INDEX)], ["path", "at", "width", *INDEX])
+            n += batch.num_rows
         for f in out.values():
+            f.close()      # a task whose files are not whole fails here, and none of its rows are kept
+
+    kinds = [x for x in ROW.split(", ") if x.split()[0] in INDEX]
+    return stored(rows.select(*names).mapInArrow(put, ", ".join(["path string", "at long", "width int", *kinds])), "matrices")
+
+
+def read_matrices(index: DataFrame) -> DataFrame:
+    """The packed rows again, read from the files that ``write_matrices`` names; any part of the index may be read by any task."""
+    names = [x.split()[0] for x in ROW.split(", ")]
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, files = None, {}
+        for batch in (b.slice(at, READ_ROWS) for b in batches for at in range(0, b.num_rows, READ_ROWS)):
+            found: dict[str, list[bytes]] = {"ids": [], "positions": []}
+            for path, at, size in zip(batch.column("path").to_pylist(), batch.column("at").to_pylist(), pc.multiply(batch.column("length"), batch.column("width")).to_pylist()):
+                if path != now:
+                    for f in files.values():
+                        f.close()
+                    system, top = fs.FileSystem.from_uri(path)
+                    files = {e: system.open_input_file(f"{top}.{e}") for e in found}
+                    now = path
+                for e, f in files.items():
+                    f.seek(at * size)
+                    found[e].append(f.read(size))
+            columns = {**{c: batch.column(c) for c in INDEX}, **{e: pa.array(v, pa.binary()) for e, v in found.items()}}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+        for f in files.values():
             f.close()
-        if n:
-            prefix = folder[:len(folder) - len(top)] if folder.endswith(top) else ""
-            yield pa.RecordBatch.from_arrays([pa.array([prefix + path]), pa.array([n], pa.int64()), pa.array([length], pa.int32())], ["path", "rows", "length"])
 
-    return stored(rows.select("length", "ids", "positions", "cu_seqlens").mapInArrow(put, "path string, rows long, length int"), "matrices")
+    return index.mapInArrow(get, ROW)

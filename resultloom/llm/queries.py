@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from . import bpe, cotraining, decontaminate, filter_audit, manifest, packing, quality_rules, repeats, secrets, sharding, simhash, url_lists, warc
-from .common import table
+from .common import shared_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -65,7 +65,9 @@ def linked_secrets(spark, sf_dir):
 
 @query("op7_bfd_packing")
 def bfd_packing(spark, sf_dir):
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    """The matrices of the whole table are written, and the rows are read back from their files."""
+    rows = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return packing.read_matrices(packing.write_matrices(rows, shared_path(spark, "matrices")))
 
 
 LIST_SQL = """

@@ -48,12 +48,31 @@ def test_packing_is_lossless(spark):
     assert packing.packed(empty_docs(spark), PATH).count() == 0
 
 
-def test_matrices_are_written(spark):
+def test_matrices_are_written_and_read(spark):
     rows = packing.packed(odd_docs(spark), PATH, length=64, group_ids=500)
-    files = packing.write_matrices(rows, shared_path(spark, "matrices")).collect()
-    ids = np.concatenate([np.fromfile(f["path"] + ".ids", "<u2").reshape(-1, 64) for f in files])
+    index = packing.write_matrices(rows, shared_path(spark, "matrices"))
+    files = sorted({r["path"] for r in index.collect()})
+    ids = np.concatenate([np.fromfile(f + ".ids", "<u2").reshape(-1, 64) for f in files])
     assert sorted(r.tobytes() for r in ids) == sorted(bytes(r["ids"]) for r in rows.collect())
-    assert sum(f["rows"] for f in files) == len(ids)
+    assert index.count() == len(ids)
+    as_text = lambda df: sorted(map(str, df.collect()))
+    assert as_text(packing.read_matrices(index)) == as_text(rows)
+    assert as_text(packing.read_matrices(index.repartition(5))) == as_text(rows)     # any task reads any row
+    flat = np.concatenate([np.fromfile(f + ".cu", "<i4") for f in files]).tolist()
+    lengths = []
+    while flat:
+        n, flat = flat[0], flat[1:]
+        lengths.append(flat[:n])
+        flat = flat[n:]
+    assert sorted(lengths) == sorted(r["cu_seqlens"] for r in rows.collect())
+    none = packing.write_matrices(packing.packed(empty_docs(spark), PATH), shared_path(spark, "matrices"))
+    assert none.count() == 0 and packing.read_matrices(none).count() == 0
+
+
+def test_query_reads_what_it_wrote(spark, folder):
+    got = queries.QUERIES["op7_bfd_packing"](spark, folder)
+    want = packing.packed(queries.table(spark, folder, "documents"), PATH)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def odd_pages(spark):
