@@ -117,6 +117,31 @@ def case_rollup(pictures: DataFrame) -> DataFrame:
         middle.alias("legend_px"), first["letter"].alias("letter"), first["model"].alias("model"))
 
 
+def with_readings(cases: DataFrame, setup: DataFrame, caps: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """Cases (after ``case_rollup``) with what was read from their main pictures: ``setup`` (job_id, id, name, subtitle, gravity, gravity_unit) of the
+    setup picture, ``caps`` (job_id, id, cap) of the legend of the stress picture. Without a headline the default name and subtitle stay."""
+    setup = setup.select("job_id", F.col("id").alias("bc_id"), F.col("name").alias("__name"), F.col("subtitle").alias("__sub"), "gravity", "gravity_unit")
+    df = skew.lookup(cases, setup, ["job_id", "bc_id"], hot_rows=hot_rows)
+    df = skew.lookup(df, caps.select("job_id", F.col("id").alias("stress_id"), "cap"), ["job_id", "stress_id"], hot_rows=hot_rows)
+    df = df.withColumns({"name": F.coalesce(F.nullif("__name", F.lit("")), F.col("name")), "subtitle": F.coalesce(F.nullif("__sub", F.lit("")), F.col("subtitle"))})
+    return df.withColumn("short_name", F.col("name")).drop("__name", "__sub")
+
+
+def rows_of_main(cases: DataFrame, rows: DataFrame, slot: str, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """Rows that were read from pictures (job_id, id, ...), setup lines or legend values, as rows of the case (``n``) whose main picture in ``slot``
+    they were read from. They stay rows: a picture may hold any number of them."""
+    own = cases.filter(F.col(slot).isNotNull()).select("job_id", F.col(slot).alias("id"), "n")
+    return skew.lookup(rows, own, ["job_id", "id"], hot_rows=hot_rows).filter(F.col("n").isNotNull())
+
+
+def with_typed(cases: DataFrame, typed: DataFrame, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """Cases with the values typed for them (job_id, n, basis, stress_away, loc_stress, loc_def, react_applied, react_sum); empty words where nothing was typed."""
+    words, numbers = ("basis", "loc_stress", "loc_def"), ("stress_away", "react_applied", "react_sum")
+    typed = typed.select("job_id", "n", *[opt(typed, c, "", "string").alias(c) for c in words], *[opt(typed, c, None, "double").alias(c) for c in numbers])
+    df = skew.lookup(cases, typed, ["job_id", "n"], hot_rows=hot_rows)
+    return df.withColumns({c: F.coalesce(c, F.lit("")) for c in words})
+
+
 def apply_corrections(pictures: DataFrame, assignments: DataFrame) -> DataFrame:
     """User corrections (job, id, role, case) put over the pictures; unknown ids are ignored."""
     fix = assignments.select("job_id", "id", F.col("role").alias("__role"), F.col("case_no").alias("__case"), F.lit(True).alias("__hit"))

@@ -4,7 +4,7 @@ from . import core
 
 
 def _load():
-    from . import cases, checks, intake, legend, loads, messages, pixels, report, scalars, sources, state, verdict  # noqa: F401
+    from . import cases, checks, entries, intake, legend, loads, messages, pixels, report, scalars, sources, state, verdict  # noqa: F401
 
 
 def queries():
