@@ -279,3 +279,23 @@ def test_published_versions(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         sinks.commit(spark, path, 2, "killed")
     assert {tuple(r) for r in sinks.published(spark, path).select("name", "content", "version").collect()} == want
+
+
+def test_readings_of_a_case(spark):
+    """Headline, gravity and cap come from the main pictures; cases without a setup picture, and pictures without readings, keep their defaults."""
+    base = spark.createDataFrame([(1, 1, 10, 11, "Load Case 1", "(Self Weight + Pressure)"), (1, 2, None, 12, "Load Case 2", "(Self Weight + Pressure)"),
+                                  (2, 1, 10, None, "Load Case 1", "(Self Weight + Pressure)"), (None, 1, 10, 11, "Load Case 1", "")],
+                                 "job_id long, n long, bc_id long, stress_id long, name string, subtitle string")
+    setup = spark.createDataFrame([(1, 10, "Force Only", "(Force)", 9806.6, "mm/s2"), (2, 10, "", "", None, None), (1, 99, "Other", "", 1.0, "m/s2")],
+                                  "job_id long, id long, name string, subtitle string, gravity double, gravity_unit string")
+    caps = spark.createDataFrame([(1, 11, 192.0), (1, 12, None), (2, 11, 5.0)], "job_id long, id long, cap double")
+    got = {(r["job_id"], r["n"]): (r["name"], r["short_name"], r["subtitle"], r["gravity"], r["cap"]) for r in cases.with_readings(base, setup, caps).collect()}
+    default = "(Self Weight + Pressure)"
+    assert got == {(1, 1): ("Force Only", "Force Only", "(Force)", 9806.6, 192.0), (1, 2): ("Load Case 2", "Load Case 2", default, None, None),
+                   (2, 1): ("Load Case 1", "Load Case 1", default, None, None), (None, 1): ("Load Case 1", "Load Case 1", "", None, None)}
+    rows = spark.createDataFrame([(1, 10, 2, "b"), (1, 10, 1, "a"), (1, 11, 1, "x"), (2, 10, 1, "c"), (3, 10, 1, "lost"), (1, None, 1, "none")], "job_id long, id long, line_no long, text string")
+    assert sorted((r["job_id"], r["n"], r["text"]) for r in cases.rows_of_main(base, rows, "bc_id").collect()) == [(1, 1, "a"), (1, 1, "b"), (2, 1, "c")]
+    typed = spark.createDataFrame([(1, 1, "refine", 3.5)], "job_id long, n long, basis string, stress_away double")
+    words = {(r["job_id"], r["n"]): (r["basis"], r["loc_stress"], r["stress_away"], r["react_sum"]) for r in cases.with_typed(base, typed).collect()}
+    assert words[1, 1] == ("refine", "", 3.5, None) and words[1, 2] == ("", "", None, None) and len(words) == 4
+    assert cases.with_readings(base.limit(0), setup, caps).count() == 0 and cases.rows_of_main(base, rows.limit(0), "bc_id").count() == 0
