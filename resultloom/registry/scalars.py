@@ -104,4 +104,5 @@ def _letters(k: str) -> str:
 
 @query("j12_list_letter", f"SELECT o_orderkey, {_letters('k')} AS letter FROM (SELECT o_orderkey, (o_orderkey - 3) * o_orderkey * o_custkey AS k FROM orders) a")
 def _(spark, folder):
-    return T.table(spark, folder, "orders").select("o_orderkey", X.list_letter((F.col("o_orderkey") - 3) * F.col("o_orderkey") * F.col("o_custkey")).alias("letter"))
+    key = F.col("o_orderkey").cast("decimal(20,0)")    # the product of three keys goes beyond a long
+    return T.table(spark, folder, "orders").select("o_orderkey", X.list_letter((key - 3) * key * F.col("o_custkey")).alias("letter"))

@@ -1,10 +1,12 @@
 """Golden values and small brute-force checks of single rules."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from resultloom import registry
 from resultloom.functions import exprs as X, fixed
 from resultloom.operators import cases, checks, intake, legend, loads, report, state, verdict
 from resultloom.plans import skew
@@ -38,6 +40,22 @@ def test_list_letter(spark, n, label):
     assert one(spark, n, "bigint", X.list_letter) == label
 
 
+@pytest.mark.parametrize("n", [(1 << 63) - 1, 1 << 63, 26 ** 14, (26 ** 15 - 1) // 25 - 1, (26 ** 15 - 1) // 25, 899_999 * 8_999_996 * 8_999_999, 10 ** 30, 2 * 10 ** 37])
+def test_list_letter_beyond_a_long(spark, n):
+    rest, label = n, ""
+    while rest:
+        rest, k = divmod(rest - 1, 26)
+        label = chr(65 + k) + label
+    assert one(spark, Decimal(n), "decimal(38,0)", X.list_letter) == label
+    assert one(spark, None, "decimal(38,0)", X.list_letter) == one(spark, None, "bigint", X.list_letter) == ""
+
+
+def test_list_letters_of_large_orders(spark, tmp_path):
+    spark.createDataFrame([(8_999_999, 899_999), (30, 2), (3, 5), (None, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["letter"] for r in registry.queries()["j12_list_letter"](spark, str(tmp_path)).collect()}
+    assert got == {8_999_999: one(spark, Decimal(8_999_996 * 8_999_999 * 899_999), "decimal(38,0)", X.list_letter), 30: "BJH", 3: "", None: ""}
+
+
 def test_texts(spark):
     assert one(spark, "load 5 mm and 3 mmWC, 7 N", "string", X.glue_units) == "load 5\u00a0mm and 3\u00a0mmWC, 7\u00a0N"
     assert one(spark, "duct GG", "string", X.object_label) == "Duct GG"
