@@ -317,3 +317,18 @@ def test_readings_of_a_case(spark):
     words = {(r["job_id"], r["n"]): (r["basis"], r["loc_stress"], r["stress_away"], r["react_sum"]) for r in cases.with_typed(base, typed).collect()}
     assert words[1, 1] == ("refine", "", 3.5, None) and words[1, 2] == ("", "", None, None) and len(words) == 4
     assert cases.with_readings(base.limit(0), setup, caps).count() == 0 and cases.rows_of_main(base, rows.limit(0), "bc_id").count() == 0
+
+
+def test_checks_write_no_texts_of_a_verdict(spark, tmp_path, monkeypatch):
+    """Only what a check reads is made: the table that the caps are looked up for is written without captions and cells."""
+    registry.queries()
+    from resultloom.registry import checks as queries
+    spark.createDataFrame([(k, k % 3, "OFP"[k % 3], 1000.0 * k, p) for k, p in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"] * 5)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "x", k, 1.0, "A") for k in range(3)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, [0.1 * k, 0.2, 0.5, 0.9]) for k in range(15)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    written, keep = [], skew.settle
+    monkeypatch.setattr(skew, "settle", lambda df, dear=False: written.append(df.columns) or keep(df, dear))
+    found = queries.checked(spark, str(tmp_path))
+    assert found.count() == 20 and "cell_stress" in found.columns
+    assert written and not any({"cell_stress", "stress_caption", "t_mpa"} & set(c) for c in written)
