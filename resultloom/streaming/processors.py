@@ -121,15 +121,16 @@ class Bursts(_Session):
         if pd.isna(key[0]):
             return
         bursts = [tuple(b) for b in self.open.get()] if self.open.exists() else []
-        for r in self._ordered(rows):
-            near = [b for b in bursts if b[0] - self.gap_us <= r.us <= b[1] + self.gap_us]
-            bursts = [b for b in bursts if b not in near]
-            parts = [*near, (r.us, r.us, 1, r.seq, r.payload, r.build_key)]
-            last = max(parts, key=lambda b: (b[1], b[3]))
-            bursts.append((min(b[0] for b in parts), last[1], sum(b[2] for b in parts), *last[3:]))
+        pieces = [*bursts, *((r.us, r.us, 1, r.seq, r.payload, r.build_key) for r in self._ordered(rows))]
+        bursts = []
+        for p in sorted(pieces, key=lambda b: b[:2]):     # in the order of their starts, a piece can only join the last burst
+            if bursts and p[0] - self.gap_us <= bursts[-1][1]:
+                last = max((bursts[-1], p), key=lambda b: (b[1], b[3]))
+                bursts[-1] = (bursts[-1][0], last[1], bursts[-1][2] + p[2], *last[3:])
+            else:
+                bursts.append(p)
         self.open.put(bursts)
-        for b in bursts:
-            self._timer(b[1] + self.gap_us)
+        self._timer(min(b[1] for b in bursts) + self.gap_us)    # one timer at a time: the one that closes a burst sets the next
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -146,7 +147,11 @@ class Bursts(_Session):
             self.before.update(before)
             self._timer(before[0] + self.life_us + 1)
             rest = bursts[len(done):]
-            self.open.put(rest) if rest else self.open.clear()
+            if rest:
+                self.open.put(rest)
+                self._timer(min(b[1] for b in rest) + self.gap_us)
+            else:
+                self.open.clear()
             yield pd.DataFrame(out, columns=[c.split()[0] for c in self.schema.split(", ")])
         elif before is not None and not bursts and before[0] + self.life_us < passed:
             self.before.clear()

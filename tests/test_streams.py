@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from resultloom.operators import state
 from resultloom.sources import testviews as T
-from resultloom.streaming import state_streams as S
+from resultloom.streaming import processors, state_streams as S
 
 SCHEMA = "sid long, seq long, saved_at timestamp, payload string, build_key string"
 START = dt.datetime(2024, 1, 1)
@@ -54,3 +55,57 @@ def test_bursts_in_order_equal_the_batch(spark, folder):
     want = state.debounce(rows, 6 * 3600 * 1000, slice_unit="day")
     cols = ["sid", "changes", "payload", "build_key", "starts_build"]
     assert sorted(map(tuple, stream.select("started_us", *cols).collect())) == sorted(map(tuple, want.select(F.unix_micros("started"), *cols).collect()))
+
+
+class _State:
+    """A list or value state, and the handle that gives it, in memory."""
+
+    def __init__(self):
+        self.held, self.timers, self.states = None, [], {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getListState
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def put(self, value):
+        self.held = value
+
+    update = put
+
+    def clear(self):
+        self.held = None
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_session_sets_one_timer_however_many_bursts_are_open():
+    handle, bursts = _State(), processors.Bursts(10 ** 12, 1_000_000)
+    bursts.init(handle)
+    times = [(k * 37 % 101) * 3_000_000 + k % 2 * 400_000 for k in range(100)]      # 100 bursts, in no order
+    for part in (times[:50], times[50:], [t + 700_000 for t in times[::10]]):         # the last rows join bursts that are open
+        before = len(handle.timers)
+        list(bursts.handleInputRows((1,), iter([pd.DataFrame([(t, n, f"p{t}", f"k{t}") for n, t in enumerate(part)], columns=["us", "seq", "payload", "build_key"])]), None))
+        assert len(handle.timers) == before + 1
+    got, due = [], 0
+    while handle.states["open"].exists():     # a timer that closes bursts sets the next; one that was set too early closes nothing
+        due = min(t for t in handle.timers if t > due)
+        for out in bursts.handleExpiredTimer((1,), _Watermark(due), None):
+            got += [tuple(r) for r in out.itertuples(index=False)]
+    joined = set(times[::10])
+    assert [(r[1], r[2], r[3]) for r in got] == [(t, t + 700_000, 2) if t in joined else (t, t, 1) for t in sorted(times)]
