@@ -332,3 +332,30 @@ def test_checks_write_no_texts_of_a_verdict(spark, tmp_path, monkeypatch):
     found = queries.checked(spark, str(tmp_path))
     assert found.count() == 20 and "cell_stress" in found.columns
     assert written and not any({"cell_stress", "stress_caption", "t_mpa"} & set(c) for c in written)
+
+
+def line_items(spark, path, rows=60):
+    """Pictures of three jobs, as the tables that the input view reads."""
+    spark.createDataFrame([(k % 3 + 1000 * (k // 9), k % 4, k % 7, 1 + k % 7, 50.0 - k % 9, 100.0 * k, 0.0, 0.0, "ANR"[k % 3], "OF"[k % 2]) for k in range(rows)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+                          ).withColumn("l_shipdate", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"red pipe {k}", f"Brand {k}") for k in range(4)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_steps_of_a_draft_write_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    queries, folder = registry.queries(), line_items(spark, tmp_path)
+    written, keep = [], skew.settle
+    monkeypatch.setattr(skew, "settle", lambda df, dear=False: written.append(df.columns) or keep(df, dear))
+    whole = {"name", "z_dir", "red_px", "width", "height"}
+    for name, spare in (("f1_group_by_letter", whole | {"model", "max_value", "user_set"}), ("f3_number_cases", whole | {"max_value", "user_set"}), ("f4_pick_main", whole)):
+        written.clear()
+        assert queries[name](spark, folder).count() == 60
+        assert written and not any(spare & set(c) for c in written)
+    from resultloom.registry import cases as of_cases
+    assert "hash" not in of_cases.mains(spark, folder).columns
+    for name in ("f8_merge_user_edits", "f8_merge_extra_edits", "f8_merge_setup_lines"):
+        monkeypatch.setattr(of_cases, "mains", lambda spark, folder, draft=of_cases.mains(spark, folder): draft)
+        monkeypatch.setattr(of_cases.T, "assignments", lambda spark, folder: spark.createDataFrame([(0, 1, "stress", 1)], "job_id long, id long, role string, case_no long"))
+        written.clear()
+        assert queries[name](spark, folder).count() and written and not any({"width", "z_dir", "dup_of"} & set(c) for c in written)
