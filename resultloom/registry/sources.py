@@ -81,19 +81,23 @@ def _(spark, folder):
                     F.size("settings.assumption_library").cast("long").alias("assumptions"))
 
 
+def session_lines(pictures, records):
+    """One line per picture and record; the pictures are made once for all of them."""
+    return pictures.select(F.explode(F.array(*records)).alias("value"))
+
+
 @query("a3_session_files", """
 SELECT 'record' AS kind, job_id, id, CASE WHEN id % 50 = 7 THEN 1 ELSE 2 END AS generation, CASE WHEN id % 50 = 7 THEN 'old ' || name ELSE name END AS name, max_value FROM pictures
 UNION ALL SELECT 'damaged', NULL, count(*), NULL, NULL, NULL FROM pictures WHERE id % 50 = 7""")
 def _(spark, folder):
     """Two generations of session files; some lines of the newer ones were cut off while they were written."""
-    pictures = T.pictures(spark, folder)
-    lines = None
+    records = []
     for generation, name in ((1, F.concat(F.lit("old "), F.col("name"))), (2, F.col("name"))):
         record = F.to_json(F.struct("job_id", "id", name.alias("name"), "max_value", F.lit(generation).alias("generation")))
-        part = pictures.select(F.when((F.col("id") % 50 == 7) & F.lit(generation == 2), F.left(record, F.lit(20))).otherwise(record).alias("value"))
-        lines = part if lines is None else lines.unionByName(part)
+        records.append(F.when((F.col("id") % 50 == 7) & F.lit(generation == 2), F.left(record, F.lit(20))).otherwise(record))
+    lines = session_lines(T.pictures(spark, folder), records)
     path = f"{skew.scratch_folder(spark)}/resultloom-sessions-{uuid.uuid4().hex}"
-    lines.write.text(path)
+    lines.write.option("compression", "gzip").text(path)
     newest, damaged = readers.read_sessions(spark, path)
     count = damaged.agg(F.lit("damaged").alias("kind"), F.count(F.lit(1)).alias("id"))
     return newest.select(F.lit("record").alias("kind"), "job_id", "id", F.col("generation").cast("int").alias("generation"), "name", "max_value").unionByName(count, allowMissingColumns=True)

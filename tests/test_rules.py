@@ -359,3 +359,13 @@ def test_steps_of_a_draft_write_only_what_is_asked_for(spark, tmp_path, monkeypa
         monkeypatch.setattr(of_cases.T, "assignments", lambda spark, folder: spark.createDataFrame([(0, 1, "stress", 1)], "job_id long, id long, role string, case_no long"))
         written.clear()
         assert queries[name](spark, folder).count() and written and not any({"width", "z_dir", "dup_of"} & set(c) for c in written)
+
+
+def test_session_files_are_compressed(spark, tmp_path, monkeypatch):
+    import glob
+    queries, folder = registry.queries(), line_items(spark, tmp_path / "in")
+    monkeypatch.setattr(skew, "scratch_folder", lambda spark: str(tmp_path))
+    got = queries["a3_session_files"](spark, folder).collect()
+    assert len([r for r in got if r["kind"] == "record"]) == 60 and {r["generation"] for r in got if r["kind"] == "record" and r["id"] != 7} == {2}
+    files = glob.glob(f"{tmp_path}/resultloom-sessions-*/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
