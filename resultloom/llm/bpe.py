@@ -21,6 +21,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +198,7 @@ class Coder:
         one, which = self._distinct(buf, start, end)
         codes = [self.piece(data[a:b]) for a, b in zip(start[one].tolist(), end[one].tolist())]
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        flat = np.fromiter((i for c in codes for i in c), np.int32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(codes), np.int32, int(sizes.sum()))
         begin, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
         stop = np.cumsum(n)
         ids = flat[np.arange(stop[-1]) - np.repeat(stop - n - begin, n)]

@@ -103,23 +103,30 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+def _lines(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values; nothing is copied."""
+    ends = pa.array(np.arange(len(matrix) + 1) * (matrix.shape[1] * matrix.itemsize)).cast(pa.int32())   # fails beyond 2 GB
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, ends.buffers()[1], pa.py_buffer(matrix)])
+
+
 def _packed(group: str, parts: list[tuple[int | None, int, np.ndarray]], length: int, pad: int, kind: str) -> pa.RecordBatch:
     rows = best_fit([len(ids) for _, _, ids in parts], length)
     ids, positions = np.full((len(rows), length), pad, kind), np.zeros((len(rows), length), kind)
+    steps = np.arange(length).astype(kind)
     ends, docs, starts = [], [], []
     for r, members in enumerate(rows):
         cu = [0]
         for m in members:
-            n = len(parts[m][2])
-            ids[r, cu[-1]:cu[-1] + n] = parts[m][2]
-            positions[r, cu[-1]:cu[-1] + n] = np.arange(n)
-            cu.append(cu[-1] + n)
+            at, n = cu[-1], len(parts[m][2])
+            ids[r, at:at + n] = parts[m][2]
+            positions[r, at:at + n] = steps[:n]
+            cu.append(at + n)
         ends.append(cu)
         docs.append([parts[m][0] for m in members])
         starts.append([parts[m][1] for m in members])
     return pa.RecordBatch.from_arrays(
-        [pa.array([group] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([length] * len(rows), pa.int32()), pa.array([r.tobytes() for r in ids], pa.binary()),
-         pa.array([r.tobytes() for r in positions], pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))],
+        [pa.array([group] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([length] * len(rows), pa.int32()), _lines(ids), _lines(positions),
+         pa.array(ends, pa.list_(pa.int32())), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))],
         [x.split()[0] for x in ROW.split(", ")])
 
 

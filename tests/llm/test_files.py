@@ -103,3 +103,10 @@ def test_every_split_owns_its_records():
     for width in (50, 333, 4096, len(data)):
         found = [o for a in range(0, len(data), width) for o, _ in warc.starting_in(io.BytesIO(data), a, min(a + width, len(data)), len(data))]
         assert found == starts
+
+
+def test_rows_of_a_matrix_are_not_copied():
+    matrix = np.arange(12, dtype="<u2").reshape(3, 4)
+    rows = packing._lines(matrix)
+    assert rows.to_pylist() == [r.tobytes() for r in matrix]
+    assert rows.buffers()[2].address == matrix.ctypes.data
