@@ -369,3 +369,12 @@ def test_session_files_are_compressed(spark, tmp_path, monkeypatch):
     assert len([r for r in got if r["kind"] == "record"]) == 60 and {r["generation"] for r in got if r["kind"] == "record" and r["id"] != 7} == {2}
     files = glob.glob(f"{tmp_path}/resultloom-sessions-*/part-*")
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def test_sentences_of_checks_are_made_once(spark):
+    df = spark.createDataFrame([(1, 1, 3.0, "x"), (1, 2, None, "x"), (1, 3, 3.0, None), (1, 4, 1.0, "x"), (2, 1, 9.0, "y")], "job_id bigint, n bigint, v double, t string")
+    over = checks.rule(1, "bad", "over", F.col("v") > 2, X.fill("{n}: {t}", n="n", t="t"))
+    far = checks.rule(2, F.when(F.col("v") > 8, F.lit("warn")), "far", F.col("v") > 8, X.fill("far {n}", n="n"))
+    found = checks.emit(df, [over, far])
+    assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()     # a filter there would make all sentences a second time
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, "bad", "over", "1: x"), (2, 1, 1, "bad", "over", "1: y"), (2, 1, 2, "warn", "far", "far 1")]
