@@ -152,3 +152,23 @@ def test_ranks_by_radix_selection(spark, bound):
     picks = {"first": lambda n: n * 0, "tenth": lambda n: F.floor(n / 10), "last": lambda n: n - 1}
     got = {r["k"]: (r["low"], r["high"], r["first"], r["tenth"], r["last"]) for r in skew.rank_value(df, ["k"], "v", picks, bound=bound).collect()}
     assert got == {k: (min(v), max(v), min(v), sorted(v)[len(v) // 10], max(v)) for k, v in groups.items()}
+
+
+def test_lookup_in_a_small_written_table_has_one_branch(spark, monkeypatch):
+    """A third of the rows has one key, a tenth none; the table holds one key twice and a null one."""
+    monkeypatch.setattr(skew, "SMALL", 10)
+    df = spark.range(90).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "'old' AS w")
+    dim = skew.settle(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (500, "e")], "k bigint, w string"), dear=True)
+    found = skew.lookup(df, dim, ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join") == 1
+    want = []
+    for i in range(90):
+        k = None if i % 10 == 0 else 1 if i % 3 == 0 else i
+        want += [(i, k, w) for w in {1: ["a"], 2: ["b", "c"]}.get(k, [None])]
+    assert sorted(map(tuple, found.select("id", "k", "w").collect()), key=str) == sorted(want, key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, skew.lookup(df, dim, ["k"]).select("id", "k", "w").collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
