@@ -10,8 +10,7 @@ from . import skew
 
 def draft(pictures: DataFrame) -> DataFrame:
     """Pictures with their case number and role, each case having one main picture per slot."""
-    df = cases.group_by_letter(intake.dedup_first(pictures).drop("hash"))
-    return cases.pick_main(cases.number_cases(cases.split_projects(df)))
+    return cases.draft_steps(intake.dedup_first(pictures).drop("hash"), *cases.DRAFT)
 
 
 def job_summary(pictures: DataFrame, allow: float = 192.0, sy: float = 250.0, fos: float = 1.3) -> DataFrame:

@@ -378,3 +378,31 @@ def test_sentences_of_checks_are_made_once(spark):
     found = checks.emit(df, [over, far])
     assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()     # a filter there would make all sentences a second time
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, "bad", "over", "1: x"), (2, 1, 1, "bad", "over", "1: y"), (2, 1, 2, "warn", "far", "far 1")]
+
+
+def test_steps_of_a_draft_read_only_pictures_of_cases(spark, monkeypatch):
+    from resultloom.operators import intake
+    from resultloom.plans import chains
+    roles = ["bc", "deformation", "stress", "x_stress", "geometry", "mesh", "bc", None, "unknown"]
+    data = [(j, k, f"h{k % 14}" if k else None, roles[k % 9], "AB"[k % 2] if j else None, f"part_{k % 3}", 1.0 * k if k % 4 else None, k % 5 == 0) for j in (0, 1, None) for k in range(27)]
+    pictures = spark.createDataFrame(data, "job_id long, id long, hash string, role string, letter string, model string, max_value double, user_set boolean")
+    want = cases.pick_main(cases.number_cases(cases.split_projects(cases.group_by_letter(intake.dedup_first(pictures).drop("hash")))))
+    written, keep = [], skew.settle
+    monkeypatch.setattr(skew, "settle", lambda df, dear=False: written.append(df) or keep(df, dear))
+    got = chains.draft(pictures)
+    stepped = [df for df in written if "role" in df.columns and "hash" not in df.columns]
+    assert stepped and not any(df.filter("role IS NULL OR role IN ('geometry', 'mesh', 'unused', 'unknown')").count() for df in stepped)
+    assert sorted(map(str, got.select(sorted(want.columns)).collect())) == sorted(map(str, want.select(sorted(want.columns)).collect()))
+    assert got.filter("auto_extra IS NULL").count() == 0 and got.filter("role = 'unused'").count() and got.filter("case_no > 1").count()
+
+
+def test_limits_are_parsed_once_per_job(spark, tmp_path):
+    from resultloom.registry import verdict as queries
+    spark.createDataFrame([(k, k % 30, "O", 9000.0 * k, "5-LOW") for k in range(60)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "x", k, 1.0, "A") for k in range(28)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.case_table(spark, str(tmp_path))
+    limited = found.filter("allow IS NOT NULL").select("job_id", "n")
+    assert "RLIKE" not in limited._jdf.queryExecution().optimizedPlan().toString().upper()   # such a filter on the key would run for every case
+    assert found.count() == 60 and limited.count() == 60 - 2 * 6
+    plain = verdict.verdict(found.drop("t_allow", "t_lim", "t_sy"))
+    assert sorted(map(str, plain.select("job_id", "n", "t_allow", "t_lim", "t_sy").collect())) == sorted(map(str, verdict.verdict(found).select("job_id", "n", "t_allow", "t_lim", "t_sy").collect()))
