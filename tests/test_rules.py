@@ -10,7 +10,7 @@ from resultloom import registry
 from resultloom.functions import exprs as X, fixed
 from resultloom.operators import cases, checks, intake, legend, loads, report, state, verdict
 from resultloom.plans import skew
-from resultloom.sources import readers, sinks
+from resultloom.sources import readers, sinks, testviews
 
 
 def one(spark, value, kind, make):
@@ -406,3 +406,39 @@ def test_limits_are_parsed_once_per_job(spark, tmp_path):
     assert found.count() == 60 and limited.count() == 60 - 2 * 6
     plain = verdict.verdict(found.drop("t_allow", "t_lim", "t_sy"))
     assert sorted(map(str, plain.select("job_id", "n", "t_allow", "t_lim", "t_sy").collect())) == sorted(map(str, verdict.verdict(found).select("job_id", "n", "t_allow", "t_lim", "t_sy").collect()))
+
+
+def test_pictures_without_copies_are_those_of_the_first_content(spark):
+    """Rows without a job, an id or a content are copies of none; a row that comes twice stays twice; most copies are left out before the join."""
+    from resultloom.operators import intake
+    data = [(j, k, f"h{k % 9}" if k % 7 else None, "stress") for j in (1, 2, None) for k in range(120)] + [(1, None, "h1", "stress"), (2, 4, "h4", "bc"), (2, 1, "h1", "bc")]
+    pictures = spark.createDataFrame(data, "job_id long, id long, hash string, role string")
+    want = intake.dedup_first(pictures).filter("dup_of IS NULL")
+    kept, groups = intake.same_content(pictures)
+    for hot in (3, 50, None):
+        got = intake.without_copies(kept, groups, hot)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    few = skew.sieve(kept, groups.select("job_id", F.col("__first").alias("id")), ["job_id", "id"], F.col("hash").isNull(), 3)
+    assert want.count() <= few.count() < pictures.count() - 150
+
+
+def test_legend_values_are_made_without_copies(spark, tmp_path, monkeypatch):
+    """The draft of the cases needs no copies of pictures, so none are looked up or written; each main stress picture shows its whole legend."""
+    from resultloom.operators import intake
+    from resultloom.registry import cases as draft
+    lines = [(1000 * k + j, 1 + k % 4, 1 + k % 11, 1 + k % 3, 10.0, 100.0 * k + j, 0.0, 0.0, "AN"[j % 2], "F", "1995-01-01") for j in range(6) for k in range(1, 25)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                          "l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"B{k}", f"part {k}") for k in range(1, 5)], "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, k % 30, "O", 9000.0 * k, "5-LOW") for k in range(60)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, "x", k, 1.0, "A") for k in range(6)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    vectors = {k: [round(((k * 7 + i * 3) % 20) / 20 - 0.5, 3) for i in range(4)] for k in range(0, 500, 2)}
+    spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked, keep = [], intake.mark_copies
+    monkeypatch.setattr(intake, "mark_copies", lambda *a: asked.append(a) or keep(*a))
+    got = sorted((r["job_id"], r["n"], r["id"], r["pos"], r["value"]) for r in registry.queries()["f6_legend_values"](spark, str(tmp_path)).collect())
+    assert len(asked) == 1 and (spark.sparkContext.applicationId, str(tmp_path), "copies") not in draft._tables
+    rolled = cases.case_rollup(draft.mains(spark, str(tmp_path))).filter("stress_id IS NOT NULL").collect()
+    legends = {r["image_id"]: r["vals"] for r in testviews.legend_arrays(spark, str(tmp_path)).collect()}
+    want = [(r["job_id"], r["n"], r["stress_id"], i, v) for r in rolled for i, v in enumerate(legends.get((r["job_id"] * 31 + r["stress_id"]) % 500, []))]
+    assert got == sorted(want) and len(want) > 8 and len(want) < 4 * len(rolled)

@@ -116,6 +116,18 @@ def test_rows_of_hot_keys_and_null_keys_stay_spread(spark, monkeypatch):
         assert sum(sizes) == 24_000 and max(sizes) <= 2_500, sizes
 
 
+def test_a_sieve_lets_few_other_rows_through(spark, table, tmp_path):
+    """All wanted rows and those without a whole key stay, few others do, and no row of the table moves before; small tables stay whole."""
+    spark.range(20_000).selectExpr("id % 5 AS k", "CASE WHEN id % 1000 <> 7 THEN id END AS id", "CASE WHEN id % 900 = 1 THEN true END AS also").write.parquet(f"{tmp_path}/rows")
+    spark.range(300).selectExpr("(id * 11) % 5 AS k", "CAST(id * 11 AS INT) AS id").unionByName(spark.sql("SELECT 9L AS k, CAST(NULL AS INT) AS id")).write.parquet(f"{tmp_path}/keys")
+    df, keys = spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/keys")
+    few = skew.sieve(df, keys, ["k", "id"], F.col("also"), hot_rows=10)
+    wanted = df.filter("id IS NULL OR also OR (id % 11 = 0 AND id < 3300)")
+    assert few.columns == df.columns and wanted.exceptAll(few).count() == 0 and few.exceptAll(df).count() == 0
+    assert wanted.count() <= few.count() <= wanted.count() + 40
+    assert skew.sieve(df, keys, ["k", "id"], F.col("also")) is df
+
+
 def test_a_huge_slice_is_cut_along_the_whole_order(spark):
     """All rows are one group and one slice, and their order keys share forty characters: pieces stay small, sums and neighbours right."""
     n = 20_000
